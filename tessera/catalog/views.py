@@ -10,7 +10,8 @@ from tessera.catalog.registry import view
 view("v_files", """
 SELECT doc_id, concat('u', cast(doc_id % 4 AS string)) AS user_id, false AS is_public,
        concat('org/', source) AS repo, 'main' AS branch,
-       concat('docs/', cast(doc_id AS string), CASE doc_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json'
+       concat(CASE WHEN doc_id % 11 = 3 THEN 'node_modules/' WHEN doc_id % 13 = 5 THEN 'web/dist/' ELSE 'docs/' END,
+              cast(doc_id AS string), CASE doc_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.json'
               WHEN 3 THEN '.min.js' WHEN 4 THEN '.lock' ELSE '' END) AS path,
        n_chars AS size, lang, text AS content
 FROM {documents}
@@ -143,3 +144,50 @@ SELECT concat('job', cast(user_id AS string)) AS job_id, concat('u', cast(user_i
        value
 FROM {events}
 """)
+
+# Python sources around each document: two imports, a function, a class with one method whose docstring
+# is the document (without quotes).
+view("v_python", """
+SELECT doc_id, concat('import os, requests', chr(10), 'from .local.mod import x', chr(10), chr(10),
+       'def f_', cast(doc_id AS string), '(x):', chr(10), '    return g_', cast(doc_id % 10 AS string), '(x)', chr(10), chr(10),
+       'class C_', cast(doc_id AS string), '(Base):', chr(10), '    def m(self):', chr(10),
+       '        ', chr(34), chr(34), chr(34), replace(replace(replace(text, chr(34), ''), chr(39), ''), chr(92), ''),
+       chr(34), chr(34), chr(34), chr(10), '        return f_', cast(doc_id AS string), '(1)', chr(10)) AS content,
+       1 + length(text) - length(replace(text, chr(10), '')) AS doc_lines
+FROM {documents}
+""")
+
+# Pages as scripts that import what the page links to.
+view("v_scripts", """
+SELECT page_id, concat('u', cast(page_id % 4 AS string)) AS user_id, concat('web/', cast(page_id AS string), '.js') AS path,
+       replace(replace(html, 'href=', 'import '), '<li>', chr(10)) AS content
+FROM {pages}
+""")
+
+# Requirement and package manifests of suppliers.
+view("v_manifests", """
+SELECT s_suppkey, 'requirements.txt' AS path, concat('# pins', chr(10), 'pkg', cast(s_suppkey AS string), '==', cast(s_nationkey AS string),
+       '.0', chr(10), 'lib-', cast(s_nationkey AS string), chr(10), chr(10), 'uvicorn[standard]~=0.3 # note', chr(10), '-r base.txt') AS content
+FROM {supplier}
+UNION ALL
+SELECT s_suppkey, 'web/package.json', concat('{{"dependencies": {{"left": "1.0", "only', cast(s_nationkey AS string),
+       '": "2"}}, "devDependencies": {{"left": "', cast(s_suppkey AS string), '"}}}}')
+FROM {supplier}
+""")
+
+# File nodes and the functions below them, with raw ids.
+view("v_tree", """
+SELECT concat('t1::org/parts::main::parts/', cast(p_partkey AS string), '.py') AS id, 'File' AS label,
+       concat('org/parts::main::parts/', cast(p_partkey AS string), '.py') AS raw_id, 't1' AS user_id, 'org/parts' AS repo,
+       'main' AS branch, p_size AS size FROM {part}
+UNION ALL
+SELECT concat('t1::org/parts::main::parts/', cast(p_partkey AS string), '.py::func::', p_brand), 'Function',
+       concat('org/parts::main::parts/', cast(p_partkey AS string), '.py::func::', p_brand), 't1', 'org/parts', 'main', p_size FROM {part}
+""")
+
+# Review reports: an intro and two titled parts.
+view("v_reports", """
+SELECT doc_id, concat('Report on ', source, chr(10), '## Overall Summary', chr(10), text, chr(10), '2. Dependency Surface', chr(10),
+       'Language ', lang, chr(10)) AS report
+FROM {documents}
+""")

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import sys
 import tomllib
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+# Tasks receive these helpers with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _dotted_lines(document: dict) -> str:
@@ -36,14 +43,11 @@ def _render(text: str | None, loads) -> str | None:
     return _dotted_lines(document) if isinstance(document, dict) else text
 
 
-@F.pandas_udf("string")
-def _json_lines(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _render(t, json.loads))
-
+def _lines_udf(loads):
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _render(t, loads))
 
-@F.pandas_udf("string")
-def _toml_lines(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _render(t, tomllib.loads))
+    return F.pandas_udf(lines, StringType())
 
 
 def flatten_config(path: Column, text: Column) -> Column:
@@ -52,6 +56,6 @@ def flatten_config(path: Column, text: Column) -> Column:
     Only JSON and TOML rows carry their text to Python; the rest pass a null.
     """
     is_json, is_toml = path.endswith(".json"), path.endswith(".toml")
-    as_json = _json_lines(F.when(is_json, text))
-    as_toml = _toml_lines(F.when(is_toml, text))
+    as_json = _lines_udf(json.loads)(F.when(is_json, text))
+    as_toml = _lines_udf(tomllib.loads)(F.when(is_toml, text))
     return F.coalesce(as_json, as_toml, text)

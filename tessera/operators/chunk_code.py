@@ -47,11 +47,12 @@ _PY_NOISE = (
 _BRACE_NOISE = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\\n])*+`|//.*|/\*(?:(?!\*/).)*\*/"
 
 
-def file_lines(files: DataFrame, key: str = "fid") -> DataFrame:
-    """(key, grammar, n, line): 1-based lines of each file, placed by file."""
-    spread = files.select(key, "grammar", "content").repartition(key)
-    rows = spread.select(key, "grammar", F.posexplode(lines_with_ends(F.col("content"))).alias("_p", "line"))
-    return rows.select(key, "grammar", (F.col("_p") + 1).alias("n"), "line")
+def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
+    """(key, grammar, *keep, n, line): 1-based lines of each file, placed by file."""
+    columns = [key, "grammar", *(keep or [])]
+    spread = files.select(*columns, "content").repartition(key)
+    rows = spread.select(*columns, F.posexplode(lines_with_ends(F.col("content"))).alias("_p", "line"))
+    return rows.select(*columns, (F.col("_p") + 1).alias("n"), "line")
 
 
 def _before(window, value: Column) -> Column:
@@ -81,6 +82,10 @@ def python_lines(lines: DataFrame, key: str = "fid") -> DataFrame:
         "filled": F.when(F.col("_inside"), F.lit(True)).otherwise(F.trim(F.regexp_replace("code", r"\s", "")) != ""),
         "indent": F.length(F.regexp_extract("line", r"^[ \t\f]*", 0)),
     })
+    # From here on `code` is what lies outside triple quotes: cut up to a closing one, whole pairs, and from an opening one.
+    bare = F.when(F.col("_inside"), F.when(F.col("_t") > 0, F.regexp_replace("code", rf"^.*?(?:{_TRIPLE})", "")).otherwise("")).otherwise(F.col("code"))
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"(?:{_TRIPLE}).*?(?:{_TRIPLE})", ""), rf"(?:{_TRIPLE}).*$", "")
+    df = df.withColumn("code", bare)
     df = df.withColumn("stmt", F.col("filled") & ~F.col("_inside") & ~F.col("code").rlike(r"^\s*[)\]}]"))
     df = df.withColumn("_deco", F.col("code").rlike(r"^\s*@"))
 
@@ -112,14 +117,14 @@ def python_lines(lines: DataFrame, key: str = "fid") -> DataFrame:
     return df.drop("_t", "_deco", "_after_deco", "_head", "_m_after", "_mh")
 
 
-def python_blocks(marked: DataFrame, key: str = "fid") -> DataFrame:
+def python_blocks(marked: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
     """Lines of definitions with the block they belong to; uncovered and class-level lines included."""
     in_unit = F.col("unit_kind").isNotNull() & F.col("n").between(F.col("unit_start"), F.col("unit_end"))
     in_method = in_unit & F.col("member_name").isNotNull() & F.col("n").between(F.col("member_start"), F.col("member_end"))
     is_class = F.col("unit_kind") == "class"
     kind = F.when(in_method, "method").when(in_unit & is_class, "class").when(in_unit, "function").otherwise("module_header")
     return marked.where(~F.col("odd_quotes")).select(
-        key, "n", "line", "code", kind.alias("kind"),
+        key, *(keep or []), "n", "line", "code", kind.alias("kind"),
         F.when(in_unit & is_class, F.col("unit_name")).alias("class_name"),
         F.when(in_method, F.col("member_name")).when(in_unit & ~is_class, F.col("unit_name")).alias("function_name"),
         F.when(in_unit, F.col("unit")).alias("unit"),
@@ -228,7 +233,7 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     go = _block_chunks(brace_blocks(lines.where(F.col("grammar") == "go"), "go", key), "go", key)
     blocks = python.unionByName(js).unionByName(go)
 
-    rest = files.join(blocks.select(key).distinct(), key, "left_anti")
+    rest = files.join(blocks.select(key), key, "left_anti")
     windows = explode_parts(rest, window_parts(F.col("content")), [key])
     generic = windows.select(
         key, "chunk_type", *[F.lit(None).cast("string").alias(c) for c in ("function_name", "class_name", "signature")],

@@ -7,12 +7,14 @@ and keeps k rows per question and task, so neither all pairs nor all scores are
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -24,6 +26,9 @@ QUESTION_BYTES = 64 * 1024 * 1024  # largest question matrix shipped to every ta
 TILE_ROWS = 20_000  # chunk rows held at once by the tiled scan
 SCORE_DIGITS = 9
 
+# Tasks receive these helpers with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def validate_vectors(df: DataFrame, dim: int, vector: str = "dense") -> DataFrame:
     """The same rows; the job fails on the first vector of another dimension."""

@@ -55,58 +55,56 @@ def js_edges(files: DataFrame) -> DataFrame:
 
 
 def python_edges(files: DataFrame) -> DataFrame:
-    """Imports, class and function definitions, bases, and direct-name calls.
+    """Imports, class and function definitions, bases, and direct-name calls, in one pass over the lines.
 
     Calls belong to the enclosing top-level function or method; functions nested inside others are
     not nodes of their own.
     """
-    marked = C.python_lines(C.file_lines(files.withColumn("grammar", F.lit("python"))))
-    names = files.select("fid", "file_raw", "branch_raw")
-    lines = C.python_blocks(marked).join(names, "fid")
-    code = F.col("code")
-    file_raw, branch_raw = F.col("file_raw"), F.col("branch_raw")
-
-    plain = lines.where(code.rlike(r"^\s*import\s+\w")).select(
-        "fid", "file_raw", "branch_raw",
-        F.explode(F.split(F.regexp_replace(code, r"^\s*import\s+", ""), ",")).alias("_m"),
-    ).select("fid", "file_raw", "branch_raw", F.regexp_extract("_m", r"^\s*(\w+)", 1).alias("root"))
-    froms = lines.withColumns({
-        "dots": F.regexp_extract("code", r"^\s*from\s+(\.*)\s*([\w.]*)\s+import\b", 1),
-        "module": F.regexp_extract("code", r"^\s*from\s+(\.*)\s*([\w.]*)\s+import\b", 2),
-    }).where(F.col("module") != "")
-    absolute = plain.unionByName(froms.where(F.col("dots") == "").select(
-        "fid", "file_raw", "branch_raw", F.substring_index("module", ".", 1).alias("root")))
-    absolute = absolute.where(F.col("root") != "")
-    kind = F.when(F.col("root").isin(K.PYTHON_STDLIB), "stdlib").otherwise("third-party")
-    module_props = P.string_map(ecosystem=F.lit("pip"), type=kind, name=F.col("root"))
-    imports = _edge(absolute, "File", file_raw, "Module", raw_id("python", F.col("root")), "IMPORTS", module_props)
-    relative = froms.where(F.col("dots") != "")
-    local = _edge(relative, "File", file_raw, "File", raw_id(branch_raw, F.replace(F.col("module"), F.lit("."), F.lit("/"))),
+    ids = ["file_raw", "branch_raw"]
+    lines = C.file_lines(files.withColumn("grammar", F.lit("python")), keep=ids)
+    rows = C.python_blocks(C.python_lines(lines), keep=ids)
+    code, file_raw = F.col("code"), F.col("file_raw")
+    func, cls = (lambda name: raw_id(file_raw, "func", name)), (lambda name: raw_id(file_raw, "class", name))
+    no_props = F.create_map().cast("map<string,string>")
+
+    def entry(from_label: str, from_raw: Column, to_label: str, to_raw: Column, rel: str, props: Column = no_props) -> Column:
+        return F.struct(
+            F.lit(from_label).alias("from_label"), from_raw.alias("from_raw"), F.lit(to_label).alias("to_label"),
+            to_raw.alias("to_raw"), F.lit(rel).alias("rel_type"), props.alias("props"),
+        )
+
+    def imported(root: Column) -> Column:
+        kind = F.when(root.isin(K.PYTHON_STDLIB), "stdlib").otherwise("third-party")
+        props = P.string_map(ecosystem=F.lit("pip"), type=kind, name=root)
+        return entry("File", file_raw, "Module", raw_id("python", root), "IMPORTS", props)
+
+    listed = F.split(F.regexp_replace(code, r"^\s*import\s+", ""), ",")
+    roots = F.filter(F.transform(listed, lambda m: F.regexp_extract(m, r"^\s*(\w+)", 1)), lambda r: r != "")
+    from_line = r"^\s*from\s+(\.*)\s*([\w.]*)\s+import\b"
+    dots, module = F.regexp_extract(code, from_line, 1), F.regexp_extract(code, from_line, 2)
+    local = entry("File", file_raw, "File", raw_id(F.col("branch_raw"), F.replace(module, F.lit("."), F.lit("/"))),
                   "IMPORTS", P.string_map(type=F.lit("local")))
 
-    func = lambda name: raw_id(file_raw, "func", name)
-    cls = lambda name: raw_id(file_raw, "class", name)
-    defs = lines.where(F.col("function_name").isNotNull())
-    functions = defs.select("fid", "file_raw", "function_name").distinct()
-    defined = _edge(functions, "Function", func(F.col("function_name")), "File", file_raw, "DEFINED_IN")
-    calls = defs.select("fid", "file_raw", "function_name", F.explode(
-        F.regexp_extract_all(F.regexp_replace(code, r"^\s*(?:async\s+)?(?:def|class)\s+\w+", ""), F.lit(_CALL), F.lit(1))
-    ).alias("callee")).where(~F.col("callee").isin(_PY_KEYWORDS)).distinct()
-    called = _edge(calls, "Function", func(F.col("function_name")), "Function", func(F.col("callee")), "CALLS",
-                   P.string_map(name=F.col("callee")))
-
-    heads = lines.where(F.col("class_name").isNotNull() & code.rlike(r"^class\s"))
-    classes = _edge(heads.select("fid", "file_raw", "class_name").distinct(), "Class", cls(F.col("class_name")),
-                    "File", file_raw, "DEFINED_IN")
-    bases = heads.select("fid", "file_raw", "class_name", F.explode(
-        F.split(F.regexp_extract("code", r"^class\s+\w+\s*\(([^)]*)\)", 1), ",")).alias("_b"))
-    bases = bases.withColumn("base", F.regexp_extract("_b", r"^\s*([A-Za-z_]\w*)\s*$", 1)).where(F.col("base") != "")
-    inherits = _edge(bases, "Class", cls(F.col("class_name")), "Class", cls(F.col("base")), "INHERITS_FROM",
-                     P.string_map(name=F.col("base")))
-    edges = imports
-    for more in (local, defined, called, classes, inherits):
-        edges = edges.unionByName(more)
-    return edges
+    name, owner = F.col("function_name"), F.col("class_name")
+    body = F.regexp_replace(code, r"^\s*(?:async\s+)?(?:def|class)\s+\w+", "")
+    callees = F.filter(F.regexp_extract_all(body, F.lit(_CALL), F.lit(1)), lambda c: ~c.isin(_PY_KEYWORDS))
+    call = lambda c: entry("Function", func(name), "Function", func(c), "CALLS", P.string_map(name=c))
+    bases = F.transform(F.split(F.regexp_extract(code, r"^class\s+\w+\s*\(([^)]*)\)", 1), ","),
+                        lambda b: F.regexp_extract(b, r"^\s*([A-Za-z_]\w*)\s*$", 1))
+    base = lambda b: entry("Class", cls(owner), "Class", cls(b), "INHERITS_FROM", P.string_map(name=b))
+
+    is_def = name.isNotNull() & code.rlike(r"^\s*(?:async\s+)?def\s")
+    is_class = owner.isNotNull() & code.rlike(r"^class\s")
+    found = [
+        F.when(code.rlike(r"^\s*import\s+\w"), F.transform(roots, imported)),
+        F.when(module != "", F.array(F.when(dots != "", local).otherwise(imported(F.substring_index(module, ".", 1))))),
+        F.when(is_def, F.array(entry("Function", func(name), "File", file_raw, "DEFINED_IN"))),
+        F.when(name.isNotNull(), F.transform(callees, call)),
+        F.when(is_class, F.array(entry("Class", cls(owner), "File", file_raw, "DEFINED_IN"))),
+        F.when(is_class, F.transform(F.filter(bases, lambda b: b != ""), base)),
+    ]
+    edges = rows.select("fid", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("e")).select("fid", "e.*")
+    return edges.dropDuplicates(["fid", "from_raw", "rel_type", "to_raw"]).select(*_EDGE)
 
 
 def package_dependencies(text: Column) -> Column:
@@ -137,15 +135,15 @@ def go_requirements(text: Column) -> Column:
 def manifest_edges(files: DataFrame, include_go: bool = False) -> DataFrame:
     """DEPENDS_ON edges from the branch to declared packages, parsed from the raw manifest text."""
     path, text = F.col("path"), F.col("content")
-    entries = lambda eco, array: F.transform(array, lambda e: F.struct(
-        F.lit(eco).alias("ecosystem"), e[0].alias("name"), e[1].alias("version")))
+    entries = lambda eco, array, fields: F.transform(array, lambda e: F.struct(
+        F.lit(eco).alias("ecosystem"), e[fields[0]].alias("name"), e[fields[1]].alias("version")))
     none = F.array().cast("array<struct<ecosystem:string,name:string,version:string>>")
     found = (
-        F.when(path.endswith("package.json"), entries("npm", F.map_entries(package_dependencies(text))))
-        .when(path.endswith("requirements.txt"), entries("pip", requirement_entries(text)))
+        F.when(path.endswith("package.json"), entries("npm", F.map_entries(package_dependencies(text)), ["key", "value"]))
+        .when(path.endswith("requirements.txt"), entries("pip", requirement_entries(text), ["name", "version"]))
     )
     if include_go:
-        found = found.when(path.endswith("go.mod"), entries("go", go_requirements(text)))
+        found = found.when(path.endswith("go.mod"), entries("go", go_requirements(text), ["name", "version"]))
     rows = files.select("fid", "branch_raw", F.explode(found.otherwise(none)).alias("d")).select("fid", "branch_raw", "d.*")
     return _edge(rows, "Repository", F.col("branch_raw"), "Dependency",
                  raw_id(F.col("ecosystem"), F.col("name"), F.col("version")), "DEPENDS_ON",
