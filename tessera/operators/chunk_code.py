@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as K
 from tessera.functions.text import lines_with_ends, strip
-from tessera.operators.chunk_docs import explode_parts, window_parts
+from tessera.operators.chunk_docs import window_parts
 
 _WORD = r"[A-Za-z_$][\w$]*"
 
@@ -233,15 +233,20 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     go = _block_chunks(brace_blocks(lines.where(F.col("grammar") == "go"), "go", key), "go", key)
     blocks = python.unionByName(js).unionByName(go)
 
-    rest = files.join(blocks.select(key), key, "left_anti")
-    windows = explode_parts(rest, window_parts(F.col("content")), [key])
-    generic = windows.select(
-        key, "chunk_type", *[F.lit(None).cast("string").alias(c) for c in ("function_name", "class_name", "signature")],
-        "start_line", "end_line", "text", F.lit(None).cast("string").alias("full_body"),
-        F.lit(False).alias("large_function"),
-        F.when(F.col("chunk_type") == "function", "generic_window").otherwise("whole").alias("chunking"),
+    # Each file meets its blocks once; a file without any is cut into windows in its own row.
+    none = F.lit(None).cast("string")
+    fields = ["chunk_type", "function_name", "class_name", "signature", "start_line", "end_line", "text", "full_body", "large_function", "chunking"]
+    window = lambda p: F.struct(
+        p["chunk_type"].alias("chunk_type"), none.alias("function_name"), none.alias("class_name"), none.alias("signature"),
+        p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["text"].alias("text"),
+        none.alias("full_body"), F.lit(False).alias("large_function"),
+        F.when(p["chunk_type"] == "function", "generic_window").otherwise("whole").alias("chunking"),
     )
-    return blocks.unionByName(generic)
+    joined = files.select(key, "content").join(blocks, key, "left")
+    content = F.when(F.col("chunk_type").isNull(), F.col("content"))
+    rows = joined.select(key, content.alias("_text"), F.struct(*fields).alias("_block"))
+    chosen = F.when(F.col("_text").isNull(), F.array("_block")).otherwise(F.transform(window_parts(F.col("_text")), window))
+    return rows.select(key, F.explode(chosen).alias("_c")).select(key, "_c.*")
 
 
 def uncovered_lines(lines: DataFrame, ranges: DataFrame, key: str = "fid") -> DataFrame:
