@@ -60,9 +60,9 @@ def delete_files(t: Inputs):
     return maintenance.delete_files(t.v_chunks, doomed).select("chunk_id")
 
 
-@query("delete_repo_branch", "SELECT chunk_id FROM {v_chunks} WHERE NOT (user_id = 'u1' AND repo = 'org/src3' AND branch = 'main')")
+@query("delete_repo_branch", "SELECT chunk_id FROM {v_chunks} WHERE NOT (user_id = 'u3' AND repo = 'org/src3' AND branch = 'main')")
 def delete_repo_branch(t: Inputs):
-    return maintenance.delete_repo(t.v_chunks, "u1", "org/src3", "main").select("chunk_id")
+    return maintenance.delete_repo(t.v_chunks, "u3", "org/src3", "main").select("chunk_id")
 
 
 _RUNS = "(SELECT *, CASE WHEN n_chars % 7 <> 0 THEN ingest_run_id END AS run FROM {v_chunks})"
@@ -72,14 +72,14 @@ def _runs(t: Inputs):
     return t.v_chunks.withColumn("ingest_run_id", F.when(F.col("n_chars") % 7 != 0, F.col("ingest_run_id")))
 
 
-@query("stale_runs", f"SELECT chunk_id FROM {_RUNS} WHERE NOT (user_id = 'u2' AND repo = 'org/src5' AND branch = 'main' AND run IS DISTINCT FROM 'run2')")
+@query("stale_runs", f"SELECT chunk_id FROM {_RUNS} WHERE NOT (user_id = 'u1' AND repo = 'org/src5' AND branch = 'main' AND run IS DISTINCT FROM 'run2')")
 def stale_runs(t: Inputs):
-    return maintenance.drop_stale_runs(_runs(t), "u2", "org/src5", "main", "run2").select("chunk_id")
+    return maintenance.drop_stale_runs(_runs(t), "u1", "org/src5", "main", "run2").select("chunk_id")
 
 
-@query("rollback_run", f"SELECT chunk_id FROM {_RUNS} WHERE NOT coalesce(user_id = 'u2' AND repo = 'org/src5' AND branch = 'main' AND run = 'run2', false)")
+@query("rollback_run", f"SELECT chunk_id FROM {_RUNS} WHERE NOT coalesce(user_id = 'u1' AND repo = 'org/src5' AND branch = 'main' AND run = 'run1', false)")
 def rollback_run(t: Inputs):
-    return maintenance.roll_back_run(_runs(t), "u2", "org/src5", "main", "run2").select("chunk_id")
+    return maintenance.roll_back_run(_runs(t), "u1", "org/src5", "main", "run1").select("chunk_id")
 
 
 @query("incremental_refresh", """

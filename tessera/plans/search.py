@@ -1,10 +1,55 @@
-"""Batch search over the chunk table."""
+"""Batch search over the chunk table, its postings and its vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import constants as K
+from tessera.functions.text import truncate_lines
+from tessera.operators import dense, hybrid, sparse
+
+SCOPE = ["repo", "branch", "language"]
+
+
+def with_scope(questions: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
+    """Questions with every scope column; a missing or empty one means no filter.  The tenant is required."""
+    tenant = F.when(F.coalesce(F.col("user_id"), F.lit("")) == "", F.raise_error(F.lit("a tenant is required"))).otherwise(F.col("user_id"))
+    columns = {"user_id": tenant}
+    for name in [*SCOPE, "source_type"]:
+        value = F.nullif(F.col(name), F.lit("")) if name in questions.columns else F.lit(None).cast("string")
+        columns[name] = F.lit(fixed[name]) if fixed and name in fixed else value
+    return questions.withColumns(columns)
+
+
+def index_chunks(chunks: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(postings, vectors) of a chunk table, carrying the columns searches filter by."""
+    keep = ["user_id", *SCOPE, "source_type"]
+    return sparse.postings(chunks, "chunk_id", keep=keep), dense.hash_embed(chunks, "chunk_id", dim, keep=keep)
+
+
+def search(questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_TOP_K,
+           fixed: dict[str, str] | None = None, question_vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank): hybrid hits of a question batch.
+
+    Filters apply inside both searches, before ranking.  `questions`: qid, user_id, query and optional
+    repo, branch, language; `question_vectors`: qid, qdense, when a model of your own made the vectors.
+    """
+    asked = with_scope(questions, fixed)
+    optional = [*SCOPE, "source_type"]
+    keep = ["user_id", *optional]
+    terms = sparse.postings(asked, "qid", text="query", keep=keep)
+    found_sparse = sparse.sparse_top_k(postings, terms, k, exact=["user_id"], optional=optional)
+    if question_vectors is None:
+        question_vectors = dense.hash_embed(asked, "qid", text="query").withColumnRenamed("dense", "qdense")
+    meant = asked.select("qid", *keep).join(question_vectors, "qid")
+    found_dense = dense.dense_top_k(vectors, meant, k, exact=["user_id"], optional=optional)
+    return hybrid.fuse(found_dense, found_sparse, k)
+
+
+def search_code(questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    return search(questions, postings, vectors, k, fixed={"source_type": "code"})
+
 
 def keep_issues(hits: DataFrame, chunks: DataFrame, state: str | None = None, limit: int = 5) -> DataFrame:
     """Issue and pull-request hits among the ranked hits, at most `limit` per question.
@@ -16,3 +61,35 @@ def keep_issues(hits: DataFrame, chunks: DataFrame, state: str | None = None, li
         found = found.where(F.col("state") == state)
     order = Window.partitionBy("qid").orderBy("rank")
     return found.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < limit)
+
+
+def search_issues(questions: DataFrame, chunks: DataFrame, postings: DataFrame, vectors: DataFrame, state: str | None = None) -> DataFrame:
+    return keep_issues(search(questions, postings, vectors, k=10), chunks, state)
+
+
+def file_outline(chunks: DataFrame) -> DataFrame:
+    """(file, place, line): one outline line per definition of each file, in file order."""
+    key = ["user_id", "repo", "branch", "file_path"]
+    code = chunks.where((F.col("source_type") == "code") & F.col("chunk_type").isin("function", "method", "class"))
+    start = F.coalesce(F.col("start_line"), F.lit(0))
+    # A file is at most the indexing size limit, so its outline is small.
+    place = Window.partitionBy(*key).orderBy(start, "chunk_id")
+    text = F.concat(F.lit("- "), F.col("chunk_type"), F.lit(": "), F.coalesce("signature", F.lit("None")), F.lit(" (Lines "),
+                    F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
+    return code.select(*key, (F.row_number().over(place) - 1).alias("place"), text.alias("line"))
+
+
+def file_text(chunks: DataFrame, shown_lines: int = 500) -> DataFrame:
+    """(file, text): the code of each file from its chunks, cut for display after `shown_lines` lines."""
+    key = ["user_id", "repo", "branch", "file_path"]
+    body = F.coalesce(F.nullif("full_body", F.lit("")), "text")
+    parts = chunks.where(F.col("source_type") == "code").groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("start_line", F.lit(0)).alias("s"), "chunk_id", body.alias("b")))).alias("_p"))
+    joined = F.array_join(F.col("_p.b"), "\n\n")
+    return parts.select(*key, truncate_lines(joined, shown_lines, f"... [TRUNCATED AT {shown_lines} LINES]").alias("text"))
+
+
+def hit_text(source_type: Column, number: Column, state: Column, text: Column) -> Column:
+    """One issue or pull-request hit as shown to a reader."""
+    head = F.when(source_type == "issue", "ISSUE #").otherwise("PR #")
+    return F.concat(head, number.cast("string"), F.lit(" ("), state, F.lit(")\nCONTENT: "), F.substring(text, 1, 300), F.lit("...\n"))
