@@ -44,19 +44,19 @@ def file_classify(t: Inputs):
 
 @query("line_counts", "SELECT doc_id, len(string_split(rtrim(text, chr(10)), chr(10))) AS lines FROM {v_lines}")
 def line_counts(t: Inputs):
-    return t.v_lines.select("doc_id", text.line_count(F.rtrim(F.col("text"), F.lit("\n"))).cast("long").alias("lines"))
+    return t.wide.v_lines.select("doc_id", text.line_count(F.rtrim(F.col("text"), F.lit("\n"))).cast("long").alias("lines"))
 
 
 @query("secret_counts", f"SELECT doc_id, len(regexp_extract_all(text, {quoted(redact.secret_pattern())})) AS secrets FROM documents")
 def secret_counts(t: Inputs):
-    return t.documents.select("doc_id", redact.count_secrets(F.col("text")).cast("long").alias("secrets"))
+    return t.wide.documents.select("doc_id", redact.count_secrets(F.col("text")).cast("long").alias("secrets"))
 
 
 @query("redact_text", f"""
 SELECT doc_id, md5(regexp_replace(text, {quoted(redact.secret_pattern())}, '[REDACTED]', 'g')) AS clean,
   regexp_matches(text, {quoted(redact.secret_pattern())}) AS security_censored FROM documents""")
 def redact_text(t: Inputs):
-    done = redact.redact_fields(t.documents.select("doc_id", "text"), ["text"])
+    done = redact.redact_fields(t.wide.documents.select("doc_id", "text"), ["text"])
     return done.select("doc_id", F.md5("text").alias("clean"), (F.col("secrets_redacted") > 0).alias("security_censored"))
 
 
@@ -69,7 +69,7 @@ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;',
 c AS (SELECT page_id, regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10) || chr(10), 'g') AS x FROM b)
 SELECT page_id, {stripped('x')} AS text FROM c""")
 def html_strip(t: Inputs):
-    return t.pages.select("page_id", text.strip_markup(F.col("html")).alias("text"))
+    return t.wide.pages.select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
 
 @query("doc_sections", f"""
@@ -80,7 +80,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal
   title || CASE WHEN length(body) > 1500 THEN ' (part 1)' ELSE '' END AS section_title, md5(body) AS body
 FROM b WHERE length(body) >= 30""")
 def doc_sections(t: Inputs):
-    parts = chunk_docs.explode_parts(t.v_docs_md, chunk_docs.doc_parts(F.col("text")), ["doc_id"])
+    parts = chunk_docs.explode_parts(t.wide.v_docs_md, chunk_docs.doc_parts(F.col("text")), ["doc_id"])
     return parts.where(F.col("chunk_type") == "section").select("doc_id", "ordinal", "section_title", F.md5("text").alias("body"))
 
 
@@ -92,7 +92,7 @@ p AS (SELECT doc_id, n, s, {stripped("array_to_string(x[s + 1:s + 100], chr(10))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ordinal, CASE WHEN n <= 100 THEN 'whole_doc' ELSE 'function' END AS chunk_type,
   s + 1 AS start_line, least(s + 100, n) AS end_line, md5(body) AS body FROM p WHERE length(body) >= 30""")
 def sliding_windows(t: Inputs):
-    source = t.v_lines.withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
+    source = t.wide.v_lines.withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
     parts = chunk_docs.explode_parts(source, chunk_docs.window_parts(F.col("text")), ["doc_id"])
     return parts.select("doc_id", "ordinal", "chunk_type", "start_line", "end_line", F.md5("text").alias("body"))
 
@@ -112,7 +112,7 @@ packed AS (SELECT doc_id, g, {stripped("string_agg(p, chr(10) || chr(10) ORDER B
 
 @query("paragraph_pack", _PACK + "SELECT doc_id, g AS part, md5(body) AS body FROM packed")
 def paragraph_pack(t: Inputs):
-    parts = t.v_paragraphs.select("doc_id", F.posexplode(chunk_docs.pack_paragraphs(F.col("text"), K.SECTION_MAX_CHARS)).alias("part", "body"))
+    parts = t.wide.v_paragraphs.select("doc_id", F.posexplode(chunk_docs.pack_paragraphs(F.col("text"), K.SECTION_MAX_CHARS)).alias("part", "body"))
     return parts.select("doc_id", "part", F.md5(text.strip(F.col("body"))).alias("body"))
 
 
@@ -121,7 +121,7 @@ x AS (SELECT p.doc_id, p.g, p.body FROM packed p JOIN {{v_paragraphs}} v USING (
   UNION ALL SELECT doc_id, 0, {stripped('text')} FROM {{v_paragraphs}} WHERE length(text) <= 2000)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS ordinal, md5(body) AS body FROM x WHERE length(body) >= 30""")
 def whole_chunks(t: Inputs):
-    parts = chunk_docs.explode_parts(t.v_paragraphs, chunk_docs.whole_parts(F.col("text")), ["doc_id"])
+    parts = chunk_docs.explode_parts(t.wide.v_paragraphs, chunk_docs.whole_parts(F.col("text")), ["doc_id"])
     return parts.select("doc_id", "ordinal", F.md5("text").alias("body"))
 
 
@@ -171,7 +171,7 @@ WITH f AS (SELECT page_id, unnest(list_concat(regexp_extract_all(content, 'impor
   regexp_extract_all(content, 'require\([''"]([^''"]+)[''"]\)', 1))) AS target FROM {v_scripts})
 SELECT page_id, target, target[1] IN ('.', '/') AS local, count(*) AS n FROM f GROUP BY ALL""")
 def js_imports(t: Inputs):
-    rows = t.v_scripts.select("page_id", F.explode(graph_extract.js_import_targets(F.col("content"))).alias("target"))
+    rows = t.wide.v_scripts.select("page_id", F.explode(graph_extract.js_import_targets(F.col("content"))).alias("target"))
     local = F.col("target").startswith(".") | F.col("target").startswith("/")
     return rows.groupBy("page_id", "target", local.alias("local")).agg(F.count("*").alias("n"))
 
@@ -237,7 +237,7 @@ SELECT doc_id, 0 AS place, NULL AS title, 'Report on ' || source AS body FROM do
 UNION ALL SELECT doc_id, 1, 'Overall Summary', {stripped('text')} FROM documents
 UNION ALL SELECT doc_id, 2, 'Dependency Surface', 'Language ' || lang FROM documents""")
 def report_sections(t: Inputs):
-    rows = t.v_reports.select("doc_id", F.posexplode(report.report_sections(F.col("report"))).alias("place", "p"))
+    rows = t.wide.v_reports.select("doc_id", F.posexplode(report.report_sections(F.col("report"))).alias("place", "p"))
     return rows.select("doc_id", "place", "p.title", "p.body")
 
 

@@ -276,7 +276,7 @@ SELECT doc_id, s // 80 AS place, '- function: sig (Lines ' || (s + 1) || '-' ||
 def file_outline(t: Inputs):
     from tessera.operators.chunk_docs import explode_parts, window_parts
 
-    source = t.v_lines.withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
+    source = t.wide.v_lines.withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
     parts = explode_parts(source, window_parts(F.col("text")), ["doc_id"]).withColumns({
         "user_id": F.lit("u"), "repo": F.lit("r"), "branch": F.lit("main"), "file_path": F.col("doc_id").cast("string"), "source_type": F.lit("code"),
         "signature": F.lit("sig"), "chunk_id": F.col("ordinal").cast("string")})

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.tables import spread_small
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -31,12 +33,18 @@ def _needed(sql: str) -> list[str]:
 class Inputs:
     """Tables and views of one data folder, as frames."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, spread: bool = False):
+        self.spark, self.folder, self._spread = spark, folder.rstrip("/"), spread
+
+    @property
+    def wide(self) -> Inputs:
+        """The same inputs for costly per-row text work: tables of few splits use all cores."""
+        return Inputs(self.spark, self.folder, spread=True)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread_small(scan) if self._spread else scan
         if name in VIEWS:
             return self.sql(VIEWS[name])
         raise AttributeError(name)

@@ -16,16 +16,18 @@ def terms(text: Column) -> Column:
 
 
 def hash_mod(hex32: Column, modulus: int) -> Column:
-    """A 128-bit hex digest modulo a small number, folded over 32-bit words so it stays in a long."""
-    rest = F.lit(0).cast("long")
-    for start in (1, 9, 17, 25):
-        word = F.conv(F.substring(hex32, start, 8), 16, 10).cast("long")
-        rest = (rest * F.lit(1 << 32) + word) % F.lit(modulus)
-    return rest
+    """A 128-bit hex digest modulo a small number, folded word by word so it stays in a long; the modulus is at most
+    two to the power of 20."""
+    rest = None
+    for start, digits in ((1, 12), (13, 10), (23, 10)):
+        word = F.conv(F.substring(hex32, start, digits), 16, 10).cast("long")
+        rest = (word if rest is None else rest * F.lit(1 << 4 * digits) + word) % F.lit(modulus)
+    # Never null, so joins on it add no null test that would hash every term again.
+    return F.coalesce(rest, F.lit(0).cast("long"))
 
 
 def term_index(term: Column) -> Column:
-    return hash_mod(F.md5(term.cast("binary")), K.SPARSE_SPACE).cast("int")
+    return F.coalesce(hash_mod(F.md5(term.cast("binary")), K.SPARSE_SPACE).cast("int"), F.lit(0))
 
 
 def saturate(tf: Column) -> Column:

@@ -20,11 +20,10 @@ from pyspark.sql.types import StructField, StructType
 
 from tessera import constants as K
 from tessera.functions import terms as T
-from tessera.operators.sparse import top_k
+from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, item_ids, top_k
 
 QUESTION_BYTES = 64 * 1024 * 1024  # largest question matrix shipped to every task
 TILE_ROWS = 20_000  # chunk rows held at once by the tiled scan
-SCORE_DIGITS = 9
 
 # Tasks receive these helpers with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,85 +96,29 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 class _Questions:
-    """Question matrix with its scope values, grouped by equal scope so each group masks once."""
+    """Question matrix with unit rows."""
 
     def __init__(self, rows: pd.DataFrame, exact: list[str], optional: list[str]):
-        self.exact, self.optional = exact, optional
         self.ids = rows["qid"].to_numpy()
         self.matrix = _unit_rows(np.array(rows["qdense"].tolist(), dtype=np.float64).reshape(len(rows), -1))
-        groups: dict[tuple, list[int]] = {}
-        for i, values in enumerate(zip(*[rows[c] for c in exact + optional]) if exact or optional else [()] * len(rows)):
-            groups.setdefault(tuple(None if v is None or v != v else v for v in values), []).append(i)
-        self.groups = [(scope, np.array(members)) for scope, members in groups.items()]
-
-    def allowed(self, scope: tuple, columns: dict[str, np.ndarray], n: int) -> np.ndarray:
-        mask = np.ones(n, dtype=bool)
-        for position, name in enumerate(self.exact + self.optional):
-            if scope[position] is not None:
-                mask &= columns[name] == scope[position]
-            elif name in self.exact:
-                mask[:] = False
-        return mask
-
-
-class _Best:
-    """Running k best per question over the batches of one task."""
-
-    def __init__(self, questions: int, k: int):
-        self.k = k
-        self.floor = np.full(questions, -np.inf)
-        self.q = np.empty(0, dtype=np.int64)
-        self.ids = self.scores = None
-
-    def add(self, members: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """`scores` is (members, ids).  Only entries at or above a question's k-th best so far can matter."""
-        bar = self.floor[members]
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            bar = np.maximum(bar, kth)
-        at, column = np.nonzero(scores >= bar[:, None])
-        q, found, value = members[at], ids[column], scores[at, column]
-        if self.ids is not None:
-            q = np.concatenate([self.q, q])
-            found = np.concatenate([self.ids, found])
-            value = np.concatenate([self.scores, value])
-        order = np.lexsort((found, -value, q))
-        q, found, value = q[order], found[order], value[order]
-        first = np.searchsorted(q, q, side="left")
-        place = np.arange(len(q)) - first
-        keep = place < self.k
-        self.q, self.ids, self.scores = q[keep], found[keep], value[keep]
-        full = (place == self.k - 1)
-        self.floor[q[full]] = value[full]
+        self.scopes = Scopes(rows, exact, optional)
 
 
 def _score_batches(batches, questions: _Questions, k: int, key: str) -> Iterator[pa.RecordBatch]:
-    best = _Best(len(questions.ids), k)
-    id_type = None
+    best, key_type = Best(len(questions.ids), k), None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        id_type = batch.column(key).type
-        values = batch.column("dense")
-        matrix = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        key_type = batch.column(key).type
+        matrix = batch.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if len(matrix) != batch.num_rows * questions.matrix.shape[1]:
             raise ValueError("chunk and question vectors differ in dimension")
         matrix = _unit_rows(matrix.reshape(batch.num_rows, -1))
-        ids = batch.column(key).to_numpy(zero_copy_only=False)
-        if ids.dtype == object:
-            ids = ids.astype(str)
-        names = questions.exact + questions.optional
-        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        for scope, members in questions.groups:
-            mask = questions.allowed(scope, columns, batch.num_rows)
-            if mask.any():
-                scores = np.round(questions.matrix[members] @ matrix[mask].T, SCORE_DIGITS) + 0.0
-                best.add(members, ids[mask], scores)
-    if best.ids is not None and len(best.ids):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(questions.ids[best.q]), pa.array(best.ids.tolist(), id_type), pa.array(best.scores)],
-            ["qid", key, "score"],
-        )
+        ids = item_ids(batch, key)
+        for members, mask in questions.scopes.masks(batch):
+            scores = np.round(questions.matrix[members] @ matrix[mask].T, SCORE_DIGITS) + 0.0
+            best.add(members, ids[mask], scores)
+    yield from best.rows(questions.ids, key, key_type)
 
 
 def dense_top_k(

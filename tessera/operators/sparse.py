@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera import constants as K
 from tessera.functions import terms as T
+from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, item_ids, top_k
+
+QUESTION_ROWS = 1_000_000  # most question terms shipped to every task (about 24 bytes each)
+SCORE_CELLS = 4_000_000  # largest score block held by a task
+
+# Tasks receive these helpers with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def postings(texts: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -28,15 +41,6 @@ def postings(texts: DataFrame, key: str, text: str = "text", keep: list[str] | N
     return counted.withColumn("w", T.saturate(F.col("tf")))
 
 
-def top_k(scored: DataFrame, k: int, group: str, item: str, score: str, out: str = "rank") -> DataFrame:
-    """Best k items per group, ranked from 0; ties go to the smaller id.
-
-    Spark prunes to k per task before the shuffle, so a hot group sends only k rows per task.
-    """
-    order = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(item))
-    return scored.withColumn(out, F.row_number().over(order) - 1).where(F.col(out) < k)
-
-
 def scope_condition(chunk: str, question: str, exact: list[str], optional: list[str]) -> list[Column]:
     """Join conditions: exact columns must agree; an optional column filters only where the question sets it."""
     conditions = [F.col(f"{chunk}.{c}") == F.col(f"{question}.{c}") for c in exact]
@@ -46,6 +50,50 @@ def scope_condition(chunk: str, question: str, exact: list[str], optional: list[
     return conditions
 
 
+class _TermIndex:
+    """Question weights by term: for the term at position v, entries start[v]:start[v + 1]."""
+
+    def __init__(self, rows: pd.DataFrame, exact: list[str], optional: list[str]):
+        heads = rows.drop_duplicates("qid").reset_index(drop=True)
+        self.ids = heads["qid"].to_numpy()
+        self.scopes = Scopes(heads, exact, optional)
+        self.vocabulary, place = np.unique(rows["term_idx"].to_numpy(), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        position = {q: i for i, q in enumerate(self.ids)}
+        self.question = rows["qid"].map(position).to_numpy()[order]
+        self.weight = rows["w"].to_numpy()[order]
+        self.start = np.searchsorted(place[order], np.arange(len(self.vocabulary) + 1))
+
+    def scores(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+        """(questions, rows): sums of weight products; every posting meets the questions with its term."""
+        begin, count = self.start[term], self.start[term + 1] - self.start[term]
+        steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        entry = np.repeat(begin, count) + steps
+        cell = self.question[entry] * rows + np.repeat(row, count)
+        total = np.bincount(cell, weights=self.weight[entry] * np.repeat(w, count), minlength=len(self.ids) * rows)
+        return np.round(total.reshape(len(self.ids), rows), SCORE_DIGITS)
+
+
+def _scan(batches, index: _TermIndex, k: int, key: str):
+    best, key_type = Best(len(index.ids), k), None
+    block = max(1, SCORE_CELLS // max(1, len(index.ids)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, block):
+            batch = whole.slice(at, block)
+            key_type = batch.column(key).type
+            hits = batch.column("hits")
+            fields = hits.flatten()
+            sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            scores = index.scores(row, fields.field("v").to_numpy(), fields.field("w").to_numpy(), batch.num_rows)
+            # Without a shared term there is no hit.
+            scores[scores <= 0.0] = -np.inf
+            ids = item_ids(batch, key)
+            for members, mask in index.scopes.masks(batch):
+                best.add(members, ids[mask], scores[np.ix_(members, mask)])
+    yield from best.rows(index.ids, key, key_type)
+
+
 def sparse_top_k(
     chunk_postings: DataFrame,
     question_postings: DataFrame,
@@ -53,15 +101,44 @@ def sparse_top_k(
     key: str = "chunk_id",
     exact: list[str] | None = None,
     optional: list[str] | None = None,
+    max_question_rows: int = QUESTION_ROWS,
 ) -> DataFrame:
     """(qid, key, score, sparse_rank): sum of weight products over shared terms.
 
-    Spark broadcasts the question side when its measured size allows it and otherwise joins by
-    shuffle, where adaptive execution splits a term that fills a partition.
+    Question postings up to `max_question_rows` go to every task, which keeps k hits per question, so
+    (question, chunk) scores never become rows; postings of terms nobody asked for are dropped first.
+    More questions than that meet the chunks by a join on the term.
+    """
+    exact, optional = exact or [], optional or []
+    scope = exact + optional
+    asked = question_postings.select(F.col("qid").cast("long").alias("qid"), "term_idx", "w", *scope)
+    small = asked.limit(max_question_rows + 1).toPandas()
+    if len(small) > max_question_rows:
+        return sparse_join(chunk_postings, asked, k, key, exact, optional)
+    index = _TermIndex(small, exact, optional)
+    spark = chunk_postings.sparkSession
+    terms = pd.DataFrame({"term_idx": index.vocabulary.astype("int32"), "v": np.arange(len(index.vocabulary), dtype="int32")})
+    wanted = spark.createDataFrame(terms, "term_idx int, v int")
+    # The vocabulary is bounded by max_question_rows, so it is safe to broadcast.
+    found = chunk_postings.select(key, "term_idx", "w", *scope).join(F.broadcast(wanted), "term_idx")
+    packed = found.groupBy(key, *scope).agg(F.collect_list(F.struct("v", "w")).alias("hits"))
+    schema = StructType([*StructType.fromDDL("qid long"), chunk_postings.schema[key], *StructType.fromDDL("score double")])
+
+    def scan(batches):
+        yield from _scan(batches, index, k, key)
+
+    kept = packed.mapInArrow(scan, schema).where(F.col("score") > 0)
+    return top_k(kept, k, "qid", key, "score", "sparse_rank")
+
+
+def sparse_join(chunk_postings: DataFrame, question_postings: DataFrame, k: int, key: str, exact: list[str],
+                optional: list[str]) -> DataFrame:
+    """The same result by an equality join on the term, for question batches of any size.
+
+    Adaptive execution splits a term that fills a partition; sums are combined inside tasks first.
     """
     c, q = chunk_postings.alias("c"), question_postings.alias("q")
-    conditions = [F.col("c.term_idx") == F.col("q.term_idx")]
-    conditions += scope_condition("c", "q", exact or [], optional or [])
+    conditions = [F.col("c.term_idx") == F.col("q.term_idx"), *scope_condition("c", "q", exact, optional)]
     matched = c.join(q, conditions).select("q.qid", f"c.{key}", (F.col("q.w") * F.col("c.w")).alias("_p"))
-    scored = matched.groupBy("qid", key).agg(F.round(F.sum("_p"), 9).alias("score"))
+    scored = matched.groupBy("qid", key).agg(F.round(F.sum("_p"), SCORE_DIGITS).alias("score"))
     return top_k(scored, k, "qid", key, "score", "sparse_rank")

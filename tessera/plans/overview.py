@@ -13,7 +13,8 @@ REPO = ["user_id", "repo", "branch"]
 def sample_rows(chunks: DataFrame, by: list[str], limit: int) -> DataFrame:
     """The first `limit` chunk rows of each group by id; a report sample, its size is its definition."""
     w = Window.partitionBy(*by).orderBy("chunk_id")
-    return chunks.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < limit)
+    sampled = chunks.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return sampled.withColumn("place", F.col("_n") - 1).drop("_n")
 
 
 def pick_evidence(chunks: DataFrame) -> DataFrame:

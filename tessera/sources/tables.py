@@ -94,6 +94,13 @@ def _drop_partition(spark: SparkSession, path: str, values: dict[str, str]) -> N
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, spread over the cores for per-row work that costs
+    more than moving the rows.  A scan with enough splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def drop_all(spark: SparkSession, path: str, ddl: str, partitions: list[str]) -> None:
     """Full reset: an explicit call that empties the table and keeps its layout."""
     empty = spark.createDataFrame([], ddl + "".join(f", {p} string" for p in partitions))
