@@ -111,6 +111,7 @@ WITH c AS (SELECT 'file::' || l_partkey AS id, 'flag' AS k, l_returnflag AS v, l
 last AS (SELECT id, k, v, row_number() OVER (PARTITION BY id, k ORDER BY seq DESC, v DESC) AS n FROM c WHERE v IS NOT NULL)
 SELECT id, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM last WHERE n = 1 GROUP BY id""")
 def merge_nodes(t: Inputs):
+    t = t.wide
     none = F.lit(None).cast("string")
     existing = t.part.select(
         F.concat(F.lit("s::file::"), "p_partkey").alias("id"), F.lit("File").alias("label"), F.concat(F.lit("file::"), "p_partkey").alias("raw_id"),
@@ -130,6 +131,7 @@ WITH e AS (SELECT 'commit::' || l_orderkey AS src, 'file::' || l_partkey AS dst,
   FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 10)
 SELECT src, dst, 'status=' || v AS props FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY seq DESC, v DESC) AS n FROM e) WHERE n = 1""")
 def merge_edges(t: Inputs):
+    t = t.wide
     none = F.lit(None).cast("string")
     incoming = t.lineitem.select(
         F.concat(F.lit("commit::"), "l_orderkey").alias("src"), F.concat(F.lit("file::"), "l_partkey").alias("dst"), F.lit("TOUCHES").alias("rel_type"),
@@ -278,6 +280,7 @@ files AS (SELECT user_id, 'org/site::main::' || path AS raw FROM {v_scripts} UNI
 SELECT 'File' AS name, count(*) AS n FROM files UNION ALL SELECT 'Module', count(*) FROM (SELECT DISTINCT user_id, target FROM e WHERE NOT local) HAVING count(*) > 0
 UNION ALL SELECT 'IMPORTS', count(*) FROM e UNION ALL SELECT 'CONTAINS', count(*) FROM {v_scripts}""")
 def graph_for_files(t: Inputs):
+    t = t.wide
     from tessera.plans.ingest import merge_file_graph
 
     none = F.lit(None).cast("string")

@@ -89,8 +89,7 @@ f AS (SELECT *, coalesce(1.0::DOUBLE / (dr + 60), 0) + coalesce(1.0::DOUBLE / (s
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr NULLS LAST, sr) - 1 AS rank FROM f)
 SELECT qid, chunk_id, round(score, 9) AS score, rank FROM r WHERE rank < 7""")
 def hybrid_filtered(t: Inputs):
-    postings, vectors = search.index_chunks(t.v_chunks)
-    hits = search.search(t.v_questions, postings, vectors)
+    hits = search.search(t.v_questions, search.index_chunks(t.v_chunks))
     return hits.select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

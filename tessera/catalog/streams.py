@@ -37,6 +37,7 @@ def job_stream(t: Inputs):
 
 def push_events(t: Inputs):
     """Orders as pushes to five repositories; a line's flag says whether its part was added, modified or removed."""
+    t = t.wide
     path = F.concat(F.lit("parts/"), "l_partkey", F.lit(".py"))
     of = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, path))
     lines = t.lineitem.groupBy("l_orderkey").agg(F.struct(of("N").alias("added"), of("A").alias("modified"), of("R").alias("removed")).alias("c"))

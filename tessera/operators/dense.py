@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from tessera import constants as K
 from tessera.functions import terms as T
 from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, item_ids, top_k
 
-QUESTION_BYTES = 64 * 1024 * 1024  # largest question matrix shipped to every task
+QUESTION_ROWS = 8192  # most question vectors shipped to every task (48 MB at dimension 768)
 TILE_ROWS = 20_000  # chunk rows held at once by the tiled scan
 
 # Tasks receive these helpers with the job, so workers need no installed package.
@@ -36,32 +36,31 @@ def validate_vectors(df: DataFrame, dim: int, vector: str = "dense") -> DataFram
     return df.withColumn(vector, checked)
 
 
-def hash_embed(texts: DataFrame, key: str, dim: int = 64, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(key, *keep, dense): signed feature hashing of terms, length one.
+def hash_embed(texts: DataFrame, key: str, dim: int = 64, text: str = "text") -> DataFrame:
+    """(key, dense): signed feature hashing of terms, length one.
 
     A deterministic stand-in for a model; it makes no claim to match one.  Texts without terms get a
     zero vector.
     """
-    columns = [key, *(keep or [])]
-    spread = texts.select(*columns, F.col(text).alias("_text")).repartition(key)
-    rows = spread.select(*columns, F.explode_outer(T.terms(F.col("_text"))).alias("_term"))
-    counted = rows.groupBy(*columns, "_term").agg(F.count("*").alias("_n"))
+    spread = texts.select(key, F.col(text).alias("_text")).repartition(key)
+    rows = spread.select(key, F.explode_outer(T.terms(F.col("_text"))).alias("_term"))
+    counted = rows.groupBy(key, "_term").agg(F.count("*").alias("_n"))
     digest = F.md5(F.col("_term").cast("binary"))
     signed = counted.select(
-        *columns,
-        T.hash_mod(digest, dim).cast("int").alias("_d"),
+        key,
+        F.when(F.col("_term").isNotNull(), T.hash_mod(digest, dim).cast("int")).alias("_d"),
         F.when(F.substring(digest, 1, 1) < "8", F.col("_n")).otherwise(-F.col("_n")).alias("_v"),
     )
-    summed = signed.groupBy(*columns, "_d").agg(F.sum("_v").cast("double").alias("_v"))
-    packed = summed.groupBy(*columns).agg(
+    summed = signed.groupBy(key, "_d").agg(F.sum("_v").cast("double").alias("_v"))
+    packed = summed.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_v")))).alias("_m"),
-        F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"),
+        F.sqrt(F.sum(F.when(F.col("_d").isNotNull(), F.col("_v") * F.col("_v")))).alias("_norm"),
     )
     cell = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda i: F.coalesce(F.try_element_at(F.col("_m"), i) / F.nullif(F.col("_norm"), F.lit(0.0)), F.lit(0.0)),
     )
-    return packed.select(*columns, cell.alias("dense"))
+    return packed.select(key, cell.alias("dense"))
 
 
 _EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
@@ -128,12 +127,12 @@ def dense_top_k(
     key: str = "chunk_id",
     exact: list[str] | None = None,
     optional: list[str] | None = None,
-    max_question_bytes: int = QUESTION_BYTES,
+    max_questions: int = QUESTION_ROWS,
 ) -> DataFrame:
     """(qid, key, score, dense_rank): exact cosine top-k of every question over the chunks it may see.
 
     `chunks` has `key`, `dense` and the scope columns; `questions` has `qid`, `qdense` and the scope
-    columns.  A question batch within `max_question_bytes` goes to every task; a larger one is cut into
+    columns.  A batch of up to `max_questions` goes to every task; a larger one is cut into
     blocks that meet chunk tiles by an equality join, each pair of block and tile in its own task.
     """
     exact, optional = exact or [], optional or []
@@ -142,12 +141,10 @@ def dense_top_k(
     questions = questions.select(F.col("qid").cast("long").alias("qid"), "qdense", *scope)
     schema = StructType([*StructType.fromDDL("qid long"), chunks.schema[key], *StructType.fromDDL("score double")])
 
-    head = questions.select(F.size("qdense").alias("d")).first()
-    if head is None:
+    small = questions.limit(max_questions + 1).toPandas()
+    if small.empty:
         return chunks.sparkSession.createDataFrame([], StructType([*schema, *StructType.fromDDL("dense_rank int")]))
-    limit = max(1, max_question_bytes // (8 * head["d"]))
-    small = questions.limit(limit + 1).toPandas()
-    if len(small) <= limit:
+    if len(small) <= max_questions:
         shipped = _Questions(small, exact, optional)
 
         def scan(batches):
@@ -155,12 +152,13 @@ def dense_top_k(
 
         partial = chunks.mapInArrow(scan, schema)
     else:
-        partial = _tiled_scan(chunks, questions, k, key, exact, optional, limit, schema)
+        partial = _tiled_scan(chunks, questions, k, key, exact, optional, max_questions, schema)
     return top_k(partial, k, "qid", key, "score", "dense_rank")
 
 
-def _tiled_scan(chunks, questions, k, key, exact, optional, limit, schema) -> DataFrame:
-    blocks = math.ceil(questions.count() / limit) * 2
+def _tiled_scan(chunks, questions, k, key, exact, optional, max_questions, schema) -> DataFrame:
+    # Hash blocks vary in size; twice as many keeps each near half the limit.
+    blocks = math.ceil(questions.count() / max_questions) * 2
     tiles = max(1, math.ceil(chunks.count() / TILE_ROWS))
 
     def spread(df: DataFrame, own: str, count: int, other: str, others: int, by: str) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera import constants as K
 from tessera.functions import props as P
 from tessera.functions.tenant import raw_id, scoped_id
 from tessera.operators import chunk_code as C
+from tessera.session import cut_lineage
 
 # An edge row: ends as (label, raw id), the relation, and properties of the target.
 _EDGE = ["fid", "from_label", "from_raw", "to_label", "to_raw", "rel_type", "props"]
@@ -157,37 +158,44 @@ def with_raw_ids(files: DataFrame) -> DataFrame:
     return df.withColumn("fid", scoped_id(F.col("file_raw"), F.col("user_id"), F.col("is_public")))
 
 
-def file_graph(files: DataFrame, include_go: bool = False) -> tuple[DataFrame, DataFrame]:
+def file_graph(files: DataFrame, include_go: bool = False, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(node rows, edge rows) of parsed files, as ordered contributions to be merged by key.
 
-    `files` has the file columns plus language, ingest_run_id and the ids of with_raw_ids.
+    `files` has the file columns plus language, ingest_run_id and the ids of with_raw_ids.  Extraction
+    is the costly part and feeds both results, so it is written once to the checkpoint folder.
     """
-    meta = files.select("fid", "file_raw", "branch_raw", "user_id", "is_public", "repo", "branch", "commit_sha",
-                        "ingest_run_id", "path", "language", "file_sha")
+    keep = ["user_id", "is_public", "repo", "branch"]
+    meta = files.select("fid", *keep, "file_raw", "branch_raw", "commit_sha", "ingest_run_id", "path", "language", "file_sha")
     edges = (
         python_edges(files.where(F.col("language") == "python"))
         .unionByName(js_edges(files.where(F.col("language").isin("javascript", "typescript", "tsx"))))
         .unionByName(manifest_edges(files, include_go))
     )
-    contains = _edge(meta, "Repository", F.col("branch_raw"), "File", F.col("file_raw"), "CONTAINS")
+    found = edges.join(meta.drop("file_raw", "branch_raw", "file_sha"), "fid")
+    if materialize:
+        found = cut_lineage(found)
     base = dict(repo=F.col("repo"), branch=F.col("branch"), commit_sha=F.col("commit_sha"), ingest_run_id=F.col("ingest_run_id"))
-    file_nodes = meta.select(
-        "user_id", "is_public", "repo", "branch", F.lit("File").alias("label"), F.col("file_raw").alias("raw_id"),
-        P.drop_nulls(P.string_map(**base, path=F.col("path"), language=F.col("language"), file_sha=F.col("file_sha"))).alias("props"),
-        F.lit(1).cast("long").alias("seq"),
+
+    def contribution(rows: DataFrame, label: Column, raw: Column, props: Column, seq: int) -> DataFrame:
+        return rows.select(*keep, label.alias("label"), raw.alias("raw_id"), P.drop_nulls(props).alias("props"),
+                           F.lit(seq).cast("long").alias("seq"))
+
+    of_file = P.string_map(**base, path=F.col("path"), language=F.col("language"))
+    named = P.string_map(**base, name=F.substring_index("from_raw", "::", -1))
+    origin = (
+        F.when(F.col("from_label") == "File", of_file)
+        .when(F.col("from_label").isin("Function", "Class"), named).otherwise(P.string_map(**base))
     )
-    joined = edges.join(meta.select("fid", "user_id", "is_public", "repo", "branch", "commit_sha", "ingest_run_id",
-                                    "path", "language"), "fid")
-    origin = F.when(F.col("from_label") == "File", P.string_map(**base, path=F.col("path"), language=F.col("language"))).otherwise(P.string_map(**base))
-    origin = F.when(F.col("from_label").isin("Function", "Class"), P.overlay(origin, P.string_map(name=F.substring_index("from_raw", "::", -1)))).otherwise(origin)
-    keep = ["user_id", "is_public", "repo", "branch"]
-    sources = joined.select(*keep, F.col("from_label").alias("label"), F.col("from_raw").alias("raw_id"),
-                            P.drop_nulls(origin).alias("props"), F.lit(2).cast("long").alias("seq"))
-    targets = joined.select(*keep, F.col("to_label").alias("label"), F.col("to_raw").alias("raw_id"),
-                            P.drop_nulls(P.overlay(P.string_map(**base), F.col("props"))).alias("props"),
-                            F.lit(3).cast("long").alias("seq"))
-    nodes = file_nodes.unionByName(sources).unionByName(targets)
-    placed = edges.unionByName(contains).join(meta.select("fid", *keep), "fid")
+    nodes = (
+        contribution(meta, F.lit("File"), F.col("file_raw"), P.overlay(of_file, P.string_map(file_sha=F.col("file_sha"))), 1)
+        .unionByName(contribution(found, F.col("from_label"), F.col("from_raw"), origin, 2))
+        .unionByName(contribution(found, F.col("to_label"), F.col("to_raw"), P.overlay(P.string_map(**base), F.col("props")), 3))
+    )
+    # Every file hangs below its branch.
+    contains = meta.select(
+        F.col("branch_raw").alias("from_raw"), F.col("file_raw").alias("to_raw"), F.lit("CONTAINS").alias("rel_type"),
+        F.create_map().cast("map<string,string>").alias("props"), *keep)
+    placed = found.select("from_raw", "to_raw", "rel_type", "props", *keep).unionByName(contains)
     ends = lambda c: scoped_id(F.col(c), F.col("user_id"), F.col("is_public"))
     edge_rows = placed.select(
         ends("from_raw").alias("src"), ends("to_raw").alias("dst"), "rel_type", "user_id", "repo", "branch", "props",

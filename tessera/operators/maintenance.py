@@ -63,20 +63,21 @@ def roll_back_run(rows: DataFrame, user_id: str, repo: str, branch: str, run: st
     return keep_outside(rows, in_scope(user_id, repo, branch) & (F.col("ingest_run_id") == run))
 
 
-def merge_properties(rows: DataFrame, key: list[str], null_removes: bool = False) -> DataFrame:
-    """(*key, props): per key and property, the value of the highest `seq`.
+def merge_properties(rows: DataFrame, key: list[str], fixed: list[str], null_removes: bool = False) -> DataFrame:
+    """(*key, *fixed, props): per key and property the value of the highest `seq`; the fixed columns of the
+    latest row.
 
-    Values are reduced per (key, property) before the small per-key maps are built, so a key with
-    very many contributions stays cheap.  With `null_removes` a last null removes the property;
-    otherwise nulls never overwrite.
+    Values are reduced per (key, property) inside tasks, and again per key, so a key with very many
+    contributions stays cheap.  With `null_removes` a last null removes the property; otherwise nulls
+    never overwrite.  Between rows of equal seq the greater value wins, so arrival order is irrelevant.
     """
-    entries = rows.select(*key, "seq", F.explode_outer("props").alias("_k", "_v"))
+    entries = rows.select(*key, *fixed, "seq", F.explode_outer("props").alias("_k", "_v"))
     if not null_removes:
         entries = entries.withColumn("_k", F.when(F.col("_v").isNotNull(), F.col("_k")))
-    # Equal seq: the greater value wins, so the result does not depend on arrival order.
-    last = entries.groupBy(*key, "_k").agg(F.max(F.struct("seq", "_v")).alias("_l"))
+    last = entries.groupBy(*key, "_k").agg(F.max(F.struct("seq", "_v")).alias("_l"), F.max(F.struct("seq", *fixed)).alias("_f"))
     pair = F.when(F.col("_k").isNotNull() & F.col("_l._v").isNotNull(), F.struct(F.col("_k"), F.col("_l._v").alias("_v")))
-    return last.groupBy(*key).agg(F.map_from_entries(F.collect_list(pair)).alias("props"))
+    merged = last.groupBy(*key).agg(F.map_from_entries(F.collect_list(pair)).alias("props"), F.max("_f").alias("_f"))
+    return merged.select(*key, *[F.col(f"_f.{c}").alias(c) for c in fixed], "props")
 
 
 def _checked(column: str, allowed: list[str], what: str) -> Column:
@@ -92,11 +93,10 @@ def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = F
     fresh = incoming.withColumn("id", scoped_id(F.col("raw_id"), F.col("user_id"), F.col("is_public"))).withColumn(
         "label", _checked("label", K.NODE_LABELS, "node label")
     )
-    columns = ["id", "label", "raw_id", "user_id", "is_public", "repo", "branch", "props", "seq"]
+    fixed = ["raw_id", "user_id", "is_public", "repo", "branch"]
+    columns = [*NODE_KEY, *fixed, "props", "seq"]
     rows = existing.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh.select(*columns))
-    props = merge_properties(rows, NODE_KEY, null_removes)
-    fixed = latest(rows.drop("props"), NODE_KEY, "seq", "raw_id", "repo", "branch").drop("seq")
-    merged = fixed.join(props, NODE_KEY)
+    merged = merge_properties(rows, NODE_KEY, fixed, null_removes)
     value = lambda k: F.try_element_at(F.col("props"), F.lit(k))
     return merged.withColumns({"name": value("name"), "path": value("path")}).select(
         "id", "label", "raw_id", "user_id", "is_public", "repo", "branch", "name", "path", "props"
@@ -113,15 +113,13 @@ def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edge table after merging: one edge per (source, type, target), properties overlaid, ends checked."""
-    columns = [*EDGE_KEY, "user_id", "repo", "branch", "props", "seq"]
+    fixed = ["user_id", "repo", "branch"]
+    columns = [*EDGE_KEY, *fixed, "props", "seq"]
     rows = existing.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(
         incoming.withColumn("rel_type", _checked("rel_type", K.REL_TYPES, "relationship type")).select(*columns)
     )
-    props = merge_properties(rows, EDGE_KEY)
-    fixed = latest(rows.drop("props"), EDGE_KEY, "seq", "user_id", "repo", "branch").drop("seq")
-    return connected_edges(fixed.join(props, EDGE_KEY), nodes).select(
-        "src", "dst", "rel_type", "user_id", "repo", "branch", "props"
-    )
+    merged = merge_properties(rows, EDGE_KEY, fixed)
+    return connected_edges(merged, nodes).select(*EDGE_KEY, *fixed, "props")
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +154,10 @@ def repo_subgraph(nodes: DataFrame, user_id: str, repo: str, branch: str | None
 
 def delete_report(chunks: DataFrame, nodes: DataFrame, user_id: str, repo: str, branch: str | None = None) -> DataFrame:
     """What is left of a repository after deletion, and whether the deletion is complete."""
-    left_chunks = chunks.where(in_scope(user_id, repo, branch)).agg(F.count("*").alias("chunks_remaining"))
-    left_nodes = repo_subgraph(nodes, user_id, repo, branch).agg(F.count("*").alias("graph_remaining"))
-    both = left_chunks.withColumn("_j", F.lit(1)).join(left_nodes.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    zero = F.lit(0).cast("long")
+    left_chunks = chunks.where(in_scope(user_id, repo, branch)).agg(F.count("*").alias("c")).select("c", zero.alias("g"))
+    left_nodes = repo_subgraph(nodes, user_id, repo, branch).agg(F.count("*").alias("g")).select(zero.alias("c"), "g")
+    both = left_chunks.unionByName(left_nodes).agg(F.sum("c").alias("chunks_remaining"), F.sum("g").alias("graph_remaining"))
     clean = (F.col("chunks_remaining") == 0) & (F.col("graph_remaining") == 0)
     return both.withColumn("status", F.when(clean, "success").otherwise("partial"))
 

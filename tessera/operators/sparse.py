@@ -22,20 +22,18 @@ SCORE_CELLS = 4_000_000  # largest score block held by a task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def postings(texts: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(key, *keep, term_idx, tf, w): one row per hashed term of each text.
+def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term_idx, tf, w): one row per hashed term of each text.
 
-    The texts are hash-partitioned by their key once; exploding, counting and the later sums per
-    (question, key) all reuse that partitioning, so the much larger term rows never move.
-    Terms that share an index add up.
+    The texts are hash-partitioned by their key once; exploding, counting and every later step per key
+    reuse that partitioning, so the much larger term rows never move.  Terms that share an index add up.
     """
-    columns = [key, *(keep or [])]
-    spread = texts.select(*columns, F.col(text).alias("_text")).repartition(key)
-    rows = spread.select(*columns, F.explode(T.terms(F.col("_text"))).alias("_term"))
-    per_term = rows.groupBy(*columns, "_term").agg(F.count("*").alias("_n"))
+    spread = texts.select(key, F.col(text).alias("_text")).repartition(key)
+    rows = spread.select(key, F.explode(T.terms(F.col("_text"))).alias("_term"))
+    per_term = rows.groupBy(key, "_term").agg(F.count("*").alias("_n"))
     counted = (
         per_term.withColumn("term_idx", T.term_index(F.col("_term")))
-        .groupBy(*columns, "term_idx")
+        .groupBy(key, "term_idx")
         .agg(F.sum("_n").alias("tf"))
     )
     return counted.withColumn("w", T.saturate(F.col("tf")))
@@ -53,10 +51,9 @@ def scope_condition(chunk: str, question: str, exact: list[str], optional: list[
 class _TermIndex:
     """Question weights by term: for the term at position v, entries start[v]:start[v + 1]."""
 
-    def __init__(self, rows: pd.DataFrame, exact: list[str], optional: list[str]):
-        heads = rows.drop_duplicates("qid").reset_index(drop=True)
-        self.ids = heads["qid"].to_numpy()
-        self.scopes = Scopes(heads, exact, optional)
+    def __init__(self, rows: pd.DataFrame, questions: pd.DataFrame, exact: list[str], optional: list[str]):
+        self.ids = questions["qid"].to_numpy()
+        self.scopes = Scopes(questions, exact, optional)
         self.vocabulary, place = np.unique(rows["term_idx"].to_numpy(), return_inverse=True)
         order = np.argsort(place, kind="stable")
         position = {q: i for i, q in enumerate(self.ids)}
@@ -99,29 +96,41 @@ def sparse_top_k(
     question_postings: DataFrame,
     k: int = K.DEFAULT_TOP_K,
     key: str = "chunk_id",
+    chunk_scope: DataFrame | None = None,
+    question_scope: DataFrame | None = None,
     exact: list[str] | None = None,
     optional: list[str] | None = None,
     max_question_rows: int = QUESTION_ROWS,
 ) -> DataFrame:
     """(qid, key, score, sparse_rank): sum of weight products over shared terms.
 
+    `chunk_scope` (key, filter columns) and `question_scope` (qid, filter columns) restrict what a
+    question may see; the restriction applies before ranking.
+
     Question postings up to `max_question_rows` go to every task, which keeps k hits per question, so
     (question, chunk) scores never become rows; postings of terms nobody asked for are dropped first.
     More questions than that meet the chunks by a join on the term.
     """
     exact, optional = exact or [], optional or []
     scope = exact + optional
-    asked = question_postings.select(F.col("qid").cast("long").alias("qid"), "term_idx", "w", *scope)
+    asked = question_postings.select(F.col("qid").cast("long").alias("qid"), "term_idx", "w")
     small = asked.limit(max_question_rows + 1).toPandas()
     if len(small) > max_question_rows:
-        return sparse_join(chunk_postings, asked, k, key, exact, optional)
-    index = _TermIndex(small, exact, optional)
+        return sparse_join(chunk_postings, asked, k, key, chunk_scope, question_scope, exact, optional)
+    heads = small[["qid"]].drop_duplicates()
+    if scope:
+        # Only questions with terms matter, and those are within the limit just checked.
+        known = chunk_postings.sparkSession.createDataFrame(heads, "qid long")
+        heads = question_scope.select(F.col("qid").cast("long").alias("qid"), *scope).join(F.broadcast(known), "qid").toPandas()
+    index = _TermIndex(small, heads.reset_index(drop=True), exact, optional)
     spark = chunk_postings.sparkSession
     terms = pd.DataFrame({"term_idx": index.vocabulary.astype("int32"), "v": np.arange(len(index.vocabulary), dtype="int32")})
     wanted = spark.createDataFrame(terms, "term_idx int, v int")
     # The vocabulary is bounded by max_question_rows, so it is safe to broadcast.
-    found = chunk_postings.select(key, "term_idx", "w", *scope).join(F.broadcast(wanted), "term_idx")
-    packed = found.groupBy(key, *scope).agg(F.collect_list(F.struct("v", "w")).alias("hits"))
+    found = chunk_postings.select(key, "term_idx", "w").join(F.broadcast(wanted), "term_idx")
+    packed = found.groupBy(key).agg(F.collect_list(F.struct("v", "w")).alias("hits"))
+    if scope:
+        packed = packed.join(chunk_scope.select(key, *scope), key)
     schema = StructType([*StructType.fromDDL("qid long"), chunk_postings.schema[key], *StructType.fromDDL("score double")])
 
     def scan(batches):
@@ -131,14 +140,18 @@ def sparse_top_k(
     return top_k(kept, k, "qid", key, "score", "sparse_rank")
 
 
-def sparse_join(chunk_postings: DataFrame, question_postings: DataFrame, k: int, key: str, exact: list[str],
-                optional: list[str]) -> DataFrame:
+def sparse_join(chunk_postings: DataFrame, question_postings: DataFrame, k: int, key: str, chunk_scope: DataFrame | None,
+                question_scope: DataFrame | None, exact: list[str], optional: list[str]) -> DataFrame:
     """The same result by an equality join on the term, for question batches of any size.
 
     Adaptive execution splits a term that fills a partition; sums are combined inside tasks first.
     """
     c, q = chunk_postings.alias("c"), question_postings.alias("q")
-    conditions = [F.col("c.term_idx") == F.col("q.term_idx"), *scope_condition("c", "q", exact, optional)]
-    matched = c.join(q, conditions).select("q.qid", f"c.{key}", (F.col("q.w") * F.col("c.w")).alias("_p"))
+    matched = c.join(q, F.col("c.term_idx") == F.col("q.term_idx")).select("q.qid", f"c.{key}", (F.col("q.w") * F.col("c.w")).alias("_p"))
     scored = matched.groupBy("qid", key).agg(F.round(F.sum("_p"), SCORE_DIGITS).alias("score"))
+    if exact or optional:
+        placed = scored.join(chunk_scope.select(key, *exact, *optional), key).alias("c")
+        limits = question_scope.select(F.col("qid").cast("long").alias("qid"), *exact, *optional).alias("q")
+        allowed = [F.col("c.qid") == F.col("q.qid"), *scope_condition("c", "q", exact, optional)]
+        scored = placed.join(limits, allowed).select("c.qid", key, "score")
     return top_k(scored, k, "qid", key, "score", "sparse_rank")

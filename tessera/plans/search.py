@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ from tessera.operators import dense, hybrid, sparse
 SCOPE = ["repo", "branch", "language"]
 
 
+class Index(NamedTuple):
+    """What a search reads: postings(chunk_id, term_idx, w), vectors(chunk_id, dense), scope(chunk_id, filters)."""
+
+    postings: DataFrame
+    vectors: DataFrame
+    scope: DataFrame
+
+
 def with_scope(questions: DataFrame, fixed: dict[str, str] | None = None) -> DataFrame:
     """Questions with every scope column; a missing or empty one means no filter.  The tenant is required."""
     tenant = F.when(F.coalesce(F.col("user_id"), F.lit("")) == "", F.raise_error(F.lit("a tenant is required"))).otherwise(F.col("user_id"))
@@ -22,33 +32,34 @@ def with_scope(questions: DataFrame, fixed: dict[str, str] | None = None) -> Dat
     return questions.withColumns(columns)
 
 
-def index_chunks(chunks: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(postings, vectors) of a chunk table, carrying the columns searches filter by."""
-    keep = ["user_id", *SCOPE, "source_type"]
-    return sparse.postings(chunks, "chunk_id", keep=keep), dense.hash_embed(chunks, "chunk_id", dim, keep=keep)
+def index_chunks(chunks: DataFrame, dim: int = 64) -> Index:
+    """Postings, vectors and filter columns of a chunk table; write them next to it to search often."""
+    return Index(sparse.postings(chunks, "chunk_id"), dense.hash_embed(chunks, "chunk_id", dim),
+                 chunks.select("chunk_id", "user_id", *SCOPE, "source_type"))
 
 
-def search(questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_TOP_K,
-           fixed: dict[str, str] | None = None, question_vectors: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, index: Index, k: int = K.DEFAULT_TOP_K, fixed: dict[str, str] | None = None,
+           question_vectors: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): hybrid hits of a question batch.
 
     Filters apply inside both searches, before ranking.  `questions`: qid, user_id, query and optional
     repo, branch, language; `question_vectors`: qid, qdense, when a model of your own made the vectors.
     """
     asked = with_scope(questions, fixed)
-    optional = [*SCOPE, "source_type"]
-    keep = ["user_id", *optional]
-    terms = sparse.postings(asked, "qid", text="query", keep=keep)
-    found_sparse = sparse.sparse_top_k(postings, terms, k, exact=["user_id"], optional=optional)
+    exact, optional = ["user_id"], [*SCOPE, "source_type"]
+    limits = asked.select("qid", *exact, *optional)
+    terms = sparse.postings(asked, "qid", text="query")
+    found_sparse = sparse.sparse_top_k(index.postings, terms, k, chunk_scope=index.scope, question_scope=limits,
+                                       exact=exact, optional=optional)
     if question_vectors is None:
         question_vectors = dense.hash_embed(asked, "qid", text="query").withColumnRenamed("dense", "qdense")
-    meant = asked.select("qid", *keep).join(question_vectors, "qid")
-    found_dense = dense.dense_top_k(vectors, meant, k, exact=["user_id"], optional=optional)
+    found_dense = dense.dense_top_k(index.vectors.join(index.scope, "chunk_id"), limits.join(question_vectors, "qid"), k,
+                                    exact=exact, optional=optional)
     return hybrid.fuse(found_dense, found_sparse, k)
 
 
-def search_code(questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    return search(questions, postings, vectors, k, fixed={"source_type": "code"})
+def search_code(questions: DataFrame, index: Index, k: int = 5) -> DataFrame:
+    return search(questions, index, k, fixed={"source_type": "code"})
 
 
 def keep_issues(hits: DataFrame, chunks: DataFrame, state: str | None = None, limit: int = 5) -> DataFrame:
@@ -63,8 +74,8 @@ def keep_issues(hits: DataFrame, chunks: DataFrame, state: str | None = None, li
     return found.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < limit)
 
 
-def search_issues(questions: DataFrame, chunks: DataFrame, postings: DataFrame, vectors: DataFrame, state: str | None = None) -> DataFrame:
-    return keep_issues(search(questions, postings, vectors, k=10), chunks, state)
+def search_issues(questions: DataFrame, index: Index, chunks: DataFrame, state: str | None = None) -> DataFrame:
+    return keep_issues(search(questions, index, k=10), chunks, state)
 
 
 def file_outline(chunks: DataFrame) -> DataFrame:
