@@ -416,3 +416,70 @@ def graph_properties(t: Inputs):
     raw = P.string_map(name=F.col("c_name"), snapshot=F.lit("hidden"), balance=F.when(F.col("c_acctbal") >= 0, "plus").otherwise("minus"),
                        nation=F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")))
     return t.customer.select("c_custkey", P.entries_text(P.visible_properties(P.drop_nulls(raw))).alias("props"))
+
+
+# --- readable answers -------------------------------------------------------------
+
+@query("call_graph_text", """
+WITH f AS (SELECT * FROM {v_functions}), names AS (SELECT DISTINCT name FROM f),
+c AS (SELECT 'caller' AS direction, b.name, a.name AS other_name, a.repo AS other_repo, a.id AS o FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst
+  UNION ALL SELECT 'callee', a.name, b.name, b.repo, b.id FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst),
+k AS (SELECT name, direction, string_agg('  - ' || other_name || ' (in ' || other_repo || ')' || chr(10), '' ORDER BY other_name, other_repo) AS l
+  FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c) WHERE n <= 20 GROUP BY name, direction),
+w AS (SELECT name, max(l) FILTER (direction = 'caller') AS i, max(l) FILTER (direction = 'callee') AS o FROM names LEFT JOIN k USING (name) GROUP BY name)
+SELECT name, CASE WHEN i IS NULL AND o IS NULL THEN 'No call graph data found for function ''' || name || '''.'
+  ELSE 'Call Graph for ' || name || ':' || chr(10) || chr(10) || '- CALLERS (functions that call this):' || chr(10) || coalesce(i, '  (None found)' || chr(10))
+  || chr(10) || '- CALLEES (functions this calls):' || chr(10) || coalesce(o, '  (None found)' || chr(10)) END AS answer FROM w""")
+def call_graph_text(t: Inputs):
+    from tessera.plans.answers import call_graph_answers
+
+    nodes = t.v_functions
+    return call_graph_answers(nodes, t.v_calls, nodes.select("user_id", "name")).select("name", "answer")
+
+
+_NEEDLES = ["parts/1.py", "parts/2", "7.py", "missing"]
+
+
+@query("file_history_text", """
+WITH n AS (SELECT unnest(['parts/1.py', 'parts/2', '7.py', 'missing']) AS needle),
+h AS (SELECT needle, number, title, state, issue_number, filename FROM n JOIN {v_pr_files} f ON contains(filename, needle) JOIN {v_prs} USING (number)),
+r AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY number DESC, issue_number, filename) AS k FROM h)
+SELECT n.needle, CASE WHEN count(number) = 0 THEN 'No PR history found for file containing ''' || n.needle || '''' ELSE 'History for file ''' || n.needle || ''':' || chr(10)
+  || string_agg('- PR #' || number || ' (' || state || '): ' || title || ' (Closes Issue #' || issue_number || ')' || chr(10), '' ORDER BY number DESC, issue_number) END AS answer
+FROM n LEFT JOIN r ON r.needle = n.needle AND k <= 10 GROUP BY n.needle""")
+def file_history_text(t: Inputs):
+    from tessera.plans.answers import file_history_answers
+
+    nodes, edges = _history_graph(t)
+    known = edges.join(nodes.where("label = 'PullRequest'").select(F.col("id").alias("src")), "src", "left_semi")
+    none = F.lit(None).cast("string")
+    touched = known.where("rel_type = 'MODIFIES'").select(F.col("dst").alias("id")).distinct()
+    files = touched.select("id", F.lit("File").alias("label"), F.create_map().cast("map<string,string>").alias("props"), F.col("id").alias("path"))
+    both = files.unionByName(nodes.withColumn("path", none)).withColumns({"user_id": F.lit("u"), "repo": none, "branch": none})
+    return file_history_answers(both, known, _NEEDLES, "u")
+
+
+@query("dependency_text", """
+WITH i AS (SELECT p_brand AS name, 'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py' AS path FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY path) <= 20),
+l AS (SELECT name, string_agg('  - ' || path || chr(10), '' ORDER BY path) AS l FROM i GROUP BY name),
+n AS (SELECT name FROM l UNION SELECT n_name FROM nation)
+SELECT name, 'Dependencies for ''' || name || ''':' || chr(10) || '- INTERNAL IMPORTERS (files that import this):' || chr(10) || coalesce(l, '  (None found)' || chr(10)) AS answer FROM n LEFT JOIN l USING (name)""")
+def dependency_text(t: Inputs):
+    from tessera.plans.answers import dependency_answers
+
+    nodes = t.v_nodes.withColumn("props", F.create_map().cast("map<string,string>"))
+    names = nodes.where("label = 'Module'").select("user_id", "name").union(t.nation.select(F.lit("shared"), "n_name"))
+    return dependency_answers(nodes, t.v_edges, names).select("name", "answer")
+
+
+@query("list_repos", """
+SELECT 'org/' || n_name AS repo, CASE WHEN n_regionkey = 1 THEN 'dev' WHEN n_regionkey = 2 THEN 'trunk' ELSE 'main' END AS branch, n_regionkey = 3 AS is_private,
+  CASE WHEN n_regionkey = 4 THEN 'failed' ELSE 'ready' END AS ingestion_status FROM nation""")
+def list_repos(t: Inputs):
+    from tessera.plans.overview import list_repos as listed
+
+    r = F.col("n_regionkey")
+    nodes = t.nation.select(F.lit("u").alias("user_id"), F.lit("Repository").alias("label"), F.when(r == 1, "dev").alias("branch"), P.drop_nulls(P.string_map(
+        full_name=F.concat(F.lit("org/"), "n_name"), default_branch=F.when(r == 2, "trunk"), is_private=F.when(r == 3, "true"),
+        ingestion_status=F.when(r == 4, "failed"))).alias("props"))
+    return listed(nodes).select("repo", "branch", "is_private", "ingestion_status")

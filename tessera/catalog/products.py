@@ -445,3 +445,29 @@ def daily_quota(t: Inputs):
 SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) > 3""")
 def quota_rejections(t: Inputs):
     return events.over_quota(t.events, ["user_id"], _ORDER, 3).select("event_id")
+
+
+@query("timing_breakdown", """
+WITH s AS (SELECT job_id, stage, round(sum(value), 2) AS ms FROM {v_events} GROUP BY ALL)
+SELECT job_id, string_agg(stage || '=' || printf('%.2f', ms / 1000) || 's', ', ' ORDER BY ms DESC, stage) AS timings FROM s GROUP BY job_id""")
+def timing_breakdown(t: Inputs):
+    sums = t.v_events.groupBy("job_id", "stage").agg(F.round(F.sum("value"), 2).alias("ms"))
+    per_job = sums.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "ms"))).alias("m"))
+    return per_job.select("job_id", stats.timing_breakdown(F.col("m")).alias("timings"))
+
+
+@query("grammar_keys", """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'tsx' WHEN 1 THEN 'go' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' WHEN 4 THEN 'typescript' ELSE lower(lang) END AS grammar FROM documents""")
+def grammar_keys(t: Inputs):
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (F.col("doc_id") % 6 + 1).cast("int"))
+    lang = pick([" TypeScript ", "golang", "unknown", "?", "typescript", F.col("lang")])
+    path = pick(["a/b.tsx", "x.rs", "m.py", "v.jsx", "q.ts", "none"])
+    return t.documents.select("doc_id", routing.grammar_key(lang, path).alias("grammar"))
+
+
+@query("code_hits_text", _FUSED.replace("{k}", "7") + "," + _CHUNKS + """
+SELECT qid, string_agg('FILE: ' || file_path || chr(10) || 'FUNCTION/CLASS: ' || coalesce(function_name, 'N/A') || chr(10) || 'LINES: ' || CASE WHEN source_type = 'code' THEN '1-' || n_chars ELSE 'None-None' END
+  || chr(10) || 'SNIPPET:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS answer
+FROM ranked JOIN k USING (chunk_id) WHERE rank < 7 GROUP BY qid""")
+def code_hits_text(t: Inputs):
+    return answers.code_answers(hybrid.fuse(*text_hits(t)), _chunks(t))

@@ -133,3 +133,11 @@ def limit_guard(usage: DataFrame, strict: bool = False) -> DataFrame:
     if strict:
         code = F.when(code.isNotNull(), F.raise_error(F.concat(F.lit("limit exceeded: "), code)))
     return usage.withColumns({"code": code, "limit": bound, "unit": unit})
+
+
+def timing_breakdown(timings: Column) -> Column:
+    """`key=1.23s, …` from map<stage key, milliseconds>, slowest first."""
+    slowest = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)
+    entries = F.array_sort(F.map_entries(timings), slowest)
+    text = F.array_join(F.transform(entries, lambda e: F.format_string("%s=%.2fs", e["key"], e["value"] / 1000.0)), ", ")
+    return F.when(F.size(timings) == 0, "{}").otherwise(text)

@@ -98,3 +98,62 @@ def routed_trace(routed: DataFrame, hit_counts: DataFrame) -> DataFrame:
     with_graph = (F.col("route") == "graph") | F.col("target").isNotNull()
     steps = F.when(with_graph, F.array(graph, search)).otherwise(F.array(search))
     return rows.select("qid", F.posexplode(steps).alias("_i", "s")).select("qid", (F.col("_i") + 1).alias("step"), "s.*")
+
+
+def _names(names: DataFrame) -> DataFrame:
+    return names.select("user_id", "name").distinct()
+
+
+def call_graph_answers(nodes: DataFrame, edges: DataFrame, names: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
+    """(user_id, name, answer): callers and callees of each named function as readable text."""
+    found = graph_query.call_graph(nodes, edges, names, repo, branch)
+    entry = F.struct("other_name", "other_repo")
+    side = lambda d: F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry)))
+    sides = found.groupBy("user_id", "name").agg(side("caller").alias("_in"), side("callee").alias("_out"))
+    none = F.array().cast("array<struct<other_name:string,other_repo:string>>")
+    rows = _names(names).join(sides, ["user_id", "name"], "left")
+    answer = graph_query.call_graph_text(F.col("name"), F.coalesce("_in", none), F.coalesce("_out", none))
+    return rows.select("user_id", "name", answer.alias("answer"))
+
+
+def file_history_answers(nodes: DataFrame, edges: DataFrame, needles: list[str], user_id: str) -> DataFrame:
+    """(needle, answer): the newest pull requests that touched files whose path contains each needle."""
+    own = nodes.where(F.col("user_id") == user_id)
+    files = graph_query.matching_paths(own, needles)
+    found = graph_query.file_history(files.select("id", "needle"), own, edges, ["needle"])
+    closes = F.when(F.col("issue_number").isNotNull(), F.concat(F.lit(" (Closes Issue #"), F.col("issue_number").cast("string"), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- PR #"), F.col("pr_number").cast("string"), F.lit(" ("), F.coalesce("pr_state", F.lit("None")), F.lit("): "),
+                    F.coalesce("pr_title", F.lit("None")), closes, F.lit("\n"))
+    # At most ten rows per needle.
+    order = F.struct((-F.col("pr_number")).alias("o"), F.col("issue_number"), line.alias("line"))
+    texts = found.groupBy("needle").agg(F.array_sort(F.collect_list(order)).alias("_l"))
+    asked = nodes.sparkSession.createDataFrame([(n,) for n in needles], "needle string")
+    text = F.concat(F.lit("History for file '"), F.col("needle"), F.lit("':\n"), F.array_join(F.col("_l.line"), ""))
+    missing = F.concat(F.lit("No PR history found for file containing '"), F.col("needle"), F.lit("'"))
+    return asked.join(texts, "needle", "left").select("needle", F.when(F.col("_l").isNull(), missing).otherwise(text).alias("answer"))
+
+
+def dependency_answers(nodes: DataFrame, edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """(user_id, name, answer): the declared version and the importing files of each module."""
+    files = graph_query.importers(nodes, edges, modules).groupBy("user_id", "name").agg(F.array_sort(F.collect_list("path")).alias("_p"))
+    versions = graph_query.declared_version(nodes, edges, modules)
+    rows = _names(modules).join(files, ["user_id", "name"], "left").join(
+        versions.withColumn("_d", F.lit(True)), ["user_id", "name"], "left")
+    declared = F.when(F.col("_d"), F.concat(F.lit("- Resolved as external dependency (Version: "), F.coalesce("version", F.lit("None")), F.lit(")\n"))).otherwise("")
+    listed = F.when(F.col("_p").isNotNull(), F.array_join(F.transform("_p", lambda p: F.concat(F.lit("  - "), p, F.lit("\n"))), "")).otherwise("")
+    nothing = F.when(F.col("_p").isNull() & F.col("_d").isNull(), "  (None found)\n").otherwise("")
+    answer = F.concat(F.lit("Dependencies for '"), F.col("name"), F.lit("':\n"), declared,
+                      F.lit("- INTERNAL IMPORTERS (files that import this):\n"), listed, nothing)
+    return rows.select("user_id", "name", answer.alias("answer"))
+
+
+def code_answers(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, answer): code hits of each question as readable snippets, best first."""
+    c = F.col
+    shown = lambda name: F.coalesce(c(name).cast("string"), F.lit("None"))
+    symbol = F.coalesce(F.nullif("function_name", F.lit("")), F.nullif("class_name", F.lit("")), F.lit("N/A"))
+    block = F.concat(F.lit("FILE: "), c("file_path"), F.lit("\nFUNCTION/CLASS: "), symbol, F.lit("\nLINES: "), shown("start_line"), F.lit("-"),
+                     shown("end_line"), F.lit("\nSNIPPET:\n```\n"), c("text"), F.lit("\n```\n"))
+    rows = hits.join(chunks, "chunk_id").select("qid", F.struct("rank", block.alias("block")).alias("_b"))
+    blocks = rows.groupBy("qid").agg(F.array_sort(F.collect_list("_b")).alias("_b"))
+    return blocks.select("qid", F.array_join(F.col("_b.block"), "\n---\n").alias("answer"))

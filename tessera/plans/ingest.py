@@ -89,9 +89,9 @@ def record_chunks(records: DataFrame, kind: str, run_id: str, run_seq: int) -> D
 
     `records`: repository columns, number, state, labels array<string>, text (the prose form).
     """
-    rows = chunk_docs.explode_parts(
-        records, chunk_docs.whole_parts(redact.redact(F.col("text"))),
-        ["user_id", "is_public", "repo", "branch", "number", "state", "labels", F.col("text").alias("_full")])
+    keep = ["user_id", "is_public", "repo", "branch", "number", "state", "labels", "_full"]
+    whole = records.withColumn("_full", F.col("text")).select(*keep)
+    rows = chunk_docs.explode_parts(whole, chunk_docs.whole_parts(redact.redact(F.col("_full"))), keep)
     none = lambda t: F.lit(None).cast(t)
     secrets = redact.count_secrets(F.col("_full"))
     number = F.col("number").cast("int")

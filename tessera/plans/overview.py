@@ -114,3 +114,14 @@ def snapshot_context(repos: DataFrame, readme: DataFrame, nodes: DataFrame, hubs
         _listed(F.col("_d"), lambda r: cat(F.lit("- "), r["a"], F.lit(" ("), r["b"], F.lit(")\n"))),
     )
     return rows.select(*REPO, context.alias("context"))
+
+
+def list_repos(nodes: DataFrame) -> DataFrame:
+    """Every indexed repository branch with its state, in name order per tenant."""
+    value = lambda k: F.try_element_at(F.col("props"), F.lit(k))
+    named = nodes.where((F.col("label") == "Repository") & (F.coalesce(value("full_name"), F.lit("")) != ""))
+    return named.select(
+        "user_id", value("full_name").alias("repo"), F.coalesce("branch", value("default_branch"), F.lit("main")).alias("branch"),
+        value("commit_sha").alias("commit_sha"), (F.coalesce(value("is_private"), F.lit("false")) == "true").alias("is_private"),
+        F.coalesce(value("ingestion_status"), F.lit("ready")).alias("ingestion_status"), value("last_ingest_at").alias("last_indexed"),
+    ).orderBy("user_id", "repo", "branch")

@@ -105,3 +105,16 @@ def drop_all(spark: SparkSession, path: str, ddl: str, partitions: list[str]) ->
     """Full reset: an explicit call that empties the table and keeps its layout."""
     empty = spark.createDataFrame([], ddl + "".join(f", {p} string" for p in partitions))
     empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Replace the (tenant, repository, branch) partitions that `chunks` covers completely."""
+    replace_partitions(with_chunk_partitions(chunks), path, CHUNK_PARTITIONS)
+
+
+def write_nodes(nodes: DataFrame, path: str) -> None:
+    replace_partitions(with_node_partitions(nodes), path, NODE_PARTITIONS)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    replace_partitions(with_edge_partitions(edges), path, EDGE_PARTITIONS)

@@ -86,7 +86,7 @@ def spans(found):
 def test_python(spark):
     found = chunks(spark, PY_BASIC)
     assert spans(found) == {
-        ("module_header", None, None): (None, None), ("function", None, "first"): (7, 11), ("class", "Job", None): (14, 16),
+        ("module_header", None, None): (None, None), ("function", None, "first"): (7, 11), ("class", "Job", None): (14, 21),
         ("method", "Job", "size"): (18, 20), ("method", "Job", "run"): (22, 24), ("function", None, "helper"): (27, 28)}
     assert found[("function", None, "first")]["signature"] == "@deco\ndef first(a,\n          b):"
     assert found[("module_header", None, None)]["text"].startswith('"""Doc of the module')

@@ -55,8 +55,8 @@ def first(spark):
 def test_chunks(first):
     chunks, _, _ = first
     paths = {r["file_path"] for r in chunks.select("file_path").collect()}
-    assert paths == {"README.md", "pkg/a.py", "web/k.js", "requirements.txt", "web/package.json", "conf/app.json"} - set() or paths
-    assert "node_modules/x/y.js" not in paths and "logo.png" not in paths
+    # The requirements file is too short for a chunk; it still feeds the graph.
+    assert paths == {"README.md", "pkg/a.py", "web/k.js", "web/package.json", "conf/app.json"}
     assert chunks.count() == chunks.select("chunk_id").distinct().count()
     config = chunks.where("file_path = 'conf/app.json' and user_id = 'u1'").first()
     assert config["security_censored"] and config["secrets_redacted"] == 1 and "abcdef" not in config["text"]
@@ -270,11 +270,11 @@ def test_expired_jobs(spark):
 def test_progress_log_and_late_rows(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     ddl = "user_id string, ts timestamp"
-    days = [datetime(2024, 1, d) for d in (1, 1, 9, 1)]
+    days = [datetime(2024, 1, d) for d in (1, 1, 9, 9, 1)]
     for i, day in enumerate(days):
         spark.createDataFrame([("u", day)], ddl).coalesce(1).write.parquet(f"{root}/in/{i}")
     stream = spark.readStream.schema(ddl).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     done = quota.settle(quota.daily_counts(stream, ["user_id"], 1), ["user_id", "day"], f"{root}/q").orderBy("day").collect()
-    assert [(r["total"], r["over_limit"]) for r in done] == [(2, True), (1, False)]
+    assert [(r["total"], r["over_limit"]) for r in done] == [(2, True), (2, True)]
     progress.append_log(spark.readStream.schema(ddl).option("recursiveFileLookup", "true").parquet(f"{root}/in"), f"{root}/log", f"{root}/lcp").awaitTermination()
-    assert spark.read.parquet(f"{root}/log").count() == 4
+    assert spark.read.parquet(f"{root}/log").count() == 5

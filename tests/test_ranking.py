@@ -8,7 +8,7 @@ from tessera.operators import dense, events, sparse
 
 
 def rows(df, rank):
-    return sorted((r["qid"], r["chunk_id"], round(r["score"], 8), r[rank]) for r in df.collect())
+    return sorted((r["qid"], r["chunk_id"], round(r["score"], 6), r[rank]) for r in df.collect())
 
 
 def scoped(spark, folder):
@@ -53,7 +53,7 @@ def test_dense_against_brute_force_and_tiles(spark, folder, monkeypatch):
     want = []
     for i, qid in enumerate(table["vec_id"]):
         order = sorted(range(len(allowed)), key=lambda j: (-scores[i, j], ids[j]))[:5]
-        want += [(qid, ids[j], round(scores[i, j], 8), r) for r, j in enumerate(order)]
+        want += [(qid, ids[j], round(float(scores[i, j]), 6), r) for r, j in enumerate(order)]
     assert got == sorted(want)
     monkeypatch.setattr(dense, "TILE_ROWS", 100)
     assert rows(dense.dense_top_k(chunks, asked, 5, exact=["user_id"], max_questions=60), "dense_rank") == got
