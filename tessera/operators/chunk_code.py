@@ -233,7 +233,7 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     go = _block_chunks(brace_blocks(lines.where(F.col("grammar") == "go"), "go", key), "go", key)
     blocks = python.unionByName(js).unionByName(go)
 
-    # Each file meets its blocks once; a file without any is cut into windows in its own row.
+    # A file of a known grammar meets its blocks once; one without any is cut into windows in its own row.
     none = F.lit(None).cast("string")
     fields = ["chunk_type", "function_name", "class_name", "signature", "start_line", "end_line", "text", "full_body", "large_function", "chunking"]
     window = lambda p: F.struct(
@@ -242,11 +242,15 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
         none.alias("full_body"), F.lit(False).alias("large_function"),
         F.when(p["chunk_type"] == "function", "generic_window").otherwise("whole").alias("chunking"),
     )
-    joined = files.select(key, "content").join(blocks, key, "left")
+    windows = lambda text: F.transform(window_parts(text), window)
+    known = F.col("grammar").isin([g for names in _GRAMMARS.values() for g in names])
+    joined = files.where(known).select(key, "content").join(blocks, key, "left")
     content = F.when(F.col("chunk_type").isNull(), F.col("content"))
     rows = joined.select(key, content.alias("_text"), F.struct(*fields).alias("_block"))
-    chosen = F.when(F.col("_text").isNull(), F.array("_block")).otherwise(F.transform(window_parts(F.col("_text")), window))
-    return rows.select(key, F.explode(chosen).alias("_c")).select(key, "_c.*")
+    chosen = F.when(F.col("_text").isNull(), F.array("_block")).otherwise(windows(F.col("_text")))
+    cut = rows.select(key, F.explode(chosen).alias("_c"))
+    other = files.where(~F.coalesce(known, F.lit(False))).select(key, F.explode(windows(F.col("content"))).alias("_c"))
+    return cut.unionByName(other).select(key, "_c.*")
 
 
 def uncovered_lines(lines: DataFrame, ranges: DataFrame, key: str = "fid") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import constants as K
-from tessera.functions.text import has_min_chars, lines_with_ends, strip
+from tessera.functions.text import bind, has_min_chars, lines_with_ends, strip
 
 # Fixed value: a header line, one to six marks; the blank may run over a line end.
 _HEADER = r"^(#{1,6})\s+(.+)$"
@@ -32,7 +32,6 @@ def part(text: Column, chunk_type: Column | str, title: Column | None = None, st
 def sections(text: Column) -> Column:
     """array<struct<title, body>>: text before the first header (no title), then one entry per header."""
     marked = F.regexp_replace(text, "(?md)" + _HEADER, _MARK + "$0")
-    pieces = F.split(marked, _MARK)
 
     def titled(piece: Column) -> Column:
         head = F.regexp_extract(piece, r"(?d)\A(#{1,6})\s+(.+)", 0)
@@ -42,10 +41,14 @@ def sections(text: Column) -> Column:
         return F.struct(strip(title).alias("title"), whole.alias("body"))
 
     untitled = lambda body: F.array(F.struct(F.lit(None).cast("string").alias("title"), body.alias("body")))
-    preamble = strip(pieces[0])
-    lead = F.when(preamble != "", untitled(preamble)).otherwise(F.slice(untitled(preamble), 1, 0))
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), titled)
-    return F.when(F.size(pieces) == 1, untitled(text)).otherwise(F.concat(lead, rest))
+
+    def assemble(pieces: Column) -> Column:
+        preamble = strip(pieces[0])
+        lead = F.when(preamble != "", untitled(preamble)).otherwise(F.slice(untitled(preamble), 1, 0))
+        rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), titled)
+        return F.when(F.size(pieces) == 1, untitled(pieces[0])).otherwise(F.concat(lead, rest))
+
+    return bind(F.split(marked, _MARK), assemble)
 
 
 def pack_paragraphs(text: Column, max_chars: int) -> Column:
@@ -83,29 +86,38 @@ def doc_parts(text: Column, max_chars: int = K.SECTION_MAX_CHARS) -> Column:
             F.transform(pack_paragraphs(s["body"], max_chars), numbered)
         )
 
-    found = _long_enough(F.flatten(F.transform(sections(text), of_section)))
-    return F.when(F.size(found) > 0, found).otherwise(_long_enough(F.array(part(strip(text), "whole_doc"))))
+    whole_file = _long_enough(F.array(part(strip(text), "whole_doc")))
+    return bind(
+        _long_enough(F.flatten(F.transform(sections(text), of_section))),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(whole_file),
+    )
 
 
 def whole_parts(text: Column) -> Column:
     """Issues, pull requests and configs: one part, or packed parts when oversized."""
-    packed = F.transform(pack_paragraphs(text, K.SECTION_MAX_CHARS), lambda body: part(strip(body), "whole_doc"))
-    single = F.array(part(strip(text), "whole_doc"))
-    return _long_enough(F.when(F.length(text) <= K.WHOLE_DOC_MAX_CHARS, single).otherwise(packed))
+    def of_text(t: Column) -> Column:
+        packed = F.transform(pack_paragraphs(t, K.SECTION_MAX_CHARS), lambda body: part(strip(body), "whole_doc"))
+        single = F.array(part(strip(t), "whole_doc"))
+        return _long_enough(F.when(F.length(t) <= K.WHOLE_DOC_MAX_CHARS, single).otherwise(packed))
+
+    return bind(text, of_text)
 
 
 def window_parts(text: Column, size: int = K.WINDOW_LINES, overlap: int = K.WINDOW_OVERLAP) -> Column:
     """Overlapping line windows; a short text is one whole part."""
-    lines = lines_with_ends(text)
-    n = F.size(lines)
     step = size - overlap
-    last = (F.ceil((n - size) / F.lit(step)) * step).cast("int")
-    window = lambda s: part(
-        strip(F.array_join(F.slice(lines, s + 1, size), "")), "function", start=s + 1, end=F.least(s + size, n)
-    )
-    many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), window)
-    single = F.array(part(strip(text), "whole_doc", start=F.lit(1), end=n))
-    return _long_enough(F.when(n <= size, single).otherwise(many))
+
+    def of_lines(lines: Column) -> Column:
+        n = F.size(lines)
+        last = (F.ceil((n - size) / F.lit(step)) * step).cast("int")
+        window = lambda s: part(
+            strip(F.array_join(F.slice(lines, s + 1, size), "")), "function", start=s + 1, end=F.least(s + size, n)
+        )
+        many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), window)
+        single = F.array(part(strip(F.array_join(lines, "")), "whole_doc", start=F.lit(1), end=n))
+        return _long_enough(F.when(n <= size, single).otherwise(many))
+
+    return bind(lines_with_ends(text), of_lines)
 
 
 def explode_parts(df: DataFrame, parts: Column, keep: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from tessera.session import local_session
 
-    session = local_session(4, shuffle_partitions=4, memory="8g")
+    session = local_session(8, shuffle_partitions=4, memory="8g")
     yield session
     session.stop()
 
