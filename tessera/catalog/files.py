@@ -196,7 +196,7 @@ def _python_files(t: Inputs):
 
 
 @query("code_chunks", """
-SELECT doc_id, 'module_header' AS chunk_type, NULL AS class_name, NULL AS function_name, 0 AS start_line, 0 AS end_line, false AS large_function FROM {v_python}
+SELECT doc_id, 'module_header' AS chunk_type, NULL AS class_name, NULL AS function_name, 0::BIGINT AS start_line, 0::BIGINT AS end_line, false AS large_function FROM {v_python}
 UNION ALL SELECT doc_id, 'function', NULL, 'f_' || doc_id, 4, 5, false FROM {v_python}
 UNION ALL SELECT doc_id, 'method', 'C_' || doc_id, 'm', 8, 9 + doc_lines, doc_lines + 2 > 150 FROM {v_python}""")
 def code_chunks(t: Inputs):
@@ -233,7 +233,7 @@ def uncovered_lines(t: Inputs):
 
 
 @query("report_sections", f"""
-SELECT doc_id, 0 AS place, NULL AS title, 'Report on ' || source AS body FROM documents
+SELECT doc_id, 0::BIGINT AS place, NULL AS title, 'Report on ' || source AS body FROM documents
 UNION ALL SELECT doc_id, 1, 'Overall Summary', {stripped('text')} FROM documents
 UNION ALL SELECT doc_id, 2, 'Dependency Surface', 'Language ' || lang FROM documents""")
 def report_sections(t: Inputs):

@@ -40,7 +40,7 @@ def unchanged_branches(t: Inputs):
 
 
 @query("upsert_latest", """
-WITH rows AS (SELECT doc_id, 0 AS run_seq, 0 AS ordinal, md5(text) AS body FROM documents
+WITH rows AS (SELECT doc_id, 0::BIGINT AS run_seq, 0::BIGINT AS ordinal, md5(text) AS body FROM documents
   UNION ALL SELECT doc_id, 1, toxic, 'first' || quality FROM labels
   UNION ALL SELECT doc_id, 1 + quality, 1 + toxic, 'second' || toxic FROM labels)
 SELECT doc_id, run_seq, ordinal, body FROM rows QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY run_seq DESC, ordinal DESC) = 1""")
@@ -85,7 +85,7 @@ def rollback_run(t: Inputs):
 @query("incremental_refresh", """
 WITH d AS (SELECT f.*, CASE WHEN p.path IS NULL THEN 'new' WHEN p.file_sha = sha1(f.content) THEN 'unchanged' ELSE 'changed' END AS status
   FROM {v_files} f LEFT JOIN {v_prev} p USING (user_id, repo, branch, path))
-SELECT user_id, repo, path, CASE WHEN status = 'unchanged' THEN 'run1' ELSE 'run2' END AS run, 1 AS chunks
+SELECT user_id, repo, path, CASE WHEN status = 'unchanged' THEN 'run1' ELSE 'run2' END AS run, 1::BIGINT AS chunks
 FROM d WHERE length(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')) >= 30""")
 def incremental_refresh(t: Inputs):
     from tessera.plans.ingest import refresh_chunks

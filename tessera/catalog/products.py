@@ -166,10 +166,10 @@ WITH d AS (SELECT f.user_id, f.repo, f.size, f.content, NOT (path LIKE '%.min.js
   AS eligible, CASE WHEN p.path IS NULL THEN 'new' WHEN p.file_sha = sha1(f.content) THEN 'unchanged' ELSE 'changed' END AS status,
   len(regexp_extract_all(content, SECRETS)) AS secrets FROM {v_files} f LEFT JOIN {v_prev} p USING (user_id, repo, branch, path))
 SELECT user_id, repo, count(*) AS files_seen, count(*) FILTER (NOT eligible) AS files_skipped, count(*) FILTER (eligible AND status = 'unchanged') AS files_unchanged,
-  count(*) FILTER (eligible AND status <> 'unchanged') AS files_parsed, count(*) FILTER (eligible AND status = 'changed') AS files_reindexed, 0 AS files_deleted,
-  coalesce(sum(size) FILTER (eligible AND status <> 'unchanged'), 0) AS chunks_created, count(*) FILTER (eligible AND status <> 'unchanged') AS graph_edges_created,
+  count(*) FILTER (eligible AND status <> 'unchanged') AS files_parsed, count(*) FILTER (eligible AND status = 'changed') AS files_reindexed, 0::BIGINT AS files_deleted,
+  coalesce(sum(size) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS chunks_created, count(*) FILTER (eligible AND status <> 'unchanged') AS graph_edges_created,
   count(*) FILTER (eligible AND status <> 'unchanged' AND secrets > 0) AS files_with_secrets,
-  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0) AS secrets_redacted FROM d GROUP BY ALL""".replace("SECRETS", quoted(__import__("tessera.functions.redact", fromlist=["x"]).secret_pattern())))
+  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_redacted FROM d GROUP BY ALL""".replace("SECRETS", quoted(__import__("tessera.functions.redact", fromlist=["x"]).secret_pattern())))
 def run_stats(t: Inputs):
     from tessera.catalog.graph import current_files
     from tessera.functions.redact import count_secrets
@@ -206,7 +206,7 @@ def stage_labels(t: Inputs):
 WITH u AS (SELECT c_nationkey AS n, count(*) AS files, sum(c_acctbal) AS kb FROM customer GROUP BY ALL),
 s AS (SELECT s_nationkey AS n, count(*) AS chunks FROM supplier GROUP BY ALL),
 x AS (SELECT u.n, files, kb, coalesce(chunks, 0) * 1000 AS chunks, u.n % 4 AS owned FROM u LEFT JOIN s USING (n))
-SELECT n, CASE WHEN owned >= 2 THEN 'repo_count_limit' WHEN kb / 1024 > 500 THEN 'repo_too_large' WHEN files > 500 THEN 'too_many_files' WHEN chunks > 3000 THEN 'too_many_chunks' ELSE 'ok' END AS code FROM x""")
+SELECT n::BIGINT AS n, CASE WHEN owned >= 2 THEN 'repo_count_limit' WHEN kb / 1024 > 500 THEN 'repo_too_large' WHEN files > 500 THEN 'too_many_files' WHEN chunks > 3000 THEN 'too_many_chunks' ELSE 'ok' END AS code FROM x""")
 def limit_guard(t: Inputs):
     usage = t.customer.groupBy(F.col("c_nationkey").alias("n")).agg(F.count("*").alias("eligible_files"), F.sum("c_acctbal").alias("size_kb"))
     chunks = t.supplier.groupBy(F.col("s_nationkey").alias("n")).agg((F.count("*") * 1000).alias("chunks"))
@@ -215,7 +215,7 @@ def limit_guard(t: Inputs):
 
 
 @query("listing_projection", """
-SELECT n_name AS full_name, n_regionkey = 1 AS private, coalesce(CASE WHEN n_regionkey > 2 THEN n_nationkey END, 0) AS stars,
+SELECT n_name AS full_name, n_regionkey = 1 AS private, coalesce(CASE WHEN n_regionkey > 2 THEN n_nationkey END, 0)::BIGINT AS stars,
   CASE WHEN n_regionkey = 0 THEN 'trunk' ELSE 'main' END AS default_branch FROM nation WHERE n_name <> ''""")
 def listing_projection(t: Inputs):
     r = F.col("n_regionkey")
@@ -383,7 +383,7 @@ def event_cursor(t: Inputs):
 @query("event_heads", """
 WITH j AS (SELECT job_id, count(*) AS n, bool_or(state IN ('done', 'error', 'lost')) AS done FROM {v_events} GROUP BY ALL),
 c AS (SELECT 'job' || c_custkey AS job_id, c_nationkey * 3 AS cursor FROM customer)
-SELECT job_id, cursor, coalesce(n, cursor) AS new_cursor, coalesce(done, true) AS done, n IS NULL AS lost FROM c LEFT JOIN j USING (job_id)""")
+SELECT job_id, cursor::BIGINT AS cursor, coalesce(n, cursor) AS new_cursor, coalesce(done, true) AS done, n IS NULL AS lost FROM c LEFT JOIN j USING (job_id)""")
 def event_heads(t: Inputs):
     _, heads = events.events_since(t.v_events, _cursors(t), _ORDER)
     return heads.select("job_id", "cursor", "new_cursor", "done", "lost")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.tables import spread_small
 
@@ -53,11 +54,17 @@ class Inputs:
         return self.spark.sql(text, **{n: getattr(self, n) for n in _needed(text)})
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    """Results use one integer width, like the SQL they are compared with."""
+    narrow = {f.name: F.col(f"`{f.name}`").cast("long") for f in df.schema if f.dataType.simpleString() == "int"}
+    return df.withColumns(narrow) if narrow else df
+
+
 def query(name: str, oracle: str | None = None):
     """Register `fn(inputs) -> DataFrame`; the oracle names views as {view}."""
 
     def register(fn: Callable[[Inputs], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Inputs(spark, folder))
+        QUERIES[name] = lambda spark, folder: _wide_integers(fn(Inputs(spark, folder)))
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

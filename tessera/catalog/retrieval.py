@@ -101,7 +101,7 @@ def embed_default(t: Inputs):
 
 
 @query("validate_vectors", """
-SELECT label, count(*) AS vectors, sum(len(embedding)) AS numbers FROM embeddings GROUP BY label""")
+SELECT label::BIGINT AS label, count(*) AS vectors, sum(len(embedding))::BIGINT AS numbers FROM embeddings GROUP BY label""")
 def validate_vectors(t: Inputs):
     checked = dense.validate_vectors(t.embeddings, 64, "embedding")
     return checked.groupBy("label").agg(F.count("*").alias("vectors"), F.sum(F.size("embedding")).alias("numbers"))
