@@ -98,6 +98,7 @@ REPORT_SECTION_TITLES = [
 
 # --- fixed values: jobs, events, limits -------------------------------------------
 TERMINAL_STATES = ["done", "error", "lost"]
+LOST_JOB_MESSAGE = "Ingest job state was lost. The backend may have restarted or the job expired."
 EVENTS_KEPT_PER_JOB = 500
 JOB_MAX_AGE_SECONDS = 3600
 HISTORY_KEPT = 5

@@ -51,8 +51,7 @@ def events_since(events: DataFrame, cursors: DataFrame, order: list[str]) -> tup
             "new_cursor": F.coalesce("new_cursor", "cursor"),
             "done": F.coalesce("done", F.lit(True)),
             "message": F.when(F.col("lost"), F.concat(
-                F.lit("Ingest job state was lost. The backend may have restarted or the job expired. Job id: "),
-                F.col("job_id"), F.lit("."))),
+                F.lit(K.LOST_JOB_MESSAGE + " Job id: "), F.col("job_id"), F.lit("."))),
         })
     )
     return rows, heads
