@@ -124,7 +124,7 @@ def python_blocks(marked: DataFrame, key: str = "fid", keep: list[str] | None =
     is_class = F.col("unit_kind") == "class"
     kind = F.when(in_method, "method").when(in_unit & is_class, "class").when(in_unit, "function").otherwise("module_header")
     return marked.where(~F.col("odd_quotes")).select(
-        key, *(keep or []), "n", "line", "code", kind.alias("kind"),
+        key, *(keep or []), "n", "line", "code", kind.alias("kind"), kind.isin("function", "method").alias("definition"),
         F.when(in_unit & is_class, F.col("unit_name")).alias("class_name"),
         F.when(in_method, F.col("member_name")).when(in_unit & ~is_class, F.col("unit_name")).alias("function_name"),
         F.when(in_unit, F.col("unit")).alias("unit"),
@@ -132,8 +132,9 @@ def python_blocks(marked: DataFrame, key: str = "fid", keep: list[str] | None =
     )
 
 
-def brace_blocks(lines: DataFrame, rules: str, key: str = "fid") -> DataFrame:
-    """As python_blocks, for languages with braces."""
+def brace_blocks(lines: DataFrame, key: str = "fid") -> DataFrame:
+    """As python_blocks, for JavaScript, TypeScript and Go in one pass; each line follows its file's grammar."""
+    is_go = F.col("grammar") == "go"
     by_file = Window.partitionBy(key).orderBy("n")
     code = F.regexp_replace(F.regexp_replace("line", r"[\r\n]+$", ""), _BRACE_NOISE, "")
     df = lines.withColumn("code", F.when(code.rlike(r"^\s*/?\*"), "").otherwise(code))
@@ -141,10 +142,11 @@ def brace_blocks(lines: DataFrame, rules: str, key: str = "fid") -> DataFrame:
     df = df.withColumn("depth", _before(by_file, delta)).withColumn("after", F.col("depth") + delta)
 
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule_kind, pattern, group in reversed(_BRACE_RULES[rules]):
-        hit = F.col("code").rlike(pattern)
-        kind = F.when(hit, rule_kind).otherwise(kind)
-        name = F.when(hit, F.regexp_extract("code", pattern, group)).otherwise(name)
+    for grammar, rules in _BRACE_RULES.items():
+        for rule_kind, pattern, group in reversed(rules):
+            hit = (is_go if grammar == "go" else ~is_go) & F.col("code").rlike(pattern)
+            kind = F.when(hit, rule_kind).otherwise(kind)
+            name = F.when(hit, F.regexp_extract("code", pattern, group)).otherwise(name)
     opens = (F.col("depth") <= 0) & kind.isNotNull()
     df = df.withColumns({"_kind": F.when(opens, kind), "_name": F.when(opens, name)})
     df = df.withColumn("unit", _upto(by_file, F.col("_kind").isNotNull()))
@@ -160,7 +162,7 @@ def brace_blocks(lines: DataFrame, rules: str, key: str = "fid") -> DataFrame:
         "unit_end": F.coalesce(F.min(F.when(closed, F.col("n"))).over(unit), F.min("n").over(unit)),
     })
     in_unit = F.col("unit_kind").isNotNull() & F.col("n").between(F.col("unit_start"), F.col("unit_end"))
-    is_class = (F.col("unit_kind") == "class") & F.lit(rules == "js")
+    is_class = (F.col("unit_kind") == "class") & ~is_go
     m_opens = in_unit & is_class & (F.col("depth") == 1) & (F.col("n") > F.col("unit_start")) & F.col("code").rlike(_METHOD) & ~F.col("code").rlike(r";\s*$")
     df = df.withColumn("_m", m_opens).withColumn("member", F.coalesce(_upto(by_unit, F.col("_m")), F.lit(0)))
     by_member = Window.partitionBy(key, "unit", "member").orderBy("n")
@@ -173,7 +175,7 @@ def brace_blocks(lines: DataFrame, rules: str, key: str = "fid") -> DataFrame:
     in_method = in_unit & is_class & F.col("member_name").isNotNull() & (F.col("n") <= F.col("member_end"))
     kind = F.when(in_method, "method").when(in_unit & (F.col("unit_kind") == "class"), "class").when(in_unit, "function").otherwise("module_header")
     return df.select(
-        key, "n", "line", "code", kind.alias("kind"),
+        key, "n", "line", "code", kind.alias("kind"), (kind.isin("function", "method") | ((kind == "class") & is_go)).alias("definition"),
         F.when(in_unit & is_class, F.col("unit_name")).alias("class_name"),
         F.when(in_method, F.col("member_name")).when(in_unit & (F.col("unit_kind") == "function"), F.col("unit_name")).alias("function_name"),
         F.when(in_unit, F.col("unit")).alias("unit"),
@@ -181,23 +183,23 @@ def brace_blocks(lines: DataFrame, rules: str, key: str = "fid") -> DataFrame:
     )
 
 
-def _block_chunks(blocks: DataFrame, grammar: str, key: str) -> DataFrame:
+def _block_chunks(blocks: DataFrame, is_python: bool, key: str) -> DataFrame:
     """One row per block: its text, lines, signature, and the shortened form of a large definition."""
     grouped = blocks.groupBy(key, "kind", "unit", "member").agg(
-        F.first("class_name").alias("class_name"), F.first("function_name").alias("function_name"),
+        F.first("definition").alias("definition"), F.first("class_name").alias("class_name"), F.first("function_name").alias("function_name"),
         F.min("n").alias("start_line"), F.max("n").alias("end_line"),
         F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_lines"),
     )
     body = F.array_join(F.col("_lines.line"), "")
     plain = F.transform(F.slice(F.col("_lines.line"), 1, 5), lambda l: F.regexp_replace(l, r"\s+$", ""))
-    if grammar == "python":
+    if is_python:
         closing = F.try_element_at(F.filter(F.transform(plain, lambda l, i: F.when(l.endswith(":"), i + 1)), lambda i: i.isNotNull()), F.lit(1))
         signature = F.array_join(F.slice(plain, 1, F.coalesce(closing, F.lit(5))), "\n")
         quoted = r"(?s)\A\s*([rRuUbB]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*'))"
         docstring = F.nullif(F.regexp_extract(F.substr(body, F.length(signature) + 1), quoted, 1), F.lit(""))
     else:
         signature, docstring = plain[0], F.lit(None).cast("string")
-    definition = F.col("kind").isin("function", "method") | ((F.col("kind") == "class") & F.lit(grammar == "go"))
+    definition = F.col("definition")
     large = definition & (F.col("end_line") - F.col("start_line") + 1 > K.LARGE_DEFINITION_LINES)
     minimum = F.when(definition, K.MIN_DEFINITION_CHARS).otherwise(K.MIN_TEXT_CHARS)
     rows = grouped.withColumns({"_body": body, "signature": signature, "_doc": docstring, "large_function": large})
@@ -219,7 +221,7 @@ def _block_chunks(blocks: DataFrame, grammar: str, key: str) -> DataFrame:
     )
 
 
-_GRAMMARS = {"python": ["python"], "js": ["javascript", "typescript", "tsx"], "go": ["go"]}
+_BRACE_GRAMMARS = ["javascript", "typescript", "tsx", "go"]
 
 
 def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
@@ -228,10 +230,9 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     Files of unknown grammar, unreadable Python files, and files where nothing qualified get windows.
     """
     lines = file_lines(files, key)
-    python = _block_chunks(python_blocks(python_lines(lines.where(F.col("grammar") == "python"), key), key), "python", key)
-    js = _block_chunks(brace_blocks(lines.where(F.col("grammar").isin(*_GRAMMARS["js"])), "js", key), "js", key)
-    go = _block_chunks(brace_blocks(lines.where(F.col("grammar") == "go"), "go", key), "go", key)
-    blocks = python.unionByName(js).unionByName(go)
+    python = python_blocks(python_lines(lines.where(F.col("grammar") == "python"), key), key)
+    braces = brace_blocks(lines.where(F.col("grammar").isin(_BRACE_GRAMMARS)), key)
+    blocks = _block_chunks(python, True, key).unionByName(_block_chunks(braces, False, key))
 
     # A file of a known grammar meets its blocks once; one without any is cut into windows in its own row.
     none = F.lit(None).cast("string")
@@ -243,7 +244,7 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
         F.when(p["chunk_type"] == "function", "generic_window").otherwise("whole").alias("chunking"),
     )
     windows = lambda text: F.transform(window_parts(text), window)
-    known = F.col("grammar").isin([g for names in _GRAMMARS.values() for g in names])
+    known = F.col("grammar").isin("python", *_BRACE_GRAMMARS)
     joined = files.where(known).select(key, "content").join(blocks, key, "left")
     content = F.when(F.col("chunk_type").isNull(), F.col("content"))
     rows = joined.select(key, content.alias("_text"), F.struct(*fields).alias("_block"))
