@@ -76,12 +76,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, files: i
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids of every document.
 
-    Files hold starts within their range; the ranges' own starts are sums over one row per range.
+    Files hold starts within their range; the ranges' own starts are sums over one row per range, so what is broadcast is 16
+    bytes for each file.
     """
     rows = spark.read.schema(SCHEMA).orc(folder)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
