@@ -1,14 +1,18 @@
 """Token ids by a public tokenizer, word by word.
 
 The tokenizer maps ASCII white space to gaps that no token crosses, and neither its normaliser nor its pre-tokenizer looks
-past one. So a text's ids are those of its words in turn, and a word met before needs no second run of the tokenizer.
-tests/llm holds this against whole texts.
+past one. So a text's ids are those of its words in turn, and a word met before needs no second run of the tokenizer. New
+words of Latin letters, with at most one mark behind, need no normaliser once in lower case: they are merged in bulk.
+tests/llm holds all this against whole texts.
 """
 
 from __future__ import annotations
 
+import gc
 import itertools
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,41 +20,87 @@ import pyarrow as pa
 
 CACHED_WORDS = 1_500_000
 CACHED_BYTES = 64
+BULK = 1000
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
 
 
 class Encoder:
     """Texts as UTF-8 bytes to ids as little-endian unsigned 32-bit integers.
 
-    Only for tokenizers that drop white space (`splits_at_space`). Words longer than CACHED_BYTES are encoded, not kept.
+    Only for tokenizers that drop white space. Words longer than CACHED_BYTES are encoded, not kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.lowers = steps == ["NFC", "Replace", "Lowercase"]
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _learn(self, new: list[bytes]) -> None:
-        encoded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in new], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype="<u4").tobytes()
-        counts = np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(new)) if ids else np.zeros(len(new), dtype=int)
+    @staticmethod
+    def _parted(ids: list[int], word_ids: list[int], n: int) -> list[bytes]:
+        """Packed ids of each of n words."""
+        data = np.array(ids, dtype="<u4").tobytes()
+        counts = np.bincount(np.array(word_ids, dtype=np.int64), minlength=n) if ids else np.zeros(n, dtype=int)
         ends = (4 * np.cumsum(counts)).tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(new, [0, *ends], ends))
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        return self._parted(encoded.ids, encoded.word_ids, len(texts))
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = b"\n".join(new).decode("utf-8", "replace")
+        plain, rest = [], []
+        for word, found in zip(new, map(_PLAIN.fullmatch, texts.lower().split("\n"))):
+            if found and self.lowers:
+                plain.append((word, *found.groups()))
+            else:
+                rest.append(word)
+        if rest:
+            self.known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
+        bodies = list({body for _, body, _ in plain})
+        ids: dict[str, bytes] = {}
+        bulks = [bodies[k : k + BULK] for k in range(0, len(bodies), BULK)]
+        for words, encoded in zip(bulks, self.merger.encode_batch([" ".join(b) for b in bulks], add_special_tokens=False)):
+            ids.update(zip(words, self._parted(encoded.ids, encoded.word_ids, len(words))))
+        for mark in {mark for _, _, mark in plain} - self.marks.keys():
+            self.marks[mark] = self._whole([mark])[0]
+        for word, body, mark in plain:
+            self.known[word] = ids[body] + self.marks[mark]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed."""
+        gc.disable()  # nothing here forms cycles, and the collector would walk all new words again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         parts = [t.split() for t in texts]
-        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(parts)))
-        if new:
+        flat = list(itertools.chain.from_iterable(parts))
+        ids = list(map(self.known.get, flat))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        if gaps:
+            new = {flat[k] for k in gaps}
             self._learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > CACHED_BYTES:
-                del self.known[w]
-        return out
+            for k in gaps:
+                ids[k] = self.known[flat[k]]
+            for w in new:
+                if len(w) > CACHED_BYTES:
+                    del self.known[w]
+        ends = list(itertools.accumulate(map(len, parts)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
