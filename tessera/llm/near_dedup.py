@@ -7,9 +7,10 @@ pair misses all of them with probability 1e-10.
 
 Documents with equal sets are one class; its smallest id stands for it. Under each key the first class meets every other
 (a star, not all pairs). Pairs whose estimated similarity, corrected for register collisions, is too low by six standard
-errors are dropped; the rest is verified on full sets. Where a key then still holds several components, members of
-different components meet in tiles of bounded size, the most similar first, until every such pair is linked, estimated too
-low, or verified; so no link is lost to the stars.
+errors are dropped; the rest is verified on full sets. Classes that met under any key, directly or through others, are a
+family. Where a family still has several components, all its members outside the largest one are compared with the whole
+family by exact intersections, in tiles of bounded size that hand on one link per member and component. So no link is lost
+to the stars, and no row is made for a pair that isn't one.
 
 A text without words is linked with nothing; nulls count as empty. A null id is kept and has no component. Rows with equal
 ids are one node: it has the links of all its texts. Other columns are ignored. Empty tables give no rows.
@@ -36,8 +37,6 @@ ROWS = 3
 BANDS = REGISTERS // ROWS
 ERRORS = 6.0
 TILE = 2048
-ROUNDS = (8, 512, None)  # partners per member and round of the tiles; the last round takes all
-EMPTY = np.uint16(0xFFFF)
 _U = np.uint64
 
 _ORDER = np.stack([np.random.default_rng(REGISTERS + k).permutation(REGISTERS) for k in range(REGISTERS)])
@@ -170,28 +169,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(percent, width), "a long, b long").distinct()
 
 
-def _across(percent: int, most: int | None):
-    """Pairs of members of different components within a tile, `most` for each member, by estimate."""
-    floor = _floor(percent)
+def _across(percent: int):
+    """One link for each asker and component of targets that is similar enough, by exact intersections within a tile."""
 
     def pairs(rows):
-        reps = np.array([r[0] for r in rows], dtype=np.int64)
-        comps = np.array([r[1] for r in rows], dtype=np.int64)
-        sizes = np.array([r[2] for r in rows], dtype=np.int64)
-        own = np.array([r[4] for r in rows], dtype=np.int64)
-        m = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own != 1), np.flatnonzero(own != 0)
-        for k in left.tolist():
-            other = right[(comps[right] != comps[k])]
-            other = other[(100 * np.minimum(sizes[other], sizes[k]) >= percent * np.maximum(sizes[other], sizes[k]))]
-            if not len(other):
-                continue
-            likely = estimate(m[other], m[k][None, :], sizes[other], np.full(len(other), sizes[k]))
-            keep = np.flatnonzero((likely >= floor) | (np.maximum(sizes[other], sizes[k]) < REGISTERS))
-            if most is not None and len(keep) > most:
-                keep = keep[np.argpartition(-likely[keep], most)[:most]]
-            for p in other[keep].tolist():
-                yield (reps[k], reps[p]) if reps[k] < reps[p] else (reps[p], reps[k])
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        if not all(sides):
+            return
+        targets, askers = sides
+        sizes = np.array([len(r[3]) // 8 for r in targets])
+        comps = np.array([r[2] for r in targets], dtype=np.int64)
+        flat = np.frombuffer(b"".join(r[3] for r in targets), dtype=_U)
+        owner = np.repeat(np.arange(len(targets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for _, rep, comp, packed in askers:
+            own = np.frombuffer(packed, dtype=_U)
+            low, high = np.searchsorted(flat, own, side="left"), np.searchsorted(flat, own, side="right")
+            count = high - low
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            both = np.bincount(owner[at], minlength=len(targets))
+            hit = np.flatnonzero((both > 0) & (100 * both >= percent * (len(own) + sizes - both)) & (comps != comp))
+            for k in hit[np.unique(comps[hit], return_index=True)[1]].tolist():
+                yield min(rep, targets[k][1]), max(rep, targets[k][1])
 
     def run(batches):
         now, rows = None, []
@@ -199,68 +199,73 @@ def _across(percent: int, most: int | None):
         def done():
             found = sorted(set(pairs(rows)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[j]) for p in found], type=pa.int64()) for j in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], type=pa.int64()) for j in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "component", "n", "registers", "side")]
-            for key, i, j, *row in zip(*columns):
-                if (key, i, j) != now:
+            columns = [batch.column(c).to_pylist() for c in ("family", "slot", "block", "side", "rep", "component", "shingles")]
+            for family, slot, block, *row in zip(*columns):
+                if (family, slot, block) != now:
                     yield from done()
-                    now, rows = (key, i, j), []
+                    now, rows = (family, slot, block), []
                 rows.append(row)
         yield from done()
 
     return run
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """Each member under every tile (i, j) of its key that has its slot: side 0 and 1, or 2 where both sides are one slot."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / TILE)).cast("int")
-    rows = members.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    return rows.select(
-        "key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "rep", "component", "n", "registers",
-        F.when(F.col("slot") == F.col("other"), 2).when(F.col("slot") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            packed = [own.tobytes() for _, own in shingle_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, type=pa.binary())], names=["rep", "shingles"])
+
+    return run
+
+
+def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of mixed families under the tiles where they meet: all of a family as targets, dealt into slots, and those
+    outside its largest component as askers, dealt into blocks. A tile holds one slot and one block.
+
+    `members`: rep, family, component. `sizes`: family, size, main, apart (members outside the main component).
+    """
+    rows = members.join(sizes, "family").withColumns({"slots": F.ceil(F.col("size") / TILE).cast("int"), "blocks": F.ceil(F.col("apart") / TILE).cast("int")})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    targets = rows.select("family", "rep", "component", F.lit(0).alias("side"), deal("slots").alias("slot"), each("blocks").alias("block"))
+    askers = rows.where("component <> main").select("family", "rep", "component", F.lit(1).alias("side"), each("slots").alias("slot"), deal("blocks").alias("block"))
+    return targets.unionByName(askers)
 
 
 def links(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Links (a, b) between classes, enough to give every component; and between the classes of a repeated id.
 
-    `sketched`: `sketches(docs)`, stored. Within a component of the stars pairs are not looked at again.
+    `sketched`: `sketches(docs)`, stored.
     """
     some = sketched.where("doc_id is not null and n_shingles > 0")
     classes = stored(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("registers").alias("registers")), "classes")
-    by_rep = W.partitionBy("key").orderBy("rep")
     keyed = classes.select("rep", "registers").mapInArrow(_bands, "key long, rep long")
-    members = stored(
-        keyed.select("key", "rep", F.first("rep").over(by_rep).alias("first"), F.lag("rep").over(by_rep).alias("before"), F.lead("rep").over(by_rep).alias("after"))
-        .where("before is not null or after is not null").select("key", "rep", "first"),
-        "bands",
-    )
+    first = F.first("rep").over(W.partitionBy("key").orderBy("rep"))
+    stars = stored(keyed.select(first.alias("a"), F.col("rep").alias("b")).where("a < b").distinct(), "stars")
     sketch = lambda c: classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    stars = members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = stored(stars.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(percent), "a long, b long"), "tried")
-    found = stored(_verified(tried, docs, percent, width), "linked")
-    first = W.partitionBy("doc_id")
+    likely = stars.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(percent), "a long, b long")
+    found = _verified(likely, docs, percent, width)
+    least = F.min("rep").over(W.partitionBy("doc_id"))
     same_id = some.join(classes.select("n_shingles", "h1", "h2", "rep"), ["n_shingles", "h1", "h2"]).select("doc_id", "rep").distinct()
-    same_id = same_id.select("rep", F.min("rep").over(first).alias("a")).where("a <> rep").select("a", F.col("rep").alias("b"))
+    same_id = same_id.select(least.alias("a"), F.col("rep").alias("b")).where("a <> b")
     found = stored(found.unionByName(same_id), "linked")
 
-    for most in ROUNDS:
-        labels = components(found)
-        placed = members.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high and size > 2")
-        several = placed.join(mixed.select("key", "size"), "key").join(classes.select("rep", F.col("n_shingles").alias("n"), "registers"), "rep")
-        tiles = _tiles(several).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = stored(tiles.mapInArrow(_across(percent, most), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if pairs.isEmpty():
-            if most is None:
-                break
-            continue
-        more = stored(_verified(pairs, docs, percent, width), "linked")
-        tried, found = tried.unionByName(pairs), found.unionByName(more)
-    return found
+    # Whatever meets anywhere is one family. Where the stars' links leave it in several components, these meet in tiles.
+    labels = components(found).withColumnRenamed("node", "rep")
+    families = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    placed = stored(families.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "families")
+    counts = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("family").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"))
+    sizes = sizes.select("family", "size", "main", (F.col("size") - F.col("n")).alias("apart")).where("apart > 0 and size > 2")
+    members = placed.join(sizes.select("family"), "family", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    tiles = _tiles(members, sizes).join(sets, "rep").repartition("family", "slot", "block").sortWithinPartitions("family", "slot", "block", "side")
+    return found.unionByName(tiles.mapInArrow(_across(percent), "a long, b long"))
 
 
 def groups(docs: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
