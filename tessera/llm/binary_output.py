@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import packed
 
-SCHEMA = "doc_id long, part long, part_start long, ids array<int>"
+SCHEMA = "doc_id long, part long, part_start long, n_tokens long, ids array<int>"
 
 
 def _encode(path: str, end_id: int):
@@ -47,8 +47,8 @@ def _rows(keys: pa.Array, done: int, ids: list[np.ndarray], part: int, start: in
     ends = np.cumsum(sizes)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
     return pa.RecordBatch.from_arrays(
-        [keys.slice(done, len(ids)), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(start + ends - sizes), lists],
-        names=["doc_id", "part", "part_start", "ids"],
+        [keys.slice(done, len(ids)), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(start + ends - sizes), pa.array(sizes), lists],
+        names=["doc_id", "part", "part_start", "n_tokens", "ids"],
     ), start + int(ends[-1])
 
 
@@ -81,7 +81,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """
     rows = spark.read.schema(SCHEMA).orc(folder)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "ids")
 
 
