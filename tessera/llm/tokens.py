@@ -18,17 +18,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CACHED_WORDS = 350_000  # of each of two generations
+CACHED_WORDS = 1_000_000
 CACHED_BYTES = 64
-BULK = 1000
+BULK = 100
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
 
 
 class Encoder:
     """Texts as UTF-8 bytes to ids as little-endian unsigned 32-bit integers.
 
-    Only for tokenizers that drop white space. Words longer than CACHED_BYTES are encoded, not kept. Known words come in two
-    generations: when the newer one is full it becomes the older, and words met again move up.
+    Only for tokenizers that drop white space. Words longer than CACHED_BYTES are encoded, not kept. When
+    CACHED_WORDS are known, all are forgotten; the frequent ones are soon known again.
     """
 
     def __init__(self, path: str):
@@ -43,7 +43,6 @@ class Encoder:
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -88,18 +87,14 @@ class Encoder:
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
+            self.known.clear()
         parts = [t.split() for t in texts]
         flat = list(itertools.chain.from_iterable(parts))
         ids = list(map(self.known.get, flat))
         gaps = [k for k, x in enumerate(ids) if x is None]
         if gaps:
             new = {flat[k] for k in gaps}
-            met = new & self.older.keys()
-            self.known.update((w, self.older[w]) for w in met)
-            new -= met
-            if new:
-                self._learn(list(new))
+            self._learn(list(new))
             for k in gaps:
                 ids[k] = self.known[flat[k]]
             for w in new:
