@@ -163,9 +163,9 @@ def _linked(percent: int, width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. Only texts of the pairs' ids move."""
-    side = lambda c: docs.select(F.col("doc_id").cast("long").alias(c), F.col("text").cast("string").alias(f"t{c}"))
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(percent, width), "a long, b long").distinct()
 
 
@@ -248,7 +248,11 @@ def links(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT, width
     stars = stored(keyed.select(first.alias("a"), F.col("rep").alias("b")).where("a < b").distinct(), "stars")
     sketch = lambda c: classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     likely = stars.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_plausible(percent), "a long, b long")
-    found = _verified(likely, docs, percent, width)
+    # The whole texts move once; what follows reads those that met others.
+    met = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = stored(whole.join(met.hint("merge"), "doc_id", "left_semi"), "met")
+    found = _verified(likely, texts, percent, width)
     least = F.min("rep").over(W.partitionBy("doc_id"))
     same_id = some.join(classes.select("n_shingles", "h1", "h2", "rep"), ["n_shingles", "h1", "h2"]).select("doc_id", "rep").distinct()
     same_id = same_id.select(least.alias("a"), F.col("rep").alias("b")).where("a <> b")
@@ -262,8 +266,8 @@ def links(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT, width
     sizes = counts.groupBy("family").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"))
     sizes = sizes.select("family", "size", "main", (F.col("size") - F.col("n")).alias("apart")).where("apart > 0 and size > 2")
     members = placed.join(sizes.select("family"), "family", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
+    mixed = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = stored(mixed.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
     tiles = _tiles(members, sizes).join(sets, "rep").repartition("family", "slot", "block").sortWithinPartitions("family", "slot", "block", "side")
     return found.unionByName(tiles.mapInArrow(_across(percent), "a long, b long"))
 
