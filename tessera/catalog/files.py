@@ -22,15 +22,22 @@ def stripped(expr: str) -> str:
     return _STRIP.replace("{x}", expr)
 
 
+# Fixed value, written out so that the oracle does not follow the engine's own pattern.
+SECRETS = (
+    r"(?:-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)|(?:\bA(?:KIA|SIA)[0-9A-Z]{16}\b)|(?:\bgh[pousr]_[A-Za-z0-9]{20,})"
+    r"|(?:\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})|(?:\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@)"
+    r"|(?:(?i:(?:key|token|secret|password|passwd)\"?\s*[:=]\s*(?:\"[^\"\n]{6,}\"|'[^'\n]{6,}')))"
+)
+
+
 @query("file_filter", r"""
-SELECT doc_id, path, size <= 512000
-  AND NOT ('/' || path LIKE '%/node_modules/%' OR '/' || path LIKE '%/.git/%' OR '/' || path LIKE '%/dist/%'
+SELECT doc_id, path, NOT ('/' || path LIKE '%/node_modules/%' OR '/' || path LIKE '%/.git/%' OR '/' || path LIKE '%/dist/%'
            OR '/' || path LIKE '%/build/%' OR '/' || path LIKE '%/__pycache__/%' OR path LIKE '%.min.js'
            OR path LIKE '%.min.css' OR path LIKE '%.pb.go' OR contains(path, '_generated.') OR path LIKE '%.lock')
   AND regexp_matches(lower(path), '\.(py|js|ts|jsx|tsx|go|rs|java|cs|rb|php|md|rst|txt|mdx|yaml|yml|json|toml|ini|ipynb)$')
   AS eligible FROM {v_files}""")
 def file_filter(t: Inputs):
-    return t.v_files.select("doc_id", "path", routing.is_indexable(F.col("path"), F.col("size")).alias("eligible"))
+    return t.v_files.select("doc_id", "path", routing.is_indexable(F.col("path")).alias("eligible"))
 
 
 @query("file_classify", r"""
@@ -47,14 +54,14 @@ def line_counts(t: Inputs):
     return t.wide.v_lines.select("doc_id", text.line_count(F.rtrim(F.col("text"), F.lit("\n"))).cast("long").alias("lines"))
 
 
-@query("secret_counts", f"SELECT doc_id, len(regexp_extract_all(text, {quoted(redact.secret_pattern())})) AS secrets FROM documents")
+@query("secret_counts", f"SELECT doc_id, len(regexp_extract_all(text, {quoted(SECRETS)})) AS secrets FROM documents")
 def secret_counts(t: Inputs):
     return t.wide.documents.select("doc_id", redact.count_secrets(F.col("text")).cast("long").alias("secrets"))
 
 
 @query("redact_text", f"""
-SELECT doc_id, md5(regexp_replace(text, {quoted(redact.secret_pattern())}, '[REDACTED]', 'g')) AS clean,
-  regexp_matches(text, {quoted(redact.secret_pattern())}) AS security_censored FROM documents""")
+SELECT doc_id, md5(regexp_replace(text, {quoted(SECRETS)}, '[REDACTED]', 'g')) AS clean,
+  regexp_matches(text, {quoted(SECRETS)}) AS security_censored FROM documents""")
 def redact_text(t: Inputs):
     done = redact.redact_fields(t.wide.documents.select("doc_id", "text"), ["text"])
     return done.select("doc_id", F.md5("text").alias("clean"), (F.col("secrets_redacted") > 0).alias("security_censored"))
@@ -76,12 +83,12 @@ def html_strip(t: Inputs):
 WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents),
 s AS (SELECT doc_id, i, CASE WHEN i = 1 THEN '# Doc ' || doc_id ELSE '## Part' END AS head, {stripped('l')} AS l FROM lines),
 b AS (SELECT doc_id, i, head[3 + (i > 1)::INT:] AS title, CASE WHEN l = '' THEN head ELSE head || chr(10) || l END AS body FROM s)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal,
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal,
   title || CASE WHEN length(body) > 1500 THEN ' (part 1)' ELSE '' END AS section_title, md5(body) AS body
-FROM b WHERE length(body) >= 30""")
+FROM b UNION ALL SELECT doc_id, 0, NULL, md5('Preamble of document ' || doc_id) FROM documents""")
 def doc_sections(t: Inputs):
     parts = chunk_docs.explode_parts(t.wide.v_docs_md, chunk_docs.doc_parts(F.col("text")), ["doc_id"])
-    return parts.where(F.col("chunk_type") == "section").select("doc_id", "ordinal", "section_title", F.md5("text").alias("body"))
+    return parts.select("doc_id", "ordinal", "section_title", F.md5("text").alias("body"))
 
 
 @query("sliding_windows", f"""
@@ -90,7 +97,7 @@ n AS (SELECT *, len(x) AS n FROM l),
 w AS (SELECT doc_id, x, n, unnest(generate_series(0, greatest(ceil((n - 100) / 80.0)::INT * 80, 0), 80)) AS s FROM n),
 p AS (SELECT doc_id, n, s, {stripped("array_to_string(x[s + 1:s + 100], chr(10))")} AS body FROM w)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ordinal, CASE WHEN n <= 100 THEN 'whole_doc' ELSE 'function' END AS chunk_type,
-  s + 1 AS start_line, least(s + 100, n) AS end_line, md5(body) AS body FROM p WHERE length(body) >= 30""")
+  s + 1 AS start_line, least(s + 100, n) AS end_line, md5(body) AS body FROM p WHERE length(body) >= 1""")
 def sliding_windows(t: Inputs):
     source = t.wide.v_lines.withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
     parts = chunk_docs.explode_parts(source, chunk_docs.window_parts(F.col("text")), ["doc_id"])
@@ -119,7 +126,7 @@ def paragraph_pack(t: Inputs):
 @query("whole_chunks", _PACK + f""",
 x AS (SELECT p.doc_id, p.g, p.body FROM packed p JOIN {{v_paragraphs}} v USING (doc_id) WHERE length(v.text) > 2000
   UNION ALL SELECT doc_id, 0, {stripped('text')} FROM {{v_paragraphs}} WHERE length(text) <= 2000)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS ordinal, md5(body) AS body FROM x WHERE length(body) >= 30""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS ordinal, md5(body) AS body FROM x WHERE length(body) >= 1""")
 def whole_chunks(t: Inputs):
     parts = chunk_docs.explode_parts(t.wide.v_paragraphs, chunk_docs.whole_parts(F.col("text")), ["doc_id"])
     return parts.select("doc_id", "ordinal", F.md5("text").alias("body"))
@@ -198,6 +205,7 @@ def _python_files(t: Inputs):
 @query("code_chunks", """
 SELECT doc_id, 'module_header' AS chunk_type, NULL AS class_name, NULL AS function_name, 0::BIGINT AS start_line, 0::BIGINT AS end_line, false AS large_function FROM {v_python}
 UNION ALL SELECT doc_id, 'function', NULL, 'f_' || doc_id, 4, 5, false FROM {v_python}
+UNION ALL SELECT doc_id, 'class', 'C_' || doc_id, NULL, 7, 7, false FROM {v_python}
 UNION ALL SELECT doc_id, 'method', 'C_' || doc_id, 'm', 8, 9 + doc_lines, doc_lines + 2 > 150 FROM {v_python}""")
 def code_chunks(t: Inputs):
     rows = chunk_code.code_chunks(_python_files(t))
@@ -241,10 +249,37 @@ def report_sections(t: Inputs):
     return rows.select("doc_id", "place", "p.title", "p.body")
 
 
-@query("config_flatten")
+@query("config_flatten", """
+SELECT event_id, 'outer.k = ' || json_extract_string(props, '$.k') || chr(10) || 'outer2.deep.kind = ' || event_type || chr(10) || 'outer2.deep.late = '
+  || CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'None' END || chr(10) || 'outer2.list = [1,"' || event_type || '"]' || chr(10) || 'value = ' || event_id AS text FROM events
+UNION ALL SELECT -1 - s_suppkey, 'dependencies.left = 1.0' || chr(10) || 'dependencies.only' || s_nationkey || ' = 2' || chr(10) || 'devDependencies.left = ' || s_suppkey FROM supplier
+UNION ALL SELECT 1000000000 + doc_id, text FROM documents""")
 def config_flatten(t: Inputs):
     from tessera.functions.config_text import flatten_config
 
-    rows = t.v_manifests.select("s_suppkey", "path", flatten_config(F.col("path"), F.col("content")).alias("text"))
-    return rows.unionByName(t.events.select(F.col("event_id").alias("s_suppkey"), F.lit("e.json").alias("path"),
-                                            flatten_config(F.lit("e.json"), F.col("props")).alias("text")))
+    late = F.when(F.col("event_id") % 2 == 0, "true").otherwise("null")
+    nested = F.concat(F.lit('{"outer": '), "props", F.lit(', "outer2": {"deep": {"kind": "'), "event_type", F.lit('", "late": '), late, F.lit('}, "list": [1, "'),
+                      "event_type", F.lit('"]}, "value": '), "event_id", F.lit("}"))
+    rows = t.events.select("event_id", F.lit("a.json").alias("path"), nested.alias("content"))
+    rows = rows.unionByName(t.v_manifests.where(F.col("path").endswith("json")).select((-1 - F.col("s_suppkey")).alias("event_id"), "path", "content"))
+    rows = rows.unionByName(t.documents.select((1000000000 + F.col("doc_id")).alias("event_id"), F.lit("no.json").alias("path"), F.col("text").alias("content")))
+    return rows.select("event_id", flatten_config(F.col("path"), F.col("content")).alias("text"))
+
+
+# Where each part of a brace source stands: lines before it, and its own.
+@query("brace_chunks", """
+WITH s AS (SELECT *, 2 * n AS b FROM {v_brace})
+SELECT doc_id, 'js' AS grammar, 'function' AS chunk_type, NULL AS class_name, 'f_' || doc_id AS function_name, b + 4 AS start_line, b + 7 AS end_line,
+  'export function f_' || doc_id || '(a, b) {{' AS signature, md5('export function f_' || doc_id || '(a, b) {{' || chr(10) || '  const r = /[{{(\\]"''`]+\\/{{/g.test(a) ? "}}}}" : ''{{{{'';'
+    || chr(10) || '  return r; // }} }}' || chr(10) || '}}') AS body FROM s
+UNION ALL SELECT doc_id, 'js', 'method', 'C_' || doc_id, 'm', b + 9, b + 11, '  m(x) {{', md5('m(x) {{' || chr(10) || '    return `}}${{x}}`;' || chr(10) || '  }}') FROM s
+UNION ALL SELECT doc_id, 'go', 'function', NULL, 'F' || doc_id, n + 3, n + 5, 'func F' || doc_id || '(x string) string {{',
+  md5('func F' || doc_id || '(x string) string {{' || chr(10) || '	return x + `\\{{` + "{{"' || chr(10) || '}}') FROM s
+UNION ALL SELECT doc_id, 'go', 'class', NULL, NULL, n + 7, n + 9, 'type T' || doc_id || ' struct {{', md5('type T' || doc_id || ' struct {{' || chr(10) || '	a int' || chr(10) || '}}') FROM s""")
+def brace_chunks(t: Inputs):
+    rows = t.v_brace
+    js = rows.select(F.concat("doc_id", F.lit(":js")).alias("fid"), F.lit("javascript").alias("grammar"), F.col("js").alias("content"))
+    go = rows.select(F.concat("doc_id", F.lit(":go")).alias("fid"), F.lit("go").alias("grammar"), F.col("go").alias("content"))
+    found = chunk_code.code_chunks(js.unionByName(go)).where("chunk_type <> 'module_header' and not (chunk_type = 'class' and class_name is not null)")
+    key = F.split("fid", ":")
+    return found.select(key[0].cast("long").alias("doc_id"), key[1].alias("grammar"), "chunk_type", "class_name", "function_name", "start_line", "end_line", "signature", F.md5("text").alias("body"))

@@ -202,19 +202,23 @@ def _summary(graph):
     nodes, edges = graph
     seen = nodes.select(F.lit("node").alias("kind"), F.col("label").alias("name"), F.concat_ws("|", "label", "raw_id").alias("k")).distinct()
     linked = edges.select(F.lit("edge").alias("kind"), F.col("rel_type").alias("name"), F.concat_ws("|", "src", "rel_type", "dst").alias("k")).distinct()
-    return seen.unionByName(linked).groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum(F.crc32("k")).alias("keys"))
+    return seen.unionByName(linked).groupBy("kind", "name").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long")).alias("keys"))
+
+
+# Counts and a sum over the hashed ids, so that a wrong end of an edge shows.
+_KEYS = " SELECT name, count(*) AS n, sum(('0x' || substr(md5(k), 1, 8))::BIGINT)::BIGINT AS keys FROM k GROUP BY name"
 
 
 @query("issue_graph", """
-WITH i AS (SELECT o_orderkey AS n, o_custkey AS u, o_orderpriority AS l FROM orders)
-SELECT 'Issue' AS name, count(*) AS n FROM i UNION ALL SELECT 'Contributor', count(DISTINCT u) FROM i
-UNION ALL SELECT 'Label', count(DISTINCT lower(l)) FROM i UNION ALL SELECT 'OPENED', count(*) FROM i UNION ALL SELECT 'LABELED', count(*) FROM i""")
+WITH i AS (SELECT 'org/r::main::issue::' || o_orderkey AS n, 'org/r::main::contributor::c' || o_custkey AS u, 'org/r::main::label::' || lower(o_orderpriority) AS l FROM orders),
+k AS (SELECT 'Issue' AS name, 'Issue|' || n AS k FROM i UNION SELECT 'Contributor', 'Contributor|' || u FROM i UNION SELECT 'Label', 'Label|' || l FROM i
+  UNION SELECT 'OPENED', 'u1::' || u || '|OPENED|u1::' || n FROM i UNION SELECT 'LABELED', 'u1::' || n || '|LABELED|u1::' || l FROM i)""" + _KEYS)
 def issue_graph(t: Inputs):
     issues = _placed(t.orders.select(
         F.col("o_orderkey").alias("number"), F.lit("t").alias("title"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").cast("string").alias("created_at"),
         F.struct(F.concat(F.lit("c"), "o_custkey").alias("login"), F.lit(None).cast("string").alias("type")).alias("user"),
         F.array(F.struct(F.col("o_orderpriority").alias("name"))).alias("labels")))
-    return _summary(graph_git.issue_graph(issues)).select("name", "n")
+    return _summary(graph_git.issue_graph(issues)).select("name", "n", "keys")
 
 
 def _prs(t: Inputs):
@@ -224,19 +228,21 @@ def _prs(t: Inputs):
 
 
 @query("pr_graph", """
-WITH f AS (SELECT number, filename FROM {v_pr_files} WHERE number IN (SELECT number FROM {v_prs}))
-SELECT 'PullRequest' AS name, count(*) AS n FROM {v_prs} UNION ALL SELECT 'Contributor', count(DISTINCT login) FROM {v_prs}
-UNION ALL SELECT 'File', count(DISTINCT filename) FROM f UNION ALL SELECT 'OPENED', count(*) FROM {v_prs}
-UNION ALL SELECT 'CLOSES', count(*) FROM {v_prs} UNION ALL SELECT 'MODIFIES', count(*) FROM f""")
+WITH f AS (SELECT 'org/r::main::pr::' || number AS n, 'org/r::main::' || filename AS f FROM {v_pr_files} WHERE number IN (SELECT number FROM {v_prs})),
+p AS (SELECT 'org/r::main::pr::' || number AS n, 'org/r::main::contributor::' || login AS u, 'org/r::main::issue::' || issue_number AS i FROM {v_prs}),
+k AS (SELECT 'PullRequest' AS name, 'PullRequest|' || n AS k FROM p UNION SELECT 'Contributor', 'Contributor|' || u FROM p UNION SELECT 'File', 'File|' || f FROM f
+  UNION SELECT 'OPENED', 'u1::' || u || '|OPENED|u1::' || n FROM p UNION SELECT 'CLOSES', 'u1::' || n || '|CLOSES|u1::' || i FROM p
+  UNION SELECT 'MODIFIES', 'u1::' || n || '|MODIFIES|u1::' || f FROM f)""" + _KEYS)
 def pr_graph(t: Inputs):
     files = _placed(t.v_pr_files.withColumnRenamed("number", "pr_number"))
-    return _summary(graph_git.pr_graph(_prs(t), files)).select("name", "n")
+    return _summary(graph_git.pr_graph(_prs(t), files)).select("name", "n", "keys")
 
 
 @query("commit_graph", """
-SELECT 'Commit' AS name, count(*) AS n FROM orders UNION ALL SELECT 'Contributor', count(DISTINCT o_custkey) FROM orders
-UNION ALL SELECT 'File', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'AUTHORED', count(*) FROM orders
-UNION ALL SELECT 'TOUCHES', count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem""")
+WITH c AS (SELECT 'org/r::main::commit::' || o_orderkey AS n, 'org/r::main::contributor::c' || o_custkey AS u FROM orders),
+f AS (SELECT 'org/r::main::commit::' || l_orderkey AS n, 'org/r::main::parts/' || l_partkey || '.py' AS f FROM lineitem),
+k AS (SELECT 'Commit' AS name, 'Commit|' || n AS k FROM c UNION SELECT 'Contributor', 'Contributor|' || u FROM c UNION SELECT 'File', 'File|' || f FROM f
+  UNION SELECT 'AUTHORED', 'u1::' || u || '|AUTHORED|u1::' || n FROM c UNION SELECT 'TOUCHES', 'u1::' || n || '|TOUCHES|u1::' || f FROM f)""" + _KEYS)
 def commit_graph(t: Inputs):
     # An order has few lines, so its file list is short, like the file list of a commit.
     files = t.v_pr_files.groupBy("number").agg(F.collect_list(F.struct("filename", "status")).alias("files"))
@@ -244,7 +250,7 @@ def commit_graph(t: Inputs):
         F.col("o_orderkey").cast("string").alias("sha"),
         F.struct(F.col("o_orderpriority").alias("message"), F.struct(F.col("o_orderdate").cast("string").alias("date")).alias("author")).alias("commit"),
         F.struct(F.concat(F.lit("c"), "o_custkey").alias("login"), F.lit("User").alias("type")).alias("author"), "files")
-    return _summary(graph_git.commit_graph(_placed(commits))).select("name", "n")
+    return _summary(graph_git.commit_graph(_placed(commits))).select("name", "n", "keys")
 
 
 @query("linked_issues", "SELECT number, issue_number AS issue FROM {v_prs}")
@@ -298,7 +304,7 @@ def graph_for_files(t: Inputs):
 WITH f AS (SELECT * FROM {v_functions}), names AS (SELECT DISTINCT name FROM f),
 c AS (SELECT 'caller' AS direction, b.name, a.name AS other_name, a.repo AS other_repo, a.id AS o FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst
   UNION ALL SELECT 'callee', a.name, b.name, b.repo, b.id FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst)
-SELECT name, direction, other_name, other_repo FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c) WHERE n <= 20""")
+SELECT name, direction, other_name, other_repo FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c)""")
 def call_graph(t: Inputs):
     nodes = t.v_functions
     found = graph_query.call_graph(nodes, t.v_calls, nodes.select("user_id", "name"))
@@ -320,19 +326,18 @@ def _history_graph(t: Inputs):
 WITH h AS (SELECT 'parts/' || p_partkey || '.py' AS path, number AS pr_number, title AS pr_title, state AS pr_state, issue_number
   FROM part JOIN {v_pr_files} f ON f.filename = 'parts/' || p_partkey || '.py' LEFT JOIN {v_prs} USING (number)),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pr_number DESC) AS n FROM h WHERE pr_number IN (SELECT number FROM {v_prs}))
-SELECT path, pr_number, pr_title, pr_state, issue_number FROM r WHERE n <= 10""")
+SELECT path, pr_number, pr_title, pr_state, issue_number FROM r""")
 def file_history(t: Inputs):
     nodes, edges = _history_graph(t)
     files = t.part.select(F.concat(F.lit("parts/"), "p_partkey", F.lit(".py")).alias("id")).withColumn("path", F.col("id"))
-    pull_requests = nodes.where("label = 'PullRequest'").select(F.col("id").alias("src"))
-    known = edges.join(pull_requests, "src", "left_semi")
-    return graph_query.file_history(files, nodes, known, ["path"])
+    # Edges of orders that are no pull requests lead to rows without one; the answer leaves those out itself.
+    return graph_query.file_history(files, nodes, edges, ["path"])
 
 
 @query("dependencies", """
 WITH i AS (SELECT p_brand AS name, 'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py' AS path, row_number() OVER (PARTITION BY p_brand ORDER BY
   'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py') AS n FROM part)
-SELECT 'importer' AS kind, name, path AS value FROM i WHERE n <= 20
+SELECT 'importer' AS kind, name, path AS value FROM i
 UNION ALL SELECT 'version', s_name, min('v' || s_nationkey) FROM supplier GROUP BY s_name""")
 def dependencies(t: Inputs):
     nodes, edges = t.v_nodes, t.v_edges
@@ -347,7 +352,7 @@ def dependencies(t: Inputs):
 @query("repo_dependency_list", """
 WITH d AS (SELECT 'repository::' || n_name AS repo_id, s_name AS name, row_number() OVER (PARTITION BY n_name ORDER BY s_name, 'dependency::' || s_suppkey) AS n
   FROM nation JOIN supplier ON s_nationkey = n_nationkey)
-SELECT repo_id, name FROM d WHERE n <= 20""")
+SELECT repo_id, name FROM d""")
 def repo_dependency_list(t: Inputs):
     return graph_query.repo_dependencies(t.v_nodes, t.v_edges)
 
@@ -355,7 +360,7 @@ def repo_dependency_list(t: Inputs):
 @query("explore", """
 WITH l AS (SELECT a.user_id, a.repo, e.src, e.rel_type, e.dst, row_number() OVER (PARTITION BY a.user_id, a.repo ORDER BY e.src, e.rel_type, e.dst) AS n
   FROM {v_edges} e JOIN {v_nodes} a ON a.id = e.src JOIN {v_nodes} b ON b.id = e.dst AND b.user_id = a.user_id AND b.repo = a.repo)
-SELECT user_id, repo, src, rel_type, dst FROM l WHERE n <= 300""")
+SELECT user_id, repo, src, rel_type, dst FROM l""")
 def explore(t: Inputs):
     return graph_query.explore_all(t.v_nodes, t.v_edges)
 
@@ -364,7 +369,7 @@ def explore(t: Inputs):
 WITH n AS (SELECT * FROM {v_nodes} WHERE user_id = 'shared' AND repo = 'org/parts'),
 c AS (SELECT id FROM n WHERE contains(lower(coalesce(name, path, id)), 'brand#1')),
 e AS (SELECT * FROM {v_edges} WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) AND (src IN (SELECT id FROM c) OR dst IN (SELECT id FROM c)))
-SELECT src, rel_type, dst FROM e ORDER BY src, rel_type, dst LIMIT 300""")
+SELECT src, rel_type, dst FROM e""")
 def explore_center(t: Inputs):
     empty = F.create_map().cast("map<string,string>")
     nodes, edges = t.v_nodes.withColumn("props", empty), t.v_edges.withColumn("props", empty)
@@ -377,14 +382,14 @@ WITH d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {v_edges} U
 r AS (SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS n FROM d JOIN {v_nodes} USING (id) WHERE label = 'File')
 SELECT id, degree FROM r WHERE n <= 10""")
 def degree_top(t: Inputs):
-    return graph_query.hub_files(t.v_nodes, t.v_edges).select("id", "degree")
+    return graph_query.hub_files(t.v_nodes, t.v_edges, 10).select("id", "degree")
 
 
 @query("import_top", """
 WITH c AS (SELECT 'module::' || p_brand AS id, count(*) AS import_count FROM part GROUP BY ALL)
 SELECT id, import_count FROM c ORDER BY import_count DESC, id LIMIT 5""")
 def import_top(t: Inputs):
-    return graph_query.most_imported(t.v_nodes, t.v_edges, label="Module").select("id", "import_count")
+    return graph_query.most_imported(t.v_nodes, t.v_edges, 5, label="Module").select("id", "import_count")
 
 
 @query("node_counts", "SELECT user_id, label, count(*) AS nodes FROM {v_nodes} GROUP BY ALL")
@@ -425,7 +430,7 @@ WITH f AS (SELECT * FROM {v_functions}), names AS (SELECT DISTINCT name FROM f),
 c AS (SELECT 'caller' AS direction, b.name, a.name AS other_name, a.repo AS other_repo, a.id AS o FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst
   UNION ALL SELECT 'callee', a.name, b.name, b.repo, b.id FROM {v_calls} e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst),
 k AS (SELECT name, direction, string_agg('  - ' || other_name || ' (in ' || other_repo || ')' || chr(10), '' ORDER BY other_name, other_repo) AS l
-  FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c) WHERE n <= 20 GROUP BY name, direction),
+  FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c) GROUP BY name, direction),
 w AS (SELECT name, max(l) FILTER (direction = 'caller') AS i, max(l) FILTER (direction = 'callee') AS o FROM names LEFT JOIN k USING (name) GROUP BY name)
 SELECT name, CASE WHEN i IS NULL AND o IS NULL THEN 'No call graph data found for function ''' || name || '''.'
   ELSE 'Call Graph for ' || name || ':' || chr(10) || chr(10) || '- CALLERS (functions that call this):' || chr(10) || coalesce(i, '  (None found)' || chr(10))
@@ -446,7 +451,7 @@ h AS (SELECT needle, number, title, state, issue_number, filename FROM n JOIN {v
 r AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY number DESC, issue_number, filename) AS k FROM h)
 SELECT n.needle, CASE WHEN count(number) = 0 THEN 'No PR history found for file containing ''' || n.needle || '''' ELSE 'History for file ''' || n.needle || ''':' || chr(10)
   || string_agg('- PR #' || number || ' (' || state || '): ' || title || ' (Closes Issue #' || issue_number || ')' || chr(10), '' ORDER BY number DESC, issue_number) END AS answer
-FROM n LEFT JOIN r ON r.needle = n.needle AND k <= 10 GROUP BY n.needle""")
+FROM n LEFT JOIN r ON r.needle = n.needle GROUP BY n.needle""")
 def file_history_text(t: Inputs):
     from tessera.plans.answers import file_history_answers
 
@@ -460,7 +465,7 @@ def file_history_text(t: Inputs):
 
 
 @query("dependency_text", """
-WITH i AS (SELECT p_brand AS name, 'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py' AS path FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY path) <= 20),
+WITH i AS (SELECT p_brand AS name, 'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py' AS path FROM part),
 l AS (SELECT name, string_agg('  - ' || path || chr(10), '' ORDER BY path) AS l FROM i GROUP BY name),
 n AS (SELECT name FROM l UNION SELECT n_name FROM nation)
 SELECT name, 'Dependencies for ''' || name || ''':' || chr(10) || '- INTERNAL IMPORTERS (files that import this):' || chr(10) || coalesce(l, '  (None found)' || chr(10)) AS answer FROM n LEFT JOIN l USING (name)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import constants as K
-from tessera.catalog.files import quoted
+from tessera.catalog.files import SECRETS, quoted
 from tessera.catalog.registry import Inputs, query, view
 from tessera.catalog.retrieval import _FUSED, text_hits
 from tessera.functions import props as P
@@ -169,14 +169,14 @@ SELECT user_id, repo, count(*) AS files_seen, count(*) FILTER (NOT eligible) AS
   count(*) FILTER (eligible AND status <> 'unchanged') AS files_parsed, count(*) FILTER (eligible AND status = 'changed') AS files_reindexed, 0::BIGINT AS files_deleted,
   coalesce(sum(size) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS chunks_created, count(*) FILTER (eligible AND status <> 'unchanged') AS graph_edges_created,
   count(*) FILTER (eligible AND status <> 'unchanged' AND secrets > 0) AS files_with_secrets,
-  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_redacted FROM d GROUP BY ALL""".replace("SECRETS", quoted(__import__("tessera.functions.redact", fromlist=["x"]).secret_pattern())))
+  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_redacted FROM d GROUP BY ALL""".replace("SECRETS", quoted(SECRETS)))
 def run_stats(t: Inputs):
     from tessera.catalog.graph import current_files
     from tessera.functions.redact import count_secrets
     from tessera.operators.incremental import change_status
 
     diff = change_status(current_files(t), t.v_prev)
-    rows = diff.withColumns({"eligible": routing.is_indexable(F.col("path"), F.col("size")), "secrets": count_secrets(F.col("content")),
+    rows = diff.withColumns({"eligible": routing.is_indexable(F.col("path")), "secrets": count_secrets(F.col("content")),
                              "chunks": F.col("size"), "edges": F.lit(1)})
     return stats.run_stats(rows).drop("branch")
 
@@ -232,16 +232,16 @@ def tree_listing(t: Inputs):
 
 
 @query("artifact_lookup", """
-WITH a AS (SELECT c_mktsegment AS repo, o_orderpriority AS c, max(o_orderkey) AS text FROM orders JOIN customer ON c_custkey = o_custkey
+WITH a AS (SELECT c_mktsegment AS repo, o_orderpriority AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'health' ELSE 'snapshot' END AS kind, max(o_orderkey) AS text FROM orders JOIN customer ON c_custkey = o_custkey
   WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' GROUP BY ALL)
 SELECT c_custkey, coalesce(a.text::VARCHAR, c_name) AS text, a.text IS NOT NULL AS cached
-FROM customer LEFT JOIN a ON a.repo = c_mktsegment AND a.c = CASE WHEN c_nationkey % 2 = 0 THEN '1-URGENT' ELSE 'unknown' END""")
+FROM customer LEFT JOIN a ON a.repo = c_mktsegment AND a.kind = CASE WHEN c_custkey % 2 = 0 THEN 'health' ELSE 'snapshot' END AND a.c = CASE WHEN c_nationkey % 2 = 0 THEN '1-URGENT' ELSE 'unknown' END""")
 def artifact_lookup(t: Inputs):
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     written = F.timestamp_add("SECOND", F.col("o_orderkey").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
-    stored = rows.select(F.lit("u").alias("user_id"), F.col("c_mktsegment").alias("repo"), F.lit("main").alias("branch"), F.col("o_orderpriority").alias("commit_sha"),
+    stored = rows.select(F.when(F.col("o_orderkey") % 3 == 0, "health").otherwise("snapshot").alias("kind"), F.lit("u").alias("user_id"), F.col("c_mktsegment").alias("repo"), F.lit("main").alias("branch"), F.col("o_orderpriority").alias("commit_sha"),
                          F.col("o_orderkey").cast("string").alias("text"), written.alias("written_at"))
-    asked = t.customer.select("c_custkey", "c_name", F.lit("u").alias("user_id"), F.col("c_mktsegment").alias("repo"), F.lit("main").alias("branch"),
+    asked = t.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, "health").otherwise("snapshot").alias("kind"), F.lit("u").alias("user_id"), F.col("c_mktsegment").alias("repo"), F.lit("main").alias("branch"),
                               F.when(F.col("c_nationkey") % 2 == 0, "1-URGENT").alias("commit_sha"))
     found = artifacts.lookup(asked, artifacts.fresh_artifacts(stored, F.lit("2024-01-01").cast("timestamp_ntz"), None), F.col("c_name"))
     return found.select("c_custkey", "text", "cached")
@@ -262,7 +262,7 @@ def payload_projection(t: Inputs):
 
 @query("text_caps", """
 SELECT chunk_id, CASE WHEN source_type = 'issue' THEN 'ISSUE #' ELSE 'PR #' END || coalesce(issue_number, pr_number) || ' (' || state || ')' || chr(10) || 'CONTENT: '
-  || substr(text, 1, 300) || '...' || chr(10) AS shown FROM {v_chunks} WHERE source_type IN ('issue', 'pr')""")
+  || text || chr(10) AS shown FROM {v_chunks} WHERE source_type IN ('issue', 'pr')""")
 def text_caps(t: Inputs):
     rows = t.v_chunks.where(F.col("source_type").isin("issue", "pr"))
     return rows.select("chunk_id", search.hit_text(F.col("source_type"), F.coalesce("issue_number", "pr_number"), F.col("state"), F.col("text")).alias("shown"))
@@ -284,18 +284,18 @@ def file_outline(t: Inputs):
 
 @query("file_text", """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM {v_lines} WHERE doc_id % 4 = 0)
-SELECT doc_id, md5(CASE WHEN len(x) > 50 THEN array_to_string(x[1:50], chr(10)) || chr(10) || '... [TRUNCATED AT 50 LINES]' ELSE array_to_string(x, chr(10)) END) AS body FROM l""")
+SELECT doc_id, md5(array_to_string(x, chr(10))) AS body FROM l""")
 def file_text(t: Inputs):
     lines = t.v_lines.withColumnRenamed("doc_id", "chunk_id").withColumnRenamed("text", "lines")
     rows = t.v_chunks.join(lines, "chunk_id").withColumns({"text": F.col("lines"), "full_body": F.lit(""), "start_line": F.lit(1)})
-    shown = search.file_text(rows, 50)
+    shown = search.file_text(rows)
     return shown.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), F.md5("text").alias("body"))
 
 
 @query("health_evidence", """
 WITH RECURSIVE s AS (SELECT user_id, repo, branch, chunk_id, CASE WHEN chunk_id % 9 = 0 THEN 'tests/conf' || (chunk_id % 5) WHEN chunk_id % 9 = 1 THEN 'auth/config.py'
     WHEN chunk_id % 9 = 2 THEN 'a/.env' WHEN chunk_id % 9 = 3 THEN 'requirements.txt' ELSE file_path END AS path,
-  row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) AS n FROM {v_chunks} QUALIFY n <= 120),
+  row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) AS n FROM {v_chunks}),
 p AS (SELECT * FROM (VALUES (1, '.env', 'environment and secrets surface'), (2, 'requirements', 'python dependencies'), (3, 'package.json', 'javascript dependencies'),
   (4, 'pyproject', 'python project configuration'), (5, 'docker', 'container/deployment configuration'), (6, 'test', 'test coverage signals'),
   (7, 'auth', 'authentication and authorization surface'), (8, 'middleware', 'request middleware surface'), (9, 'config', 'configuration surface')) v(i, pat, reason)),
@@ -307,10 +307,10 @@ st(user_id, repo, branch, paths, i, picked, reasons) AS (SELECT user_id, repo, b
     list_filter(st.paths, lambda x: contains(lower(x), p.pat) AND NOT list_contains(st.picked, x))[1] AS hit FROM st JOIN p ON p.i = st.i + 1)),
 d AS (SELECT * FROM st WHERE i = 9),
 rest AS (SELECT d.user_id, d.repo, d.branch, s.path, min(s.n) AS n, len(d.picked) AS k FROM d JOIN s USING (user_id, repo, branch)
-  WHERE NOT list_contains(d.picked, s.path) AND len(d.picked) < 12 GROUP BY ALL),
+  WHERE NOT list_contains(d.picked, s.path) GROUP BY ALL),
 fill AS (SELECT user_id, repo, branch, path, k + row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY n) - 1 AS place FROM rest)
 SELECT user_id, repo, branch, unnest(range(len(picked))) AS place, unnest(reasons) AS reason, unnest(picked) AS file_path FROM d
-UNION ALL SELECT user_id, repo, branch, place, 'representative indexed chunk', path FROM fill WHERE place < 21""")
+UNION ALL SELECT user_id, repo, branch, place, 'representative indexed chunk', path FROM fill""")
 def health_evidence(t: Inputs):
     m = F.col("chunk_id") % 9
     path = F.when(m == 0, F.concat(F.lit("tests/conf"), F.col("chunk_id") % 5)).when(m == 1, "auth/config.py").when(m == 2, "a/.env").when(
@@ -321,7 +321,7 @@ def health_evidence(t: Inputs):
 
 @query("secret_evidence", """
 SELECT user_id, repo, branch, count(*) FILTER (secret) AS secret_redaction_evidence_count, count(*) AS evidence_count FROM
-  (SELECT *, n_chars % 3 = 0 OR contains(text, '[REDACTED]') AS secret FROM {v_chunks} QUALIFY row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) <= 21) GROUP BY ALL""")
+  (SELECT *, n_chars % 3 = 0 OR contains(text, '[REDACTED]') AS secret FROM {v_chunks}) GROUP BY ALL""")
 def secret_evidence(t: Inputs):
     chunks = _chunks(t)
     picked = overview.pick_evidence(chunks.withColumn("file_path", F.concat(F.lit("x/"), "chunk_id")))
@@ -332,12 +332,12 @@ def secret_evidence(t: Inputs):
 
 
 @query("snapshot_context", """
-WITH docs AS (SELECT *, row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) AS n FROM {v_chunks} WHERE source_type = 'docs' QUALIFY n <= 20),
-readme AS (SELECT user_id, repo, branch, coalesce(nullif(substr(arg_min(text, n) FILTER (n_chars % 4 = 0), 1, 2000), ''), substr(arg_min(text, n), 1, 1500)) AS readme FROM docs GROUP BY ALL),
+WITH docs AS (SELECT *, row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) AS n FROM {v_chunks} WHERE source_type = 'docs'),
+readme AS (SELECT user_id, repo, branch, coalesce(nullif(arg_min(text, n) FILTER (n_chars % 4 = 0), ''), arg_min(text, n)) AS readme FROM docs GROUP BY ALL),
 files AS (SELECT user_id, repo, branch, chunk_id, file_path, n_chars, language, row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY n_chars DESC, file_path) AS n FROM {v_chunks}),
 n AS (SELECT user_id, repo, branch, string_agg('- ' || source_type || ': ' || c || chr(10), '' ORDER BY source_type) AS t FROM (SELECT user_id, repo, branch, source_type, count(*) AS c FROM {v_chunks} GROUP BY ALL) GROUP BY ALL),
-h AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' (' || language || ') — ' || n_chars || ' connections' || chr(10), '' ORDER BY n) AS t FROM files WHERE n <= 10 GROUP BY ALL),
-i AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' — imported by ' || n_chars || ' files' || chr(10), '' ORDER BY n) AS t FROM files WHERE n <= 5 GROUP BY ALL),
+h AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' (' || language || ') — ' || n_chars || ' connections' || chr(10), '' ORDER BY n) AS t FROM files GROUP BY ALL),
+i AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' — imported by ' || n_chars || ' files' || chr(10), '' ORDER BY n) AS t FROM files GROUP BY ALL),
 d AS (SELECT user_id, repo, branch, string_agg('- ' || language || ' (pip)' || chr(10), '' ORDER BY language) AS t FROM (SELECT DISTINCT user_id, repo, branch, language FROM {v_chunks}) GROUP BY ALL)
 SELECT user_id, repo, branch, 'Repository: ' || repo || chr(10) || 'Branch: ' || branch || chr(10) || chr(10)
   || coalesce('## README / Project Description (primary orientation source)' || chr(10) || readme || chr(10), '') || '## Graph Statistics' || chr(10) || n.t || chr(10)
@@ -345,16 +345,13 @@ SELECT user_id, repo, branch, 'Repository: ' || repo || chr(10) || 'Branch: ' ||
   || '## External Dependencies' || chr(10) || d.t AS context
 FROM n LEFT JOIN readme USING (user_id, repo, branch) JOIN h USING (user_id, repo, branch) JOIN i USING (user_id, repo, branch) JOIN d USING (user_id, repo, branch)""")
 def snapshot_context(t: Inputs):
-    from tessera.operators.graph_query import first_rows
-
     key = overview.REPO
     chunks = t.v_chunks
     named = chunks.withColumn("file_path", F.when(F.col("n_chars") % 4 == 0, F.concat(F.lit("README"), "chunk_id")).otherwise(F.col("file_path")))
     counted = chunks.groupBy(*key, F.col("source_type").alias("a")).agg(F.count("*").alias("n"))
     ranked = chunks.select(*key, F.col("file_path").alias("a"), F.col("language").alias("b"), F.col("n_chars").alias("n"))
-    top = lambda k: first_rows(ranked, key, [F.col("n").desc(), F.col("a")], k)
     deps = chunks.select(*key, F.col("language").alias("a"), F.lit("pip").alias("b")).distinct()
-    return overview.snapshot_context(chunks, overview.readme_pick(named), counted, top(10), top(5).drop("b"), deps)
+    return overview.snapshot_context(chunks, overview.readme_pick(named), counted, ranked, ranked.drop("b"), deps)
 
 
 # --- logs, history, quotas --------------------------------------------------------
@@ -374,7 +371,7 @@ def _cursors(t: Inputs):
 @query("event_cursor", """
 WITH r AS (SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS position, count(*) OVER (PARTITION BY job_id) AS total FROM {v_events}),
 c AS (SELECT 'job' || c_custkey AS job_id, c_nationkey * 3 AS cursor FROM customer)
-SELECT r.job_id, event_id, position FROM r JOIN c USING (job_id) WHERE position >= total - 500 AND position >= cursor""")
+SELECT r.job_id, event_id, position FROM r JOIN c USING (job_id) WHERE position >= cursor""")
 def event_cursor(t: Inputs):
     rows, _ = events.events_since(t.v_events, _cursors(t), _ORDER)
     return rows.select("job_id", "event_id", "position")
@@ -405,7 +402,7 @@ def job_expiry(t: Inputs):
 
 @query("latest_stage", """
 WITH s AS (SELECT * FROM {v_events} QUALIFY row_number() OVER (PARTITION BY job_id, stage ORDER BY ts DESC, event_id DESC) = 1)
-SELECT job_id, stage, event_id FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) <= 6""")
+SELECT job_id, stage, event_id FROM s""")
 def latest_stage(t: Inputs):
     return events.latest_per_stage(t.v_events, _ORDER).select("job_id", "stage", "event_id")
 
@@ -414,14 +411,14 @@ def latest_stage(t: Inputs):
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM
   (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5)""")
 def history_last5(t: Inputs):
-    return events.recent_history(t.conversations, "conv_id", "turn").select("conv_id", "turn", "place")
+    return events.recent_history(t.conversations, "conv_id", "turn", 5).select("conv_id", "turn", "place")
 
 
 @query("trace_pairs", r"""
 WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, text FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id, turn + 1 AS turn, CASE turn % 3 WHEN 0 THEN 'get_call_graph' WHEN 1 THEN 'search_code' ELSE 'get_file_content' END AS tool FROM conversations WHERE role = 'user')
 SELECT r.conv_id, step, coalesce(tool, 'unknown_tool') AS tool, CASE tool WHEN 'get_call_graph' THEN 'graph' WHEN 'search_code' THEN 'semantic' WHEN 'get_file_content' THEN 'file' ELSE 'agent' END AS kind,
-  CASE WHEN trim(text) = '' THEN 'Returned no visible output' WHEN text LIKE 'No %' THEN substr(string_split(text, chr(10))[1], 1, 180)
+  CASE WHEN trim(text) = '' THEN 'Returned no visible output' WHEN text LIKE 'No %' THEN string_split(text, chr(10))[1]
   ELSE 'Returned ' || len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) || ' lines of tool output' END AS summary
 FROM r LEFT JOIN c USING (conv_id, turn)""")
 def trace_pairs(t: Inputs):

@@ -138,7 +138,7 @@ def hybrid_rrf(t: Inputs):
 found AS (SELECT r.qid, r.chunk_id, r.rank, c.source_type, c.state FROM ranked r JOIN {v_chunks} c USING (chunk_id)
           WHERE r.rank < 10 AND c.source_type IN ('issue', 'pr') AND c.state = 'open')
 SELECT qid, chunk_id, source_type, state, n - 1 AS place FROM
-  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM found) WHERE n <= 5""")
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM found)""")
 def issue_postfilter(t: Inputs):
     from tessera.plans.search import keep_issues
 

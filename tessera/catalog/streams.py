@@ -35,13 +35,17 @@ def job_stream(t: Inputs):
     return quota.settle(progress.job_states(events), ["job_id"]).select("job_id", "status", "done")
 
 
+def _repo():
+    return F.concat(F.lit("org/"), F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "")).alias("repo")
+
+
 def push_events(t: Inputs):
     """Orders as pushes to five repositories; a line's flag says whether its part was added, modified or removed."""
     t = t.wide
     path = F.concat(F.lit("parts/"), "l_partkey", F.lit(".py"))
     of = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, path))
     lines = t.lineitem.groupBy("l_orderkey").agg(F.struct(of("N").alias("added"), of("A").alias("modified"), of("R").alias("removed")).alias("c"))
-    repo = F.concat(F.lit("org/"), F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", ""))
+    repo = _repo()
     return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("delivery_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("push").alias("event"),
         F.struct(repo.alias("full_name"), F.lit("n").alias("name"), F.struct(F.lit("org").alias("login")).alias("owner")).alias("repository"),
@@ -55,7 +59,7 @@ SELECT repo, path, action FROM x QUALIFY row_number() OVER (PARTITION BY repo, p
 
 
 def _targets(t: Inputs):
-    return push_events(t).select(F.col("repository.full_name").alias("repo")).distinct().withColumns({"user_id": F.lit("u1"), "is_public": F.lit(False)})
+    return t.orders.select(_repo()).distinct().withColumns({"user_id": F.lit("u1"), "is_public": F.lit(False)})
 
 
 @query("push_changes", _PUSHED)
@@ -65,20 +69,20 @@ def push_changes(t: Inputs):
 
 @query("push_stream", _PUSHED)
 def push_stream(t: Inputs):
-    """The same pushes delivered twice through files; redelivered ones are dropped by their id."""
+    """The pushes through files, a file a batch, the later half first and all of it twice: the last word goes by event time."""
     folder = os.path.join(checkpoint_root(t.spark), "pushes", uuid.uuid4().hex)
     pushes = push_events(t)
-    pushes.write.parquet(f"{folder}/in/first")
-    pushes.write.parquet(f"{folder}/in/second")
-    stream = t.spark.readStream.schema(pushes.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-    targets = _targets(t).persist()
+    late = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
+    for name, part in (("first", ~late), ("second", late), ("third", ~late)):
+        pushes.where(part).coalesce(1).write.parquet(f"{folder}/in/{name}")
+    stream = t.spark.readStream.schema(pushes.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    targets = _targets(t)
 
     def keep(batch, batch_id):
-        # A later batch holds later deliveries, so its word on a path wins.
-        changed = webhooks.push_changes(batch, targets).withColumn("batch", F.lit(batch_id))
+        changed = webhooks.push_changes(batch, targets)
         changed.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
 
-    webhooks.drop_redelivered(stream, "36500 days").writeStream.foreachBatch(keep).option(
+    stream.writeStream.foreachBatch(keep).option(
         "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     rows = t.spark.read.parquet(f"{folder}/out")
-    return rows.groupBy("repo", "path").agg(F.max_by("action", "batch").alias("action"))
+    return rows.groupBy("repo", "path").agg(F.max_by("action", F.struct("ts", "delivery_id", "action")).alias("action"))

@@ -157,6 +157,18 @@ SELECT doc_id, concat('import os, requests', chr(10), 'from .local.mod import x'
 FROM {documents}
 """)
 
+# JavaScript and Go sources around each document: its text stands in a comment over several lines and in raw strings, after
+# brackets that pair with nothing. `n` is how many lines the text has.
+view("v_brace", r"""
+SELECT doc_id, n,
+  concat('/* {{ (', chr(10), body, chr(10), '*/', chr(10), 'const note = `{{[', body, ' \\` (', '`;', chr(10), chr(10),
+    'export function f_', cast(doc_id AS string), '(a, b) {{', chr(10), '  const r = /[{{(\\]"', chr(39), '`]+\\/{{/g.test(a) ? "}}}}" : ', chr(39), '{{{{', chr(39), ';', chr(10),
+    '  return r; // }} }}', chr(10), '}}', chr(10), 'class C_', cast(doc_id AS string), ' extends Base {{', chr(10), '  m(x) {{', chr(10), '    return `}}', chr(36), '{{x}}`;', chr(10), '  }}', chr(10), '}}', chr(10)) AS js,
+  concat('package p', chr(10), 'var raw = `{{', body, '\\`', chr(10), '// }}', chr(10), 'func F', cast(doc_id AS string), '(x string) string {{', chr(10), chr(9), 'return x + `\\{{` + "{{"', chr(10), '}}', chr(10), chr(10),
+    'type T', cast(doc_id AS string), ' struct {{', chr(10), chr(9), 'a int', chr(10), '}}', chr(10)) AS go
+FROM (SELECT doc_id, replace(replace(replace(text, chr(96), ''), chr(92), ''), '*/', '') AS body, 1 + length(text) - length(replace(text, chr(10), '')) AS n FROM {documents})
+""")
+
 # Pages as scripts that import what the page links to.
 view("v_scripts", """
 SELECT page_id, concat('u', cast(page_id % 4 AS string)) AS user_id, concat('web/', cast(page_id AS string), '.js') AS path,

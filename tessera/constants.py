@@ -1,7 +1,6 @@
 """Fixed values.  They must be exactly these for results to agree with existing indexes."""
 
 # --- fixed values: file selection -------------------------------------------------
-MAX_FILE_BYTES = 500 * 1024
 CODE_EXTENSIONS = [".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".java", ".cs", ".rb", ".php"]
 DOC_EXTENSIONS = [".md", ".rst", ".txt", ".mdx"]
 CONFIG_EXTENSIONS = [".yaml", ".yml", ".json", ".toml", ".ini", ".env", ".ipynb"]
@@ -23,8 +22,6 @@ LANGUAGE_BY_EXTENSION = {
 # --- fixed values: chunking -------------------------------------------------------
 SECTION_MAX_CHARS = 1500
 WHOLE_DOC_MAX_CHARS = 2000
-MIN_TEXT_CHARS = 30
-MIN_DEFINITION_CHARS = 10
 LARGE_DEFINITION_LINES = 150
 WINDOW_LINES = 100
 WINDOW_OVERLAP = 20
@@ -33,7 +30,6 @@ WINDOW_OVERLAP = 20
 SPARSE_SPACE = 1_000_000
 FUSION_OFFSET = 60
 DEFAULT_TOP_K = 7
-EMBED_CHAR_LIMIT = 4000
 
 # --- fixed values: graph vocabulary -----------------------------------------------
 NODE_LABELS = [
@@ -51,7 +47,6 @@ PYTHON_STDLIB = [
     "ssl", "email", "base64", "configparser", "contextlib", "copy",
 ]
 HIDDEN_GRAPH_PROPERTIES = ["health_report", "health_report_commit_sha", "health_checked_at", "snapshot"]
-EXPLORE_EDGE_LIMIT = 300
 
 # --- fixed values: question routing -----------------------------------------------
 CALL_ROUTE_TERMS = ["calls", "called by", "call graph", "who calls", "what calls"]
@@ -87,9 +82,6 @@ EVIDENCE_PATTERNS = [
     ("config", "configuration surface"),
 ]
 EVIDENCE_FILLER_REASON = "representative indexed chunk"
-EVIDENCE_SAMPLE_ROWS = 120
-EVIDENCE_FILL_BELOW = 12
-EVIDENCE_MAX = 21
 REPORT_SECTION_TITLES = [
     "Overall Summary", "Architecture And Coupling Signals", "Security-Sensitive Areas To Review",
     "Secret Exposure Signals", "Dependency Surface", "Testing And Maintainability Signals",
@@ -98,11 +90,8 @@ REPORT_SECTION_TITLES = [
 
 # --- fixed values: jobs, events, limits -------------------------------------------
 TERMINAL_STATES = ["done", "error", "lost"]
-LOST_JOB_MESSAGE = "Ingest job state was lost. The backend may have restarted or the job expired."
-EVENTS_KEPT_PER_JOB = 500
+LOST_JOB_MESSAGE = "No events are known for this job."
 JOB_MAX_AGE_SECONDS = 3600
-HISTORY_KEPT = 5
-TOASTS_SHOWN = 6
 LIMITS = {
     "repo_count_limit": (2, "repos"),
     "repo_too_large": (500, "MB"),

@@ -1,61 +1,38 @@
-"""Nested configuration documents as `dotted.key = value` lines."""
+"""Nested JSON documents as `dotted.key = value` lines."""
 
 from __future__ import annotations
 
-import json
-import sys
-import tomllib
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
 
-# Tasks receive these helpers with the job, so workers need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tessera.functions.text import bind
 
+LEVELS = 12
 
-def _dotted_lines(document: dict) -> str:
-    lines: dict[str, object] = {}
-    stack = [("", iter(document.items()))]
-    while stack:
-        prefix, items = stack[-1]
-        for key, value in items:
-            name = prefix + key
-            if isinstance(value, dict):
-                stack.append((name + ".", iter(value.items())))
-                break
-            lines[name] = value
-        else:
-            stack.pop()
-    return "\n".join(f"{name} = {value}" for name, value in lines.items())
 
+def _entries(text: Column, prefix: Column) -> Column:
+    """array<struct<name, text, nested>> of an object's members, in their order; null if the text is no object."""
+    def member(e: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
+        plain = F.coalesce(F.when(kind.startswith("ARRAY"), F.to_json(e["value"])).otherwise(F.try_variant_get(e["value"], "$", "string")), F.lit("None"))
+        nested = kind.startswith("OBJECT")
+        shown = F.when(nested, F.to_json(e["value"])).when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+        return F.struct(F.concat(prefix, e["key"]).alias("name"), shown.alias("text"), nested.alias("nested"))
 
-def _render(text: str | None, loads) -> str | None:
-    if text is None:
-        return None
-    try:
-        document = loads(text)
-    except (ValueError, RecursionError):
-        return text
-    return _dotted_lines(document) if isinstance(document, dict) else text
+    return F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), member)
 
 
-def _lines_udf(loads):
-    def lines(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _render(t, loads))
+def flatten_json(text: Column, levels: int = LEVELS) -> Column:
+    """A JSON object's members as lines, in their order; objects below `levels` stay as JSON text.
 
-    return F.pandas_udf(lines, StringType())
+    Anything that is no object is returned unchanged.  Lists are shown as JSON, null as None, truth values as True and False.
+    """
+    rows = _entries(text, F.lit(""))
+    for _ in range(levels - 1):
+        rows = F.flatten(F.transform(rows, lambda e: F.when(e["nested"], _entries(e["text"], F.concat(e["name"], F.lit(".")))).otherwise(F.array(e))))
+    return bind(rows, lambda found: F.coalesce(F.array_join(F.transform(found, lambda e: F.concat(e["name"], F.lit(" = "), e["text"])), "\n"), text))
 
 
 def flatten_config(path: Column, text: Column) -> Column:
-    """JSON objects and TOML documents flattened; anything else, or invalid text, unchanged.
-
-    Only JSON and TOML rows carry their text to Python; the rest pass a null.
-    """
-    is_json, is_toml = path.endswith(".json"), path.endswith(".toml")
-    as_json = _lines_udf(json.loads)(F.when(is_json, text))
-    as_toml = _lines_udf(tomllib.loads)(F.when(is_toml, text))
-    return F.coalesce(as_json, as_toml, text)
+    """JSON files flattened, other configs as they are."""
+    return F.when(path.endswith(".json"), flatten_json(text)).otherwise(text)

@@ -27,17 +27,13 @@ def _globs_as_regex(globs: list[str]) -> str:
     return r"(?s)\A(?:" + "|".join(bodies) + r")\z"
 
 
-def is_indexable(path: Column, size: Column) -> Column:
-    """Whether a file belongs in the index: small enough, not generated or vendored, known extension."""
+def is_indexable(path: Column, size: Column | None = None, max_bytes: int | None = None) -> Column:
+    """Whether a file belongs in the index: not generated or vendored, known extension, and no larger than a given size."""
     leaf = leaf_name(path)
     excluded = _globs_as_regex(K.EXCLUDED_GLOBS)
     wanted = (leaf == ".env.example") | extension(path).isin(K.INDEXED_EXTENSIONS)
-    return (
-        (size <= K.MAX_FILE_BYTES)
-        & ~F.concat(F.lit("/"), path).rlike(excluded)
-        & ~leaf.rlike(excluded)
-        & wanted
-    )
+    kept = ~F.concat(F.lit("/"), path).rlike(excluded) & ~leaf.rlike(excluded) & wanted
+    return kept if max_bytes is None else kept & (size <= max_bytes)
 
 
 def _routed_extension(path: Column) -> Column:
@@ -140,12 +136,6 @@ def summarize_output(content: Column) -> Column:
     visible = F.size(F.filter(F.split(text, "\n"), lambda line: strip(line) != ""))
     return (
         F.when(text == "", "Returned no visible output")
-        .when(text.startswith("No "), F.substring(F.substring_index(text, "\n", 1), 1, 180))
+        .when(text.startswith("No "), F.substring_index(text, "\n", 1))
         .otherwise(F.concat(F.lit("Returned "), visible.cast("string"), F.lit(" lines of tool output")))
     )
-
-
-def has_no_data(content: Column) -> Column:
-    text = F.lower(strip(content))
-    markers = ["no call graph data found", "none found", "no pr history found", "not found in index"]
-    return (text == "") | text.startswith("no ") | contains_any(text, markers)

@@ -4,10 +4,9 @@ There is no grammar here.  Lines carry an indent (Python) or a bracket depth (Ja
 Go) obtained by running sums within a file; a definition line opens a block and the block ends with
 its indent or depth.  This is approximate: strings that hold triple quotes, several statements on one
 line, and continuation lines at the left margin can move a boundary.  A Python file whose triple
-quotes do not pair up is cut into line windows instead.
+quotes do not pair up, and a file whose brackets do not, is cut into line windows instead.
 
-A file is at most the indexing size limit, so its lines fit one task; every step after the first
-works on the files' own hash partitioning.
+A file's lines meet in one task; every step after the first works on the files' own hash partitioning.
 """
 
 from __future__ import annotations
@@ -39,20 +38,38 @@ _METHOD = (
 )
 _PY_DEF = r"^\s*(?:async\s+)?def\s+(\w+)"
 _PY_CLASS = r"^\s*class\s+(\w+)"
+_BRACE_GRAMMARS = ["javascript", "typescript", "tsx", "go"]
 _TRIPLE = "\"\"\"|'''"
 # Short strings and comments, with possessive loops so a long line cannot backtrack.
 _PY_NOISE = (
     r"(\"\"\"|''')|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|#(?!.*(?:\"\"\"|''')).*"
 )
-_BRACE_NOISE = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\\n])*+`|//.*|/\*(?:(?!\*/).)*\*/"
+# Comments, strings and (outside Go) regular expressions, which stand where a value may begin.  Loops run over single
+# characters, so long comments and strings need no stack; raw strings of Go know no escapes.
+_SHARED_NOISE = r"/\*(?s:.*?)\*/|//[^\r\n]*+|\"[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
+_GO_NOISE = _SHARED_NOISE + "|`[^`]*+`"
+_JS_NOISE = (
+    _SHARED_NOISE + r"|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
+    r"|(?:(?<=[(,=:\[!&|?{};+\-*%<>~^]\s{0,9})|(?<=\breturn\s{1,9})|(?<=^\s{0,9}))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\r\n])*+\]|[^/\\\[\r\n])++/[a-z]*+"
+)
+
+
+def without_noise(content: Column, noise: str) -> Column:
+    """The text with comments, strings and regular expressions cut out; their line ends stay, so lines keep their numbers."""
+    gaps = F.transform(F.regexp_extract_all(content, F.lit(noise), F.lit(0)), lambda x: F.regexp_replace(x, r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", ""))
+    return F.array_join(F.zip_with(F.split(content, noise, -1), gaps, lambda text, gap: F.concat(text, F.coalesce(gap, F.lit("")))), "")
 
 
 def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
-    """(key, grammar, *keep, n, line): 1-based lines of each file, placed by file."""
+    """(key, grammar, *keep, n, line, bare): 1-based lines of each file, placed by file; `bare` is the line without strings and
+    comments in languages with braces, else null."""
     columns = [key, "grammar", *(keep or [])]
     spread = files.select(*columns, "content").repartition(key)
-    rows = spread.select(*columns, F.posexplode(lines_with_ends(F.col("content"))).alias("_p", "line"))
-    return rows.select(*columns, (F.col("_p") + 1).alias("n"), "line")
+    text = F.col("content")
+    bare = F.when(F.col("grammar") == "go", without_noise(text, _GO_NOISE)).when(F.col("grammar").isin(_BRACE_GRAMMARS), without_noise(text, _JS_NOISE))
+    both = F.arrays_zip(lines_with_ends(text).alias("line"), F.coalesce(lines_with_ends(bare), F.array().cast("array<string>")).alias("bare"))
+    rows = spread.select(*columns, F.posexplode(both).alias("_p", "_l"))
+    return rows.select(*columns, (F.col("_p") + 1).alias("n"), "_l.line", "_l.bare")
 
 
 def _before(window, value: Column) -> Column:
@@ -136,10 +153,11 @@ def brace_blocks(lines: DataFrame, key: str = "fid") -> DataFrame:
     """As python_blocks, for JavaScript, TypeScript and Go in one pass; each line follows its file's grammar."""
     is_go = F.col("grammar") == "go"
     by_file = Window.partitionBy(key).orderBy("n")
-    code = F.regexp_replace(F.regexp_replace("line", r"[\r\n]+$", ""), _BRACE_NOISE, "")
-    df = lines.withColumn("code", F.when(code.rlike(r"^\s*/?\*"), "").otherwise(code))
+    df = lines.withColumn("code", F.regexp_replace(F.coalesce("bare", "line"), r"[\r\n]+$", ""))
     delta = F.regexp_count("code", F.lit(r"[{(\[]")) - F.regexp_count("code", F.lit(r"[})\]]"))
     df = df.withColumn("depth", _before(by_file, delta)).withColumn("after", F.col("depth") + delta)
+    # Brackets that do not pair up were not understood; such a file is cut into windows.
+    df = df.withColumn("_sum", F.sum(delta).over(Window.partitionBy(key))).where(F.col("_sum") == 0)
 
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for grammar, rules in _BRACE_RULES.items():
@@ -183,8 +201,12 @@ def brace_blocks(lines: DataFrame, key: str = "fid") -> DataFrame:
     )
 
 
-def _block_chunks(blocks: DataFrame, is_python: bool, key: str) -> DataFrame:
-    """One row per block: its text, lines, signature, and the shortened form of a large definition."""
+def _block_chunks(blocks: DataFrame, is_python: bool, key: str, min_chars: int = 1, shorten_above: int | None = None) -> DataFrame:
+    """One row per block: its whole text, lines, signature and docstring.
+
+    With `shorten_above`, definitions of more lines are indexed by signature and docstring alone and keep their text in
+    `full_body`.  `large_function` marks them either way.
+    """
     grouped = blocks.groupBy(key, "kind", "unit", "member").agg(
         F.first("definition").alias("definition"), F.first("class_name").alias("class_name"), F.first("function_name").alias("function_name"),
         F.min("n").alias("start_line"), F.max("n").alias("end_line"),
@@ -201,9 +223,9 @@ def _block_chunks(blocks: DataFrame, is_python: bool, key: str) -> DataFrame:
         signature, docstring = plain[0], F.lit(None).cast("string")
     definition = F.col("definition")
     large = definition & (F.col("end_line") - F.col("start_line") + 1 > K.LARGE_DEFINITION_LINES)
-    minimum = F.when(definition, K.MIN_DEFINITION_CHARS).otherwise(K.MIN_TEXT_CHARS)
-    rows = grouped.withColumns({"_body": body, "signature": signature, "_doc": docstring, "large_function": large})
-    rows = rows.where(F.length(strip(F.col("_body"))) >= minimum)
+    shortened = F.lit(False) if shorten_above is None else definition & (F.col("end_line") - F.col("start_line") + 1 > shorten_above)
+    rows = grouped.withColumns({"_body": body, "signature": signature, "_doc": docstring, "large_function": large, "_short": shortened})
+    rows = rows.where(F.length(strip(F.col("_body"))) >= min_chars)
     short = strip(F.concat_ws("\n", "signature", "_doc"))
     has_lines = F.col("kind") != "module_header"
     return rows.select(
@@ -214,16 +236,13 @@ def _block_chunks(blocks: DataFrame, is_python: bool, key: str) -> DataFrame:
         F.when(has_lines, F.col("signature")).alias("signature"),
         F.when(has_lines, F.col("start_line")).cast("int").alias("start_line"),
         F.when(has_lines, F.col("end_line")).cast("int").alias("end_line"),
-        F.when(F.col("large_function"), short).otherwise(strip(F.col("_body"))).alias("text"),
-        F.when(F.col("large_function"), F.col("_body")).alias("full_body"),
+        F.when(F.col("_short"), short).otherwise(strip(F.col("_body"))).alias("text"),
+        F.when(F.col("_short"), F.col("_body")).alias("full_body"),
         "large_function",
         F.lit("block").alias("chunking"),
     )
 
 
-_BRACE_GRAMMARS = ["javascript", "typescript", "tsx", "go"]
-
-
 def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     """Chunks of code files (columns: key, grammar, content): header, definitions, or line windows.
 

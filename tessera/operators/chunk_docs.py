@@ -67,14 +67,14 @@ def pack_paragraphs(text: Column, max_chars: int) -> Column:
     return F.aggregate(F.split(text, "\n\n+"), empty, step, finish)
 
 
-def _long_enough(parts: Column) -> Column:
-    return F.filter(parts, lambda p: has_min_chars(p["text"], K.MIN_TEXT_CHARS))
+def _long_enough(parts: Column, min_chars: int) -> Column:
+    return F.filter(parts, lambda p: has_min_chars(p["text"], min_chars))
 
 
-def doc_parts(text: Column, max_chars: int = K.SECTION_MAX_CHARS) -> Column:
+def doc_parts(text: Column, max_chars: int = K.SECTION_MAX_CHARS, min_chars: int = 1) -> Column:
     """Parts of a documentation file; a text without usable sections becomes one whole part.
 
-    Numbers in part titles count skipped short parts too.
+    Parts of fewer than `min_chars` characters are left out, by default empty ones only; numbers in part titles count them too.
     """
     def of_section(s: Column) -> Column:
         numbered = lambda body, i: part(
@@ -86,24 +86,24 @@ def doc_parts(text: Column, max_chars: int = K.SECTION_MAX_CHARS) -> Column:
             F.transform(pack_paragraphs(s["body"], max_chars), numbered)
         )
 
-    whole_file = _long_enough(F.array(part(strip(text), "whole_doc")))
+    whole_file = _long_enough(F.array(part(strip(text), "whole_doc")), min_chars)
     return bind(
-        _long_enough(F.flatten(F.transform(sections(text), of_section))),
+        _long_enough(F.flatten(F.transform(sections(text), of_section)), min_chars),
         lambda found: F.when(F.size(found) > 0, found).otherwise(whole_file),
     )
 
 
-def whole_parts(text: Column) -> Column:
+def whole_parts(text: Column, min_chars: int = 1) -> Column:
     """Issues, pull requests and configs: one part, or packed parts when oversized."""
     def of_text(t: Column) -> Column:
         packed = F.transform(pack_paragraphs(t, K.SECTION_MAX_CHARS), lambda body: part(strip(body), "whole_doc"))
         single = F.array(part(strip(t), "whole_doc"))
-        return _long_enough(F.when(F.length(t) <= K.WHOLE_DOC_MAX_CHARS, single).otherwise(packed))
+        return _long_enough(F.when(F.length(t) <= K.WHOLE_DOC_MAX_CHARS, single).otherwise(packed), min_chars)
 
     return bind(text, of_text)
 
 
-def window_parts(text: Column, size: int = K.WINDOW_LINES, overlap: int = K.WINDOW_OVERLAP) -> Column:
+def window_parts(text: Column, size: int = K.WINDOW_LINES, overlap: int = K.WINDOW_OVERLAP, min_chars: int = 1) -> Column:
     """Overlapping line windows; a short text is one whole part."""
     step = size - overlap
 
@@ -115,7 +115,7 @@ def window_parts(text: Column, size: int = K.WINDOW_LINES, overlap: int = K.WIND
         )
         many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), window)
         single = F.array(part(strip(F.array_join(lines, "")), "whole_doc", start=F.lit(1), end=n))
-        return _long_enough(F.when(n <= size, single).otherwise(many))
+        return _long_enough(F.when(n <= size, single).otherwise(many), min_chars)
 
     return bind(lines_with_ends(text), of_lines)
 

@@ -72,9 +72,9 @@ def register_embedder(name: str, fn: Callable[[list[str]], np.ndarray]) -> None:
 
 
 def embed_with(
-    texts: DataFrame, key: str, name: str, dim: int, text: str = "text", char_limit: int | None = K.EMBED_CHAR_LIMIT
+    texts: DataFrame, key: str, name: str, dim: int, text: str = "text", char_limit: int | None = None
 ) -> DataFrame:
-    """(key, dense) from a registered function.  `char_limit` is the input size the model accepts."""
+    """(key, dense) from a registered function, over whole texts unless `char_limit` names the input size its model accepts."""
     fn = _EMBEDDERS[name]
     body = F.coalesce(F.col(text), F.lit(""))
     body = body if char_limit is None else F.substring(body, 1, char_limit)

@@ -13,7 +13,7 @@ from tessera import constants as K
 from tessera.functions.routing import summarize_output, trace_kind
 
 
-def retained_events(events: DataFrame, order: list[str], keep: int = K.EVENTS_KEPT_PER_JOB) -> DataFrame:
+def retained_events(events: DataFrame, order: list[str], keep: int) -> DataFrame:
     """The last `keep` events per job with their 0-based position, and the job's offset and total."""
     totals = events.groupBy("job_id").agg(F.count("*").alias("total"))
     newest = Window.partitionBy("job_id").orderBy(*[F.col(c).desc() for c in order])
@@ -38,11 +38,11 @@ def job_status(events: DataFrame, order: list[str]) -> DataFrame:
 def events_since(events: DataFrame, cursors: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, heads) for readers at (job_id, cursor).
 
-    rows: retained events at or after the cursor.  heads: new cursor and done flag per reader; a job
-    nobody has heard of is `lost` and done.
+    rows: all events at or after the cursor, by their 0-based position in the job.  heads: new cursor and done flag per
+    reader; a job nobody has heard of is `lost` and done.  `order` is a time and a tie-break.
     """
-    kept = retained_events(events, order)
-    rows = cursors.join(kept, "job_id").where(F.col("position") >= F.greatest("cursor", "offset"))
+    numbered = number_in_time(events, "job_id", order, "position")
+    rows = cursors.join(numbered, "job_id").where(F.col("position") >= F.col("cursor"))
     totals = events.groupBy("job_id").agg(F.count("*").alias("new_cursor"))
     heads = (
         cursors.join(totals, "job_id", "left").join(job_status(events, order), "job_id", "left")
@@ -63,15 +63,17 @@ def live_jobs(jobs: DataFrame, now: Column, max_age_seconds: int = K.JOB_MAX_AGE
     return jobs.where(~(F.col("done") & (age > max_age_seconds)))
 
 
-def latest_per_stage(events: DataFrame, order: list[str], shown: int = K.TOASTS_SHOWN) -> DataFrame:
-    """The latest event of each stage, of those the `shown` newest per job."""
+def latest_per_stage(events: DataFrame, order: list[str], shown: int | None = None) -> DataFrame:
+    """The latest event of each stage; with `shown`, only that many newest ones per job."""
     last = Window.partitionBy("job_id", "stage").orderBy(*[F.col(c).desc() for c in order])
     per_stage = events.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1)
+    if shown is None:
+        return per_stage.drop("_n")
     newest = Window.partitionBy("job_id").orderBy(*[F.col(c).desc() for c in order])
     return per_stage.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= shown).drop("_n")
 
 
-def recent_history(messages: DataFrame, conv: str, order: str, keep: int = K.HISTORY_KEPT) -> DataFrame:
+def recent_history(messages: DataFrame, conv: str, order: str, keep: int) -> DataFrame:
     """The last `keep` messages of each conversation; place 0 is the oldest kept."""
     newest = Window.partitionBy(conv).orderBy(F.col(order).desc())
     tail = messages.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= keep)
@@ -79,6 +81,19 @@ def recent_history(messages: DataFrame, conv: str, order: str, keep: int = K.HIS
     return tail.withColumn("place", F.row_number().over(oldest_first) - 1).drop("_back")
 
 
+def number_in_time(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """0-based position of each row within its key by (time or number, tie-break); hours, or ten thousands, are numbered apart and shifted by the sizes of
+    earlier ones, so a key with very many rows spreads over tasks."""
+    numeric = rows.schema[order[0]].dataType.typeName() in ("integer", "long")
+    cut = rows.withColumn("_b", F.floor(F.col(order[0]) / 10_000) if numeric else F.date_trunc("hour", F.col(order[0])))
+    sizes = cut.groupBy(key, "_b").agg(F.count("*").alias("_s"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_s").over(before), F.lit(0))).select(F.col(key).alias("_k"), F.col("_b").alias("_h"), "_shift")
+    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1)
+    both = local.join(shifts, (F.col(key) == F.col("_k")) & F.col("_b").eqNullSafe(F.col("_h")))
+    return both.withColumn(out, F.col("_n") + F.col("_shift")).drop("_b", "_n", "_shift", "_k", "_h")
+
+
 def number_rows(rows: DataFrame, key: str, order: str, out: str, block: int = 10_000) -> DataFrame:
     """1-based position of each row within its key by an integer order column that is unique in the key.
 

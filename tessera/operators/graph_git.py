@@ -104,7 +104,7 @@ def commit_graph(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     file = raw_id(_branch(), F.col("f.filename"))
     nodes = _all([
         _node(commits, "Commit", commit, sha=F.col("sha"),
-              message=F.substring(F.coalesce(F.col("commit.message"), F.lit("")), 1, 200),
+              message=F.coalesce(F.col("commit.message"), F.lit("")),
               date=F.coalesce(F.col("commit.author.date"), F.lit(""))),
         people,
         _node(touched, "File", file, path=F.col("f.filename")),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera import constants as K
 from tessera.functions import props as P
 from tessera.functions.tenant import branch_or_main
 
 
-def first_rows(rows: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first `limit` rows of each group.  The limit is part of the answer's definition."""
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first `limit` rows of each group, or all of them without a limit."""
+    if limit is None:
+        return rows
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
@@ -25,7 +26,7 @@ def _scoped(nodes: DataFrame, repo: str | None, branch: str | None) -> DataFrame
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame, names: DataFrame, repo: str | None = None, branch: str | None = None,
-               limit: int = 20) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """(user_id, name, direction, other_name, other_repo): callers and callees of functions by name.
 
     `names`: user_id, name.  Both ends must belong to the asking tenant.
@@ -68,10 +69,10 @@ def matching_paths(nodes: DataFrame, needles: list[str]) -> DataFrame:
     return files.select("id", "user_id", "repo", "branch", "path", F.explode(hits).alias("needle"))
 
 
-def file_history(files: DataFrame, nodes: DataFrame, edges: DataFrame, by: list[str], limit: int = 10) -> DataFrame:
-    """(*by, pr_number, pr_title, pr_state, issue_number): newest pull requests per group of matched files.
+def file_history(files: DataFrame, nodes: DataFrame, edges: DataFrame, by: list[str], limit: int | None = None) -> DataFrame:
+    """(*by, pr_number, pr_title, pr_state, issue_number): pull requests per group of matched files, newest first.
 
-    `files`: id plus the `by` columns.  The limit counts rows before those without a pull request are
+    `files`: id plus the `by` columns.  A limit counts rows before those without a pull request are
     dropped: rows without one sort first and take places.
     """
     value = lambda k: F.try_element_at(F.col("props"), F.lit(k))
@@ -91,7 +92,7 @@ def file_history(files: DataFrame, nodes: DataFrame, edges: DataFrame, by: list[
     return newest.where(F.col("pr_number").isNotNull()).select(*by, "pr_number", "pr_title", "pr_state", "issue_number")
 
 
-def importers(nodes: DataFrame, edges: DataFrame, modules: DataFrame, limit: int = 20) -> DataFrame:
+def importers(nodes: DataFrame, edges: DataFrame, modules: DataFrame, limit: int | None = None) -> DataFrame:
     """(user_id, name, path): files that import each module.  `modules`: user_id, name."""
     wanted = nodes.where(F.col("label") == "Module").join(modules.distinct(), ["user_id", "name"])
     wanted = wanted.select(F.col("id").alias("dst"), "user_id", "name")
@@ -109,8 +110,8 @@ def declared_version(nodes: DataFrame, edges: DataFrame, modules: DataFrame) ->
     return used.groupBy("user_id", "name").agg(F.min("version").alias("version"))
 
 
-def repo_dependencies(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    """(repo_id, name): up to `limit` declared dependencies per repository, by name."""
+def repo_dependencies(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo_id, name): declared dependencies per repository, with a limit the first by name."""
     repos = nodes.where(F.col("label") == "Repository").select(F.col("id").alias("src"))
     deps = nodes.where(F.col("label") == "Dependency").select(F.col("id").alias("dst"), "name")
     rows = edges.where(F.col("rel_type") == "DEPENDS_ON").select("src", "dst").join(repos, "src", "left_semi").join(deps, "dst")
@@ -118,8 +119,8 @@ def repo_dependencies(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> Da
 
 
 def explore(nodes: DataFrame, edges: DataFrame, user_id: str, repo: str, branch: str | None = None,
-            center: str | None = None, depth: int = 1, limit: int = K.EXPLORE_EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(node rows, edge rows) of a repository's neighbourhood, at most `limit` edges in a fixed order.
+            center: str | None = None, depth: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node rows, edge rows) of a repository's neighbourhood; with a limit, its first edges in a fixed order.
 
     With a centre, only edges that touch a node whose name, path or id contains it; each further
     depth adds the edges that touch the nodes reached so far.
@@ -140,14 +141,14 @@ def explore(nodes: DataFrame, edges: DataFrame, user_id: str, repo: str, branch:
                 local.join(reached.withColumnRenamed("id", "dst"), "dst", "left_semi"))
             chosen = touching.dropDuplicates(["src", "rel_type", "dst"])
             reached = chosen.select(F.col("src").alias("id")).union(chosen.select("dst")).distinct()
-    links = chosen.orderBy("src", "rel_type", "dst").limit(limit)
+    links = chosen if limit is None else chosen.orderBy("src", "rel_type", "dst").limit(limit)
     ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     found = inside.join(ends, "id", "left_semi").withColumn("props", P.visible_properties(F.col("props")))
     return found, links.withColumn("props", P.visible_properties(F.col("props")))
 
 
-def explore_all(nodes: DataFrame, edges: DataFrame, limit: int = K.EXPLORE_EDGE_LIMIT) -> DataFrame:
-    """The one-hop neighbourhood of every (tenant, repository) at once: its first `limit` edges."""
+def explore_all(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """The one-hop neighbourhood of every (tenant, repository) at once."""
     ends = nodes.select("id", "user_id", "repo")
     src = ends.select(F.col("id").alias("src"), "user_id", "repo")
     dst = ends.select(F.col("id").alias("dst"), F.col("user_id").alias("_u"), F.col("repo").alias("_r"))
@@ -157,7 +158,7 @@ def explore_all(nodes: DataFrame, edges: DataFrame, limit: int = K.EXPLORE_EDGE_
     return first_rows(local, ["user_id", "repo"], order, limit).select("user_id", "repo", "src", "rel_type", "dst")
 
 
-def hub_files(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+def hub_files(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """(user_id, repo, id, degree): most connected files per repository; a self loop counts once."""
     files = nodes.where(F.col("label") == "File").select("id", "user_id", "repo")
     ends = edges.select(F.col("src").alias("id")).unionByName(
@@ -168,7 +169,7 @@ def hub_files(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
         "user_id", "repo", "id", "degree")
 
 
-def most_imported(nodes: DataFrame, edges: DataFrame, label: str = "File", limit: int = 5) -> DataFrame:
+def most_imported(nodes: DataFrame, edges: DataFrame, limit: int, label: str = "File") -> DataFrame:
     """(user_id, repo, id, import_count): targets imported by most files, per repository."""
     targets = nodes.where(F.col("label") == label).select("id", "user_id", "repo")
     counts = edges.where(F.col("rel_type") == "IMPORTS").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("import_count"))

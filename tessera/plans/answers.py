@@ -124,7 +124,6 @@ def file_history_answers(nodes: DataFrame, edges: DataFrame, needles: list[str],
     closes = F.when(F.col("issue_number").isNotNull(), F.concat(F.lit(" (Closes Issue #"), F.col("issue_number").cast("string"), F.lit(")"))).otherwise("")
     line = F.concat(F.lit("- PR #"), F.col("pr_number").cast("string"), F.lit(" ("), F.coalesce("pr_state", F.lit("None")), F.lit("): "),
                     F.coalesce("pr_title", F.lit("None")), closes, F.lit("\n"))
-    # At most ten rows per needle.
     order = F.struct((-F.col("pr_number")).alias("o"), F.col("issue_number"), line.alias("line"))
     texts = found.groupBy("needle").agg(F.array_sort(F.collect_list(order)).alias("_l"))
     asked = nodes.sparkSession.createDataFrame([(n,) for n in needles], "needle string")

@@ -23,7 +23,7 @@ def register_chunker(language: str, parts: Callable[[Column], Column]) -> None:
 
 def prepare_files(files: DataFrame) -> DataFrame:
     """Eligible files, redacted and classified.  `raw_content` keeps manifests in their own syntax."""
-    kept = files.where(routing.is_indexable(F.col("path"), F.col("size")))
+    kept = files.where(routing.is_indexable(F.col("path")))
     sha = F.coalesce(F.col("file_sha"), identity.content_sha(F.col("content")))
     safe = kept.withColumn("file_sha", sha).withColumn("secrets", redact.count_secrets(F.col("content")))
     safe = safe.withColumn("raw_content", redact.redact(F.col("content")))

@@ -17,46 +17,43 @@ def sample_rows(chunks: DataFrame, by: list[str], limit: int) -> DataFrame:
     return sampled.withColumn("place", F.col("_n") - 1).drop("_n")
 
 
-def pick_evidence(chunks: DataFrame) -> DataFrame:
-    """(repo key, place, reason, chunk columns): evidence rows of each repository branch.
+def pick_evidence(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """(repo key, place, reason, chunk_id, file_path): one row per path of each repository branch.
 
-    Patterns take turns in fixed order, each picking the first sampled row whose path matches and was
-    not picked before; a short list is filled with other paths.  At most 120 sampled rows per branch
-    are handled in one array.
+    Patterns take turns in fixed order, each picking the first path (by its first chunk) that matches and was not picked
+    before; all other paths follow in that order.  With `most`, only that many rows per branch.  A pattern can lose at most
+    one path to each pattern before it, so only that many of its first matches are looked at together.
     """
-    sampled = sample_rows(chunks, REPO, K.EVIDENCE_SAMPLE_ROWS)
-    row = F.struct("place", "chunk_id", "file_path", F.lower("file_path").alias("lowered"))
-    grouped = sampled.groupBy(*REPO).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    rows = F.col("rows")
-
-    empty = F.array().cast("array<struct<reason:string,chunk_id:string,file_path:string>>")
-    typed = lambda reason, r: F.struct(reason.alias("reason"), r["chunk_id"].cast("string").alias("chunk_id"), r["file_path"].alias("file_path"))
-    patterns = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("reason")) for p, r in K.EVIDENCE_PATTERNS])
-    unseen = lambda picked, r: ~F.exists(picked, lambda x: x["file_path"] == r["file_path"])
-
-    def pick(acc: Column, pattern: Column) -> Column:
-        match = F.filter(rows, lambda r: r["lowered"].contains(pattern["p"]) & unseen(acc, r))
-        return F.when(F.size(match) > 0, F.array_append(acc, typed(pattern["reason"], match[0]))).otherwise(acc)
-
-    def fill(acc: Column, r: Column) -> Column:
-        room = (F.size(acc) < K.EVIDENCE_MAX) & unseen(acc, r)
-        return F.when(room, F.array_append(acc, typed(F.lit(K.EVIDENCE_FILLER_REASON), r))).otherwise(acc)
-
-    picked = grouped.withColumn("_p", F.aggregate(patterns, empty, pick))
-    filled = picked.withColumn("_p", F.when(F.size("_p") < K.EVIDENCE_FILL_BELOW, F.aggregate(rows, F.col("_p"), fill)).otherwise(F.col("_p")))
-    out = filled.select(*REPO, F.posexplode("_p").alias("place", "_e"))
-    return out.select(*REPO, "place", "_e.reason", "_e.chunk_id", "_e.file_path")
-
-
-def evidence_rows(picked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Picked rows with line range, excerpt and whether they show a redaction."""
+    first = chunks.groupBy(*REPO, "file_path").agg(F.min("chunk_id").alias("chunk_id"))
+    reasons = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(r).alias("reason")) for i, (p, r) in enumerate(K.EVIDENCE_PATTERNS)])
+    matches = first.withColumn("_r", F.explode(F.filter(reasons, lambda r: F.lower("file_path").contains(r["p"]))))
+    early = Window.partitionBy(*REPO, "_r.i").orderBy("chunk_id")
+    few = matches.withColumn("_n", F.row_number().over(early)).where(F.col("_n") <= len(K.EVIDENCE_PATTERNS))
+    packed = few.groupBy(*REPO).agg(F.array_sort(F.collect_list(F.struct("_r.i", "_n", "_r.reason", F.col("chunk_id").cast("string").alias("chunk_id"), "file_path"))).alias("_m"))
+
+    def pick(acc: Column, row: Column) -> Column:
+        free = ~F.exists(acc, lambda x: (x["i"] == row["i"]) | (x["file_path"] == row["file_path"]))
+        return F.when(free, F.array_append(acc, row)).otherwise(acc)
+
+    picked = packed.withColumn("_p", F.aggregate("_m", F.slice("_m", 1, 0), pick))
+    chosen = picked.select(*REPO, F.posexplode("_p").alias("place", "_e")).select(*REPO, "place", "_e.reason", "_e.chunk_id", "_e.file_path")
+    sizes = picked.select(*REPO, F.size("_p").alias("_k"))
+    rest = first.join(chosen.select(*REPO, "file_path"), [*REPO, "file_path"], "left_anti").join(sizes, REPO, "left")
+    order = F.row_number().over(Window.partitionBy(*REPO).orderBy("chunk_id")) - 1
+    filler = rest.select(*REPO, (order + F.coalesce("_k", F.lit(0))).alias("place"), F.lit(K.EVIDENCE_FILLER_REASON).alias("reason"), F.col("chunk_id").cast("string").alias("chunk_id"), "file_path")
+    out = chosen.unionByName(filler)
+    return out if most is None else out.where(F.col("place") < most)
+
+
+def evidence_rows(picked: DataFrame, chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Picked rows with line range, text (an excerpt with `max_chars`) and whether they show a redaction."""
     body = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", "start_line", "end_line", "source_type", "language", "security_censored")
     both = F.coalesce(F.col("start_line"), F.lit(0)) * F.coalesce(F.col("end_line"), F.lit(0)) != 0
     span = F.when(both, F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")))
     censored = F.coalesce(F.col("security_censored"), F.lit(False)) | F.col("text").contains("[REDACTED]")
     return picked.join(body, "chunk_id").select(
         *REPO, "place", "reason", "file_path", span.alias("line_range"), "source_type", "language",
-        F.substring("text", 1, 900).alias("excerpt"), censored.alias("secret_signal"))
+        (F.col("text") if max_chars is None else F.substring("text", 1, max_chars)).alias("excerpt"), censored.alias("secret_signal"))
 
 
 def health_signals(evidence: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFrame:
@@ -71,13 +68,14 @@ def health_signals(evidence: DataFrame, nodes: DataFrame, rels: DataFrame) -> Da
     return totals.join(node_text, REPO, "left").join(rel_text, REPO, "left")
 
 
-def readme_pick(chunks: DataFrame) -> DataFrame:
-    """(repo key, readme): the first readme among the 20 first docs rows, else the first docs row, cut for a prompt."""
-    docs = sample_rows(chunks.where(F.col("source_type") == "docs"), REPO, 20)
+def readme_pick(chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(repo key, readme): the first readme among the docs rows, else the first docs row; `max_chars` shortens it for a prompt."""
+    docs = chunks.where(F.col("source_type") == "docs")
     named = F.lower("file_path").contains("readme")
     first = docs.groupBy(*REPO).agg(
-        F.min_by("text", F.when(named, F.col("place"))).alias("_readme"), F.min_by("text", "place").alias("_first"))
-    return first.select(*REPO, F.coalesce(F.nullif(F.substring("_readme", 1, 2000), F.lit("")), F.substring("_first", 1, 1500)).alias("readme"))
+        F.min_by("text", F.when(named, F.col("chunk_id"))).alias("_readme"), F.min_by("text", "chunk_id").alias("_first"))
+    text = F.coalesce(F.nullif("_readme", F.lit("")), "_first")
+    return first.select(*REPO, (text if max_chars is None else F.substring(text, 1, max_chars)).alias("readme"))
 
 
 def _listed(array: Column, line) -> Column:

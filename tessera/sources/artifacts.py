@@ -1,11 +1,11 @@
-"""Text artefacts (snapshots, health reports) keyed by tenant, repository, branch and commit."""
+"""Text artefacts (snapshots, health reports) keyed by kind, tenant, repository, branch and commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["user_id", "repo", "branch", "commit_sha"]
+KEY = ["kind", "user_id", "repo", "branch", "commit_sha"]
 
 
 def fresh_artifacts(artifacts: DataFrame, now: Column, ttl_seconds: int | None) -> DataFrame:
@@ -25,4 +25,5 @@ def lookup(requests: DataFrame, artifacts: DataFrame, fallback: Column | None =
 
 
 def append_artifact(artifacts: DataFrame, path: str) -> None:
+    """Adds artefacts (kind, tenant, repository, branch, commit_sha, text, written_at) to a table partitioned by kind."""
     artifacts.write.mode("append").partitionBy("kind").parquet(path)

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import constants as K
 from tessera.functions.identity import content_sha
 
 
-def read_checkout(spark: SparkSession, root: str) -> DataFrame:
+def read_checkout(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Every file under `root`: relative path, byte size, repaired UTF-8 text and its hash.
 
-    Files above the size limit keep their row but carry no text; the size test comes before
-    the bytes are decoded.
+    With `max_bytes` larger files are left out by a filter on the length, before their bytes are read.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    text = F.when(F.col("length") <= K.MAX_FILE_BYTES, F.make_valid_utf8(F.col("content").cast("string")))
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     uri = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     folder = "/" + base.split("://")[-1].lstrip("/") + "/"
     relative = F.substr(uri, F.lit(len(folder) + 1))

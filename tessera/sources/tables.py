@@ -11,16 +11,17 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera import schemas
 from tessera.functions.tenant import branch_or_main, tenant_prefix
 from tessera.session import checkpoint_root
 
 CHUNK_PARTITIONS = ["tenant", "p_repo", "p_branch"]
-NODE_PARTITIONS = ["tenant", "p_label"]
-EDGE_PARTITIONS = ["tenant", "p_rel"]
+NODE_PARTITIONS = ["tenant", "p_repo", "p_label"]
+EDGE_PARTITIONS = ["tenant", "p_repo", "p_rel"]
 
 
 def with_chunk_partitions(chunks: DataFrame) -> DataFrame:
@@ -33,13 +34,19 @@ def with_chunk_partitions(chunks: DataFrame) -> DataFrame:
 
 def with_node_partitions(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({
-        "tenant": tenant_prefix(F.col("user_id"), F.col("is_public")), "p_label": F.col("label"),
+        "tenant": tenant_prefix(F.col("user_id"), F.col("is_public")), "p_repo": F.coalesce("repo", F.lit("-")), "p_label": F.col("label"),
     })
 
 
+def _edge_repo(src: Column) -> Column:
+    """The repository in a scoped id (tenant, repository, branch, ...); an id without a branch belongs to none."""
+    parts = F.split(src, "::")
+    return F.when(F.size(parts) > 2, parts[1]).otherwise("-")
+
+
 def with_edge_partitions(edges: DataFrame) -> DataFrame:
     return edges.withColumns({
-        "tenant": F.substring_index(F.col("src"), "::", 1), "p_rel": F.col("rel_type"),
+        "tenant": F.substring_index(F.col("src"), "::", 1), "p_repo": _edge_repo(F.col("src")), "p_rel": F.col("rel_type"),
     })
 
 
@@ -58,26 +65,25 @@ def _names(ddl: str) -> list[str]:
 
 
 def _with_partition_columns(ddl: str, path: str) -> str:
-    extra = {"chunks": CHUNK_PARTITIONS, "nodes": NODE_PARTITIONS, "edges": EDGE_PARTITIONS}
+    extra = {"chunks": CHUNK_PARTITIONS, "chunks_marks": CHUNK_PARTITIONS, "nodes": NODE_PARTITIONS, "edges": EDGE_PARTITIONS}
     columns = extra.get(os.path.basename(path.rstrip("/")), [])
     return ddl + "".join(f", {c} string" for c in columns)
 
 
-def replace_partitions(new_content: DataFrame, path: str, partitions: list[str], touched: DataFrame | None = None) -> None:
-    """Write the complete new content of the partitions that occur in `new_content`.
+def replace_partitions(new_content: DataFrame, path: str, partitions: list[str], touched: DataFrame) -> None:
+    """Write the complete new content of the partitions named by `touched` and those that occur in `new_content`.
 
-    `touched` names partitions whose old content must go even if nothing replaces it.  The rebalance
-    hint sizes output files and splits a hot partition over several tasks.
+    Partitions of `touched` that nothing replaces are removed, after the new content stands, so a reader may see a removed
+    partition a little longer but never misses one.  The rebalance hint sizes output files and splits a hot partition over
+    several tasks.
     """
     spark = new_content.sparkSession
     staged = os.path.join(checkpoint_root(spark), "staged", uuid.uuid4().hex)
     new_content.write.parquet(staged)
     content = spark.read.parquet(staged)
-    emptied = []
-    if touched is not None:
-        emptied = touched.select(*partitions).distinct().join(content, partitions, "left_anti").toLocalIterator()
-    for row in emptied:
-        _drop_partition(spark, path, row.asDict())
+    gone = touched.select(*partitions).distinct().join(content.select(*partitions).distinct(), partitions, "left_anti")
+    gone_staged = f"{staged}-gone"
+    gone.write.parquet(gone_staged)
     (
         content.hint("rebalance", *partitions)
         .write.mode("overwrite")
@@ -85,6 +91,10 @@ def replace_partitions(new_content: DataFrame, path: str, partitions: list[str],
         .partitionBy(*partitions)
         .parquet(path)
     )
+    for row in spark.read.schema(gone.schema).parquet(gone_staged).toLocalIterator():
+        _drop_partition(spark, path, row.asDict())
+    for folder in (staged, gone_staged):
+        _drop_partition(spark, folder, {})
 
 
 def _drop_partition(spark: SparkSession, path: str, values: dict[str, str]) -> None:
@@ -107,14 +117,22 @@ def drop_all(spark: SparkSession, path: str, ddl: str, partitions: list[str]) ->
     empty.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the (tenant, repository, branch) partitions that `chunks` covers completely."""
-    replace_partitions(with_chunk_partitions(chunks), path, CHUNK_PARTITIONS)
+def write_chunks(chunks: DataFrame, path: str, before: DataFrame | None = None) -> None:
+    """Replace the (tenant, repository, branch) partitions of `before`, the rows they replace, by those of `chunks`.
+
+    Without `before` the whole table as it stands is replaced.
+    """
+    _write(chunks, path, before, schemas.CHUNKS, CHUNK_PARTITIONS, with_chunk_partitions)
+
+
+def write_nodes(nodes: DataFrame, path: str, before: DataFrame | None = None) -> None:
+    _write(nodes, path, before, schemas.NODES, NODE_PARTITIONS, with_node_partitions)
 
 
-def write_nodes(nodes: DataFrame, path: str) -> None:
-    replace_partitions(with_node_partitions(nodes), path, NODE_PARTITIONS)
+def write_edges(edges: DataFrame, path: str, before: DataFrame | None = None) -> None:
+    _write(edges, path, before, schemas.EDGES, EDGE_PARTITIONS, with_edge_partitions)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    replace_partitions(with_edge_partitions(edges), path, EDGE_PARTITIONS)
+def _write(rows: DataFrame, path: str, before: DataFrame | None, ddl: str, partitions: list[str], place) -> None:
+    old = place(read_table(rows.sparkSession, path, ddl) if before is None else before)
+    replace_partitions(place(rows), path, partitions, old)

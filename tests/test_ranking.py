@@ -71,7 +71,8 @@ def test_own_embedder(spark):
     dense.register_embedder("length", lambda texts: np.array([[len(x), 1.0] for x in texts]))
     df = spark.createDataFrame([(1, "abc"), (2, "x" * 5000), (3, None)], "chunk_id long, text string")
     got = {r["chunk_id"]: list(r["dense"]) for r in dense.embed_with(df, "chunk_id", "length", 2).collect()}
-    assert got == {1: [3.0, 1.0], 2: [4000.0, 1.0], 3: [0.0, 1.0]}
+    assert got == {1: [3.0, 1.0], 2: [5000.0, 1.0], 3: [0.0, 1.0]}
+    assert [r["dense"][0] for r in dense.embed_with(df.where("chunk_id = 2"), "chunk_id", "length", 2, char_limit=4000).collect()] == [4000.0]
 
 
 def test_row_numbers_across_blocks(spark):
