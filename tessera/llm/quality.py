@@ -101,8 +101,9 @@ def fit(labelled: DataFrame, *, label: str = "quality", trees: int = 12, depth:
     from pyspark.ml.feature import VectorAssembler
 
     features = [f"s_{s}" for s in STATS]
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = statistics(rows.orderBy(F.xxhash64("text"), "y").limit(most)).coalesce(1).persist()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = statistics(labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.xxhash64(text).alias("h"), text.alias("text")))
+    sample = rows.orderBy("h", "y").limit(most).drop("h").coalesce(1).persist()
     try:
         share = sample.agg(F.count("y").alias("n"), F.avg("y").alias("p")).first()
         if not share["n"] or share["p"] in (0.0, 1.0):
