@@ -86,7 +86,7 @@ def rollback_run(t: Inputs):
 WITH d AS (SELECT f.*, CASE WHEN p.path IS NULL THEN 'new' WHEN p.file_sha = sha1(f.content) THEN 'unchanged' ELSE 'changed' END AS status
   FROM {v_files} f LEFT JOIN {v_prev} p USING (user_id, repo, branch, path))
 SELECT user_id, repo, path, CASE WHEN status = 'unchanged' THEN 'run1' ELSE 'run2' END AS run, 1::BIGINT AS chunks
-FROM d WHERE length(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')) >= 30""")
+FROM d WHERE length(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '')) >= 1""")
 def incremental_refresh(t: Inputs):
     from tessera.plans.ingest import refresh_chunks
 
