@@ -95,7 +95,7 @@ def _keys(edits: int, least: int, shards: int):
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text"), 1 << 23):
+            for _, _, data, offsets in slices(batch.column("text")):
                 starts, ends, _, _ = _bounds(data, offsets)
                 use = np.flatnonzero(ends - starts >= least)
                 if not len(use):
