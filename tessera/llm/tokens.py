@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 CACHED_BYTES = 64
 BULK = 100
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
