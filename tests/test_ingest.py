@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_code import JS_MIXED, PY_BASIC
 
 from tessera import schemas
+from tessera.catalog import QUERIES
 from tessera.operators import maintenance
 from tessera.plans import answers, ingest, overview, search
 from tessera.sources import artifacts, tables
@@ -305,3 +306,34 @@ def test_progress_log_and_late_rows(spark):
     assert [(r["total"], r["over_limit"]) for r in done] == [(2, True), (2, True)]
     progress.append_log(spark.readStream.schema(ddl).option("recursiveFileLookup", "true").parquet(f"{root}/in"), f"{root}/log", f"{root}/lcp").awaitTermination()
     assert spark.read.parquet(f"{root}/log").count() == 5
+
+
+def test_daily_totals_count_late_rows(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    ddl = "user_id string, ts timestamp"
+    add = lambda name, day: spark.createDataFrame([("u", day)], ddl).coalesce(1).write.parquet(f"{root}/in/{name}")
+    for i, day in enumerate((1, 1, 9, 9, 1)):
+        add(i, datetime(2024, 1, day))
+
+    def totals():
+        stream = spark.readStream.schema(ddl).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        done = quota.daily_totals(stream, ["user_id"], 2, f"{root}/q").orderBy("day")
+        return [(str(r["day"]), r["total"], r["over_limit"]) for r in done.collect()]
+
+    assert totals() == [("2024-01-01", 3, True), ("2024-01-09", 2, False)]
+    # A later run goes on from the last one, and a run without new files changes nothing.
+    add(5, datetime(2023, 12, 31, 23, 59, 59))
+    again = totals()
+    assert again == [("2023-12-31", 1, False), ("2024-01-01", 3, True), ("2024-01-09", 2, False)]
+    assert totals() == again
+
+
+def test_quota_query_reads_late_files_in_several_batches(spark, folder, monkeypatch):
+    seen = []
+    totals = quota.daily_totals
+    monkeypatch.setattr(quota, "daily_totals", lambda requests, key, limit, at: (seen.append(at), totals(requests, key, limit, at))[1])
+    rows = QUERIES["quota_stream"](spark, folder)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    assert rows.agg(F.sum("total")).first()[0] == events.count()
+    batches = spark.read.parquet(f"{seen[0]}/rows").groupBy("batch").agg(F.min("day").alias("day")).orderBy("batch").collect()
+    assert len(batches) > 1 and batches[0]["day"] > batches[-1]["day"]
