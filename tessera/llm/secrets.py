@@ -24,6 +24,7 @@ ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_.=-
 SYMBOLS = len(ALPHABET) + 1  # 0: the start, and any other character
 BLOCK = 256
 SAMPLED = 20_000  # labelled strings of each kind that the models learn from, at most
+LEAST = 16  # characters of a `markov` span, at least
 UNIT = 1000  # log ratios are kept in thousandths, so sums are exact in any order
 
 
@@ -125,22 +126,75 @@ def score(value: Column, model: list[int]) -> Column:
     return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), state, step, lambda s: s["sum"])
 
 
+PLACES = "array<struct<start:bigint,end:bigint>>"
+
+
+def _apart(run: Column, base: Column) -> Column:
+    """What is left of a run outside the base spans (in order), in pieces of LEAST or more characters."""
+    none = F.array().cast(PLACES)
+    piece = lambda a, b: F.when(b - a >= LEAST, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(none)
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+        F.struct(run["start"].alias("at"), none.alias("out")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out")),
+        lambda s: F.concat(s["out"], piece(s["at"], run["end"])),
+    )
+
+
+def stretches(value: Column, model: list[int], least_total: int, least_mean: int) -> Column:
+    """Start and end of every random stretch of a string, in one pass over its characters.
+
+    A stretch begins where the running sum of (log ratio - least_mean) leaves zero. It is closed when that sum is back at zero or
+    has fallen by least_total from its maximum, and ends at the maximum over LEAST or more characters. So whatever raises the
+    sum by more than least_total is in a stretch, or cut by the end of one. It counts if its log ratio reaches least_total.
+    """
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
+    zero = F.lit(0).cast("long")
+    none = F.array().cast(PLACES)
+    # top: the maximum so far; best, end: that over LEAST or more characters, and where it is.
+    fields = ["last", "at", "begin", "sum", "top", "best", "end", "out"]
+    state = lambda *values: F.struct(*(v.alias(n) for n, v in zip(fields, values)))
+
+    def closed(s):
+        size = s["end"] - s["begin"]
+        counts = (size >= LEAST) & (s["best"] >= 0) & (s["best"] + least_mean * size >= least_total)
+        return F.when(counts, F.concat(s["out"], F.array(F.struct(s["begin"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s, c):
+        code = F.instr(F.lit(ALPHABET), c)
+        at = s["at"] + 1
+        now = s["sum"] + F.get(table, s["last"] * SYMBOLS + code) - least_mean
+        over = (now <= 0) | (s["top"] - now >= least_total)
+        further = (now > s["best"]) | (at - s["begin"] <= LEAST)
+        fresh = lambda restart, value: F.when(over, restart).otherwise(value)
+        return state(
+            code, at, fresh(at, s["begin"]), fresh(zero, now), fresh(zero, F.greatest(s["top"], now)),
+            fresh(zero, F.when(further, now).otherwise(s["best"])), fresh(at, F.when(further, at).otherwise(s["end"])), F.when(over, closed(s)).otherwise(s["out"]),
+        )
+
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.aggregate(chars, state(F.lit(0), zero, zero, zero, zero, zero, zero, none), step, closed)
+
+
 def scan(docs: DataFrame, model: list[int], *, least_total: int = 10 * UNIT, least_mean: int = UNIT // 4) -> DataFrame:
     """doc_id, text, `base` and `spans`: arrays of (start, kind, end), ordered by start and kind.
 
-    A run of 16 or more key characters is a `markov` span if its log ratio reaches `least_total` and `least_mean` per
-    character, and it touches no base span.
+    Base spans are cut out of the runs of key characters. A piece of 16 or more is a `markov` span if its log ratio reaches
+    `least_total` and `least_mean` per character; of any other piece those stretches are that do.
     """
-    df = _found(base_spans(docs), "markov", CANDIDATE, 0, 16)
+    df = _found(base_spans(docs), "markov", CANDIDATE, 0, LEAST)
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["start"], x["kind"], x["end"]))
     df = df.withColumns({"base": F.array_sort(bare(F.flatten(F.array("assign", "access", "hex"))))})
-    likely = F.filter(
-        F.transform("markov", lambda x: F.struct(x["start"], x["kind"], x["end"], score(x["value"], model).alias("sum"))),
-        lambda x: (x["sum"] >= least_total) & (x["sum"] >= least_mean * (x["end"] - x["start"])),
-    )
+    part = lambda x, p: F.substring(x["value"], (p["start"] - x["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))
+    df = df.withColumn("piece", F.flatten(F.transform("markov", lambda x: F.transform(
+        _apart(x, F.col("base")), lambda p: F.struct(p["start"], p["end"], part(x, p).alias("value"))))))
+    df = df.withColumn("piece", F.transform("piece", lambda p: F.struct(p["start"], p["end"], p["value"], score(p["value"], model).alias("sum"))))
+    span = lambda a, b: F.struct(a.alias("start"), F.lit(KINDS.index("markov")).alias("kind"), b.alias("end"))
+    likely = F.flatten(F.transform("piece", lambda p: F.when(
+        (p["sum"] >= least_total) & (p["sum"] >= least_mean * (p["end"] - p["start"])), F.array(span(p["start"], p["end"])),
+    ).otherwise(F.transform(stretches(p["value"], model, least_total, least_mean), lambda q: span(p["start"] + q["start"], p["start"] + q["end"])))))
     df = df.withColumn("likely", likely)
-    apart = F.filter("likely", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return df.select("doc_id", "text", "assign", "access", "hex", "base", F.array_sort(F.concat("base", bare(apart))).alias("spans"))
+    return df.select("doc_id", "text", "assign", "access", "hex", "base", F.array_sort(F.concat("base", "likely")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
