@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import bind
 
-LEVELS = 12
+UNROLLED = 12  # levels that every text goes through; deeper ones cost only those that have them
 
 
 def _entries(text: Column, prefix: Column) -> Column:
@@ -22,14 +22,31 @@ def _entries(text: Column, prefix: Column) -> Column:
     return F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), member)
 
 
-def flatten_json(text: Column, levels: int = LEVELS) -> Column:
-    """A JSON object's members as lines, in their order; objects below `levels` stay as JSON text.
+def _opened(rows: Column) -> Column:
+    """Members that are objects replaced by their own members."""
+    return F.flatten(F.transform(rows, lambda e: F.when(e["nested"], _entries(e["text"], F.concat(e["name"], F.lit(".")))).otherwise(F.array(e))))
 
-    Anything that is no object is returned unchanged.  Lists are shown as JSON, null as None, truth values as True and False.
+
+def _all_opened(rows: Column) -> Column:
+    """Members opened until none is an object: at most as many times as one of them has opening braces."""
+    braces = lambda e: F.length(e["text"]) - F.length(F.replace(e["text"], F.lit("{"), F.lit("")))
+    nested = lambda found: F.exists(found, lambda e: e["nested"])
+    step = lambda found, _: F.when(nested(found), _opened(found)).otherwise(found)
+    return bind(rows, lambda found: F.when(nested(found), F.aggregate(
+        F.sequence(F.lit(1), F.array_max(F.transform(F.filter(found, lambda e: e["nested"]), braces))), found, step)).otherwise(found))
+
+
+def flatten_json(text: Column, levels: int | None = None) -> Column:
+    """A JSON object's members as lines, in their order, however deep; with `levels` objects below them stay as JSON text.
+
+    Anything that is no object is returned unchanged, as is what Spark's JSON reader does not read (more than 1,000 levels).
+    Lists are shown as JSON, null as None, truth values as True and False.
     """
     rows = _entries(text, F.lit(""))
-    for _ in range(levels - 1):
-        rows = F.flatten(F.transform(rows, lambda e: F.when(e["nested"], _entries(e["text"], F.concat(e["name"], F.lit(".")))).otherwise(F.array(e))))
+    for _ in range((levels or UNROLLED) - 1):
+        rows = _opened(rows)
+    if levels is None:
+        rows = _all_opened(rows)
     return bind(rows, lambda found: F.coalesce(F.array_join(F.transform(found, lambda e: F.concat(e["name"], F.lit(" = "), e["text"])), "\n"), text))
 
 

@@ -211,6 +211,22 @@ def test_config_lines(spark):
     assert flat("a.yaml", "a: {b: 1}") == "a: {b: 1}"
 
 
+def test_config_lines_of_any_depth(spark):
+    def lines(doc, prefix=""):
+        return [x for k, v in doc.items() for x in (lines(v, f"{prefix}{k}.") if isinstance(v, dict) else [f"{prefix}{k} = {v}"])]
+
+    def deep(levels):
+        doc = {"end": "}{ \"x\"", "none": {}}
+        for k in range(levels):
+            doc = {"a": k, f"n{k}": doc, "z{": {"q": "{"}}
+        return doc
+
+    flat = lambda doc: one(spark, config_text.flatten_config(F.col("p"), F.col("d")), p="a.json", d=json.dumps(doc))
+    for levels in (11, 12, 13, 14, 60):
+        assert flat(deep(levels)) == "\n".join(lines(deep(levels)))
+    assert one(spark, config_text.flatten_json(F.col("d"), 2), d='{"a": {"b": {"c": 1}}}') == 'a.b = {"c":1}'
+
+
 @pytest.mark.parametrize("question, route, tool, target", [
     ("Who calls `foo.bar`?", "graph", "get_call_graph", "foo.bar"),
     ("show the call graph of run", "graph", "get_call_graph", "run"),
