@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    binary_output, decontamination, language_model, line_dedup, near_dedup, neighbours, packing, quality, secrets, substring_dedup,
+    binary_output, decontamination, html_extraction, importance, language_model, line_dedup, near_dedup, neighbours, packing, prefix_trie, quality, secrets,
+    substring_dedup,
 )
 from tessera.llm.language_model import remainder
 from tessera.llm.shared import place
@@ -79,13 +80,31 @@ def op10_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digests(table(spark, folder, "documents"))
 
 
+def op11_block_field(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(table(spark, folder, "conversations"))))
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hyperminhash, op2_kneser_ney, op3_secret_scan, op4_orc_tokens, op5_containment, op6_line_edit_join, op7_harmonic_packing,
-    op8_rule_ensemble, op9_block_join, op10_repeated_substrings,
+    op8_rule_ensemble, op9_block_join, op10_repeated_substrings, op11_block_field, op12_prefix_trie, op13_importance,
 )}
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 _RUNS = "list_distinct(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' ')))"
+# CRC-32 bit by bit, the lowest bit of every byte first.
+_CRC = """xor(list_reduce([4294967295] || flatten(list_transform(range(length(hex(encode({0}))) // 2), lambda i:
+  list_transform(range(8), lambda j: ((strpos('0123456789ABCDEF', substr(hex(encode({0})), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode({0})), 2 * i + 2, 1)) - 1) >> j & 1))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+_PARTS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
     "op1_hyperminhash": rf"""
@@ -128,4 +147,36 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FR
 near AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM near)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op12_prefix_trie": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(octet_length(encode(r)) || ':' || r || x)) AS s, {_CRC.format("conv_id::VARCHAR")} % 4 AS h FROM t GROUP BY conv_id),
+made AS (SELECT a.conv_id, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+one AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM made),
+node AS (
+  SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
+  FROM one GROUP BY 1, 2),
+child AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k, CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(p[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own FROM node LEFT JOIN child USING (p)),
+up AS (SELECT p, k, own, unnest(range(d + 1)) AS e FROM full_node),
+below AS (SELECT p[1:e] AS p, count(*) FILTER (k = 0) AS leaves, sum(own)::BIGINT AS saved FROM up GROUP BY 1)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, a.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, a.ends AS ends_sha256
+FROM full_node a JOIN below ON below.p = a.p LEFT JOIN node b ON a.d > 0 AND b.p = a.p[1:a.d - 1]""",
+    "op13_importance": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_PARTS} AS w FROM documents), b AS (SELECT {_PARTS} AS w FROM benchmark),
+pairs AS (SELECT row, doc_id, len(w) AS words, w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS f FROM d),
+ones AS (SELECT row, unnest(f) AS f FROM pairs),
+aims AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+crc AS (SELECT f, {_CRC.format("f")} % 10000 AS bucket FROM (SELECT f FROM ones UNION SELECT f FROM aims)),
+s AS (SELECT bucket, count(*) AS s FROM ones JOIN crc USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM aims JOIN crc USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM ones) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM aims) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT row, sum(gain)::BIGINT AS g, count(*) AS n FROM ones JOIN crc USING (f) JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, words, coalesce(n, 0) AS n_features, coalesce(CASE WHEN g % n < 0 THEN g // n - 1 ELSE g // n END, 0) AS weight,
+    list_reduce([0] || list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || doc_id), i, 1)) - 1), lambda c, x: c * 16 + x) AS h
+  FROM pairs LEFT JOIN sums USING (row)),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM noisy WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM ranked) // 100 THEN place END AS rank FROM noisy LEFT JOIN ranked USING (row)""",
 }
