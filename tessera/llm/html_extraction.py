@@ -3,7 +3,7 @@
 A page is a sequence of leaf blocks: runs of text that no block-level tag divides, in page order. A block's features are the
 tags and the class, id and role words of its ancestors and buckets of its own text's looks (length, share of link text,
 marks, place). The field has two labels, main text or not; neighbours are tied by weights that depend on whether both blocks
-stand in the same element. Viterbi's best label sequence decides, block by block.
+stand in the same part of the page. Viterbi's best label sequence decides, block by block.
 
 It is trained on labelled pages: pages whose markup names the article (`article`, `main`) label themselves, and the same
 texts are laid out anew, label by label, in varied layouts with and without such names, with menus, notices, forms, adverts,
@@ -59,14 +59,23 @@ _IN_P = {"button", "table", "td", "th", "caption", "object"}  # an open paragrap
 
 
 class Element:
-    """An open element: its tag and the hashed features of itself and all around it."""
+    """An open element: its tag and the hashed features of itself and all around it; names: those that tell parts of a page."""
 
-    __slots__ = ("tag", "features", "score", "serial")
+    __slots__ = ("tag", "features", "names", "score")
 
-    def __init__(self, tag: str, above: Element | None, own: list[str], serial: int):
-        around = above.features if above else frozenset()
+    def __init__(self, tag: str, above: Element | None, own: list[str]):
+        around, names = (above.features, above.names) if above else (frozenset(), frozenset())
         new = [x for x in map(_hashed, own) if x not in around]
-        self.tag, self.features, self.serial, self.score = tag, around.union(new) if new else around, serial, None
+        telling = [_hashed(x) for x in own if x not in _PLAIN]
+        self.tag, self.features, self.score = tag, around.union(new) if new else around, None
+        self.names = names if names.issuperset(telling) else names.union(telling)
+
+    def tie(self, before: Element) -> int:
+        """0: another part of the page, 1: alike in all features, 2: the same part with other tags."""
+        return 1 if self.tag == before.tag and self.features == before.features else 2 if self.names == before.names else 0
+
+
+_PLAIN = {f"tag={x}" for x in "p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th div center body html".split()}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -93,8 +102,7 @@ def blocks(html: str | None) -> list[Block]:
     """Leaf blocks in page order, by the rules for omitted and misplaced end tags."""
     html = html or ""
     out: list[Block] = []
-    serial = 0
-    stack = [Element("#page", None, [], 0)]
+    stack = [Element("#page", None, [])]
     opened: dict[str, int] = {}
     pieces: list[tuple[str, bool]] = []
     linked = False
@@ -169,8 +177,7 @@ def blocks(html: str | None) -> list[Block]:
         if opened.get("head"):
             pop_to({"head"}, set())
         own = [f"tag={name}", *_names(found["attributes"])]
-        serial += 1
-        stack.append(Element(name, stack[-1], own, serial))
+        stack.append(Element(name, stack[-1], own))
         opened[name] = opened.get(name, 0) + 1
     flush()
     return out
@@ -194,16 +201,16 @@ def looks(block: Block, at: int, n: int) -> list[str]:
 
 
 def chain(page: list[Block]) -> tuple[list[list[int]], list[int]]:
-    """Feature numbers of every block, and for every block whether it stands in the same element as the one before (1) or one of its ancestors' (0)."""
+    """Feature numbers of every block, and how it is tied to the one before."""
     rows = [[*map(_hashed, looks(b, k, len(page))), *b.element.features] for k, b in enumerate(page)]
-    ties = [0, *(int(a.element.tag == b.element.tag and a.element.features == b.element.features) for a, b in zip(page, page[1:]))]
+    ties = [0, *(b.element.tie(a.element) for a, b in zip(page, page[1:]))]
     return rows, ties
 
 
 @dataclass
 class Model:
     weights: list[float]  # of every feature, for main text against the rest
-    ties: list[list[list[float]]]  # [same element][label before][label]
+    ties: list[list[list[float]]]  # [kind of tie][label before][label]
 
 
 def labels(page: list[Block], model: Model) -> list[int]:
@@ -219,7 +226,7 @@ def labels(page: list[Block], model: Model) -> list[int]:
         if here is None:
             here = (0.0, score)
         else:
-            t = model.ties[int(e.tag == page[k - 1].element.tag and e.features == page[k - 1].element.features)]
+            t = model.ties[e.tie(page[k - 1].element)]
             low = [here[0] + t[0][0], here[1] + t[1][0]]
             high = [here[0] + t[0][1], here[1] + t[1][1]]
             back.append((int(low[1] > low[0]), int(high[1] > high[0])))
@@ -405,10 +412,10 @@ def fit_field(pages: list[tuple[list[Block], list[int]]], *, steps: int = 200, r
     inside = np.arange(long)[None, :] < size[:, None]
     tie, y = np.zeros((n, long), dtype=np.int64), np.zeros((n, long))
     tie[inside], y[inside] = np.concatenate(ties), np.concatenate(marks)
-    w, t = np.zeros(WIDTH), np.zeros((2, 2, 2))
+    w, t = np.zeros(WIDTH), np.zeros((3, 2, 2))
     state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, t)]
     pair = inside[:, 1:]
-    seen = np.zeros((2, 2, 2))
+    seen = np.zeros((3, 2, 2))
     np.add.at(seen, (tie[:, 1:][pair], y[:, :-1][pair].astype(int), y[:, 1:][pair].astype(int)), 1)
     for step in range(1, steps + 1):
         emit = np.zeros((n, long, 2))
@@ -426,7 +433,7 @@ def fit_field(pages: list[tuple[list[Block], list[int]]], *, steps: int = 200, r
         chance = np.exp(np.minimum(ahead[..., 1] + behind[..., 1] - total[:, None], 0.0))
         slope = np.bincount(flat, weights=(y - chance)[inside][owner], minlength=WIDTH) / n - ridge * w
         both = ahead[:, :-1, :, None] + step_scores[:, 1:] + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]
-        expected = np.zeros((2, 2, 2))
+        expected = np.zeros((3, 2, 2))
         np.add.at(expected, tie[:, 1:][pair], np.exp(np.minimum(both[pair], 0.0)))
         for v, g, (m, s) in zip((w, t), (slope, (seen - expected) / n - ridge * t), state):
             m += 0.1 * (g - m)
