@@ -61,7 +61,7 @@ def _pieces(path: str, end_id: int, capacity: int, slack: int):
             if out:
                 columns = np.array(out, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[x.split()[0] for x in PIECES.split(", ")])
-        encoder(path).known.clear()  # a worker may go on with other work
+        encoder(path).forget()  # a worker may go on with other work
 
     return run
 

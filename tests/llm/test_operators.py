@@ -252,6 +252,19 @@ def test_ids_word_by_word(texts):
     assert got == [brute.encoded(t, PATH, 0)[:-1] for t in texts]
 
 
+def test_words_one_by_one_give_the_ids_of_whole_texts():
+    pick = random.Random(4)
+    parts = ["a", "b", "the", "ing", "é", "ß", "ÿ", "÷", "É", "Ω", "ς", "Σ", "1", "%", "...", "'", "'s", "'t", "ll", '"', "<|endoftext|>", "<|", "|>", "_", "`", "~", "\x85", "\u200b", "k\u0327", "K\u0327",
+             "İ", "ı", "中", "🙂", " ", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "-", "@", "$", "A", "Z"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 40))) for _ in range(3000)] + [None, "", "x" * 3000 + "!!!"]
+    whole = tokens.encoder(PATH).tokenizer
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for limit in (1 << 8, 1 << 20):
+        tokens.encoder(PATH).forget()
+        assert [np.frombuffer(x, dtype="<u4").tolist() for _, x in tokens.packed(pa.array(texts), PATH, limit)] == want
+
+
+
 def test_orc_round_trip(spark, awkward):
     out = shared.place(spark, "orc")
     binary_output.write(awkward.unionByName(awkward.where("doc_id = 5")), out, PATH, 1, files=3)
