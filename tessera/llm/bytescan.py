@@ -77,13 +77,13 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
 
 
 class Prefix:
-    """Hashes of substrings of `data`, given by starts and ends."""
+    """Hashes of substrings of `data` (bytes, or 64-bit values such as the hashes of words), given by starts and ends."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _Powers.upto(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=_U)
         with np.errstate(over="ignore"):
-            values = BYTE_VALUES[data]
+            values = BYTE_VALUES[data] if data.dtype == np.uint8 else mix(data)
             values *= up[: len(data)]
             np.cumsum(values, out=self.sums[1:])
 

@@ -165,6 +165,20 @@ def repeated_bytes(texts: list[str | None], length: int = 400):
     return out
 
 
+def passages(texts: list[str | None], length: int = 50) -> list[int]:
+    """Runs of words, per text, that lie in `length` words which also start elsewhere."""
+    split = [words(t) for t in texts]
+    seen = Counter(tuple(w[k : k + length]) for w in split for k in range(len(w) - length + 1))
+    out = []
+    for w in split:
+        held = [False] * len(w)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                held[k : k + length] = [True] * length
+        out.append(sum(held[k] and not (k and held[k - 1]) for k in range(len(w))))
+    return out
+
+
 def nearest(rows, k: int, every: int):
     """query -> [(vec_id, score)] by inner product."""
     good = [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]

@@ -457,6 +457,17 @@ def test_equal_rows_repeat_each_other(spark):
     assert sorted(got, key=str) == [(1, 500, 1), (1, 500, 1), (None, 0, 0)]
 
 
+@pytest.mark.parametrize("length, gram, block", [(50, 8, 43), (6, 2, 3), (9, 3, 7), (5, 1, 1)])
+def test_repeated_passages(spark, docs, rows, length, gram, block):
+    pick = random.Random(length)
+    texts = varied() + [(900 + k, " ".join(pick.choice("abc") for _ in range(pick.randint(0, 30)))) for k in range(30)]
+    unit = substring_dedup.Unit(length, gram, block, True)
+    got = substring_dedup.digests(spark.createDataFrame(texts, "doc_id long, text string"), passages=unit)
+    assert collected(got, "doc_id", "n_passages") == sorted(zip([d for d, _ in texts], brute.passages([t for _, t in texts], length)))
+    if length == 50:
+        assert collected(substring_dedup.digests(docs), "doc_id", "n_passages") == [(d, n) for (d, _), n in zip(rows, brute.passages([t for _, t in rows]))]
+
+
 # Empty tables
 
 def test_empty_tables(spark):
