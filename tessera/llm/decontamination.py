@@ -136,6 +136,8 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without a match; a null id never matches an id."""
-    bad = contained(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents without a match. A row's text decides, told by its hash, so null and repeated ids are no matter."""
+    th = F.xxhash64(F.col("text").cast("string"))
+    bad = contained(docs.select(th.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_th")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), th.alias("_own"))
+    return rows.join(bad, F.col("_own") == F.col("_th"), "left_anti").select("_row.*")

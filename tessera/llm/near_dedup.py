@@ -285,6 +285,20 @@ def groups(docs: DataFrame, *, percent: int = PERCENT, width: int = WIDTH) -> Da
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that another of their group stands for."""
-    gone = groups(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group: the one with the smallest id (null last), then the smallest hash of its text.
+
+    Rows are told apart by (id, text), and grouped by their texts, so null and repeated ids are linked like any others. Of
+    rows equal in both, one stays. Texts without words are linked with nothing.
+    """
+    th = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), th.alias("_th"))
+    found = groups(docs.select(th.alias("doc_id"), F.col("text")), **options)
+    found = stored(found.where("n_shingles > 0").select(F.col("doc_id").alias("_th"), F.col("component_id").alias("_c")).distinct(), "grouped")
+    members = stored(rows.select("_id", "_th").distinct().join(found, "_th"), "members")
+    best = members.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_th")).alias("_best"))
+    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
+    gone = members.alias("m").join(best.select("_best.*").alias("b"), same("m", "b"), "left_anti")
+    left = rows.alias("r").join(gone.alias("g"), same("r", "g"), "left_anti")
+    # Rows equal in id and text meet where the join has put them; nothing tells them apart, so their order is any.
+    first = F.row_number().over(W.partitionBy("_id", "_th").orderBy("_id"))
+    return left.withColumn("_n", first).where("_n = 1").select("_row.*")

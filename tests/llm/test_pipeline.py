@@ -4,8 +4,9 @@ import brute
 import corpus_pipeline
 import pytest
 from harness import connect, normal
+from pyspark.sql import functions as F
 
-from tessera.llm import queries, shared
+from tessera.llm import decontamination, queries, shared
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,49 @@ def test_packed(stages):
     assert rows.groupby("doc_id").length.sum().to_dict() == {d: len(x) for d, x in ids.items()}
 
 
+BASE = " ".join(f"word{k}" for k in range(60))
+LEAK = "a passage of the benchmark that should never be seen by the model under test"
+ROWS = [
+    (3, BASE), (None, BASE + " more"), (3, BASE), (3, "another text under the same number"), (5, BASE.replace("word7 ", "")), (None, "alone without a number"), (None, "alone without a number"),
+    (6, ""), (7, ""), (8, None), (None, None), (9, LEAK), (9, "clean text with the number of a leak"), (None, LEAK + " indeed"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, equal rows, and columns whose names the operators use themselves."""
+    rows = [(d, t, "en", "s", 0, k) for k, (d, t) in enumerate(ROWS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _th int")
+    return df.withColumns({"_id": F.col("_th"), "_row": F.lit("x"), "kept": F.lit(1), "component_id": F.lit(2), "exact": F.lit("y"), "near": F.lit("z"), "score": F.lit("w")})
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark, folder, odd):
+    out = corpus_pipeline.one_of_each(spark, odd, folder)
+    left = [(3, BASE), (3, ROWS[3][1]), (None, ROWS[5][1]), (6, ""), (7, ""), (8, None), (None, None), (9, LEAK), (9, ROWS[12][1]), (None, ROWS[13][1])]
+    left.remove((None, ROWS[13][1]))  # a near copy of the leak
+    assert out.columns == odd.columns and pairs(out) == sorted(left, key=repr)
+
+
+def test_leaks_with_null_and_repeated_ids(odd, spark):
+    items = spark.createDataFrame([(1, LEAK, "k"), (None, None, "k")], "item_id long, text string, doc_id string")
+    out = decontamination.clean(odd, items)
+    assert out.columns == odd.columns and pairs(out) == sorted((r for r in ROWS if LEAK not in (r[1] or "")), key=repr)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, folder, odd, stage):
+    for docs in (odd, odd.limit(0)):
+        out = stage(spark, docs, folder)
+        if stage is corpus_pipeline.packed:
+            assert out.groupBy("doc_id").count().count() == docs.select("doc_id").distinct().count()
+        else:
+            assert out.columns == docs.columns and out.count() <= docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, folder, name):
     got = normal(queries.QUERIES[name](spark, folder).toPandas())
