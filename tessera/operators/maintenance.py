@@ -23,9 +23,19 @@ def latest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).where(F.col("_n") == 1).drop("_n")
 
 
+def _apart(existing: DataFrame, incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Existing rows whose key comes in again, and the rest, which a merge hands on as it is."""
+    keys = incoming.select(*key).distinct()
+    return existing.join(keys, key, "left_semi").select(*existing.columns), existing.join(keys, key, "left_anti").select(*existing.columns)
+
+
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Incoming rows replace existing ones with the same id; the last of several incoming rows wins."""
-    return latest(existing.unionByName(incoming, allowMissingColumns=True), [key], "run_seq", "ordinal")
+    """Incoming rows replace existing ones with the same id; the last of several incoming rows wins.
+
+    Only existing rows whose id comes in again are ranked; the others pass by an anti-join on the id.
+    """
+    hit, rest = _apart(existing, incoming, [key])
+    return latest(hit.unionByName(incoming, allowMissingColumns=True), [key], "run_seq", "ordinal").unionByName(rest, allowMissingColumns=True)
 
 
 def in_scope(user_id: str, repo: str, branch: str | None = None) -> Column:
@@ -88,19 +98,20 @@ def _checked(column: str, allowed: list[str], what: str) -> Column:
 def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = False) -> DataFrame:
     """Node table after merging.  `incoming`: label, raw_id, user_id, is_public, repo, branch, props, seq.
 
-    Standard columns of a key come from its latest contribution; name and path follow the properties.
+    Standard columns of a key come from its latest contribution; name and path follow the properties.  Nodes that nothing
+    comes in for keep their rows: their properties are not taken apart.
     """
     fresh = incoming.withColumn("id", scoped_id(F.col("raw_id"), F.col("user_id"), F.col("is_public"))).withColumn(
         "label", _checked("label", K.NODE_LABELS, "node label")
     )
     fixed = ["raw_id", "user_id", "is_public", "repo", "branch"]
     columns = [*NODE_KEY, *fixed, "props", "seq"]
-    rows = existing.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh.select(*columns))
+    hit, rest = _apart(existing, fresh, NODE_KEY)
+    rows = hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh.select(*columns))
     merged = merge_properties(rows, NODE_KEY, fixed, null_removes)
     value = lambda k: F.try_element_at(F.col("props"), F.lit(k))
-    return merged.withColumns({"name": value("name"), "path": value("path")}).select(
-        "id", "label", "raw_id", "user_id", "is_public", "repo", "branch", "name", "path", "props"
-    )
+    layout = ["id", "label", "raw_id", "user_id", "is_public", "repo", "branch", "name", "path", "props"]
+    return merged.withColumns({"name": value("name"), "path": value("path")}).select(*layout).unionByName(rest.select(*layout))
 
 
 def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -112,14 +123,17 @@ def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edge table after merging: one edge per (source, type, target), properties overlaid, ends checked."""
+    """Edge table after merging: one edge per (source, type, target), properties overlaid, ends checked.
+
+    Edges that nothing comes in for keep their rows.
+    """
     fixed = ["user_id", "repo", "branch"]
     columns = [*EDGE_KEY, *fixed, "props", "seq"]
-    rows = existing.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(
-        incoming.withColumn("rel_type", _checked("rel_type", K.REL_TYPES, "relationship type")).select(*columns)
-    )
-    merged = merge_properties(rows, EDGE_KEY, fixed)
-    return connected_edges(merged, nodes).select(*EDGE_KEY, *fixed, "props")
+    fresh = incoming.withColumn("rel_type", _checked("rel_type", K.REL_TYPES, "relationship type")).select(*columns)
+    hit, rest = _apart(existing, fresh, EDGE_KEY)
+    merged = merge_properties(hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh), EDGE_KEY, fixed)
+    layout = [*EDGE_KEY, *fixed, "props"]
+    return connected_edges(merged.select(*layout).unionByName(rest.select(*layout)), nodes).select(*layout)
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:

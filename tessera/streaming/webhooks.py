@@ -47,10 +47,6 @@ def push_changes(events: DataFrame, targets: DataFrame) -> DataFrame:
     return last.join(targets, "repo").select("user_id", "is_public", "repo", "branch", "path", "action", "ts", "delivery_id")
 
 
-def _touched(existing: DataFrame, keys: DataFrame, partitions: list[str]) -> DataFrame:
-    return existing.join(keys.select(*partitions).distinct(), partitions, "left_semi")
-
-
 MARKS = "user_id string, is_public boolean, repo string, branch string, path string, action string, ts timestamp, delivery_id string"
 _PLACE = ["user_id", "repo", "branch", "path"]
 
@@ -62,35 +58,36 @@ def newer_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.where(F.col("_m").isNull() | (F.struct("ts", "delivery_id") >= F.col("_m"))).select(*schemas.columns_of(MARKS))
 
 
-def _mark(changes: DataFrame, mark_table: str) -> None:
+def _mark(changes: DataFrame, keys: DataFrame, mark_table: str) -> None:
     """Records the changes as applied, in the touched (tenant, repository, branch) partitions."""
-    keyed = tables.with_chunk_partitions(changes)
-    old = _touched(tables.with_chunk_partitions(tables.read_table(changes.sparkSession, mark_table, MARKS)), keyed, tables.CHUNK_PARTITIONS)
+    old = tables.read_table(changes.sparkSession, mark_table, MARKS, keys, tables.CHUNK_PARTITIONS)
     kept = old.join(changes.select(*_PLACE), _PLACE, "left_anti").select(*schemas.columns_of(MARKS))
-    tables.replace_partitions(tables.with_chunk_partitions(kept.unionByName(changes)), mark_table, tables.CHUNK_PARTITIONS, keyed)
+    tables.replace_partitions(tables.with_chunk_partitions(kept.unionByName(changes)), mark_table, tables.CHUNK_PARTITIONS, keys)
 
 
 def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFrame], DataFrame], run_id: str, run_seq: int, mark_table: str | None = None) -> None:
-    """Bring the chunk table up to date with the changed paths; only the touched partitions are rewritten.
+    """Bring the chunk table up to date with the changed paths; only the touched partitions are read and written.
 
     `fetch` maps changes (action upsert) to file rows with content.  With `mark_table` changes older than the last one applied
     to their path are left out.
     """
     spark = changes.sparkSession
-    if mark_table is not None:
-        changes = newer_changes(changes, tables.read_table(spark, mark_table, MARKS))
     changes = changes.persist()
     try:
-        keyed = tables.with_chunk_partitions(changes)
-        existing = tables.with_chunk_partitions(tables.read_table(spark, chunk_table, schemas.CHUNKS))
-        mine = _touched(existing, keyed, tables.CHUNK_PARTITIONS)
-        kept = mine.join(changes.select("user_id", "repo", "branch", F.col("path").alias("file_path")),
-                         ["user_id", "repo", "branch", "file_path"], "left_anti").select(*schemas.columns_of(schemas.CHUNKS))
-        fresh = chunk_files(prepare_files(fetch(changes.where(F.col("action") == "upsert"))), run_id, run_seq)
-        merged = maintenance.upsert_chunks(kept, fresh)
-        tables.replace_partitions(tables.with_chunk_partitions(merged), chunk_table, tables.CHUNK_PARTITIONS, keyed)
+        keys = tables.with_chunk_partitions(changes).select(*tables.CHUNK_PARTITIONS).distinct()
+        if mark_table is not None:
+            newer = newer_changes(changes, tables.read_table(spark, mark_table, MARKS, keys, tables.CHUNK_PARTITIONS)).persist()
+            changes.unpersist()
+            changes = newer
+
+        def merged(mine: DataFrame) -> DataFrame:
+            kept = mine.join(changes.select("user_id", "repo", "branch", F.col("path").alias("file_path")),
+                             ["user_id", "repo", "branch", "file_path"], "left_anti").select(*schemas.columns_of(schemas.CHUNKS))
+            return maintenance.upsert_chunks(kept, chunk_files(prepare_files(fetch(changes.where(F.col("action") == "upsert"))), run_id, run_seq))
+
+        tables.merge_chunks(spark, chunk_table, changes, merged)
         if mark_table is not None:
-            _mark(changes, mark_table)
+            _mark(changes, tables.with_chunk_partitions(changes).select(*tables.CHUNK_PARTITIONS).distinct(), mark_table)
     finally:
         changes.unpersist()
 
@@ -115,14 +112,15 @@ def apply_records(events: DataFrame, node_table: str, edge_table: str, targets:
     new_nodes = issue_nodes.unionByName(pr_nodes).persist()
     new_edges = issue_edges.unionByName(pr_edges).persist()
     try:
-        node_keys = tables.with_node_partitions(new_nodes)
-        existing = tables.with_node_partitions(tables.read_table(spark, node_table, schemas.NODES))
-        merged = maintenance.merge_nodes(_touched(existing, node_keys, tables.NODE_PARTITIONS), new_nodes)
+        node_keys = tables.with_node_partitions(new_nodes).select(*tables.NODE_PARTITIONS).distinct()
+        held = tables.read_table(spark, node_table, schemas.NODES, node_keys, tables.NODE_PARTITIONS)
+        merged = maintenance.merge_nodes(held, new_nodes)
         tables.replace_partitions(tables.with_node_partitions(merged), node_table, tables.NODE_PARTITIONS, node_keys)
-        edge_keys = tables.with_edge_partitions(new_edges)
-        old_edges = tables.with_edge_partitions(tables.read_table(spark, edge_table, schemas.EDGES))
-        nodes = tables.read_table(spark, node_table, schemas.NODES)
-        linked = maintenance.merge_edges(_touched(old_edges, edge_keys, tables.EDGE_PARTITIONS), new_edges, nodes)
+        edge_keys = tables.with_edge_partitions(new_edges).select(*tables.EDGE_PARTITIONS).distinct()
+        held = tables.read_table(spark, edge_table, schemas.EDGES, edge_keys, tables.EDGE_PARTITIONS)
+        # Both ends of an edge lie in nodes of the tenant; those of other tenants are not opened.
+        nodes = tables.read_table(spark, node_table, schemas.NODES, edge_keys.select("tenant"), tables.NODE_PARTITIONS)
+        linked = maintenance.merge_edges(held, new_edges, nodes)
         tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS, edge_keys)
     finally:
         new_nodes.unpersist()
