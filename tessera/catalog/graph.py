@@ -102,6 +102,65 @@ def incremental_refresh(t: Inputs):
     return after.groupBy("user_id", "repo", F.col("file_path").alias("path"), F.col("ingest_run_id").alias("run")).agg(F.count("*").alias("chunks"))
 
 
+_CHUNK_ROWS = """
+WITH f AS (SELECT n.*, CASE WHEN o.content IS NOT DISTINCT FROM n.content THEN 'run1' ELSE 'run2' END AS run
+  FROM {v_run2} n LEFT JOIN {v_run1} o USING (user_id, repo, branch, path)),
+c AS (
+  SELECT f.*, 'section' AS chunk_type, NULL AS function_name, 'Part ' || k AS section_title, NULL AS start_line, NULL AS end_line, NULL AS signature, content AS text FROM f WHERE kind = 1
+  UNION ALL SELECT f.*, 'whole_doc', NULL, NULL, NULL, NULL, NULL, 'name = ' || brand || chr(10) || 'inner.size = ' || size FROM f WHERE kind = 2
+  UNION ALL SELECT f.*, 'module_header', NULL, NULL, NULL, NULL, NULL, 'import os' || chr(10) || 'import lib' || k % 50 FROM f WHERE kind = 0
+  UNION ALL SELECT f.*, 'function', 'run_' || k, NULL, 4, 5, 'def run_' || k || '(x):', 'def run_' || k || '(x):' || chr(10) || '    return os.getcwd(' || size || ')' FROM f WHERE kind = 0
+  UNION ALL SELECT f.*, 'function', 'main_' || k, NULL, 7, 8, 'def main_' || k || '():', 'def main_' || k || '():' || chr(10) || '    return run_' || k || '(1)' FROM f WHERE kind = 0),
+h AS (SELECT *, md5(concat_ws('::', user_id, repo, branch, path, chunk_type, function_name, section_title, start_line)) AS m FROM c)
+"""
+
+
+def refreshed(t: Inputs):
+    """Tables after a first run over `v_run1` and a refresh by `v_run2`."""
+    from tessera.plans import ingest
+    from tessera.session import written
+
+    def files(view):
+        return view.withColumns({"is_public": F.lit(False), "commit_sha": F.lit("c"), "file_sha": content_sha(F.col("content")), "size": F.length("content").cast("long")}).select(
+            "user_id", "is_public", "repo", "branch", "commit_sha", "path", "size", "file_sha", "content")
+
+    before, after = files(t.wide.v_run1), files(t.wide.v_run2)
+    tables = [written(x, "run1") for x in ingest.ingest(before, "run1", 1)]
+    return ingest.refresh(*tables, after, before.select("user_id", "repo", "branch", "path", "file_sha"), "run2", 2)
+
+
+@query("ingest_refresh", _CHUNK_ROWS + """
+SELECT user_id, repo, branch, path, chunk_type, function_name, section_title, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, signature, text, run,
+  m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS chunk_id FROM h""")
+def ingest_refresh(t: Inputs):
+    return refreshed(t)[0].select(
+        "user_id", "repo", "branch", F.col("file_path").alias("path"), "chunk_type", "function_name", "section_title", "start_line", "end_line", "signature", "text",
+        F.col("ingest_run_id").alias("run"), "chunk_id")
+
+
+@query("ingest_refresh_nodes", """
+WITH o AS (SELECT *, 'run1' AS run FROM {v_run1}),
+f AS (SELECT n.*, CASE WHEN o.content IS NOT DISTINCT FROM n.content THEN 'run1' ELSE 'run2' END AS run FROM {v_run2} n LEFT JOIN o USING (user_id, repo, branch, path)),
+one AS (SELECT user_id, repo, branch, path, kind, k, run FROM f UNION ALL SELECT user_id, repo, branch, path, kind, k, run FROM o),
+own AS (SELECT *, user_id || '::' || repo || '::' || branch AS b FROM f)
+SELECT b || '::' || path AS id, 'File' AS label, run FROM own
+UNION ALL SELECT b || '::' || path || '::func::' || name || k, 'Function', run FROM own, (VALUES ('run_'), ('main_')) v(name) WHERE kind = 0
+UNION ALL SELECT user_id || '::python::' || name, 'Module', max(run) FROM (SELECT user_id, run, unnest(['os', 'lib' || k % 50]) AS name FROM one WHERE kind = 0) GROUP BY 1
+UNION ALL SELECT user_id || '::' || repo || '::' || branch, 'Repository', max(run) FROM one GROUP BY 1""")
+def ingest_refresh_nodes(t: Inputs):
+    return refreshed(t)[1].select("id", "label", F.try_element_at("props", F.lit("ingest_run_id")).alias("run"))
+
+
+@query("ingest_refresh_edges", """
+WITH own AS (SELECT *, user_id || '::' || repo || '::' || branch AS b, user_id || '::' || repo || '::' || branch || '::' || path AS f FROM {v_run2})
+SELECT b AS src, 'CONTAINS' AS rel_type, f AS dst FROM own
+UNION ALL SELECT f || '::func::' || name || k, 'DEFINED_IN', f FROM own, (VALUES ('run_'), ('main_')) v(name) WHERE kind = 0
+UNION ALL SELECT f, 'IMPORTS', user_id || '::python::' || unnest(['os', 'lib' || k % 50]) FROM own WHERE kind = 0
+UNION ALL SELECT f || '::func::main_' || k, 'CALLS', f || '::func::run_' || k FROM own WHERE kind = 0""")
+def ingest_refresh_edges(t: Inputs):
+    return refreshed(t)[2].select("src", "rel_type", "dst")
+
+
 # --- node and edge maintenance ----------------------------------------------------
 
 @query("merge_nodes", """
@@ -377,6 +436,21 @@ def explore_center(t: Inputs):
     return links.select("src", "rel_type", "dst")
 
 
+@query("explore_depth", """
+WITH RECURSIVE n AS (SELECT * FROM {v_nodes} WHERE user_id = 'shared' AND repo = 'org/parts'),
+e AS (SELECT src, rel_type, dst FROM {v_edges} WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)),
+reach AS (
+  SELECT id, 0 AS d FROM n WHERE contains(lower(coalesce(name, path, id)), '/1.py')
+  UNION SELECT CASE WHEN e.src = r.id THEN e.dst ELSE e.src END, d + 1 FROM reach r JOIN e ON r.id IN (e.src, e.dst) WHERE d < 2)
+SELECT DISTINCT src, rel_type, dst FROM e WHERE src IN (SELECT id FROM reach) OR dst IN (SELECT id FROM reach)""")
+def explore_depth(t: Inputs):
+    """Three steps: a file, its modules and labels, all files that share one, and what those touch."""
+    empty = F.create_map().cast("map<string,string>")
+    nodes, edges = t.v_nodes.withColumn("props", empty), t.v_edges.withColumn("props", empty)
+    _, links = graph_query.explore(nodes, edges, "shared", "org/parts", center="/1.py", depth=3)
+    return links.select("src", "rel_type", "dst")
+
+
 @query("degree_top", """
 WITH d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {v_edges} UNION ALL SELECT dst FROM {v_edges} WHERE src <> dst) GROUP BY id),
 r AS (SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS n FROM d JOIN {v_nodes} USING (id) WHERE label = 'File')

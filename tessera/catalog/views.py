@@ -203,3 +203,26 @@ SELECT doc_id, concat('Report on ', source, chr(10), '## Overall Summary', chr(1
        'Language ', lang, chr(10)) AS report
 FROM {documents}
 """)
+
+# Two states of five repositories with two branches each: modules, pages and settings made of parts. The second one lacks
+# some files, has some that are new, and some whose size differs in one branch or both.
+view("v_places", " UNION ALL ".join(
+    f"SELECT p_partkey, p_brand, p_size, '{branch}' AS branch, {run} AS run FROM {{part}}" for branch in ("main", "dev") for run in (1, 2)))
+view("v_parts_as_files", """
+SELECT p_partkey AS k, p_partkey % 3 AS kind, p_brand AS brand, concat('u', cast(p_partkey % 4 AS string)) AS user_id,
+       concat('org/r', cast(p_partkey % 5 AS string)) AS repo, branch, run,
+       concat(CASE p_partkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'docs/' ELSE 'conf/' END, cast(p_partkey AS string),
+              CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.json' END) AS path,
+       p_size + CASE WHEN run = 2 AND (p_partkey % 5 = 0 OR (p_partkey % 7 = 2 AND branch = 'dev')) THEN 1 ELSE 0 END AS size
+FROM {v_places} WHERE NOT (run = 1 AND p_partkey % 11 = 3) AND NOT (run = 2 AND p_partkey % 13 = 4)
+""")
+_FILE = """
+SELECT k, kind, brand, size, user_id, repo, branch, path, CASE kind
+       WHEN 0 THEN concat('import os', chr(10), 'import lib', cast(k % 50 AS string), chr(10), chr(10), 'def run_', cast(k AS string), '(x):', chr(10),
+                          '    return os.getcwd(', cast(size AS string), ')', chr(10), chr(10), 'def main_', cast(k AS string), '():', chr(10),
+                          '    return run_', cast(k AS string), '(1)', chr(10))
+       WHEN 1 THEN concat('# Part ', cast(k AS string), chr(10), 'Size ', cast(size AS string), ' of ', brand, '.')
+       ELSE concat('{{"name": "', brand, '", "inner": {{"size": ', cast(size AS string), '}}}}') END AS content
+FROM {v_parts_as_files} WHERE run = """
+view("v_run1", _FILE + "1")
+view("v_run2", _FILE + "2")

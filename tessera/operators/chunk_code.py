@@ -274,7 +274,15 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
 
 
 def uncovered_lines(lines: DataFrame, ranges: DataFrame, key: str = "fid") -> DataFrame:
-    """Lines outside every [start_line, end_line] of the same file: an equality join on the file, then a range test."""
-    l, r = lines.alias("l"), ranges.alias("r")
-    inside = (F.col(f"l.{key}") == F.col(f"r.{key}")) & F.col("l.n").between(F.col("r.start_line"), F.col("r.end_line"))
-    return l.join(r, inside, "left_anti")
+    """Lines outside every [start_line, end_line] of the same file, by one sweep: a range adds one at its start and takes it
+    off behind its end, and a line is uncovered where the running sum is zero.  Lines and marks meet by file only, in file
+    order; marks of one place are summed first."""
+    whole = ranges.where(F.col("start_line") <= F.col("end_line"))
+    marks = whole.select(key, F.explode(F.array(
+        F.struct(F.col("start_line").alias("n"), F.lit(1).alias("_m")), F.struct((F.col("end_line") + 1).alias("n"), F.lit(-1).alias("_m")))).alias("_e"))
+    marks = marks.groupBy(key, F.col("_e.n").alias("n")).agg(F.sum("_e._m").alias("_m"))
+    both = lines.withColumn("_m", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
+    # Marks come before the lines of their place.
+    so_far = Window.partitionBy(key).orderBy("n", F.col("_m").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumn("_open", F.sum(F.coalesce("_m", F.lit(0))).over(so_far))
+    return swept.where(F.col("_m").isNull() & (F.col("_open") == 0)).select(*lines.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import props as P
 from tessera.functions.tenant import branch_or_main
+from tessera.session import written
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[Column], limit: int | None) -> DataFrame:
@@ -135,18 +136,48 @@ def explore(nodes: DataFrame, edges: DataFrame, user_id: str, repo: str, branch:
     chosen = local
     if center:
         shown = F.lower(F.coalesce("name", "path", "id"))
-        reached = inside.where(shown.contains(center.lower())).select("id")
-        for _ in range(max(1, depth)):
-            touching = local.join(reached.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(
-                local.join(reached.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-            chosen = touching.dropDuplicates(["src", "rel_type", "dst"])
-            reached = chosen.select(F.col("src").alias("id")).union(chosen.select("dst")).distinct()
+        chosen = expand(local, inside.where(shown.contains(center.lower())).select("id"), max(1, depth))
     links = chosen if limit is None else chosen.orderBy("src", "rel_type", "dst").limit(limit)
     ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     found = inside.join(ends, "id", "left_semi").withColumn("props", P.visible_properties(F.col("props")))
     return found, links.withColumn("props", P.visible_properties(F.col("props")))
 
 
+def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """The edges within `depth` steps of the nodes in `start` (id), in either direction.
+
+    Each round joins the edges with the newest nodes alone and writes what it finds to the shared folder, so the plan of a
+    round does not hold those before it, and a lost executor costs no more than its own round.  It ends early where nothing
+    new is reached.
+    """
+    key = ["src", "rel_type", "dst"]
+    if depth == 1:
+        return _touching(edges, start).dropDuplicates(key)
+    edges = written(edges, "local")
+    frontier = written(start.distinct(), "frontier")
+    seen, rounds = frontier, []
+    for step in range(depth):
+        found = written(_touching(edges, frontier).dropDuplicates(key), "links")
+        rounds.append(found)
+        if step == depth - 1:
+            break
+        ends = found.select(F.col("src").alias("id")).union(found.select("dst")).distinct()
+        frontier = written(ends.join(seen, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    out = rounds[0]
+    for found in rounds[1:]:
+        out = out.unionByName(found)
+    # An edge between two rounds' nodes is found by both.
+    return out.dropDuplicates(key)
+
+
+def _touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").unionByName(
+        edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi"))
+
+
 def explore_all(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """The one-hop neighbourhood of every (tenant, repository) at once."""
     ends = nodes.select("id", "user_id", "repo")

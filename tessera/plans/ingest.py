@@ -12,6 +12,7 @@ from tessera.functions import identity, redact, routing
 from tessera.functions.config_text import flatten_config
 from tessera.functions.text import strip_markup
 from tessera.operators import chunk_code, chunk_docs, graph_extract, incremental, maintenance
+from tessera.session import written
 
 _CHUNKERS: dict[str, Callable[[Column], Column]] = {}
 
@@ -33,6 +34,35 @@ def prepare_files(files: DataFrame) -> DataFrame:
     return typed.withColumn("content", parsed)
 
 
+def file_changes(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """(user_id, repo, branch, path, file_sha, status) of files that are new, changed or removed; unchanged ones are left out.
+
+    Only keys and hashes are compared, as a small table in the shared folder.  Content is read for files that come without a hash.
+    """
+    kept = files.where(routing.is_indexable(F.col("path")))
+    return _differences(kept.select(*incremental.FILE_KEY, F.coalesce(F.col("file_sha"), identity.content_sha(F.col("content"))).alias("file_sha")), previous)
+
+
+def _differences(heads: DataFrame, previous: DataFrame) -> DataFrame:
+    key = incremental.FILE_KEY
+    differ = incremental.change_status(heads, previous).where("status <> 'unchanged'").select(*key, "file_sha", "status")
+    gone = incremental.removed_files(heads, previous).select(*key, F.lit(None).cast("string").alias("file_sha"), F.lit("removed").alias("status"))
+    return written(differ.unionByName(gone), "changes")
+
+
+def changed_content(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Prepared files that are new or changed.
+
+    The content scan is joined with the keys of those alone, which Spark turns into a filter at the scan where that pays.  A
+    text that stands at the same path in several branches or tenants is redacted and parsed once, and written once.
+    """
+    work = changes.where(F.col("status").isin("new", "changed")).select(*incremental.FILE_KEY, "file_sha")
+    found = files.drop("file_sha").join(work, incremental.FILE_KEY)
+    once = written(prepare_files(found.select("path", "file_sha", "content").dropDuplicates(["path", "file_sha"])), "prepared")
+    places = files.drop("content", "file_sha").join(work, incremental.FILE_KEY)
+    return places.join(once, ["path", "file_sha"])
+
+
 def chunk_files(files: DataFrame, run_id: str, run_seq: int, id_mode: str = "part") -> DataFrame:
     """Chunk rows of prepared files.
 
@@ -75,13 +105,15 @@ def refresh_chunks(existing: DataFrame | None, files: DataFrame, previous: DataF
     """
     if existing is None or previous is None:
         return chunk_files(files, run_id, run_seq)
-    diff = incremental.change_status(files, previous)
-    work = diff.where(F.col("status") != "unchanged")
-    key = ["user_id", "repo", "branch", F.col("path").alias("file_path")]
-    doomed = work.where(F.col("status") == "changed").select(*key).unionByName(
-        incremental.removed_files(files, previous).select(*key))
+    changes = _differences(files.select(*incremental.FILE_KEY, "file_sha"), previous)
+    work = changes.where(F.col("status").isin("new", "changed")).select(*incremental.FILE_KEY)
+    return _with_new_chunks(existing, files.join(work, incremental.FILE_KEY, "left_semi"), changes, run_id, run_seq)
+
+
+def _with_new_chunks(existing: DataFrame, work: DataFrame, changes: DataFrame, run_id: str, run_seq: int) -> DataFrame:
+    doomed = changes.where(F.col("status").isin("changed", "removed")).select("user_id", "repo", "branch", F.col("path").alias("file_path"))
     kept = existing.join(doomed, ["user_id", "repo", "branch", "file_path"], "left_anti").select(*existing.columns)
-    return maintenance.upsert_chunks(kept, chunk_files(work.drop("status"), run_id, run_seq))
+    return maintenance.upsert_chunks(kept, chunk_files(work, run_id, run_seq))
 
 
 def record_chunks(records: DataFrame, kind: str, run_id: str, run_seq: int) -> DataFrame:
@@ -123,14 +155,11 @@ def merge_file_graph(nodes: DataFrame | None, edges: DataFrame | None, files: Da
     return merged, maintenance.merge_edges(edges, new_edges, merged)
 
 
-def refresh_graph(nodes: DataFrame, edges: DataFrame, files: DataFrame, previous: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """Graph after a run: subgraphs of changed and removed files go, changed and new files are added."""
-    diff = incremental.change_status(files, previous)
-    key = ["user_id", "repo", "branch", "path"]
-    doomed = diff.where(F.col("status") == "changed").select(*key).unionByName(incremental.removed_files(files, previous))
+def refresh_graph(nodes: DataFrame, edges: DataFrame, work: DataFrame, changes: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Graph after a run: subgraphs of changed and removed files go, changed and new files (`work`, prepared) are added."""
+    doomed = changes.where(F.col("status").isin("changed", "removed")).select(*incremental.FILE_KEY)
     nodes, edges = maintenance.detach_delete(nodes, edges, maintenance.file_subgraph(nodes, doomed))
-    work = diff.where(F.col("status") != "unchanged").drop("status").withColumn("ingest_run_id", F.lit(run_id))
-    raw = work.withColumn("content", F.coalesce("raw_content", "content")) if "raw_content" in work.columns else work
+    raw = work.withColumns({"ingest_run_id": F.lit(run_id), "content": F.coalesce("raw_content", "content")})
     return merge_file_graph(nodes, edges, graph_extract.with_raw_ids(raw))
 
 
@@ -144,7 +173,11 @@ def ingest(files: DataFrame, run_id: str, run_seq: int) -> tuple[DataFrame, Data
 
 def refresh(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, previous: DataFrame, run_id: str,
             run_seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, nodes, edges) after an incremental run over raw `files` against the previous file hashes."""
-    ready = prepare_files(files)
-    new_nodes, new_edges = refresh_graph(nodes, edges, ready, previous, run_id)
-    return refresh_chunks(chunks, ready, previous, run_id, run_seq), new_nodes, new_edges
+    """(chunks, nodes, edges) after an incremental run over raw `files` against the previous file hashes.
+
+    Hashes are compared first; only new and changed files are read, redacted, parsed and chunked.
+    """
+    changes = file_changes(files, previous)
+    work = changed_content(files, changes)
+    new_nodes, new_edges = refresh_graph(nodes, edges, work, changes, run_id)
+    return _with_new_chunks(chunks, work, changes, run_id, run_seq), new_nodes, new_edges

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +44,10 @@ def cut_lineage(df):
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(os.path.join(checkpoint_root(spark), "lineage"))
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str):
+    """The frame as a Parquet table below the shared checkpoint folder: computed once, read by column, safe from lost executors."""
+    path = os.path.join(checkpoint_root(df.sparkSession), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ import pytest
 from harness import compare, connect
 
 from tessera.catalog import ORACLES, QUERIES
+from tessera.catalog.registry import Inputs
+from tessera.operators import graph_query
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +36,20 @@ def test_no_cross_joins(spark, folder, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["sparse_topk", "dense_topk", "upsert_latest", "event_retention", "call_graph", "explore", "sample_rows", "latest_stage", "history_last5", "quota_rejections"])
+@pytest.mark.parametrize("name", ["sparse_topk", "dense_topk", "upsert_latest", "event_retention", "sample_rows", "latest_stage", "history_last5", "quota_rejections"])
 def test_ranking_prunes_before_the_shuffle(spark, folder, name):
     out = io.StringIO()
     with redirect_stdout(out):
         QUERIES[name](spark, folder).explain()
     assert "WindowGroupLimit" in out.getvalue()
+
+
+@pytest.mark.parametrize("limited", ["callers", "neighbours"])
+def test_limits_prune_before_the_shuffle(spark, folder, limited):
+    t = Inputs(spark, folder)
+    names = t.v_nodes.select("user_id", "name").where("name is not null")
+    found = graph_query.call_graph(t.v_nodes, t.v_edges, names, limit=3) if limited == "callers" else graph_query.explore_all(t.v_nodes, t.v_edges, limit=3)
+    out = io.StringIO()
+    with redirect_stdout(out):
+        found.explain()
+    assert "WindowGroupLimit" in out.getvalue()
