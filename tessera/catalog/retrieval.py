@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.registry import Inputs, query
 from tessera.operators import dense, hybrid, sparse
+from tessera.operators import dense_clusters as clusters
+from tessera.operators import sparse_blocks as blocks
 
 # Oracle text shared by several queries: terms, hashed counts and scores.
 _TERMS = r"""
@@ -70,6 +72,13 @@ def sparse_topk(t: Inputs):
     return hits.withColumnRenamed("sparse_rank", "rank")
 
 
+@query("sparse_blocks", _SPARSE + "SELECT qid, chunk_id, score, sparse_rank AS rank FROM sparse_ranked WHERE sparse_rank < 7")
+def sparse_blocks(t: Inputs):
+    """The same hits from a block-max index."""
+    index = blocks.block_index(sparse.postings(_documents(t), "chunk_id"))
+    return blocks.block_top_k(index, sparse.postings(_questions(t), "qid")).hits.withColumnRenamed("sparse_rank", "rank")
+
+
 def centroid_questions(t: Inputs):
     """One question per label: the mean vector of the label, reduced per dimension before it moves."""
     cells = t.embeddings.select("label", F.posexplode("embedding").alias("d", "x"))
@@ -78,18 +87,28 @@ def centroid_questions(t: Inputs):
     return packed.select(F.col("label").alias("qid"), F.col("v.m").alias("qdense"))
 
 
-@query("dense_topk", """
+_CENTROIDS = """
 WITH cells AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
 means AS (SELECT label, d, avg(x) AS m FROM cells GROUP BY ALL),
 q AS (SELECT label::BIGINT AS qid, list(m ORDER BY d) AS v FROM means GROUP BY label),
 s AS (SELECT qid, vec_id AS chunk_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 9) AS score FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM s)
-SELECT qid, chunk_id, score, rank FROM r WHERE rank < 7""")
+SELECT qid, chunk_id, score, rank FROM r WHERE rank < 7"""
+
+
+@query("dense_topk", _CENTROIDS)
 def dense_topk(t: Inputs):
     chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense"))
     return dense.dense_top_k(chunks, centroid_questions(t)).withColumnRenamed("dense_rank", "rank")
 
 
+@query("dense_clusters", _CENTROIDS)
+def dense_clusters(t: Inputs):
+    """The same hits from a clustered index."""
+    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense"))
+    return clusters.cluster_top_k(clusters.cluster_index(chunks), centroid_questions(t)).hits.withColumnRenamed("dense_rank", "rank")
+
+
 @query("embed_default", "WITH texts AS (SELECT doc_id AS id, text AS txt FROM documents)," + _TERMS + _EMBED
        + "SELECT id AS chunk_id, d AS dim, round(x, 9) AS value FROM unit WHERE round(x, 9) <> 0")
 def embed_default(t: Inputs):

@@ -6,7 +6,6 @@ and keeps k rows per question and task, so neither all pairs nor all scores are
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -23,7 +22,6 @@ from tessera.functions import terms as T
 from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, item_ids, top_k
 
 QUESTION_ROWS = 8192  # most question vectors shipped to every task (48 MB at dimension 768)
-TILE_ROWS = 20_000  # chunk rows held at once by the tiled scan
 
 # Tasks receive these helpers with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,8 +130,8 @@ def dense_top_k(
     """(qid, key, score, dense_rank): exact cosine top-k of every question over the chunks it may see.
 
     `chunks` has `key`, `dense` and the scope columns; `questions` has `qid`, `qdense` and the scope
-    columns.  A batch of up to `max_questions` goes to every task; a larger one is cut into
-    blocks that meet chunk tiles by an equality join, each pair of block and tile in its own task.
+    columns.  A batch of up to `max_questions` goes to every task; a larger one meets a clustered index, see
+    `dense_clusters`.
     """
     exact, optional = exact or [], optional or []
     scope = exact + optional
@@ -152,31 +150,7 @@ def dense_top_k(
 
         partial = chunks.mapInArrow(scan, schema)
     else:
-        partial = _tiled_scan(chunks, questions, k, key, exact, optional, max_questions, schema)
-    return top_k(partial, k, "qid", key, "score", "dense_rank")
-
-
-def _tiled_scan(chunks, questions, k, key, exact, optional, max_questions, schema) -> DataFrame:
-    # Hash blocks vary in size; twice as many keeps each near half the limit.
-    blocks = math.ceil(questions.count() / max_questions) * 2
-    tiles = max(1, math.ceil(chunks.count() / TILE_ROWS))
-
-    def spread(df: DataFrame, own: str, count: int, other: str, others: int, by: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(count)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        )
+        from tessera.operators.dense_clusters import cluster_index, cluster_top_k
 
-    left = spread(chunks, "_tile", tiles, "_block", blocks, key).groupBy("_block", "_tile")
-    right = spread(questions, "_block", blocks, "_tile", tiles, "qid").groupBy("_block", "_tile")
-
-    def score(chunk_table: pa.Table, question_table: pa.Table) -> pa.Table:
-        if not chunk_table.num_rows or not question_table.num_rows:
-            return pa.Table.from_batches([], schema=arrow_schema)
-        asked = _Questions(question_table.to_pandas(), exact, optional)
-        batches = chunk_table.combine_chunks().to_batches()
-        return pa.Table.from_batches(list(_score_batches(batches, asked, k, key)), schema=arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(schema)
-    return left.cogroup(right).applyInArrow(score, schema)
+        return cluster_top_k(cluster_index(chunks, key), questions, k, key, exact, optional).hits
+    return top_k(partial, k, "qid", key, "score", "dense_rank")

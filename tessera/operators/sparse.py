@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,15 +39,6 @@ def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return counted.withColumn("w", T.saturate(F.col("tf")))
 
 
-def scope_condition(chunk: str, question: str, exact: list[str], optional: list[str]) -> list[Column]:
-    """Join conditions: exact columns must agree; an optional column filters only where the question sets it."""
-    conditions = [F.col(f"{chunk}.{c}") == F.col(f"{question}.{c}") for c in exact]
-    conditions += [
-        F.col(f"{question}.{c}").isNull() | (F.col(f"{chunk}.{c}") == F.col(f"{question}.{c}")) for c in optional
-    ]
-    return conditions
-
-
 class _TermIndex:
     """Question weights by term: for the term at position v, entries start[v]:start[v + 1]."""
 
@@ -109,14 +100,17 @@ def sparse_top_k(
 
     Question postings up to `max_question_rows` go to every task, which keeps k hits per question, so
     (question, chunk) scores never become rows; postings of terms nobody asked for are dropped first.
-    More questions than that meet the chunks by a join on the term.
+    More questions than that go through a block-max index, see `sparse_blocks`.
     """
     exact, optional = exact or [], optional or []
     scope = exact + optional
     asked = question_postings.select(F.col("qid").cast("long").alias("qid"), "term_idx", "w")
     small = asked.limit(max_question_rows + 1).toPandas()
     if len(small) > max_question_rows:
-        return sparse_join(chunk_postings, asked, k, key, chunk_scope, question_scope, exact, optional)
+        from tessera.operators.sparse_blocks import block_index, block_top_k
+
+        index = block_index(chunk_postings, key, chunk_scope, exact)
+        return block_top_k(index, asked, k, key, chunk_scope, question_scope, exact, optional).hits
     heads = small[["qid"]].drop_duplicates()
     if scope:
         # Only questions with terms matter, and those are within the limit just checked.
@@ -138,20 +132,3 @@ def sparse_top_k(
 
     kept = packed.mapInArrow(scan, schema).where(F.col("score") > 0)
     return top_k(kept, k, "qid", key, "score", "sparse_rank")
-
-
-def sparse_join(chunk_postings: DataFrame, question_postings: DataFrame, k: int, key: str, chunk_scope: DataFrame | None,
-                question_scope: DataFrame | None, exact: list[str], optional: list[str]) -> DataFrame:
-    """The same result by an equality join on the term, for question batches of any size.
-
-    Adaptive execution splits a term that fills a partition; sums are combined inside tasks first.
-    """
-    c, q = chunk_postings.alias("c"), question_postings.alias("q")
-    matched = c.join(q, F.col("c.term_idx") == F.col("q.term_idx")).select("q.qid", f"c.{key}", (F.col("q.w") * F.col("c.w")).alias("_p"))
-    scored = matched.groupBy("qid", key).agg(F.round(F.sum("_p"), SCORE_DIGITS).alias("score"))
-    if exact or optional:
-        placed = scored.join(chunk_scope.select(key, *exact, *optional), key).alias("c")
-        limits = question_scope.select(F.col("qid").cast("long").alias("qid"), *exact, *optional).alias("q")
-        allowed = [F.col("c.qid") == F.col("q.qid"), *scope_condition("c", "q", exact, optional)]
-        scored = placed.join(limits, allowed).select("c.qid", key, "score")
-    return top_k(scored, k, "qid", key, "score", "sparse_rank")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.catalog.registry import Inputs
-from tessera.operators import dense, events, sparse
+from tessera.operators import dense, dense_clusters, events, sparse, sparse_blocks
 
 
 def rows(df, rank):
@@ -21,14 +21,22 @@ def scoped(spark, folder):
     return docs, doc_scope, asked, asked_scope
 
 
-def test_sparse_scan_equals_join(spark, folder):
+def test_sparse_scan_equals_blocks(spark, folder):
     docs, doc_scope, asked, asked_scope = scoped(spark, folder)
     p, q = sparse.postings(docs, "chunk_id").cache(), sparse.postings(asked, "qid").cache()
-    assert rows(sparse.sparse_top_k(p, q), "sparse_rank") == rows(sparse.sparse_top_k(p, q, max_question_rows=1), "sparse_rank")
+    want = rows(sparse.sparse_top_k(p, q), "sparse_rank")
+    found = sparse_blocks.block_top_k(sparse_blocks.block_index(p), q)
+    assert want == rows(found.hits, "sparse_rank")
+    # Far fewer documents are scored than share a term with a question.
+    matches = p.join(q.select("qid", "term_idx"), "term_idx").select("qid", "chunk_id").distinct().count()
+    assert found.candidates.count() < 0.4 * matches
     limits = dict(chunk_scope=doc_scope, question_scope=asked_scope, exact=["user_id"], optional=["lang"])
     scanned = rows(sparse.sparse_top_k(p, q, **limits), "sparse_rank")
     assert scanned == rows(sparse.sparse_top_k(p, q, max_question_rows=1, **limits), "sparse_rank")
     assert scanned and {q for q, *_ in scanned} <= {q for q in range(1000) if q % 4 != 3}
+    small = sparse_blocks.block_index(p, scope=doc_scope, exact=["user_id"], block=4)
+    assert small.where("n > 40").count() == 0  # parts are cut by a hash, so sizes vary
+    assert scanned == rows(sparse_blocks.block_top_k(small, q, seed_rows=20, **limits).hits, "sparse_rank")
 
 
 def test_sparse_small_blocks(spark, folder, monkeypatch):
@@ -39,7 +47,7 @@ def test_sparse_small_blocks(spark, folder, monkeypatch):
     assert rows(sparse.sparse_top_k(p, q), "sparse_rank") == want
 
 
-def test_dense_against_brute_force_and_tiles(spark, folder, monkeypatch):
+def test_dense_against_brute_force_and_clusters(spark, folder):
     t = Inputs(spark, folder)
     chunks = t.embeddings.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("dense"), (F.col("label") % 2).cast("string").alias("user_id"))
     asked = t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qdense"), F.lit("1").alias("user_id"))
@@ -55,8 +63,20 @@ def test_dense_against_brute_force_and_tiles(spark, folder, monkeypatch):
         order = sorted(range(len(allowed)), key=lambda j: (-scores[i, j], ids[j]))[:5]
         want += [(qid, ids[j], round(float(scores[i, j]), 6), r) for r, j in enumerate(order)]
     assert got == sorted(want)
-    monkeypatch.setattr(dense, "TILE_ROWS", 100)
     assert rows(dense.dense_top_k(chunks, asked, 5, exact=["user_id"], max_questions=60), "dense_rank") == got
+    index = dense_clusters.cluster_index(chunks, centres=30, part_rows=10)
+    assert rows(dense_clusters.cluster_top_k(index, asked, 5, exact=["user_id"]).hits, "dense_rank") == got
+
+
+def test_far_clusters_are_not_opened(spark):
+    pick = np.random.default_rng(3)
+    middles = pick.normal(size=(25, 16))
+    data = np.concatenate([m + 0.05 * pick.normal(size=(40, 16)) for m in middles] + [np.zeros((3, 16))])
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "chunk_id long, dense array<double>")
+    asked = chunks.where("chunk_id % 40 = 7").select(F.col("chunk_id").alias("qid"), F.col("dense").alias("qdense"))
+    found = dense_clusters.cluster_top_k(dense_clusters.cluster_index(chunks, centres=60, part_rows=16), asked, 5)
+    assert rows(found.hits, "dense_rank") == rows(dense.dense_top_k(chunks, asked, 5), "dense_rank")
+    assert found.opened.agg(F.sum("n")).first()[0] < 0.2 * chunks.count() * asked.count()
 
 
 def test_wrong_dimension_fails(spark):
