@@ -273,6 +273,10 @@ SELECT doc_id, 'js' AS grammar, 'function' AS chunk_type, NULL AS class_name, 'f
   'export function f_' || doc_id || '(a, b) {{' AS signature, md5('export function f_' || doc_id || '(a, b) {{' || chr(10) || '  const r = /[{{(\\]"''`]+\\/{{/g.test(a) ? "}}}}" : ''{{{{'';'
     || chr(10) || '  return r; // }} }}' || chr(10) || '}}') AS body FROM s
 UNION ALL SELECT doc_id, 'js', 'method', 'C_' || doc_id, 'm', b + 9, b + 11, '  m(x) {{', md5('m(x) {{' || chr(10) || '    return `}}${{x}}`;' || chr(10) || '  }}') FROM s
+UNION ALL SELECT doc_id, 'js', 'function', NULL, 'page_' || doc_id, b + 13, b + 16, 'const page_' || doc_id || ' = (x) => {{', md5('const page_' || doc_id || ' = (x) => {{' || chr(10)
+    || '  const t = `x ' || chr(36) || '{{ `b {{ ' || chr(36) || '{{x}}` }} c (`;' || chr(10) || '  return <p title="{{">Don''t (say {{x ? `]` : ''[''}} it</p>;' || chr(10) || '}};') FROM s
+UNION ALL SELECT doc_id, 'js', 'function', NULL, 'last_' || doc_id, b + 17, b + 19, 'function last_' || doc_id || '() {{',
+  md5('function last_' || doc_id || '() {{' || chr(10) || '  return <b key={{1}}/> || 4 / 2 / 1;' || chr(10) || '}}') FROM s
 UNION ALL SELECT doc_id, 'go', 'function', NULL, 'F' || doc_id, n + 3, n + 5, 'func F' || doc_id || '(x string) string {{',
   md5('func F' || doc_id || '(x string) string {{' || chr(10) || '	return x + `\\{{` + "{{"' || chr(10) || '}}') FROM s
 UNION ALL SELECT doc_id, 'go', 'class', NULL, NULL, n + 7, n + 9, 'type T' || doc_id || ' struct {{', md5('type T' || doc_id || ' struct {{' || chr(10) || '	a int' || chr(10) || '}}') FROM s""")

@@ -163,7 +163,10 @@ view("v_brace", r"""
 SELECT doc_id, n,
   concat('/* {{ (', chr(10), body, chr(10), '*/', chr(10), 'const note = `{{[', body, ' \\` (', '`;', chr(10), chr(10),
     'export function f_', cast(doc_id AS string), '(a, b) {{', chr(10), '  const r = /[{{(\\]"', chr(39), '`]+\\/{{/g.test(a) ? "}}}}" : ', chr(39), '{{{{', chr(39), ';', chr(10),
-    '  return r; // }} }}', chr(10), '}}', chr(10), 'class C_', cast(doc_id AS string), ' extends Base {{', chr(10), '  m(x) {{', chr(10), '    return `}}', chr(36), '{{x}}`;', chr(10), '  }}', chr(10), '}}', chr(10)) AS js,
+    '  return r; // }} }}', chr(10), '}}', chr(10), 'class C_', cast(doc_id AS string), ' extends Base {{', chr(10), '  m(x) {{', chr(10), '    return `}}', chr(36), '{{x}}`;', chr(10), '  }}', chr(10), '}}', chr(10),
+    'const page_', cast(doc_id AS string), ' = (x) => {{', chr(10), '  const t = `x ', chr(36), '{{ `b {{ ', chr(36), '{{x}}` }} c (`;', chr(10),
+    '  return <p title="{{">Don', chr(39), 't (say {{x ? `]` : ', chr(39), '[', chr(39), '}} it</p>;', chr(10), '}};', chr(10),
+    'function last_', cast(doc_id AS string), '() {{', chr(10), '  return <b key={{1}}/> || 4 / 2 / 1;', chr(10), '}}', chr(10)) AS js,
   concat('package p', chr(10), 'var raw = `{{', body, '\\`', chr(10), '// }}', chr(10), 'func F', cast(doc_id AS string), '(x string) string {{', chr(10), chr(9), 'return x + `\\{{` + "{{"', chr(10), '}}', chr(10), chr(10),
     'type T', cast(doc_id AS string), ' struct {{', chr(10), chr(9), 'a int', chr(10), '}}', chr(10)) AS go
 FROM (SELECT doc_id, replace(replace(replace(text, chr(96), ''), chr(92), ''), '*/', '') AS body, 1 + length(text) - length(replace(text, chr(10), '')) AS n FROM {documents})

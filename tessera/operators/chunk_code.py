@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as K
+from tessera.functions.script_noise import without_script_noise
 from tessera.functions.text import lines_with_ends, strip
 from tessera.operators.chunk_docs import window_parts
 
@@ -44,14 +45,8 @@ _TRIPLE = "\"\"\"|'''"
 _PY_NOISE = (
     r"(\"\"\"|''')|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|#(?!.*(?:\"\"\"|''')).*"
 )
-# Comments, strings and (outside Go) regular expressions, which stand where a value may begin.  Loops run over single
-# characters, so long comments and strings need no stack; raw strings of Go know no escapes.
-_SHARED_NOISE = r"/\*(?s:.*?)\*/|//[^\r\n]*+|\"[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
-_GO_NOISE = _SHARED_NOISE + "|`[^`]*+`"
-_JS_NOISE = (
-    _SHARED_NOISE + r"|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`"
-    r"|(?:(?<=[(,=:\[!&|?{};+\-*%<>~^]\s{0,9})|(?<=\breturn\s{1,9})|(?<=^\s{0,9}))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\r\n])*+\]|[^/\\\[\r\n])++/[a-z]*+"
-)
+# Comments and strings.  Loops run over single characters, so long ones need no stack; raw strings know no escapes.
+_GO_NOISE = r"/\*(?s:.*?)\*/|//[^\r\n]*+|\"[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'|`[^`]*+`"
 
 
 def without_noise(content: Column, noise: str) -> Column:
@@ -65,8 +60,8 @@ def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None
     comments in languages with braces, else null."""
     columns = [key, "grammar", *(keep or [])]
     spread = files.select(*columns, "content").repartition(key)
-    text = F.col("content")
-    bare = F.when(F.col("grammar") == "go", without_noise(text, _GO_NOISE)).when(F.col("grammar").isin(_BRACE_GRAMMARS), without_noise(text, _JS_NOISE))
+    text, script = F.col("content"), F.col("grammar").isin([g for g in _BRACE_GRAMMARS if g != "go"])
+    bare = F.when(F.col("grammar") == "go", without_noise(text, _GO_NOISE)).when(script, without_script_noise(F.when(script, text), F.col("grammar") != "typescript"))
     both = F.arrays_zip(lines_with_ends(text).alias("line"), F.coalesce(lines_with_ends(bare), F.array().cast("array<string>")).alias("bare"))
     rows = spread.select(*columns, F.posexplode(both).alias("_p", "_l"))
     return rows.select(*columns, (F.col("_p") + 1).alias("n"), "_l.line", "_l.bare")

@@ -5,8 +5,11 @@ import glob
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import script_noise
 from tessera.operators import chunk_code, graph_extract
 
 PY_BASIC = '''"""Doc of the module, long enough."""
@@ -191,3 +194,33 @@ def test_imports_against_the_standard_parser(spark, library):
                 want.add((n, node.module.split(".")[0]))
     print("equal imports", len(got & want), "of", len(want))
     assert len(got & want) / len(want) > 0.95
+
+
+NESTED = [
+    ("const a = `x ${ `b { ${a}` } c`; function f(x) { return 1 }", "const a =  a ; function f(x) { return 1 }"),
+    ("const p = <p>Don't (say</p>; g();", "const p = ; g();"),
+    ("return <div a={x > 1 ? {b: '('} : `)`} c=\"]\">{l.map(i => <li key={i}>{i} (</li>)} ] it's<br/> <></> </div>;", "return x > 1 ? {b: } : l.map(i => ii);"),
+    ("if (a < b && c > d) { x = a / b / c; }", "if (a < b && c > d) { x = a / b / c; }"),
+    ("const r = /[{(]/g.test(s) ? '}' : \"{\"; // {{{", "const r = .test(s) ?  : ; "),
+    ("/* (\n( */ return /x\\/(/.exec(y)", "\n return .exec(y)"),
+    ("const f = <T,>(x: T) => { return x < 3 }", "const f = <T,>(x: T) => { return x < 3 }"),
+    ("x = 'never closed (\ny = {}", "x = \ny = {}"),
+    ("f(<A.B c='{' {...d}>text {/* ( */}\n</A.B>)", "f(...d\n)"),
+    ("`a${`b${`c", ""),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("text, want", NESTED)
+def test_scripts_without_noise(text, want):
+    assert script_noise.bare_script(text) == want
+
+
+@given(st.text(alphabet="`${}<>/ab'\"\\()[] =\n*", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_any_script_keeps_its_lines(text):
+    assert script_noise.bare_script(text).count("\n") == text.count("\n")
+
+
+def test_plain_typescript_has_no_elements():
+    assert script_noise.bare_script("const a = <T>b; f(a < b)", elements=False) == "const a = <T>b; f(a < b)"
