@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.catalog.registry import Inputs, query
 from tessera.session import checkpoint_root
+from tessera.sources import tables
 from tessera.streaming import progress, quota, webhooks
 
 
@@ -41,6 +43,70 @@ def job_stream(t: Inputs):
     return quota.settle(progress.job_states(events), ["job_id"]).select("job_id", "status", "done")
 
 
+def _out_of_order(t: Inputs, rows, split: str, name: str, again: bool = False):
+    """Rows as a file stream, a file a batch: those after `split` first, then the earlier ones, weeks late; with `again` the
+    first file comes a second time."""
+    folder = os.path.join(checkpoint_root(t.spark), name, uuid.uuid4().hex)
+    late = F.coalesce(F.col("ts") < F.lit(split).cast("timestamp"), F.lit(True))
+    for part, which in (("1", ~late), ("2", late), *([("3", ~late)] if again else [])):
+        rows.where(which).coalesce(1).write.parquet(f"{folder}/in/{part}")
+    stream = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return stream, folder
+
+
+_JOB_STATE = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'running' END"
+
+
+def _jobs(t: Inputs):
+    state = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "done").otherwise("running")
+    return t.events.select(F.concat(F.lit("job"), "user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), state.alias("state"))
+
+
+@query("job_table", f"""
+SELECT 'job' || user_id AS job_id, arg_max({_JOB_STATE}, (ts, event_id)) AS status, bool_or(event_type IN ('error', 'purchase')) AS done FROM events GROUP BY ALL""")
+def job_table(t: Inputs):
+    stream, folder = _out_of_order(t, _jobs(t), "2024-01-16", "jobs", again=True)
+    return progress.job_table(stream, folder).select("job_id", "status", "done")
+
+
+@query("expiry_stream", """
+WITH j AS (SELECT 'job' || user_id AS job_id, min(ts) AS created, bool_or(event_type IN ('error', 'purchase')) AS done FROM events GROUP BY ALL)
+SELECT job_id, floor(epoch(created))::BIGINT AS created FROM j WHERE done AND floor(epoch(created))::BIGINT + 2400000 <= (SELECT floor(epoch(max(ts)))::BIGINT FROM events)""")
+def expiry_stream(t: Inputs):
+    """Finished jobs older than four weeks less a bit; rows close a day after that, and the month's first half comes last."""
+    stream, folder = _out_of_order(t, _jobs(t), "2024-01-16", "expiry", again=True)
+    return progress.job_expiry(stream, folder, 2400000, 86400).select("job_id", F.unix_seconds("created_at").alias("created"))
+
+
+@query("record_stream", """
+WITH x AS (SELECT 'u1::org/' || regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g') || '::main::issue::' || o_custkey AS id, o_orderkey, o_orderstatus, o_orderdate,
+  row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, lpad(o_orderkey::VARCHAR, 12, '0') DESC) AS n FROM orders)
+SELECT id, 'Order ' || o_orderkey AS title, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS state FROM x WHERE n = 1""")
+def record_stream(t: Inputs):
+    """Orders as issue events, numbered by customer: the last word on a number goes by event time."""
+    none, text = F.lit(None), F.lit(None).cast("string")
+    user = F.struct(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("login"), F.lit("User").alias("type"))
+    issue = F.struct(F.col("o_custkey").cast("int").alias("number"), F.concat(F.lit("Order "), "o_orderkey").alias("title"),
+                     F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), text.alias("body"), text.alias("created_at"), user.alias("user"),
+                     none.cast("array<struct<name:string>>").alias("labels"))
+    whole = t.spark.createDataFrame([], schemas.WEBHOOKS)
+    kind = {f.name: f.dataType for f in whole.schema}
+    events = t.orders.select(
+        F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("delivery_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("issues").alias("event"),
+        F.struct(_repo(), F.lit("n").alias("name"), F.struct(F.lit("org").alias("login")).alias("owner")).cast(kind["repository"]).alias("repository"),
+        none.cast("string").alias("ref"), none.cast(kind["commits"]).alias("commits"), none.cast(kind["pull_request"]).alias("pull_request"), issue.cast(kind["issue"]).alias("issue"))
+    stream, folder = _out_of_order(t, events, "1995-01-01", "records", again=True)
+    targets = _targets(t)
+
+    def apply(batch, batch_id):
+        webhooks.apply_records(batch, f"{folder}/nodes", f"{folder}/edges", targets, f"{folder}/marks")
+
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    value = lambda k: F.try_element_at("props", F.lit(k))
+    nodes = tables.read_table(t.spark, f"{folder}/nodes", schemas.NODES)
+    return nodes.where("label = 'Issue'").select("id", value("title").alias("title"), value("state").alias("state"))
+
+
 def _repo():
     return F.concat(F.lit("org/"), F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "")).alias("repo")
 

@@ -15,6 +15,7 @@ from tessera import schemas
 from tessera.functions import redact, routing
 from tessera.operators import graph_git, maintenance
 from tessera.plans.ingest import chunk_files, prepare_files
+from tessera.session import written
 from tessera.sources import tables
 
 
@@ -92,21 +93,43 @@ def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFram
         changes.unpersist()
 
 
-def record_rows(events: DataFrame, kind: str, targets: DataFrame, branch: str = "main") -> DataFrame:
-    """Issue or pull-request records of a batch, redacted, one per tenant; the newest state of each number."""
-    field = {"issue": "issue", "pr": "pull_request"}[kind]
+_RECORDS = {"issue": "issue", "pr": "pull_request"}
+
+
+def record_changes(events: DataFrame, targets: DataFrame, branch: str = "main") -> DataFrame:
+    """The last word of a batch on each issue and pull request, per tenant, in the layout of marks; `path` is kind/number."""
+    parts = [events.where(F.col(field).isNotNull()).select(
+        F.col("repository.full_name").alias("repo"), F.concat(F.lit(f"{kind}/"), F.col(f"{field}.number").cast("string")).alias("path"), "ts", "delivery_id")
+        for kind, field in _RECORDS.items()]
+    last = maintenance.latest(parts[0].unionByName(parts[1]), ["repo", "path"], "ts", "delivery_id")
+    return last.join(targets, "repo").withColumns({"branch": F.lit(branch), "action": F.lit("upsert")}).select(*schemas.columns_of(MARKS))
+
+
+def record_rows(events: DataFrame, kind: str, targets: DataFrame, branch: str = "main", changes: DataFrame | None = None) -> DataFrame:
+    """Issue or pull-request records of a batch, redacted, one per tenant; the newest state of each number, and with `changes`
+    only those among them."""
+    field = _RECORDS[kind]
     rows = events.where(F.col(field).isNotNull()).select(
         F.col("repository.full_name").alias("repo"), "ts", "delivery_id", F.col(f"{field}.*"))
-    newest = maintenance.latest(rows, ["repo", "number"], "ts", "delivery_id").drop("ts", "delivery_id")
+    newest = maintenance.latest(rows, ["repo", "number"], "ts", "delivery_id")
     clean = redact.redact_fields(newest, ["title", "body"]).drop("secrets_redacted")
-    return clean.join(targets, "repo").withColumn("branch", F.lit(branch))
-
-
-def apply_records(events: DataFrame, node_table: str, edge_table: str, targets: DataFrame) -> None:
-    """Merge the graph of a batch's issues and pull requests into the node and edge tables."""
-    spark = events.sparkSession
-    issue_nodes, issue_edges = graph_git.issue_graph(record_rows(events, "issue", targets))
-    prs = record_rows(events, "pr", targets)
+    placed = clean.join(targets, "repo").withColumn("branch", F.lit(branch))
+    if changes is not None:
+        key = [*_PLACE, "ts", "delivery_id"]
+        placed = placed.withColumn("path", F.concat(F.lit(f"{kind}/"), F.col("number").cast("string"))).join(changes.select(*key), key, "left_semi").drop("path")
+    return placed.drop("ts", "delivery_id")
+
+
+def apply_records(events: DataFrame, node_table: str, edge_table: str, targets: DataFrame, mark_table: str | None = None) -> None:
+    """Merge the graph of a batch's issues and pull requests into the node and edge tables; only the touched partitions are
+    read and written.  With `mark_table` a record older than the last one applied to its number is left out."""
+    spark, changes = events.sparkSession, None
+    if mark_table is not None:
+        found = record_changes(events, targets)
+        keys = tables.with_chunk_partitions(found).select(*tables.CHUNK_PARTITIONS).distinct()
+        changes = written(newer_changes(found, tables.read_table(spark, mark_table, MARKS, keys, tables.CHUNK_PARTITIONS)), "records")
+    issue_nodes, issue_edges = graph_git.issue_graph(record_rows(events, "issue", targets, changes=changes))
+    prs = record_rows(events, "pr", targets, changes=changes)
     no_files = spark.createDataFrame([], schemas.PR_FILES + ", user_id string, is_public boolean, repo string, branch string")
     pr_nodes, pr_edges = graph_git.pr_graph(prs, no_files)
     new_nodes = issue_nodes.unionByName(pr_nodes).persist()
@@ -122,6 +145,8 @@ def apply_records(events: DataFrame, node_table: str, edge_table: str, targets:
         nodes = tables.read_table(spark, node_table, schemas.NODES, edge_keys.select("tenant"), tables.NODE_PARTITIONS)
         linked = maintenance.merge_edges(held, new_edges, nodes)
         tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS, edge_keys)
+        if changes is not None:
+            _mark(changes, tables.with_chunk_partitions(changes).select(*tables.CHUNK_PARTITIONS).distinct(), mark_table)
     finally:
         new_nodes.unpersist()
         new_edges.unpersist()
@@ -136,7 +161,7 @@ def run_webhooks(events: DataFrame, checkpoint: str, targets: DataFrame, chunk_t
         try:
             changes = push_changes(batch, targets)
             apply_pushes(changes, chunk_table, fetch, f"push-{batch_id}", batch_id + 1, f"{chunk_table.rstrip('/')}_marks")
-            apply_records(batch, node_table, edge_table, targets)
+            apply_records(batch, node_table, edge_table, targets, f"{node_table.rstrip('/')}_marks")
         finally:
             batch.unpersist()
 

@@ -230,6 +230,68 @@ def test_partition_replacement(spark, first):
     assert tables.read_table(spark, path, schemas.CHUNKS).count() == 0
 
 
+def test_readers_and_batches_open_only_the_named_partitions(spark, first):
+    chunks, _, _ = first
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/chunks"
+    more = chunks.withColumn("branch", F.lit("dev")).withColumn("chunk_id", F.concat("chunk_id", F.lit("-dev")))
+    tables.write_chunks(chunks.unionByName(more), path)
+    version = tables.current_version(spark, path)
+    before = set(tables.read_table(spark, path, schemas.CHUNKS).inputFiles())
+    only = spark.createDataFrame([("u1", "main")], "tenant string, p_branch string")
+    some = tables.read_table(spark, path, schemas.CHUNKS, only, tables.CHUNK_PARTITIONS)
+    assert some.inputFiles() and all("tenant=u1" in f and "p_branch=main" in f for f in some.inputFiles())
+    assert rows_of(some, *CONTENT) == rows_of(chunks.where("user_id = 'u1'"), *CONTENT)
+    # A push to one branch leaves the files of all others as they are, and a failed merge changes nothing.
+    changes = spark.createDataFrame([("u1", False, "org/app", "main", "README.md", "remove", datetime(2024, 1, 1), "d1")], webhooks.MARKS)
+    with pytest.raises(Exception):
+        tables.merge_chunks(spark, path, changes, lambda rows: rows.withColumn("text", F.raise_error(F.lit("broken"))))
+    assert tables.current_version(spark, path) == version
+    webhooks.apply_pushes(changes, path, lambda c: files(spark, {}), "push-1", 2)
+    after = set(tables.read_table(spark, path, schemas.CHUNKS).inputFiles())
+    assert {f for f in before if f not in after} and all("tenant=u1" in f and "p_branch=main" in f for f in before ^ after)
+    left = chunks.unionByName(more).where("not (user_id = 'u1' and branch = 'main' and file_path = 'README.md')")
+    assert rows_of(tables.read_table(spark, path, schemas.CHUNKS), *CONTENT) == rows_of(left, *CONTENT)
+    tables.vacuum(spark, path)
+    assert rows_of(tables.read_table(spark, path, schemas.CHUNKS), *CONTENT) == rows_of(left, *CONTENT)
+
+
+def test_merges_hand_on_untouched_rows(spark):
+    """Only rows whose key comes in are ranked or taken apart."""
+    existing = spark.createDataFrame([(f"n{k}", "File", f"n{k}", "u", False, "r", "main", None, None, {"a": "1"}) for k in range(50)], schemas.NODES)
+    held = existing.withColumn("id", F.concat(F.lit("u::"), "id"))
+    ddl = "label string, raw_id string, user_id string, is_public boolean, repo string, branch string, props map<string,string>, seq bigint"
+    incoming = spark.createDataFrame([("File", "n7", "u", False, "r", "main", {"b": "2"}, 1), ("File", "new", "u", False, "r", "main", {"c": "3"}, 1)], ddl)
+    merged = maintenance.merge_nodes(held, incoming)
+    got = {r["id"]: r["props"] for r in merged.collect()}
+    assert len(got) == 51 and got["u::n7"] == {"a": "1", "b": "2"} and got["u::new"] == {"c": "3"} and got["u::n8"] == {"a": "1"}
+
+
+def test_refresh_reads_content_of_changed_files_alone(spark, first):
+    """Files whose hash is known and unchanged may hold anything: their content is not looked at."""
+    chunks, nodes, edges = first
+    source = files(spark, SOURCES, ("u1", "u2")).withColumn("file_sha", F.sha1(F.col("content").cast("binary")))
+    known = source.select("user_id", "repo", "branch", "path", "file_sha")
+    broken = F.when(F.col("path") == "docs/new.md", F.col("content")).otherwise(F.lit("changed without its hash"))
+    new = files(spark, {"docs/new.md": "# New\nA new page with words."}, ("u1",)).withColumn("file_sha", F.lit("s"))
+    got = ingest.refresh(chunks, nodes, edges, source.unionByName(new).withColumn("content", broken), known, "run2", 2)
+    assert {r["file_path"] for r in got[0].where("ingest_run_id = 'run2'").collect()} == {"docs/new.md"}
+    assert rows_of(got[0].where("ingest_run_id = 'run1'"), *CONTENT) == rows_of(chunks, *CONTENT)
+
+
+def test_expired_jobs_are_told_once_however_late_an_event_comes(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    ddl = "job_id string, ts timestamp, state string"
+    t = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    batches = [[("a", t(1), "done"), ("b", t(1), "running")], [("c", t(9), "running")], [("a", t(0), "running"), ("d", t(0, 30), "done")], [("a", t(9, 30), "running"), ("c", t(9, 59), "done")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{root}/in/{i}")
+    stream = spark.readStream.schema(ddl).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    got = progress.job_expiry(stream, f"{root}/jobs", max_age_seconds=3600, keep_seconds=3600)
+    assert sorted((r["job_id"], r["created_at"]) for r in got.collect()) == [("a", t(0)), ("d", t(0, 30))]
+    held = tables.read_table(spark, f"{root}/jobs/ages", progress.AGES, partitions=["bucket"])
+    assert "d" not in {r["job_id"] for r in held.collect()}  # its row's life is over
+
+
 def delivery(i, event, **fields):
     base = {"delivery_id": f"d{i}", "ts": f"2024-01-01T00:00:{i:02d}Z", "event": event,
             "repository": {"full_name": "org/app", "name": "app", "owner": {"login": "org"}}, "ref": "refs/heads/main"}
