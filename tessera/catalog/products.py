@@ -10,7 +10,7 @@ from tessera.catalog.registry import Inputs, query, view
 from tessera.catalog.retrieval import _FUSED, text_hits
 from tessera.functions import props as P
 from tessera.functions import routing
-from tessera.operators import dense, events, hybrid, sparse, stats
+from tessera.operators import dense, events, hybrid, maintenance, sparse, stats
 from tessera.plans import answers, overview, search
 from tessera.sources import artifacts, files
 
@@ -72,7 +72,7 @@ def route_questions(t: Inputs):
     return routed.withColumns({"tool": F.coalesce("tool", F.lit("")), "target": F.coalesce("target", F.lit(""))})
 
 
-@query("hybrid_filtered", _FUSED.split("sparse_scored AS (")[0].replace(
+_FILTERED = _FUSED.split("sparse_scored AS (")[0].replace(
     "SELECT 'd' || doc_id AS id, text AS txt FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark",
     "SELECT 'd' || chunk_id AS id, text AS txt FROM {v_chunks} UNION ALL SELECT 'q' || qid, query FROM {v_questions}") + """
 allowed AS (SELECT q.qid, c.chunk_id FROM {v_questions} q JOIN {v_chunks} c ON c.user_id = q.user_id AND (q.language IS NULL OR c.language = q.language)),
@@ -87,12 +87,32 @@ l AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score D
 m AS (SELECT qid, chunk_id, max(dr) AS dr, max(sr) AS sr FROM l GROUP BY ALL),
 f AS (SELECT *, coalesce(1.0::DOUBLE / (dr + 60), 0) + coalesce(1.0::DOUBLE / (sr + 60), 0) AS score FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr NULLS LAST, sr) - 1 AS rank FROM f)
-SELECT qid, chunk_id, round(score, 9) AS score, rank FROM r WHERE rank < 7""")
+"""
+
+
+@query("hybrid_filtered", _FILTERED + "SELECT qid, chunk_id, round(score, 9) AS score, rank FROM r WHERE rank < 7")
 def hybrid_filtered(t: Inputs):
     hits = search.search(t.v_questions, search.index_chunks(t.v_chunks))
     return hits.select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+@query("search_code", _FILTERED.replace("q.language)),", "q.language) AND c.source_type = 'code'),").replace("< 7", "< 5")
+       + "SELECT qid, chunk_id, round(score, 9) AS score, rank FROM r WHERE rank < 5")
+def search_code(t: Inputs):
+    """Code alone: the filter holds inside both searches."""
+    hits = search.search_code(t.v_questions, search.index_chunks(t.v_chunks))
+    return hits.select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("search_issues", _FILTERED + """
+SELECT r.qid, r.chunk_id, c.source_type, c.state, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) - 1 AS place
+FROM r JOIN {v_chunks} c USING (chunk_id) WHERE r.rank < 7 AND c.source_type IN ('issue', 'pr') AND c.state = 'open'""")
+def search_issues(t: Inputs):
+    """Open issues and pull requests among each question's best hits: the filter comes after ranking."""
+    found = search.search_issues(t.v_questions, search.index_chunks(t.v_chunks), t.v_chunks, state="open")
+    return found.select("qid", "chunk_id", "source_type", "state", "place")
+
+
 def _chunks(t: Inputs):
     none = F.lit(None)
     code = F.col("source_type") == "code"
@@ -148,6 +168,55 @@ def repo_status(t: Inputs):
     return stats.repo_status(t.v_chunks)
 
 
+@query("repo_overview", """
+WITH c AS (SELECT user_id, repo, branch, count(DISTINCT file_path) AS file_count, count(*) AS chunk_count, string_agg(DISTINCT language, ',' ORDER BY language) AS languages,
+  1700000000 + max(chunk_id) AS last_indexed FROM {v_chunks} GROUP BY ALL),
+j AS (SELECT 'u' || user_id % 4 AS user_id, 'org/src' || user_id % 3 AS repo, CASE WHEN user_id % 2 = 0 THEN 'main' ELSE 'dev' END AS branch, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1, 2, 3)
+SELECT c.*, j.state FROM c LEFT JOIN j USING (user_id, repo, branch)""")
+def repo_overview(t: Inputs):
+    chunks = t.v_chunks.withColumn("indexed_at", F.timestamp_seconds(F.lit(1700000000) + F.col("chunk_id")))
+    events = t.events.select(
+        F.concat(F.lit("u"), F.col("user_id") % 4).alias("user_id"), F.concat(F.lit("org/src"), F.col("user_id") % 3).alias("repo"),
+        F.when(F.col("user_id") % 2 == 0, "main").otherwise("dev").alias("branch"), F.col("event_type").alias("state"), "ts", F.col("event_id").alias("seq"))
+    return stats.repo_overview(chunks, events).withColumn("last_indexed", F.unix_seconds("last_indexed"))
+
+
+@query("run_paths", """
+SELECT user_id, repo, branch, path FROM {v_files} WHERE NOT (path LIKE '%.min.js' OR path LIKE '%.lock' OR path LIKE '%node_modules/%' OR path LIKE '%/dist/%' OR NOT contains(path, '.'))""")
+def run_paths(t: Inputs):
+    rows = t.v_files.withColumn("eligible", routing.is_indexable(F.col("path")))
+    return stats.run_paths(rows)
+
+
+@query("roll_back_graph", """
+WITH r AS (SELECT p_partkey, p_partkey % 4 = 0 AS bad FROM part)
+SELECT 'u1::org/a::main::' || p_partkey AS id, NULL AS status, NULL AS error FROM r WHERE NOT bad
+UNION ALL SELECT 'u1::org/a::main', 'failed', 'no space left'""")
+def roll_back_graph(t: Inputs):
+    """Nodes of a run that failed go, with their edges, and the repository says why."""
+    run = F.when(F.col("p_partkey") % 4 == 0, "run2").otherwise("run1")
+    base = t.part.select(
+        F.concat(F.lit("u1::org/a::main::"), "p_partkey").alias("id"), F.lit("File").alias("label"), F.concat(F.lit("org/a::main::"), "p_partkey").alias("raw_id"),
+        F.lit("u1").alias("user_id"), F.lit(False).alias("is_public"), F.lit("org/a").alias("repo"), F.lit("main").alias("branch"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("string").alias("path"), P.string_map(ingest_run_id=run).alias("props"))
+    root = base.limit(1).withColumns({"id": F.lit("u1::org/a::main"), "label": F.lit("Repository"), "raw_id": F.lit("org/a::main"), "props": P.string_map(ingest_run_id=F.lit("run1"), ingestion_status=F.lit("ready"))})
+    nodes = base.unionByName(root)
+    edges = base.select(F.lit("u1::org/a::main").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("rel_type"), "user_id", "repo", "branch", "props")
+    left, links = maintenance.roll_back_graph(nodes, edges, "u1", "org/a", "main", "run2", "failed", "no space left")
+    value = lambda k: F.try_element_at("props", F.lit(k))
+    held = left.join(links.select(F.col("dst").alias("id"), F.lit(1).alias("linked")), "id", "left").where("linked = 1 or label = 'Repository'")
+    return held.select("id", value("ingestion_status").alias("status"), value("last_ingest_error").alias("error"))
+
+
+@query("safe_properties", """
+SELECT o_orderkey, 'day=' || strftime(o_orderdate, '%Y-%m-%d') || ';list=["' || o_orderstatus || '",null]' || ';nested={{"a":' || o_custkey || '}}' || ';text=' || o_orderpriority AS props FROM orders""")
+def safe_properties(t: Inputs):
+    day = F.col("o_orderdate").cast("date")
+    props = P.safe_map(text=F.col("o_orderpriority"), day=day, list=F.array("o_orderstatus", F.lit(None).cast("string")), nested=F.struct(F.col("o_custkey").alias("a")),
+                       snapshot=F.lit("hidden"), none=F.lit(None).cast("string"))
+    return t.orders.select("o_orderkey", P.entries_text(P.visible_properties(props)).alias("props"))
+
+
 @query("repo_ownership", """
 WITH r AS (SELECT DISTINCT user_id, repo, branch FROM {v_chunks})
 SELECT f.doc_id, coalesce((SELECT count(*) FROM r WHERE r.user_id = f.user_id), 0) AS repo_count,
@@ -169,7 +238,8 @@ SELECT user_id, repo, count(*) AS files_seen, count(*) FILTER (NOT eligible) AS
   count(*) FILTER (eligible AND status <> 'unchanged') AS files_parsed, count(*) FILTER (eligible AND status = 'changed') AS files_reindexed, 0::BIGINT AS files_deleted,
   coalesce(sum(size) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS chunks_created, count(*) FILTER (eligible AND status <> 'unchanged') AS graph_edges_created,
   count(*) FILTER (eligible AND status <> 'unchanged' AND secrets > 0) AS files_with_secrets,
-  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_redacted FROM d GROUP BY ALL""".replace("SECRETS", quoted(SECRETS)))
+  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_redacted,
+  coalesce(sum(secrets) FILTER (eligible AND status <> 'unchanged'), 0)::BIGINT AS secrets_found FROM d GROUP BY ALL""".replace("SECRETS", quoted(SECRETS)))
 def run_stats(t: Inputs):
     from tessera.catalog.graph import current_files
     from tessera.functions.redact import count_secrets

@@ -36,3 +36,15 @@ def string_map(**columns: Column) -> Column:
     for name, value in columns.items():
         pairs += [F.lit(name), value.cast("string")]
     return F.create_map(*pairs)
+
+
+def safe_map(**columns: Column) -> Column:
+    """A string map of values of any type: times and dates in ISO form, arrays, maps and structs as JSON; nulls are left out."""
+    def text(value: Column) -> Column:
+        boxed = F.to_json(F.struct(value.alias("v")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "ignoreNullFields": "false"})
+        # What JSON puts in quotes is a plain text; the rest keeps its JSON form.
+        plain = F.get_json_object(boxed, "$.v")
+        return F.when(value.isNotNull(), plain)
+
+    pairs = [x for name, value in columns.items() for x in (F.lit(name), text(value))]
+    return drop_nulls(F.create_map(*pairs))

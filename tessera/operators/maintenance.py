@@ -185,3 +185,13 @@ def set_repo_properties(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     hit = nodes.join(changes.select("id", F.col("props").alias("_c")), "id")
     merged = hit.withColumn("props", P.drop_nulls(P.overlay(F.col("props"), F.col("_c")))).drop("_c")
     return stays.unionByName(merged.select(*nodes.columns))
+
+
+def roll_back_graph(nodes: DataFrame, edges: DataFrame, user_id: str, repo: str, branch: str, run: str, status: str, error: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without what a failed run added; the branch's Repository node says how it ended."""
+    added = F.try_element_at("props", F.lit("ingest_run_id")) == run
+    doomed = nodes.where(in_scope(user_id, repo, branch) & F.coalesce(added, F.lit(False)) & (F.col("label") != "Repository")).select("id")
+    left, links = detach_delete(nodes, edges, doomed)
+    root = left.where(in_scope(user_id, repo, branch) & (F.col("label") == "Repository")).select("id")
+    change = P.string_map(ingestion_status=F.lit(status), last_ingest_error=F.lit(error))
+    return set_repo_properties(left, root.withColumn("props", change)), links

@@ -66,6 +66,18 @@ def repo_status(chunks: DataFrame) -> DataFrame:
     )
 
 
+def repo_overview(chunks: DataFrame, job_events: DataFrame) -> DataFrame:
+    """`repo_status` with last_indexed and the state of the latest job event of each repository branch; null without one.
+
+    `job_events`: user_id, repo, branch, state, ts, seq.
+    """
+    key = ["user_id", "repo", "branch"]
+    indexed = chunks.groupBy(*key).agg(F.max("indexed_at").alias("last_indexed"))
+    at = F.when(F.col("state").isNotNull(), F.struct("ts", "seq"))
+    states = job_events.groupBy(*key).agg(F.max_by("state", at).alias("state"))
+    return repo_status(chunks).join(indexed, key).join(states, key, "left")
+
+
 def run_stats(files: DataFrame) -> DataFrame:
     """Counters of one run per (user_id, repo, branch).
 
@@ -84,9 +96,15 @@ def run_stats(files: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(done, F.col("edges"))), F.lit(0)).alias("graph_edges_created"),
         n(done & (F.col("secrets") > 0)).alias("files_with_secrets"),
         F.coalesce(F.sum(F.when(done, F.col("secrets"))), F.lit(0)).alias("secrets_redacted"),
+        F.coalesce(F.sum(F.when(done, F.col("secrets"))), F.lit(0)).alias("secrets_found"),
     )
 
 
+def run_paths(files: DataFrame) -> DataFrame:
+    """(user_id, repo, branch, path): the files a run saw and took, a row each, so a large repository is no one row's list."""
+    return files.where("eligible").select("user_id", "repo", "branch", "path").distinct()
+
+
 def stage_label(stage: Column, message: Column) -> Column:
     """Short reader-facing name of an ingest stage."""
     text = F.lower(F.concat(stage, F.lit(" "), F.coalesce(message, F.lit(""))))
