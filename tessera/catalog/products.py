@@ -72,6 +72,50 @@ def route_questions(t: Inputs):
     return routed.withColumns({"tool": F.coalesce("tool", F.lit("")), "target": F.coalesce("target", F.lit(""))})
 
 
+# Suppliers' questions about functions of a call graph, and plain ones.
+view("v_call_asked", """
+SELECT s_suppkey AS qid, 'u1' AS user_id, CASE WHEN s_suppkey % 4 = 3 THEN concat('how is stock number ', cast(s_suppkey AS string), ' kept')
+  ELSE concat('who calls fn_', cast(s_suppkey AS string)) END AS query FROM {supplier}
+""")
+
+# Function k, where k does not leave 1 by 3, calls the one three further on.
+_CALLED = """,
+fn AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 1), call AS (SELECT a.k AS src, b.k AS dst FROM fn a JOIN fn b ON b.k = a.k + 3),
+o AS (SELECT dst AS k, 'caller fn_' || src AS ref FROM call UNION ALL SELECT src, 'callee fn_' || dst FROM call),
+j AS (SELECT g.*, (SELECT count(*) FROM o WHERE 'fn_' || o.k = g.target) AS n_graph, (SELECT least(count(*), 7) FROM {v_chunks} c WHERE c.user_id = 'u1') AS n FROM g)
+"""
+
+
+def answered(t: Inputs):
+    none = F.lit(None).cast("string")
+    some = t.part.where("p_partkey % 3 <> 1").select("p_partkey")
+    node = lambda k: F.concat(F.lit("u1::org/a::main::f::"), k.cast("string"))
+    nodes = some.select(node(F.col("p_partkey")).alias("id"), F.lit("Function").alias("label"), node(F.col("p_partkey")).alias("raw_id"), F.lit("u1").alias("user_id"),
+                        F.lit(False).alias("is_public"), F.lit("org/a").alias("repo"), F.lit("main").alias("branch"),
+                        F.concat(F.lit("fn_"), "p_partkey").alias("name"), none.alias("path"), F.create_map().cast("map<string,string>").alias("props"))
+    edges = some.join(some.select((F.col("p_partkey") - 3).alias("p_partkey")), "p_partkey").select(
+        node(F.col("p_partkey")).alias("src"), node(F.col("p_partkey") + 3).alias("dst"), F.lit("CALLS").alias("rel_type"))
+    chunks = t.v_chunks.where("user_id = 'u1'")
+    return answers.answer_questions(t.v_call_asked, search.index_chunks(chunks), nodes, edges)
+
+
+@query("routed_hits", "WITH " + _TARGET.replace("{v_asked}", "{v_call_asked}") + _CALLED + """
+SELECT qid, 'graph' AS source, row_number() OVER (PARTITION BY qid ORDER BY ref) - 1 AS place, ref FROM j JOIN o ON 'fn_' || o.k = j.target
+UNION ALL SELECT qid, 'semantic', unnest(range(n)), NULL FROM j""")
+def routed_hits(t: Inputs):
+    """What each question gets: rows of the graph, or none by fallback, and its best chunks (whose ids hybrid rows compare)."""
+    return answered(t).hits.withColumn("ref", F.when(F.col("source") == "graph", F.col("ref")))
+
+
+@query("routed_trace", "WITH " + _TARGET.replace("{v_asked}", "{v_call_asked}") + _CALLED + """,
+s AS (SELECT *, route = 'graph' OR target IS NOT NULL AS steps FROM j)
+SELECT qid, 1 AS step, 'graph' AS kind, coalesce(tool, 'graph_router') AS tool, CASE WHEN tool IS NULL THEN 'No symbol named in a graph question; plain retrieval used'
+  WHEN n_graph = 0 THEN 'No graph data found for ' || target ELSE 'Found graph data for ' || target END AS summary FROM s WHERE steps
+UNION ALL SELECT qid, 1 + steps::INT, 'semantic', 'hybrid_vector_search', 'Retrieved ' || n || ' cited chunks' FROM s""")
+def routed_trace(t: Inputs):
+    return answered(t).trace
+
+
 _FILTERED = _FUSED.split("sparse_scored AS (")[0].replace(
     "SELECT 'd' || doc_id AS id, text AS txt FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark",
     "SELECT 'd' || chunk_id AS id, text AS txt FROM {v_chunks} UNION ALL SELECT 'q' || qid, query FROM {v_questions}") + """

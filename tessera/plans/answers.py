@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as K
 from tessera.functions import routing
 from tessera.operators import graph_query
+from tessera.plans import search
+from tessera.session import written
 
 
 def _hidden() -> Column:
@@ -100,6 +104,36 @@ def routed_trace(routed: DataFrame, hit_counts: DataFrame) -> DataFrame:
     return rows.select("qid", F.posexplode(steps).alias("_i", "s")).select("qid", (F.col("_i") + 1).alias("step"), "s.*")
 
 
+class Answers(NamedTuple):
+    """How each question was routed, what was found for it, and the steps taken."""
+
+    routed: DataFrame
+    hits: DataFrame
+    trace: DataFrame
+
+
+def answer_questions(questions: DataFrame, index: search.Index, nodes: DataFrame, edges: DataFrame, k: int = K.DEFAULT_TOP_K) -> Answers:
+    """Routed retrieval for a batch of questions (qid, user_id, query, optional filters).
+
+    hits: (qid, source, place, ref).  A question whose target the graph knows gets the graph's rows (callers and callees, or
+    importing files), in name order, and all get their k best chunks; a question that the graph has nothing for is left with
+    these, by an anti-join, and its route says so.
+    """
+    routed = written(route_questions(questions, nodes, edges), "routed")
+    found = routed.where(~F.col("fallback_used") & F.col("target").isNotNull()).join(questions.select("qid", "user_id"), "qid")
+    named = lambda tool: found.where(F.col("tool") == tool).select("qid", "user_id", F.col("target").alias("name"))
+    calls = graph_query.call_graph(nodes, edges, named("get_call_graph").select("user_id", "name").distinct())
+    calls = named("get_call_graph").join(calls, ["user_id", "name"]).select("qid", F.concat_ws(" ", "direction", "other_name").alias("ref"))
+    paths = graph_query.importers(nodes, edges, named("get_dependencies").select("user_id", "name").distinct())
+    paths = named("get_dependencies").join(paths, ["user_id", "name"]).select("qid", F.concat(F.lit("importer "), "path").alias("ref"))
+    in_order = Window.partitionBy("qid").orderBy("ref")
+    graph = calls.unionByName(paths).distinct().select("qid", F.lit("graph").alias("source"), (F.row_number().over(in_order) - 1).alias("place"), "ref")
+    best = search.search(questions, index, k).select("qid", F.lit("semantic").alias("source"), F.col("rank").alias("place"), F.col("chunk_id").cast("string").alias("ref"))
+    hits = written(graph.unionByName(best), "hits")
+    counts = hits.where("source = 'semantic'").groupBy("qid").agg(F.count("*").alias("n"))
+    return Answers(routed, hits, routed_trace(routed, counts))
+
+
 def _names(names: DataFrame) -> DataFrame:
     return names.select("user_id", "name").distinct()
 
