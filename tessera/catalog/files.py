@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera import constants as K
-from tessera.catalog.registry import Inputs, query
+from tessera.catalog.registry import Inputs, query, view
 from tessera.functions import identity, redact, report, routing, tenant, text
 from tessera.operators import chunk_code, chunk_docs, graph_extract
+from tessera.session import checkpoint_root
+from tessera.sources import git_records
 
 
 def quoted(value: str) -> str:
@@ -266,6 +271,55 @@ def config_flatten(t: Inputs):
     return rows.select("event_id", flatten_config(F.col("path"), F.col("content")).alias("text"))
 
 
+# Functions of 100 to 219 lines, with a signature over two lines and a docstring; above 150 lines they are shortened.
+view("v_large", '''
+SELECT p_partkey AS k, 102 + p_partkey % 118 AS n, concat('def run_', cast(p_partkey AS string), '(first,', chr(10), '        second="(")', ':', chr(10)) AS head,
+       concat('    """Says "', p_brand, '" and', chr(10), '    no more."""', chr(10)) AS doc, repeat(concat('    first += ', cast(p_size AS string), chr(10)), cast(97 + p_partkey % 118 AS int)) AS steps
+FROM {part}
+''')
+
+
+@query("large_definitions", """
+SELECT k, 'run_' || k AS function_name, 2 AS start_line, n AS end_line, rtrim(head, chr(10)) AS signature, n - 1 > 150 AS large_function,
+  CASE WHEN n - 1 > 150 THEN rtrim(head || substr(doc, 5), chr(10)) ELSE rtrim(head || doc || steps, chr(10)) END AS text,
+  CASE WHEN n - 1 > 150 THEN md5(head || doc || steps) END AS full_body FROM {v_large}""")
+def large_definitions(t: Inputs):
+    content = F.concat(F.lit("import os\n"), "head", "doc", "steps")
+    files_ = t.wide.v_large.select(F.col("k").alias("fid"), F.lit("python").alias("grammar"), content.alias("content"))
+    found = chunk_code.code_chunks(files_, shorten_above=K.LARGE_DEFINITION_LINES).where("chunk_type = 'function'")
+    return found.select(F.col("fid").alias("k"), "function_name", "start_line", "end_line", "signature", "large_function", "text", F.md5("full_body").alias("full_body"))
+
+
+@query("issue_records", """
+SELECT o_orderkey AS number, 'Order ' || o_orderkey AS title, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS state, 'c' || o_custkey % 50 AS login, o_orderpriority AS label
+FROM orders WHERE o_orderkey % 5 <> 0""")
+def issue_records(t: Inputs):
+    """Orders as a JSON dump of issues; every fifth one is a pull request in disguise."""
+    user = F.struct(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("login"), F.lit("User").alias("type"))
+    rows = t.orders.select(
+        F.col("o_orderkey").cast("int").alias("number"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"),
+        user.alias("user"), F.array(F.struct(F.col("o_orderpriority").alias("name"))).alias("labels"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("{}")).alias("pull_request"))
+    folder = _dump(t, rows)
+    found = git_records.read_issues(t.spark, folder)
+    return found.select("number", "title", "state", F.col("user.login").alias("login"), F.col("labels")[0]["name"].alias("label"))
+
+
+@query("commit_records", """
+WITH c AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') DESC, 'sha' || o_orderkey) AS n FROM orders)
+SELECT 'sha' || o_orderkey AS sha, 'Commit of ' || o_orderkey AS message FROM c WHERE n <= 100""")
+def commit_records(t: Inputs):
+    """The hundred newest of the orders as a JSON dump of commits."""
+    author = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("date"))
+    rows = t.orders.select(F.concat(F.lit("sha"), "o_orderkey").alias("sha"), F.struct(F.concat(F.lit("Commit of "), "o_orderkey").alias("message"), author.alias("author")).alias("commit"))
+    return git_records.read_commits(t.spark, _dump(t, rows), newest=100).select("sha", F.col("commit.message").alias("message"))
+
+
+def _dump(t: Inputs, rows):
+    folder = os.path.join(checkpoint_root(t.spark), "dumps", uuid.uuid4().hex)
+    rows.write.json(folder)
+    return folder
+
+
 # Where each part of a brace source stands: lines before it, and its own.
 @query("brace_chunks", """
 WITH s AS (SELECT *, 2 * n AS b FROM {v_brace})

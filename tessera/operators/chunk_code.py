@@ -238,7 +238,7 @@ def _block_chunks(blocks: DataFrame, is_python: bool, key: str, min_chars: int =
     )
 
 
-def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
+def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None = None) -> DataFrame:
     """Chunks of code files (columns: key, grammar, content): header, definitions, or line windows.
 
     Files of unknown grammar, unreadable Python files, and files where nothing qualified get windows.
@@ -246,7 +246,7 @@ def code_chunks(files: DataFrame, key: str = "fid") -> DataFrame:
     lines = file_lines(files, key)
     python = python_blocks(python_lines(lines.where(F.col("grammar") == "python"), key), key)
     braces = brace_blocks(lines.where(F.col("grammar").isin(_BRACE_GRAMMARS)), key)
-    blocks = _block_chunks(python, True, key).unionByName(_block_chunks(braces, False, key))
+    blocks = _block_chunks(python, True, key, shorten_above=shorten_above).unionByName(_block_chunks(braces, False, key, shorten_above=shorten_above))
 
     # A file of a known grammar meets its blocks once; one without any is cut into windows in its own row.
     none = F.lit(None).cast("string")

@@ -9,8 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import script_noise
-from tessera.operators import chunk_code, graph_extract
+from tessera.operators import chunk_code, chunk_docs, graph_extract
+from tessera.plans import ingest
+from tessera.sources import git_records
 
 PY_BASIC = '''"""Doc of the module, long enough."""
 import os
@@ -224,3 +227,19 @@ def test_any_script_keeps_its_lines(text):
 
 def test_plain_typescript_has_no_elements():
     assert script_noise.bare_script("const a = <T>b; f(a < b)", elements=False) == "const a = <T>b; f(a < b)"
+
+
+def test_a_registered_chunker_takes_its_language(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "_CHUNKERS", {})
+    ingest.register_chunker("python", lambda text: chunk_docs.whole_parts(F.concat(F.lit("mine: "), text)))
+    rows = [("u", False, "r", "main", "c", p, 1, None, "def f():\n    return 1\n") for p in ("a.py", "b.go")]
+    chunks = ingest.chunk_files(ingest.prepare_files(spark.createDataFrame(rows, schemas.FILES)), "run", 1)
+    assert {(r["file_path"], r["text"].startswith("mine: ")) for r in chunks.collect()} == {("a.py", True), ("b.go", False)}
+
+
+def test_pull_request_dumps(spark, tmp_path):
+    (tmp_path / "prs.json").write_text('{"number": 7, "title": "Fix", "state": "closed", "merged_at": "2024-01-01", "head": {"ref": "x"}, "labels": [{"name": "a"}]}\n{"number": 8}\n')
+    (tmp_path / "files.json").write_text('{"pr_number": 7, "filename": "a.py", "status": "added", "additions": 3, "deletions": 0}\n')
+    prs = git_records.read_pull_requests(spark, str(tmp_path / "prs.json")).orderBy("number").collect()
+    assert [(r["number"], r["state"], r["merged_at"]) for r in prs] == [(7, "closed", "2024-01-01"), (8, None, None)] and prs[0]["head"]["ref"] == "x"
+    assert git_records.read_pr_files(spark, str(tmp_path / "files.json")).first()["filename"] == "a.py"
