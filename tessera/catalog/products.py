@@ -374,6 +374,21 @@ def payload_projection(t: Inputs):
     return t.v_chunks.select("chunk_id", P.entries_text(P.overlay(base, extra)).alias("payload"))
 
 
+@query("chunk_payload", """
+SELECT chunk_id, concat_ws(';', 'branch=' || branch, 'chunk_type=' || chunk_type, 'commit_sha=c0', 'end_line=' || CASE WHEN n_chars % 3 = 0 THEN n_chars END, 'extra=' || CASE WHEN n_chars % 2 = 0 THEN 'mine' END,
+  'file_path=' || file_path, 'function_name=' || function_name, 'indexed_at=' || strftime(make_timestamp((1700000000 + chunk_id) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z'), 'is_public=false',
+  'issue_number=' || issue_number, 'labels=["' || language || '","b"]', 'language=' || CASE WHEN n_chars % 2 = 0 THEN 'override' ELSE language END, 'pr_number=' || pr_number, 'repo=' || repo,
+  'source_type=' || source_type, 'state=' || state, 'text=' || text, 'user_id=' || user_id) AS payload FROM {v_chunks}""")
+def chunk_payload(t: Inputs):
+    """All fields of a chunk; those it lacks are left out, its metadata wins."""
+    none = F.lit(None).cast("string")
+    rows = t.v_chunks.withColumns({
+        "commit_sha": F.lit("c0"), "file_sha": none, "ingest_run_id": none, "class_name": none, "signature": none, "section_title": none, "start_line": none.cast("int"),
+        "end_line": F.when(F.col("n_chars") % 3 == 0, F.col("n_chars")), "labels": F.array("language", F.lit("b")), "indexed_at": F.timestamp_seconds(F.lit(1700000000) + F.col("chunk_id"))})
+    extra = F.when(F.col("n_chars") % 2 == 0, P.string_map(language=F.lit("override"), extra=F.lit("mine")))
+    return rows.select("chunk_id", P.entries_text(P.payload(extra)).alias("payload"))
+
+
 @query("text_caps", """
 SELECT chunk_id, CASE WHEN source_type = 'issue' THEN 'ISSUE #' ELSE 'PR #' END || coalesce(issue_number, pr_number) || ' (' || state || ')' || chr(10) || 'CONTENT: '
   || text || chr(10) AS shown FROM {v_chunks} WHERE source_type IN ('issue', 'pr')""")
@@ -445,6 +460,21 @@ def secret_evidence(t: Inputs):
     return signals.select("user_id", "repo", "branch", "secret_redaction_evidence_count", "evidence_count")
 
 
+@query("health_signals", """
+WITH e AS (SELECT user_id, repo, branch, count(*) FILTER (n_chars % 3 = 0 OR contains(text, '[REDACTED]')) AS secret_redaction_evidence_count, count(*) AS evidence_count FROM {v_chunks} GROUP BY ALL),
+n AS (SELECT user_id, repo, branch, string_agg(source_type || '=' || c, ';' ORDER BY source_type) AS node_counts FROM (SELECT user_id, repo, branch, source_type, count(*) AS c FROM {v_chunks} GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT user_id, repo, branch, string_agg(state || '=' || c, ';' ORDER BY state) AS relationship_counts FROM
+  (SELECT user_id, repo, branch, state, count(*) AS c FROM {v_chunks} WHERE state IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT * FROM e LEFT JOIN n USING (user_id, repo, branch) LEFT JOIN r USING (user_id, repo, branch)""")
+def health_signals(t: Inputs):
+    """All four signals; a branch without relationships has none."""
+    chunks, key = _chunks(t), ["user_id", "repo", "branch"]
+    picked = overview.pick_evidence(chunks.withColumn("file_path", F.concat(F.lit("x/"), "chunk_id")))
+    nodes = chunks.groupBy(*key, F.col("source_type").alias("label")).agg(F.count("*").alias("nodes"))
+    rels = t.v_chunks.where("state is not null").groupBy(*key, F.col("state").alias("rel_type")).agg(F.count("*").alias("relationships"))
+    return overview.health_signals(overview.evidence_rows(picked, chunks), nodes, rels)
+
+
 @query("snapshot_context", """
 WITH docs AS (SELECT *, row_number() OVER (PARTITION BY user_id, repo, branch ORDER BY chunk_id) AS n FROM {v_chunks} WHERE source_type = 'docs'),
 readme AS (SELECT user_id, repo, branch, coalesce(nullif(arg_min(text, n) FILTER (n_chars % 4 = 0), ''), arg_min(text, n)) AS readme FROM docs GROUP BY ALL),

@@ -48,3 +48,14 @@ def safe_map(**columns: Column) -> Column:
 
     pairs = [x for name, value in columns.items() for x in (F.lit(name), text(value))]
     return drop_nulls(F.create_map(*pairs))
+
+
+PAYLOAD = [
+    "repo", "branch", "commit_sha", "file_sha", "ingest_run_id", "file_path", "language", "source_type", "chunk_type", "function_name", "class_name", "signature",
+    "start_line", "end_line", "section_title", "text", "issue_number", "pr_number", "state", "labels", "indexed_at", "user_id", "is_public",
+]
+
+
+def payload(metadata: Column) -> Column:
+    """A chunk row's fields as one map of text, overlaid with its own metadata, which wins; nulls are left out."""
+    return drop_nulls(overlay(safe_map(**{name: F.col(name) for name in PAYLOAD}), F.coalesce(metadata, F.create_map().cast("map<string,string>"))))
