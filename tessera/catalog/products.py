@@ -304,15 +304,15 @@ def stage_timings(t: Inputs):
         F.col("stage") == "purchase", "total_ms").otherwise(F.concat("stage", F.lit("_ms")))
     sums = t.v_events.groupBy("job_id", key.alias("key")).agg(F.round(F.sum("value"), 2).alias("ms"))
     per_job = sums.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "ms"))).alias("m"))
-    return per_job.select("job_id", stats.timing_summary(F.col("m")).alias("timings"))
+    return per_job.select("job_id", stats.timing_summary(F.col("m"), {"clone_ms": "clone", "file_walk_ms": "walk"}).alias("timings"))
 
 
 @query("stage_labels", """
-SELECT event_id, CASE event_type WHEN 'error' THEN 'cloning' WHEN 'signup' THEN 'snapshot' WHEN 'purchase' THEN 'queued' WHEN 'view' THEN 'building graph' ELSE 'some click' END AS label FROM events""")
+SELECT event_id, CASE event_type WHEN 'error' THEN 'reading files' WHEN 'signup' THEN 'comparing hashes' WHEN 'purchase' THEN 'waiting' WHEN 'view' THEN 'building the graph' ELSE 'some click' END AS label FROM events""")
 def stage_labels(t: Inputs):
-    stage = F.when(F.col("event_type") == "error", "clone_start").when(F.col("event_type") == "view", "graph_x").when(
+    stage = F.when(F.col("event_type") == "error", "content").when(F.col("event_type") == "view", "graph_x").when(
         F.col("event_type") == "click", "some_click").otherwise(F.col("event_type"))
-    message = F.when(F.col("event_type") == "signup", "Taking Snapshot now").when(F.col("event_type") == "purchase", "job started")
+    message = F.when(F.col("event_type") == "signup", "Comparing the Hash values").when(F.col("event_type") == "purchase", "job accepted")
     return t.events.select("event_id", stats.stage_label(stage, message).alias("label"))
 
 

@@ -99,21 +99,3 @@ LIMITS = {
     "too_many_chunks": (3000, "chunks"),
 }
 DAILY_QUOTA = {"ingest": ("daily_ingest_limit", 2), "query": ("daily_query_limit", 30), "health": ("health_check_limit", 1)}
-STAGE_LABELS = {
-    "fetching_tree": "fetching metadata", "clone_start": "cloning", "clone_done": "files selected",
-    "embedding": "embedding", "embedding_batch": "embedding", "upserting": "upserting",
-    "qdrant_upsert": "upserting", "graph_building": "building graph", "graph_write": "building graph",
-    "file_filtering": "filtering files", "processing_batch": "processing files", "cleanup": "cleanup",
-    "timing_summary": "timings", "done": "complete",
-}
-STAGE_HINTS = [
-    (["embed"], "embedding"), (["upsert", "qdrant"], "upserting"), (["clone"], "cloning"),
-    (["chunk"], "chunking"), (["graph", "neo4j"], "building graph"), (["snapshot"], "snapshot"),
-    (["fetch", "github"], "fetching files"), (["queue", "start"], "queued"), (["done", "complete"], "complete"),
-]
-TIMING_LABELS = {
-    "clone_ms": "clone", "file_walk_ms": "walk", "file_read_ms": "file_read", "tree_fetch_ms": "tree",
-    "filter_ms": "filter", "file_fetch_ms": "fetch", "parse_chunk_ms": "parse/chunk", "graph_write_ms": "graph",
-    "embedding_ms": "embed", "sparse_vector_ms": "sparse", "qdrant_upsert_ms": "upsert",
-    "snapshot_ms": "snapshot", "total_ms": "total",
-}

@@ -105,12 +105,24 @@ def run_paths(files: DataFrame) -> DataFrame:
     return files.where("eligible").select("user_id", "repo", "branch", "path").distinct()
 
 
-def stage_label(stage: Column, message: Column) -> Column:
-    """Short reader-facing name of an ingest stage."""
+# The stages of this library's own runs, what their events may mention, and what is timed.
+STAGES = {
+    "listing": "listing files", "changes": "comparing hashes", "content": "reading files", "chunks": "cutting text", "vectors": "making vectors",
+    "graph": "building the graph", "tables": "switching tables", "done": "finished",
+}
+HINTS = [
+    (["vector", "posting"], "making vectors"), (["chunk", "cutting"], "cutting text"), (["graph", "edge"], "building the graph"),
+    (["hash"], "comparing hashes"), (["waits", "accepted"], "waiting"), (["finished"], "finished"),
+]
+TIMINGS = {f"{stage}_ms": stage for stage in STAGES}
+
+
+def stage_label(stage: Column, message: Column, labels: dict[str, str] = STAGES, hints: list[tuple[list[str], str]] = HINTS) -> Column:
+    """Short reader-facing name of a stage: its own, else that of the first hint that stage or message holds, else the stage."""
     text = F.lower(F.concat(stage, F.lit(" "), F.coalesce(message, F.lit(""))))
-    pairs = [F.lit(x) for item in K.STAGE_LABELS.items() for x in item]
+    pairs = [F.lit(x) for item in labels.items() for x in item]
     guess = F.replace(stage, F.lit("_"), F.lit(" "))
-    for words, label in reversed(K.STAGE_HINTS):
+    for words, label in reversed(hints):
         hit = F.lit(False)
         for word in words:
             hit = hit | text.contains(word)
@@ -118,14 +130,13 @@ def stage_label(stage: Column, message: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), stage), guess)
 
 
-def timing_summary(timings: Column) -> Column:
+def timing_summary(timings: Column, labels: dict[str, str] = TIMINGS) -> Column:
     """`label: 1.2s | … | total: 3.4s` from map<stage key, milliseconds>; keys in name order, total last."""
-    pairs = [F.lit(x) for item in K.TIMING_LABELS.items() for x in item]
-    labels = F.create_map(*pairs)
+    names = F.create_map(*[F.lit(x) for item in labels.items() for x in item])
     entries = F.array_sort(F.map_entries(timings))
     is_total = lambda e: e["key"] == "total_ms"
     ordered = F.concat(F.filter(entries, lambda e: ~is_total(e)), F.filter(entries, is_total))
-    label = lambda key: F.coalesce(F.try_element_at(labels, key), F.regexp_replace(key, "_ms$", ""))
+    label = lambda key: F.coalesce(F.try_element_at(names, key), F.regexp_replace(key, "_ms$", ""))
     return F.array_join(
         F.transform(ordered, lambda e: F.concat(label(e["key"]), F.lit(": "), F.format_string("%.1f", e["value"] / 1000.0), F.lit("s"))),
         " | ",
