@@ -238,14 +238,15 @@ SELECT 'u1::org/a::main::' || p_partkey AS id, NULL AS status, NULL AS error FRO
 UNION ALL SELECT 'u1::org/a::main', 'failed', 'no space left'""")
 def roll_back_graph(t: Inputs):
     """Nodes of a run that failed go, with their edges, and the repository says why."""
+    top = lambda c: F.concat(F.lit("u1::org/a::main"), F.substring(c, 1, 0))  # noqa: E731  a column, as in a real table
     run = F.when(F.col("p_partkey") % 4 == 0, "run2").otherwise("run1")
     base = t.part.select(
         F.concat(F.lit("u1::org/a::main::"), "p_partkey").alias("id"), F.lit("File").alias("label"), F.concat(F.lit("org/a::main::"), "p_partkey").alias("raw_id"),
         F.lit("u1").alias("user_id"), F.lit(False).alias("is_public"), F.lit("org/a").alias("repo"), F.lit("main").alias("branch"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("path"), P.string_map(ingest_run_id=run).alias("props"))
-    root = base.limit(1).withColumns({"id": F.lit("u1::org/a::main"), "label": F.lit("Repository"), "raw_id": F.lit("org/a::main"), "props": P.string_map(ingest_run_id=F.lit("run1"), ingestion_status=F.lit("ready"))})
+    root = base.limit(1).withColumns({"id": top("id"), "label": F.lit("Repository"), "raw_id": F.lit("org/a::main"), "props": P.string_map(ingest_run_id=F.lit("run1"), ingestion_status=F.lit("ready"))})
     nodes = base.unionByName(root)
-    edges = base.select(F.lit("u1::org/a::main").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("rel_type"), "user_id", "repo", "branch", "props")
+    edges = base.select(top("id").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("rel_type"), "user_id", "repo", "branch", "props")
     left, links = maintenance.roll_back_graph(nodes, edges, "u1", "org/a", "main", "run2", "failed", "no space left")
     value = lambda k: F.try_element_at("props", F.lit(k))
     held = left.join(links.select(F.col("dst").alias("id"), F.lit(1).alias("linked")), "id", "left").where("linked = 1 or label = 'Repository'")
