@@ -506,9 +506,9 @@ c AS (SELECT 'caller' AS direction, b.name, a.name AS other_name, a.repo AS othe
 k AS (SELECT name, direction, string_agg('  - ' || other_name || ' (in ' || other_repo || ')' || chr(10), '' ORDER BY other_name, other_repo) AS l
   FROM (SELECT *, row_number() OVER (PARTITION BY name, direction ORDER BY other_name, o) AS n FROM c) GROUP BY name, direction),
 w AS (SELECT name, max(l) FILTER (direction = 'caller') AS i, max(l) FILTER (direction = 'callee') AS o FROM names LEFT JOIN k USING (name) GROUP BY name)
-SELECT name, CASE WHEN i IS NULL AND o IS NULL THEN 'No call graph data found for function ''' || name || '''.'
-  ELSE 'Call Graph for ' || name || ':' || chr(10) || chr(10) || '- CALLERS (functions that call this):' || chr(10) || coalesce(i, '  (None found)' || chr(10))
-  || chr(10) || '- CALLEES (functions this calls):' || chr(10) || coalesce(o, '  (None found)' || chr(10)) END AS answer FROM w""")
+SELECT name, CASE WHEN i IS NULL AND o IS NULL THEN 'The graph knows no calls of ' || name
+  ELSE 'Calls of ' || name || chr(10) || chr(10) || 'Called by:' || chr(10) || coalesce(i, '  nothing known' || chr(10))
+  || chr(10) || 'Calls itself:' || chr(10) || coalesce(o, '  nothing known' || chr(10)) END AS answer FROM w""")
 def call_graph_text(t: Inputs):
     from tessera.plans.answers import call_graph_answers
 
@@ -542,7 +542,7 @@ def file_history_text(t: Inputs):
 WITH i AS (SELECT p_brand AS name, 'parts/' || replace(p_type, ' ', '/') || '/' || p_partkey || '.py' AS path FROM part),
 l AS (SELECT name, string_agg('  - ' || path || chr(10), '' ORDER BY path) AS l FROM i GROUP BY name),
 n AS (SELECT name FROM l UNION SELECT n_name FROM nation)
-SELECT name, 'Dependencies for ''' || name || ''':' || chr(10) || '- INTERNAL IMPORTERS (files that import this):' || chr(10) || coalesce(l, '  (None found)' || chr(10)) AS answer FROM n LEFT JOIN l USING (name)""")
+SELECT name, 'Uses of ' || name || chr(10) || 'Imported by:' || chr(10) || coalesce(l, '  nothing known' || chr(10)) AS answer FROM n LEFT JOIN l USING (name)""")
 def dependency_text(t: Inputs):
     from tessera.plans.answers import dependency_answers
 

@@ -485,9 +485,9 @@ h AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' (' || lang
 i AS (SELECT user_id, repo, branch, string_agg('- ' || file_path || ' — imported by ' || n_chars || ' files' || chr(10), '' ORDER BY n) AS t FROM files GROUP BY ALL),
 d AS (SELECT user_id, repo, branch, string_agg('- ' || language || ' (pip)' || chr(10), '' ORDER BY language) AS t FROM (SELECT DISTINCT user_id, repo, branch, language FROM {v_chunks}) GROUP BY ALL)
 SELECT user_id, repo, branch, 'Repository: ' || repo || chr(10) || 'Branch: ' || branch || chr(10) || chr(10)
-  || coalesce('## README / Project Description (primary orientation source)' || chr(10) || readme || chr(10), '') || '## Graph Statistics' || chr(10) || n.t || chr(10)
-  || '## Core Files (by connection count)' || chr(10) || h.t || chr(10) || '## Top Entry Points (most imported files)' || chr(10) || i.t || chr(10)
-  || '## External Dependencies' || chr(10) || d.t AS context
+  || coalesce('## What it says about itself' || chr(10) || readme || chr(10), '') || '## Nodes' || chr(10) || n.t || chr(10)
+  || '## Files with most edges' || chr(10) || h.t || chr(10) || '## Files imported most' || chr(10) || i.t || chr(10)
+  || '## Declared dependencies' || chr(10) || d.t AS context
 FROM n LEFT JOIN readme USING (user_id, repo, branch) JOIN h USING (user_id, repo, branch) JOIN i USING (user_id, repo, branch) JOIN d USING (user_id, repo, branch)""")
 def snapshot_context(t: Inputs):
     key = overview.REPO

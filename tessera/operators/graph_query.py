@@ -50,13 +50,13 @@ def call_graph(nodes: DataFrame, edges: DataFrame, names: DataFrame, repo: str |
 def call_graph_text(name: Column, callers: Column, callees: Column) -> Column:
     """The readable answer.  `callers`, `callees`: array<struct<other_name, other_repo>>."""
     line = lambda e: F.concat(F.lit("  - "), e["other_name"], F.lit(" (in "), e["other_repo"], F.lit(")\n"))
-    block = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, line), "")).otherwise("  (None found)\n")
+    block = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, line), "")).otherwise("  nothing known\n")
     empty = (F.size(callers) == 0) & (F.size(callees) == 0)
     text = F.concat(
-        F.lit("Call Graph for "), name, F.lit(":\n\n- CALLERS (functions that call this):\n"), block(callers),
-        F.lit("\n- CALLEES (functions this calls):\n"), block(callees),
+        F.lit("Calls of "), name, F.lit("\n\nCalled by:\n"), block(callers),
+        F.lit("\nCalls itself:\n"), block(callees),
     )
-    return F.when(empty, F.concat(F.lit("No call graph data found for function '"), name, F.lit("'."))).otherwise(text)
+    return F.when(empty, F.concat(F.lit("The graph knows no calls of "), name)).otherwise(text)
 
 
 def matching_paths(nodes: DataFrame, needles: list[str]) -> DataFrame:

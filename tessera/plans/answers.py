@@ -172,11 +172,11 @@ def dependency_answers(nodes: DataFrame, edges: DataFrame, modules: DataFrame) -
     versions = graph_query.declared_version(nodes, edges, modules)
     rows = _names(modules).join(files, ["user_id", "name"], "left").join(
         versions.withColumn("_d", F.lit(True)), ["user_id", "name"], "left")
-    declared = F.when(F.col("_d"), F.concat(F.lit("- Resolved as external dependency (Version: "), F.coalesce("version", F.lit("None")), F.lit(")\n"))).otherwise("")
+    declared = F.when(F.col("_d"), F.concat(F.lit("Declared with version "), F.coalesce("version", F.lit("None")), F.lit("\n"))).otherwise("")
     listed = F.when(F.col("_p").isNotNull(), F.array_join(F.transform("_p", lambda p: F.concat(F.lit("  - "), p, F.lit("\n"))), "")).otherwise("")
-    nothing = F.when(F.col("_p").isNull() & F.col("_d").isNull(), "  (None found)\n").otherwise("")
-    answer = F.concat(F.lit("Dependencies for '"), F.col("name"), F.lit("':\n"), declared,
-                      F.lit("- INTERNAL IMPORTERS (files that import this):\n"), listed, nothing)
+    nothing = F.when(F.col("_p").isNull() & F.col("_d").isNull(), "  nothing known\n").otherwise("")
+    answer = F.concat(F.lit("Uses of "), F.col("name"), F.lit("\n"), declared,
+                      F.lit("Imported by:\n"), listed, nothing)
     return rows.select("user_id", "name", answer.alias("answer"))
 
 

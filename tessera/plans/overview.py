@@ -100,15 +100,15 @@ def snapshot_context(repos: DataFrame, readme: DataFrame, nodes: DataFrame, hubs
         rows = rows.join(packed(df, name, by_count), REPO, "left")
     cat = F.concat
     intro = F.when(F.coalesce("readme", F.lit("")) != "", cat(
-        F.lit("## README / Project Description (primary orientation source)\n"), F.col("readme"), F.lit("\n"))).otherwise("")
+        F.lit("## What it says about itself\n"), F.col("readme"), F.lit("\n"))).otherwise("")
     context = cat(
         F.lit("Repository: "), F.col("repo"), F.lit("\nBranch: "), F.col("branch"), F.lit("\n\n"), intro,
-        F.lit("## Graph Statistics\n"), _listed(F.col("_n"), lambda r: cat(F.lit("- "), r["a"], F.lit(": "), r["c"], F.lit("\n"))),
-        F.lit("\n## Core Files (by connection count)\n"),
+        F.lit("## Nodes\n"), _listed(F.col("_n"), lambda r: cat(F.lit("- "), r["a"], F.lit(": "), r["c"], F.lit("\n"))),
+        F.lit("\n## Files with most edges\n"),
         _listed(F.col("_h"), lambda r: cat(F.lit("- "), r["a"], F.lit(" ("), r["b"], F.lit(") — "), r["c"], F.lit(" connections\n"))),
-        F.lit("\n## Top Entry Points (most imported files)\n"),
+        F.lit("\n## Files imported most\n"),
         _listed(F.col("_i"), lambda r: cat(F.lit("- "), r["a"], F.lit(" — imported by "), r["c"], F.lit(" files\n"))),
-        F.lit("\n## External Dependencies\n"),
+        F.lit("\n## Declared dependencies\n"),
         _listed(F.col("_d"), lambda r: cat(F.lit("- "), r["a"], F.lit(" ("), r["b"], F.lit(")\n"))),
     )
     return rows.select(*REPO, context.alias("context"))
