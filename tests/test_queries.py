@@ -47,8 +47,8 @@ def test_ranking_prunes_before_the_shuffle(spark, folder, name):
 @pytest.mark.parametrize("limited", ["callers", "neighbours"])
 def test_limits_prune_before_the_shuffle(spark, folder, limited):
     t = Inputs(spark, folder)
-    names = t.v_nodes.select("user_id", "name").where("name is not null")
-    found = graph_query.call_graph(t.v_nodes, t.v_edges, names, limit=3) if limited == "callers" else graph_query.explore_all(t.v_nodes, t.v_edges, limit=3)
+    names = t.v_functions.select("user_id", "name")
+    found = graph_query.call_graph(t.v_functions, t.v_calls, names, limit=3) if limited == "callers" else graph_query.explore_all(t.v_nodes, t.v_edges, limit=3)
     out = io.StringIO()
     with redirect_stdout(out):
         found.explain()
