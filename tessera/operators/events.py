@@ -58,8 +58,9 @@ def events_since(events: DataFrame, cursors: DataFrame, order: list[str]) -> tup
 
 
 def live_jobs(jobs: DataFrame, now: Column, max_age_seconds: int = K.JOB_MAX_AGE_SECONDS) -> DataFrame:
-    """Jobs that have not expired: a finished job goes `max_age_seconds` after its creation."""
-    age = F.timestamp_diff("SECOND", F.col("created_at"), now)
+    """Jobs that have not expired: a finished job goes `max_age_seconds` after its creation, counted in seconds of the clock, so
+    fractions of a second do not matter."""
+    age = F.timestamp_diff("SECOND", F.date_trunc("SECOND", F.col("created_at")), F.date_trunc("SECOND", now))
     return jobs.where(~(F.col("done") & (age > max_age_seconds)))
 
 

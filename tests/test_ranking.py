@@ -108,3 +108,10 @@ def test_unknown_job_is_lost(spark):
     assert [(r["job_id"], r["position"]) for r in found.collect()] == [("a", 1)]
     got = {r["job_id"]: (r["new_cursor"], r["done"], r["lost"]) for r in heads.collect()}
     assert got == {"a": (2, True, False), "zzz": (4, True, True)}
+
+
+def test_job_age_counts_clock_seconds(spark):
+    jobs = spark.sql("SELECT 'a' AS job_id, timestamp_ntz'2024-01-01 01:59:59.9' AS created_at, true AS done "
+                     "UNION ALL SELECT 'b', timestamp_ntz'2024-01-01 02:00:00.1', true")
+    now = F.lit("2024-01-01 03:00:00").cast("timestamp_ntz")
+    assert [r["job_id"] for r in events.live_jobs(jobs, now).collect()] == ["b"]
