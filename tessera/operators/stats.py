@@ -130,6 +130,12 @@ def stage_label(stage: Column, message: Column, labels: dict[str, str] = STAGES,
     return F.coalesce(F.try_element_at(F.create_map(*pairs), stage), guess)
 
 
+def _seconds(ms: Column, digits: int) -> Column:
+    """Milliseconds as seconds with so many decimals, rounded from the exact binary value as C and SQL do; format_string rounds
+    the shortest decimal text, so that 585.0 would give 0.59."""
+    return F.replace(F.format_number(ms / 1000.0, digits), F.lit(","), F.lit(""))
+
+
 def timing_summary(timings: Column, labels: dict[str, str] = TIMINGS) -> Column:
     """`label: 1.2s | … | total: 3.4s` from map<stage key, milliseconds>; keys in name order, total last."""
     names = F.create_map(*[F.lit(x) for item in labels.items() for x in item])
@@ -138,7 +144,7 @@ def timing_summary(timings: Column, labels: dict[str, str] = TIMINGS) -> Column:
     ordered = F.concat(F.filter(entries, lambda e: ~is_total(e)), F.filter(entries, is_total))
     label = lambda key: F.coalesce(F.try_element_at(names, key), F.regexp_replace(key, "_ms$", ""))
     return F.array_join(
-        F.transform(ordered, lambda e: F.concat(label(e["key"]), F.lit(": "), F.format_string("%.1f", e["value"] / 1000.0), F.lit("s"))),
+        F.transform(ordered, lambda e: F.concat(label(e["key"]), F.lit(": "), _seconds(e["value"], 1), F.lit("s"))),
         " | ",
     )
 
@@ -168,5 +174,5 @@ def timing_breakdown(timings: Column) -> Column:
     """`key=1.23s, …` from map<stage key, milliseconds>, slowest first."""
     slowest = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)
     entries = F.array_sort(F.map_entries(timings), slowest)
-    text = F.array_join(F.transform(entries, lambda e: F.format_string("%s=%.2fs", e["key"], e["value"] / 1000.0)), ", ")
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), _seconds(e["value"], 2), F.lit("s"))), ", ")
     return F.when(F.size(timings) == 0, "{}").otherwise(text)

@@ -256,3 +256,15 @@ def test_report_sections(spark):
 def test_timing_summary(spark):
     m = F.create_map(F.lit("total_ms"), F.lit(5000), F.lit("clone_ms"), F.lit(1234), F.lit("odd_ms"), F.lit(70))
     assert one(spark, stats.timing_summary(m)) == "clone: 1.2s | odd: 0.1s | total: 5.0s"
+
+
+def test_timing_texts_round_like_sql(spark):
+    # As a binary number 0.585 lies below its decimal text.
+    m = F.create_map(F.lit("click"), F.lit(585.0), F.lit("view"), F.lit(1234567.0))
+    assert one(spark, stats.timing_breakdown(m)) == "view=1234.57s, click=0.58s"
+
+
+def test_timing_summary_rounds_like_sql(spark):
+    # 0.35 lies below its text, 1.25 is a true tie and goes to the even digit.
+    m = F.create_map(F.lit("clone_ms"), F.lit(350.0), F.lit("total_ms"), F.lit(1250.0))
+    assert one(spark, stats.timing_summary(m)) == "clone: 0.3s | total: 1.2s"
