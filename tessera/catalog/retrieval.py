@@ -68,7 +68,7 @@ def term_frequency(t: Inputs):
 
 @query("sparse_topk", _SPARSE + "SELECT qid, chunk_id, score, sparse_rank AS rank FROM sparse_ranked WHERE sparse_rank < 7")
 def sparse_topk(t: Inputs):
-    hits = sparse.sparse_top_k(sparse.postings(_documents(t), "chunk_id"), sparse.postings(_questions(t), "qid"))
+    hits = sparse.sparse_top_k(sparse.term_vectors(_documents(t), "chunk_id"), sparse.postings(_questions(t), "qid"))
     return hits.withColumnRenamed("sparse_rank", "rank")
 
 
@@ -128,7 +128,7 @@ def validate_vectors(t: Inputs):
 
 def text_hits(t: Inputs, k: int = 7):
     """Both hit lists of the benchmark questions over all documents."""
-    found_sparse = sparse.sparse_top_k(sparse.postings(_documents(t), "chunk_id"), sparse.postings(_questions(t), "qid"), k)
+    found_sparse = sparse.sparse_top_k(sparse.term_vectors(_documents(t), "chunk_id"), sparse.postings(_questions(t), "qid"), k)
     vectors = dense.hash_embed(_documents(t), "chunk_id")
     asked = dense.hash_embed(_questions(t), "qid").withColumnRenamed("dense", "qdense")
     return dense.dense_top_k(vectors, asked, k), found_sparse

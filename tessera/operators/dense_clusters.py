@@ -8,6 +8,7 @@ so a crowded one is many groups.
 
 Centres are a bounded sample (`centres` vectors at most, of unit length); they go to every task, 8 bytes a number.  Which
 vectors they are changes how much is skipped, never the result.  Vectors of length zero have the score 0 with everything.
+Vectors with NaN cells lie nowhere: they make a cluster that every question opens, and a question of that kind opens all.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def cluster_index(chunks: DataFrame, key: str = "chunk_id", centres: int = CENTRES, part_rows: int = PART_ROWS) -> Clusters:
     """The vectors of `chunks` (key, dense, any other columns) by cluster."""
-    drawn = chunks.where(F.exists("dense", lambda x: x != 0)).select("dense").orderBy(F.xxhash64("dense")).limit(centres).toPandas()
+    drawn = chunks.where(F.exists("dense", lambda x: x != 0) & ~F.exists("dense", F.isnan)).select("dense").orderBy(F.xxhash64("dense")).limit(centres).toPandas()
     middle = _unit_rows(np.array(drawn["dense"].tolist(), dtype=np.float64).reshape(len(drawn), -1))
     schema = StructType([*chunks.schema, *StructType.fromDDL("cluster int, angle double")])
 
@@ -61,11 +62,13 @@ def cluster_index(chunks: DataFrame, key: str = "chunk_id", centres: int = CENTR
                 continue
             flat = batch.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             matrix = flat.reshape(batch.num_rows, -1)
+            lost = np.isnan(matrix).any(axis=1)
+            matrix = np.where(lost[:, None], 0.0, matrix)
             angles = _angles(matrix, middle) if len(middle) else np.zeros((batch.num_rows, 1))
             best = angles.argmin(axis=1)
             # A vector of length zero is at a right angle to everything, so it stays apart.
             empty = ~matrix.any(axis=1)
-            own = np.where(empty, -1, best).astype(np.int32)
+            own = np.where(lost, -2, np.where(empty, -1, best)).astype(np.int32)
             out = np.where(empty, 0.0, angles[np.arange(len(best)), best])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(out)], names=[*batch.schema.names, "cluster", "angle"])
 
@@ -99,14 +102,19 @@ def cluster_top_k(index: Clusters, questions: DataFrame, k: int = K.DEFAULT_TOP_
         """The most that a member of each cluster can score, best clusters first."""
         for batch in batches:
             matrix = np.array(batch["qdense"].tolist(), dtype=np.float64).reshape(len(batch), -1)
+            lost = np.isnan(matrix).any(axis=1)
+            matrix = np.where(lost[:, None], 0.0, matrix)
             reach = np.zeros((len(batch), len(number)))
             real = number >= 0
             if real.any():
                 reach[:, real] = np.cos(np.maximum(0.0, _angles(matrix, centres[number[real]]) - radius[real] - SLACK))
             reach[~matrix.any(axis=1)] = 0.0
+            reach[:, number == -2] = np.inf
+            reach[lost] = np.inf
             order = np.argsort(-reach, axis=1, kind="stable")
             for q, best, r in zip(batch["qid"], order, reach):
-                held = np.cumsum(size[best]) - size[best]
+                counted = np.where(number[best] == -2, 0, size[best])
+                held = np.cumsum(counted) - counted
                 yield pd.DataFrame({"qid": q, "cluster": number[best].astype("int32"), "reach": r[best], "n": size[best], "parts": parts[best], "seed": held < k})
 
     pairs = written(asked.select("qid", "qdense").mapInPandas(near, "qid long, cluster int, reach double, n long, parts int, seed boolean"), "reach")
@@ -132,7 +140,7 @@ def cluster_top_k(index: Clusters, questions: DataFrame, k: int = K.DEFAULT_TOP_
     first = written(scored(pairs.where("seed")), "first")
     kth = top_k(first, k, "qid", key, "score").groupBy("qid").agg(F.count("*").alias("_n"), F.min("score").alias("_k"))
     bound = kth.where(F.col("_n") >= k).select("qid", (F.col("_k") - 1e-8).alias("bound"))
-    more = pairs.where("not seed").join(bound, "qid", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound")))
+    more = pairs.where("not seed").join(bound, "qid", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound")) | (F.col("reach") == float("inf")))
     more = written(more.select("qid", "cluster", "n", "parts"), "more")
     hits = top_k(first.unionByName(scored(more)), k, "qid", key, "score", "dense_rank")
     return Found(hits, pairs.where("seed").select("qid", "cluster", "n").unionByName(more.select("qid", "cluster", "n")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from tessera import constants as K
 from tessera.functions import terms as T
-from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, item_ids, top_k
+from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, counted_terms, item_ids, top_k
 
 QUESTION_ROWS = 1_000_000  # most question terms shipped to every task (about 24 bytes each)
 SCORE_CELLS = 4_000_000  # largest score block held by a task
@@ -22,21 +24,36 @@ SCORE_CELLS = 4_000_000  # largest score block held by a task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term_idx, tf, w): one row per hashed term of each text.
+def whole_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _terms): all terms of a key in one list; only the texts move, once."""
+    held = texts.select(key, F.col(text).alias("_text")).groupBy(key).agg(F.collect_list("_text").alias("_texts"))
+    return held.select(key, F.flatten(F.transform("_texts", T.terms)).alias("_terms"))
+
+
+def term_vectors(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, hits): the hashed terms of each text with their counts, ascending by index.
 
-    The texts are hash-partitioned by their key once; exploding, counting and every later step per key
-    reuse that partitioning, so the much larger term rows never move.  Terms that share an index add up.
+    Counting takes an Arrow batch at a time, so a term is hashed once a batch and term rows are neither moved nor held.
+    Terms that share an index add up, and so do texts that share a key.
     """
-    spread = texts.select(key, F.col(text).alias("_text")).repartition(key)
-    rows = spread.select(key, F.explode(T.terms(F.col("_text"))).alias("_term"))
-    per_term = rows.groupBy(key, "_term").agg(F.count("*").alias("_n"))
-    counted = (
-        per_term.withColumn("term_idx", T.term_index(F.col("_term")))
-        .groupBy(key, "term_idx")
-        .agg(F.sum("_n").alias("tf"))
-    )
-    return counted.withColumn("w", T.saturate(F.col("tf")))
+    source, space = whole_texts(texts, key, text), K.SPARSE_SPACE
+    schema = StructType([source.schema[key], *StructType.fromDDL("hits array<struct<term_idx:int,tf:bigint>>")])
+
+    def count(batches):
+        for batch in batches:
+            row, term = counted_terms(batch.column("_terms"), lambda t: int(hashlib.md5(t).hexdigest(), 16) % space)
+            cells, tf = np.unique(row * space + term, return_counts=True)
+            start = np.searchsorted(cells, np.arange(batch.num_rows + 1) * space).astype(np.int32)
+            hits = pa.StructArray.from_arrays([pa.array((cells % space).astype(np.int32)), pa.array(tf.astype(np.int64))], ["term_idx", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(start), hits)], [key, "hits"])
+
+    return source.mapInArrow(count, schema)
+
+
+def postings(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term_idx, tf, w): one row per hashed term of each text."""
+    rows = term_vectors(texts, key, text).select(key, F.inline("hits"))
+    return rows.withColumn("w", T.saturate(F.col("tf")))
 
 
 class _TermIndex:
@@ -73,7 +90,12 @@ def _scan(batches, index: _TermIndex, k: int, key: str):
             fields = hits.flatten()
             sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), sizes)
-            scores = index.scores(row, fields.field("v").to_numpy(), fields.field("w").to_numpy(), batch.num_rows)
+            term, w = (f.to_numpy(zero_copy_only=False) for f in fields.flatten())
+            if fields.type[1].name == "tf":  # whole term vectors: most terms are nobody's
+                place = np.minimum(np.searchsorted(index.vocabulary, term), max(0, len(index.vocabulary) - 1))
+                asked = index.vocabulary[place] == term if len(index.vocabulary) else np.zeros(len(term), dtype=bool)
+                row, term, w = row[asked], place[asked], w[asked] / (w[asked] + 0.5)
+            scores = index.scores(row, term, w, batch.num_rows)
             # Without a shared term there is no hit.
             scores[scores <= 0.0] = -np.inf
             ids = item_ids(batch, key)
@@ -82,6 +104,16 @@ def _scan(batches, index: _TermIndex, k: int, key: str):
     yield from best.rows(index.ids, key, key_type)
 
 
+def _grouped(chunk_postings: DataFrame, index: _TermIndex, key: str) -> DataFrame:
+    """(key, hits): the postings of asked terms by key, terms by their place in the vocabulary."""
+    spark = chunk_postings.sparkSession
+    terms = pd.DataFrame({"term_idx": index.vocabulary.astype("int32"), "v": np.arange(len(index.vocabulary), dtype="int32")})
+    wanted = spark.createDataFrame(terms, "term_idx int, v int")
+    # The vocabulary is bounded by max_question_rows, so it is safe to broadcast.
+    found = chunk_postings.select(key, "term_idx", "w").join(F.broadcast(wanted), "term_idx")
+    return found.groupBy(key).agg(F.collect_list(F.struct("v", "w")).alias("hits"))
+
+
 def sparse_top_k(
     chunk_postings: DataFrame,
     question_postings: DataFrame,
@@ -95,6 +127,8 @@ def sparse_top_k(
 ) -> DataFrame:
     """(qid, key, score, sparse_rank): sum of weight products over shared terms.
 
+    `chunk_postings` are rows of `postings` or, better, of `term_vectors`, which need no grouping.
+
     `chunk_scope` (key, filter columns) and `question_scope` (qid, filter columns) restrict what a
     question may see; the restriction applies before ranking.
 
@@ -109,6 +143,8 @@ def sparse_top_k(
     if len(small) > max_question_rows:
         from tessera.operators.sparse_blocks import block_index, block_top_k
 
+        if "hits" in chunk_postings.columns:
+            chunk_postings = chunk_postings.select(key, F.inline("hits")).withColumn("w", T.saturate(F.col("tf")))
         index = block_index(chunk_postings, key, chunk_scope, exact)
         return block_top_k(index, asked, k, key, chunk_scope, question_scope, exact, optional).hits
     heads = small[["qid"]].drop_duplicates()
@@ -117,12 +153,10 @@ def sparse_top_k(
         known = chunk_postings.sparkSession.createDataFrame(heads, "qid long")
         heads = question_scope.select(F.col("qid").cast("long").alias("qid"), *scope).join(F.broadcast(known), "qid").toPandas()
     index = _TermIndex(small, heads.reset_index(drop=True), exact, optional)
-    spark = chunk_postings.sparkSession
-    terms = pd.DataFrame({"term_idx": index.vocabulary.astype("int32"), "v": np.arange(len(index.vocabulary), dtype="int32")})
-    wanted = spark.createDataFrame(terms, "term_idx int, v int")
-    # The vocabulary is bounded by max_question_rows, so it is safe to broadcast.
-    found = chunk_postings.select(key, "term_idx", "w").join(F.broadcast(wanted), "term_idx")
-    packed = found.groupBy(key).agg(F.collect_list(F.struct("v", "w")).alias("hits"))
+    if "hits" in chunk_postings.columns:
+        packed = chunk_postings.select(key, "hits")
+    else:
+        packed = _grouped(chunk_postings, index, key)
     if scope:
         packed = packed.join(chunk_scope.select(key, *scope), key)
     schema = StructType([*StructType.fromDDL("qid long"), chunk_postings.schema[key], *StructType.fromDDL("score double")])

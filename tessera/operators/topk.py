@@ -28,6 +28,14 @@ def top_k(scored: DataFrame, k: int, group: str, item: str, score: str, out: str
     return ranked.withColumn(out, F.col("_n") - 1).drop("_n")
 
 
+def counted_terms(lists: pa.Array, codes_of) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of each term in a batch of term lists; `codes_of` maps distinct terms, as bytes, to numbers."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    held = lists.flatten().cast(pa.binary()).dictionary_encode()
+    codes = np.fromiter((codes_of(t) for t in held.dictionary.to_pylist()), dtype=np.int64, count=len(held.dictionary))
+    return np.repeat(np.arange(len(lists)), sizes), codes[held.indices.to_numpy(zero_copy_only=False)]
+
+
 class Scopes:
     """Questions grouped by equal filter values, so each group is masked once per batch."""
 
@@ -54,7 +62,7 @@ class Scopes:
 
 
 class Best:
-    """Running k best per question over the batches of one task."""
+    """Running k best per question over the batches of one task; infinity stands for NaN, which ranks first as in SQL."""
 
     def __init__(self, questions: int, k: int):
         self.k = k
@@ -86,7 +94,7 @@ class Best:
     def rows(self, question_ids: np.ndarray, key: str, key_type: pa.DataType):
         if self.ids is not None and len(self.ids):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(question_ids[self.q]), pa.array(self.ids.tolist(), key_type), pa.array(self.scores)],
+                [pa.array(question_ids[self.q]), pa.array(self.ids.tolist(), key_type), pa.array(np.where(self.scores == np.inf, np.nan, self.scores))],
                 ["qid", key, "score"],
             )
 

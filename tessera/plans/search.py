@@ -15,7 +15,7 @@ SCOPE = ["repo", "branch", "language"]
 
 
 class Index(NamedTuple):
-    """What a search reads: postings(chunk_id, term_idx, w), vectors(chunk_id, dense), scope(chunk_id, filters)."""
+    """What a search reads: postings(chunk_id, hits) or (chunk_id, term_idx, w), vectors(chunk_id, dense), scope(chunk_id, filters)."""
 
     postings: DataFrame
     vectors: DataFrame
@@ -34,7 +34,7 @@ def with_scope(questions: DataFrame, fixed: dict[str, str] | None = None) -> Dat
 
 def index_chunks(chunks: DataFrame, dim: int = 64) -> Index:
     """Postings, vectors and filter columns of a chunk table; write them next to it to search often."""
-    return Index(sparse.postings(chunks, "chunk_id"), dense.hash_embed(chunks, "chunk_id", dim),
+    return Index(sparse.term_vectors(chunks, "chunk_id"), dense.hash_embed(chunks, "chunk_id", dim),
                  chunks.select("chunk_id", "user_id", *SCOPE, "source_type"))
 
 

@@ -1,5 +1,7 @@
 """Both ways of each search give the same result, and match brute force."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -115,3 +117,53 @@ def test_job_age_counts_clock_seconds(spark):
                      "UNION ALL SELECT 'b', timestamp_ntz'2024-01-01 02:00:00.1', true")
     now = F.lit("2024-01-01 03:00:00").cast("timestamp_ntz")
     assert [r["job_id"] for r in events.live_jobs(jobs, now).collect()] == ["b"]
+
+
+def _cancelling():
+    """Two words of one dimension and opposite signs, one that shares the dimension, one that does not."""
+    import hashlib
+
+    at = {}
+    for word in (f"w{i}" for i in range(2000)):
+        digest = hashlib.md5(word.encode()).hexdigest()
+        at.setdefault((int(digest, 16) % 64, digest[0] < "8"), []).append(word)
+    up, down = at[5, True], at[5, False]
+    return up[0], down[0], up[1], down[1], at[6, True][0]
+
+
+def test_texts_whose_terms_cancel_score_as_in_sql(spark):
+    up, down, up2, down2, other = _cancelling()
+    docs = spark.createDataFrame([(1, f"{up2} {other}"), (2, f"{up} {down}"), (3, other), (4, ""), (5, None)], "chunk_id long, text string")
+    got = {r["chunk_id"]: r["dense"] for r in dense.hash_embed(docs, "chunk_id").collect()}
+    assert np.isnan(got[2][5]) and [x for i, x in enumerate(got[2]) if i != 5] == [0.0] * 63
+    assert not any(got[4]) and not any(got[5])
+    # The second question holds dimension 5, though its own terms cancel there; the third does not; the fourth is lost itself.
+    asked = spark.createDataFrame([(1, up), (2, f"{up2} {down2} {other}"), (3, other), (4, f"{up2} {down2}")], "qid long, text string")
+    asked = dense.hash_embed(asked, "qid").withColumnRenamed("dense", "qdense")
+    chunks = dense.hash_embed(docs, "chunk_id")
+    hits = dense.dense_top_k(chunks, asked, 2)
+    first = {(r["qid"], r["dense_rank"]): (r["chunk_id"], r["score"]) for r in hits.collect()}
+    assert first[1, 0][0] == 2 and np.isnan(first[1, 0][1]) and first[1, 1] == (1, round(0.5 ** 0.5, 9))
+    assert first[2, 0][0] == 2 and np.isnan(first[2, 0][1]) and first[2, 1] == (3, 1.0)
+    assert first[3, 0] == (3, 1.0) and first[3, 1] == (1, round(0.5 ** 0.5, 9))
+    assert [first[4, r][0] for r in (0, 1)] == [1, 2] and all(np.isnan(first[4, r][1]) for r in (0, 1))
+    clustered = dense_clusters.cluster_top_k(dense_clusters.cluster_index(chunks, centres=2, part_rows=2), asked, 2).hits
+    assert {(r["qid"], r["dense_rank"]): (r["chunk_id"], str(r["score"])) for r in clustered.collect()} == {k: (c, str(s)) for k, (c, s) in first.items()}
+
+
+def test_term_vectors_scan_equals_postings(spark, folder):
+    docs, doc_scope, asked, asked_scope = scoped(spark, folder)
+    q = sparse.postings(asked, "qid").cache()
+    limits = dict(chunk_scope=doc_scope, question_scope=asked_scope, exact=["user_id"], optional=["lang"])
+    for more in ({}, limits, {"max_question_rows": 1}):
+        want = rows(sparse.sparse_top_k(sparse.postings(docs, "chunk_id"), q, **more), "sparse_rank")
+        assert want and rows(sparse.sparse_top_k(sparse.term_vectors(docs, "chunk_id"), q, **more), "sparse_rank") == want
+
+
+def test_texts_of_one_key_add_up_without_term_rows(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha"), (2, None), (3, "")], "chunk_id long, text string")
+    found = sparse.postings(docs, "chunk_id")
+    assert sorted((r["chunk_id"], r["tf"]) for r in found.collect()) == [(1, 1), (1, 2)]
+    # Term rows are neither grouped nor moved: the one exchange moves texts.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and not re.search(r"keys=\[[^\]]*term", plan)
