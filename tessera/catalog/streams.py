@@ -43,15 +43,17 @@ def job_stream(t: Inputs):
     return quota.settle(progress.job_states(events), ["job_id"]).select("job_id", "status", "done")
 
 
-def _out_of_order(t: Inputs, rows, split: str, name: str, again: bool = False):
-    """Rows as a file stream, a file a batch: those after `split` first, then the earlier ones, weeks late; with `again` the
-    first file comes a second time."""
+def _out_of_order(t: Inputs, rows, split: str, name: str, run, again: bool = False):
+    """`run(stream, folder)` over rows as a file stream, a part a batch: those after `split` first, then the earlier ones, weeks
+    late; with `again` the first part comes a second time.  Each part is written by many tasks and read by one start of the
+    stream, which goes on from its checkpoint; what the last start gives is returned."""
     folder = os.path.join(checkpoint_root(t.spark), name, uuid.uuid4().hex)
     late = F.coalesce(F.col("ts") < F.lit(split).cast("timestamp"), F.lit(True))
     for part, which in (("1", ~late), ("2", late), *([("3", ~late)] if again else [])):
-        rows.where(which).coalesce(1).write.parquet(f"{folder}/in/{part}")
-    stream = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return stream, folder
+        rows.where(which).write.parquet(f"{folder}/in/{part}")
+        stream = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        done = run(stream, folder)
+    return done
 
 
 _JOB_STATE = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'running' END"
@@ -65,8 +67,7 @@ def _jobs(t: Inputs):
 @query("job_table", f"""
 SELECT 'job' || user_id AS job_id, arg_max({_JOB_STATE}, (ts, event_id)) AS status, bool_or(event_type IN ('error', 'purchase')) AS done FROM events GROUP BY ALL""")
 def job_table(t: Inputs):
-    stream, folder = _out_of_order(t, _jobs(t), "2024-01-16", "jobs", again=True)
-    return progress.job_table(stream, folder).select("job_id", "status", "done")
+    return _out_of_order(t, _jobs(t), "2024-01-16", "jobs", progress.job_table, again=True).select("job_id", "status", "done")
 
 
 @query("expiry_stream", """
@@ -74,8 +75,8 @@ WITH j AS (SELECT 'job' || user_id AS job_id, min(ts) AS created, bool_or(event_
 SELECT job_id, floor(epoch(created))::BIGINT AS created FROM j WHERE done AND floor(epoch(created))::BIGINT + 2400000 <= (SELECT floor(epoch(max(ts)))::BIGINT FROM events)""")
 def expiry_stream(t: Inputs):
     """Finished jobs older than four weeks less a bit; rows close a day after that, and the month's first half comes last."""
-    stream, folder = _out_of_order(t, _jobs(t), "2024-01-16", "expiry", again=True)
-    return progress.job_expiry(stream, folder, 2400000, 86400).select("job_id", F.unix_seconds("created_at").alias("created"))
+    expiry = lambda stream, folder: progress.job_expiry(stream, folder, 2400000, 86400)
+    return _out_of_order(t, _jobs(t), "2024-01-16", "expiry", expiry, again=True).select("job_id", F.unix_seconds("created_at").alias("created"))
 
 
 @query("record_stream", """
@@ -95,13 +96,16 @@ def record_stream(t: Inputs):
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("delivery_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("issues").alias("event"),
         F.struct(_repo(), F.lit("n").alias("name"), F.struct(F.lit("org").alias("login")).alias("owner")).cast(kind["repository"]).alias("repository"),
         none.cast("string").alias("ref"), none.cast(kind["commits"]).alias("commits"), none.cast(kind["pull_request"]).alias("pull_request"), issue.cast(kind["issue"]).alias("issue"))
-    stream, folder = _out_of_order(t, events, "1995-01-01", "records", again=True)
     targets = _targets(t)
 
-    def apply(batch, batch_id):
-        webhooks.apply_records(batch, f"{folder}/nodes", f"{folder}/edges", targets, f"{folder}/marks")
+    def run(stream, folder):
+        def apply(batch, batch_id):
+            webhooks.apply_records(batch, f"{folder}/nodes", f"{folder}/edges", targets, f"{folder}/marks")
 
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return folder
+
+    folder = _out_of_order(t, events, "1995-01-01", "records", run, again=True)
     value = lambda k: F.try_element_at("props", F.lit(k))
     nodes = tables.read_table(t.spark, f"{folder}/nodes", schemas.NODES)
     return nodes.where("label = 'Issue'").select("id", value("title").alias("title"), value("state").alias("state"))
@@ -141,20 +145,18 @@ def push_changes(t: Inputs):
 
 @query("push_stream", _PUSHED)
 def push_stream(t: Inputs):
-    """The pushes through files, a file a batch, the later half first and all of it twice: the last word goes by event time."""
-    folder = os.path.join(checkpoint_root(t.spark), "pushes", uuid.uuid4().hex)
-    pushes = push_events(t)
-    late = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
-    for name, part in (("first", ~late), ("second", late), ("third", ~late)):
-        pushes.where(part).coalesce(1).write.parquet(f"{folder}/in/{name}")
-    stream = t.spark.readStream.schema(pushes.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    """The pushes through files, a part a batch, the later half first and all of it twice: the last word goes by event time."""
     targets = _targets(t)
 
-    def keep(batch, batch_id):
-        changed = webhooks.push_changes(batch, targets)
-        changed.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
+    def run(stream, folder):
+        def keep(batch, batch_id):
+            changed = webhooks.push_changes(batch, targets)
+            changed.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
+
+        stream.writeStream.foreachBatch(keep).option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return folder
 
-    stream.writeStream.foreachBatch(keep).option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    folder = _out_of_order(t, push_events(t), "1995-01-01", "pushes", run, again=True)
     rows = t.spark.read.parquet(f"{folder}/out")
     return rows.groupBy("repo", "path").agg(F.max_by("action", F.struct("ts", "delivery_id", "action")).alias("action"))

@@ -53,3 +53,17 @@ def test_limits_prune_before_the_shuffle(spark, folder, limited):
     with redirect_stdout(out):
         found.explain()
     assert "WindowGroupLimit" in out.getvalue()
+
+
+def test_stream_parts_are_written_by_many_tasks(spark, folder):
+    import glob
+    import os
+
+    from tessera.catalog import streams
+    from tessera.catalog.registry import Inputs
+
+    t, seen = Inputs(spark, folder), []
+    run = lambda stream, at: seen.append({p: len(glob.glob(f"{at}/in/{p}/*.parquet")) for p in os.listdir(f"{at}/in")})
+    streams._out_of_order(t, streams._jobs(t).repartition(4), "2024-01-16", "parts", run, again=True)
+    assert [sorted(s) for s in seen] == [["1"], ["1", "2"], ["1", "2", "3"]]
+    assert set(seen[-1].values()) == {4}
