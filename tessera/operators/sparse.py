@@ -15,10 +15,12 @@ from pyspark.sql.types import StructType
 
 from tessera import constants as K
 from tessera.functions import terms as T
-from tessera.operators.topk import SCORE_DIGITS, Best, Scopes, counted_terms, item_ids, top_k
+from tessera.operators.topk import SCORE_DIGITS, SHARED_ABOVE, Best, Scopes, counted_terms, for_all, item_ids, shared, top_k
+from tessera.session import written
 
 QUESTION_ROWS = 1_000_000  # most question terms shipped to every task (about 24 bytes each)
 SCORE_CELLS = 4_000_000  # largest score block held by a task
+OWN_TERM = 8  # a term that at most so many questions ask is looked up for each of them
 
 # Tasks receive these helpers with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -124,6 +126,7 @@ def sparse_top_k(
     exact: list[str] | None = None,
     optional: list[str] | None = None,
     max_question_rows: int = QUESTION_ROWS,
+    shared_above: int = SHARED_ABOVE,
 ) -> DataFrame:
     """(qid, key, score, sparse_rank): sum of weight products over shared terms.
 
@@ -135,10 +138,14 @@ def sparse_top_k(
     Question postings up to `max_question_rows` go to every task, which keeps k hits per question, so
     (question, chunk) scores never become rows; postings of terms nobody asked for are dropped first.
     More questions than that go through a block-max index, see `sparse_blocks`.
+
+    In a batch of more than `shared_above` questions, what they have in common is searched once, see `_shared_top_k`.
     """
     exact, optional = exact or [], optional or []
     scope = exact + optional
     asked = question_postings.select(F.col("qid").cast("long").alias("qid"), "term_idx", "w")
+    if shared_above < sys.maxsize and asked.select("qid").distinct().limit(shared_above + 1).count() > shared_above:
+        return _shared_top_k(chunk_postings, asked, k, key, chunk_scope, question_scope, exact, optional, max_question_rows)
     small = asked.limit(max_question_rows + 1).toPandas()
     if len(small) > max_question_rows:
         from tessera.operators.sparse_blocks import block_index, block_top_k
@@ -166,3 +173,50 @@ def sparse_top_k(
 
     kept = packed.mapInArrow(scan, schema).where(F.col("score") > 0)
     return top_k(kept, k, "qid", key, "score", "sparse_rank")
+
+
+def _shared_top_k(chunk_postings: DataFrame, asked: DataFrame, k: int, key: str, chunk_scope: DataFrame | None, question_scope: DataFrame | None,
+                  exact: list[str], optional: list[str], max_question_rows: int) -> DataFrame:
+    """`sparse_top_k` of many questions that are partly alike.
+
+    A question's own terms are those that few questions ask; the others are its base. Questions of equal bases and filters share
+    one search for the k best chunks by their base alone. A chunk without any of a question's own terms has its base score and
+    is a hit only as one of these k, for those before it never score less than by their base. The chunks that hold own terms are
+    found through these, at most OWN_TERM times each posting, and get their whole scores.
+    """
+    scope = exact + optional
+    if "hits" in chunk_postings.columns:
+        chunk_postings = chunk_postings.select(key, F.inline("hits")).withColumn("w", T.saturate(F.col("tf")))
+    if scope:
+        question_scope = question_scope.select(F.col("qid").cast("long").alias("qid"), *scope)
+        asked = asked.join(question_scope.select("qid"), "qid", "left_semi")
+    asked = written(asked, "asked")
+    terms = asked.groupBy("term_idx").agg((F.count("*") <= OWN_TERM).alias("_own"))
+    lists = chunk_postings.select(key, "term_idx", "w").join(asked.select("term_idx").distinct(), "term_idx", "left_semi")
+    if scope:
+        lists = lists.join(chunk_scope.select(key), key, "left_semi")
+    lists = written(lists, "lists")
+    # Terms that no chunk holds tell no questions apart.
+    known = written(asked.join(terms, "term_idx").join(lists.select("term_idx").distinct(), "term_idx", "left_semi"), "known")
+    own = known.where("_own")
+
+    bases = known.where("not _own").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term_idx", "w"))).alias("_base"))
+    if scope:
+        bases = bases.join(question_scope, "qid")
+    alike = shared(bases, F.to_json(F.struct(*scope, "_base")))
+    heads = alike.where("qid = _head")
+    limits = dict(chunk_scope=chunk_scope, question_scope=heads.select("qid", *scope), exact=exact, optional=optional) if scope else {}
+    best = sparse_top_k(lists, heads.select("qid", F.inline("_base")), k, key, max_question_rows=max_question_rows, shared_above=sys.maxsize, **limits)
+    by_base = for_all(best.select("qid", key, "score"), alike)
+
+    held = own.select("qid", "term_idx").join(lists.select("term_idx", key), "term_idx").select("qid", key).distinct()
+    if scope:
+        sides = [F.col(c) == F.col(f"_q_{c}") for c in exact] + [F.col(f"_q_{c}").isNull() | (F.col(c) == F.col(f"_q_{c}")) for c in optional]
+        held = held.join(question_scope.select("qid", *[F.col(c).alias(f"_q_{c}") for c in scope]), "qid").join(chunk_scope.select(key, *scope), key)
+        for side in sides:
+            held = held.where(side)
+        held = held.select("qid", key)
+    rows = held.join(known.select("qid", "term_idx", F.col("w").alias("_qw")), "qid").join(lists, [key, "term_idx"])
+    whole = rows.groupBy("qid", key).agg(F.round(F.sum(F.col("_qw") * F.col("w")), SCORE_DIGITS).alias("score")).where("score > 0")
+    both = by_base.unionByName(whole).groupBy("qid", key).agg(F.max("score").alias("score"))
+    return top_k(both, k, "qid", key, "score", "sparse_rank")

@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 SCORE_DIGITS = 9
+SHARED_ABOVE = 1024  # batches of more questions than this are looked through for questions that are alike
 
 # Tasks receive these helpers with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +31,18 @@ def top_k(scored: DataFrame, k: int, group: str, item: str, score: str, out: str
     return ranked.withColumn(out, F.col("_n") - 1).drop("_n")
 
 
+def shared(questions: DataFrame, same: Column) -> DataFrame:
+    """`questions` with `_head`, the least qid among those of equal `same` (a string): what holds for it holds for all of them."""
+    keyed = questions.withColumn("_same", F.sha2(same, 256))
+    heads = keyed.groupBy("_same").agg(F.min("qid").alias("_head"))
+    return written(keyed.join(heads, "_same").drop("_same"), "shared")
+
+
+def for_all(hits: DataFrame, alike: DataFrame) -> DataFrame:
+    """`hits` of the heads, given to every question of `alike` (qid, _head)."""
+    return alike.select("qid", "_head").join(hits.withColumnRenamed("qid", "_head"), "_head").drop("_head")
+
+
 def counted_terms(lists: pa.Array, codes_of) -> tuple[np.ndarray, np.ndarray]:
     """(row, code) of each term in a batch of term lists; `codes_of` maps distinct terms, as bytes, to numbers."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

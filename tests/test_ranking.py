@@ -167,3 +167,33 @@ def test_texts_of_one_key_add_up_without_term_rows(spark):
     # Term rows are neither grouped nor moved: the one exchange moves texts.
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange ") == 1 and not re.search(r"keys=\[[^\]]*term", plan)
+
+
+def test_questions_that_are_alike_are_searched_once(spark, folder):
+    docs, doc_scope, asked, asked_scope = scoped(spark, folder)
+    # Every question 40 times, each with a number of its own behind it; some numbers stand in documents.
+    many = asked.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39)))).select(
+        (F.col("qid") * 40 + F.col("n")).alias("qid"), F.col("qid").alias("_of"), F.concat_ws(" ", "text", (F.col("n") + 10).cast("string")).alias("text"))
+    limits = many.select("qid", "_of").join(asked_scope.withColumnRenamed("qid", "_of"), "_of").drop("_of").cache()
+    vectors, terms = sparse.term_vectors(docs, "chunk_id").cache(), sparse.postings(many, "qid").cache()
+    scope = dict(exact=["user_id"], optional=["lang"])
+    for filters in ({}, dict(chunk_scope=doc_scope, question_scope=limits, **scope)):
+        want = rows(sparse.sparse_top_k(vectors, terms, **filters), "sparse_rank")
+        assert want and want == rows(sparse.sparse_top_k(vectors, terms, shared_above=1, **filters), "sparse_rank")
+    chunks = dense.hash_embed(docs, "chunk_id").join(doc_scope, "chunk_id")
+    vectors = dense.hash_embed(many, "qid").withColumnRenamed("dense", "qdense").join(limits, "qid").cache()
+    want = rows(dense.dense_top_k(chunks, vectors, **scope), "dense_rank")
+    assert want and want == rows(dense.dense_top_k(chunks, vectors, shared_above=1, **scope), "dense_rank")
+
+
+def test_a_batch_of_alike_questions_scans_for_its_heads_alone(spark, monkeypatch):
+    shipped = []
+    monkeypatch.setattr(dense._Questions, "__init__", lambda self, rows, *a, _old=dense._Questions.__init__: (shipped.append(len(rows)), _old(self, rows, *a))[1])
+    monkeypatch.setattr(sparse._TermIndex, "__init__", lambda self, rows, heads, *a, _old=sparse._TermIndex.__init__: (shipped.append(len(heads)), _old(self, rows, heads, *a))[1])
+    docs = spark.createDataFrame([(1, "who calls the office"), (2, "stock 1007"), (3, "nothing")], "chunk_id long, text string")
+    asked = spark.range(3000).select(F.col("id").alias("qid"), F.concat(F.lit("who calls fn_"), (F.col("id") + 1000).cast("string")).alias("text"))
+    found = sparse.sparse_top_k(sparse.term_vectors(docs, "chunk_id"), sparse.postings(asked, "qid"))
+    assert found.groupBy("chunk_id").count().orderBy("chunk_id").collect() == [(1, 3000), (2, 1)]
+    near = dense.dense_top_k(dense.hash_embed(docs, "chunk_id"), dense.hash_embed(asked, "qid").withColumnRenamed("dense", "qdense"))
+    assert near.count() == 9000
+    assert shipped[0] == 1 and shipped[1] <= 128
