@@ -153,7 +153,7 @@ def sparse_top_k(
         if "hits" in chunk_postings.columns:
             chunk_postings = chunk_postings.select(key, F.inline("hits")).withColumn("w", T.saturate(F.col("tf")))
         index = block_index(chunk_postings, key, chunk_scope, exact)
-        return block_top_k(index, asked, k, key, chunk_scope, question_scope, exact, optional).hits
+        return block_top_k(index, asked, k, key, chunk_scope, question_scope, exact, optional, max_question_rows=max_question_rows).hits
     heads = small[["qid"]].drop_duplicates()
     if scope:
         # Only questions with terms matter, and those are within the limit just checked.

@@ -197,3 +197,16 @@ def test_a_batch_of_alike_questions_scans_for_its_heads_alone(spark, monkeypatch
     near = dense.dense_top_k(dense.hash_embed(docs, "chunk_id"), dense.hash_embed(asked, "qid").withColumnRenamed("dense", "qdense"))
     assert near.count() == 9000
     assert shipped[0] == 1 and shipped[1] <= 128
+
+
+def test_block_search_makes_no_rows_of_question_chunk_pairs(spark, folder):
+    docs, doc_scope, asked, asked_scope = scoped(spark, folder)
+    p, q = sparse.postings(docs, "chunk_id").cache(), sparse.postings(asked, "qid").cache()
+    limits = dict(chunk_scope=doc_scope, question_scope=asked_scope, exact=["user_id"], optional=["lang"])
+    for filters, index in (({}, sparse_blocks.block_index(p)), (limits, sparse_blocks.block_index(p, scope=doc_scope, exact=["user_id"]))):
+        shipped, joined = (sparse_blocks.block_top_k(index, q, max_question_rows=most, **filters) for most in (10**6, 1))
+        want = rows(sparse.sparse_top_k(p, q, **filters), "sparse_rank")
+        assert want and rows(shipped.hits, "sparse_rank") == want == rows(joined.hits, "sparse_rank")
+        assert shipped.candidates.count() <= joined.candidates.count()
+        plans = [found.hits._jdf.queryExecution().optimizedPlan().toString() for found in (shipped, joined)]
+        assert ["MapInArrow" in plan for plan in plans] == [True, False]
