@@ -6,41 +6,24 @@ its indent or depth.  This is approximate: strings that hold triple quotes, seve
 line, and continuation lines at the left margin can move a boundary.  A Python file whose triple
 quotes do not pair up, and a file whose brackets do not, is cut into line windows instead.
 
-A file's lines meet in one task; every step after the first works on the files' own hash partitioning.
+A file stays one row: its lines are arrays, and `code_blocks` works out the sums over Arrow batches of files.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera import constants as K
 from tessera.functions.script_noise import without_script_noise
 from tessera.functions.text import lines_with_ends, strip
+from tessera.operators.code_blocks import BLOCK, KINDS, blocks_of, families, marked
 from tessera.operators.chunk_docs import window_parts
 
-_WORD = r"[A-Za-z_$][\w$]*"
-
-# Definition starts per grammar: (kind, pattern, group of the name).
-_BRACE_RULES = {
-    "js": [
-        ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})", 1),
-        ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_WORD})", 1),
-        ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_WORD})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([^)]*\)?|{_WORD})\s*(?::[^=]+)?(?:=>|$|\{{?\s*$)", 1),
-    ],
-    "go": [
-        ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)", 1),
-        ("class", r"^type\s+(\w+|\()", 1),
-    ],
-}
-_METHOD = (
-    rf"^\s*(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*"
-    rf"(?!(?:if|for|while|switch|catch|return|function|new|else|do|try|throw|await|typeof)\b)(#?{_WORD})\s*(?:<[^>]*>)?\s*\("
-)
-_PY_DEF = r"^\s*(?:async\s+)?def\s+(\w+)"
-_PY_CLASS = r"^\s*class\s+(\w+)"
 _BRACE_GRAMMARS = ["javascript", "typescript", "tsx", "go"]
-_TRIPLE = "\"\"\"|'''"
 # Short strings and comments, with possessive loops so a long line cannot backtrack.
 _PY_NOISE = (
     r"(\"\"\"|''')|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|#(?!.*(?:\"\"\"|''')).*"
@@ -55,217 +38,107 @@ def without_noise(content: Column, noise: str) -> Column:
     return F.array_join(F.zip_with(F.split(content, noise, -1), gaps, lambda text, gap: F.concat(text, F.coalesce(gap, F.lit("")))), "")
 
 
+def _bare(text: Column, grammar: Column) -> Column:
+    """The text without strings and comments in languages with braces, else null."""
+    script = grammar.isin([g for g in _BRACE_GRAMMARS if g != "go"])
+    return F.when(grammar == "go", without_noise(text, _GO_NOISE)).when(script, without_script_noise(F.when(script, text), grammar != "typescript"))
+
+
 def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
     """(key, grammar, *keep, n, line, bare): 1-based lines of each file, placed by file; `bare` is the line without strings and
     comments in languages with braces, else null."""
     columns = [key, "grammar", *(keep or [])]
     spread = files.select(*columns, "content").repartition(key)
-    text, script = F.col("content"), F.col("grammar").isin([g for g in _BRACE_GRAMMARS if g != "go"])
-    bare = F.when(F.col("grammar") == "go", without_noise(text, _GO_NOISE)).when(script, without_script_noise(F.when(script, text), F.col("grammar") != "typescript"))
-    both = F.arrays_zip(lines_with_ends(text).alias("line"), F.coalesce(lines_with_ends(bare), F.array().cast("array<string>")).alias("bare"))
+    text = F.col("content")
+    both = F.arrays_zip(lines_with_ends(text).alias("line"), F.coalesce(lines_with_ends(_bare(text, F.col("grammar"))), F.array().cast("array<string>")).alias("bare"))
     rows = spread.select(*columns, F.posexplode(both).alias("_p", "_l"))
     return rows.select(*columns, (F.col("_p") + 1).alias("n"), "_l.line", "_l.bare")
 
 
-def _before(window, value: Column) -> Column:
-    return F.coalesce(F.sum(value.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-
-def _upto(window, value: Column) -> Column:
-    return F.sum(value.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def _last_before(window, value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-
-
-def python_lines(lines: DataFrame, key: str = "fid") -> DataFrame:
-    """Lines with text free of strings and comments (`code`), statement flag, indent, and block ids.
-
-    `unit` counts top-level statements, `member` statements at the indent of a class body; decorators
-    belong to the definition below them.
-    """
-    by_file = Window.partitionBy(key).orderBy("n")
-    code = F.regexp_replace(F.regexp_replace("line", r"[\r\n]+$", ""), _PY_NOISE, "$1")
-    df = lines.withColumn("code", code).withColumn("_t", F.regexp_count("code", F.lit(_TRIPLE)))
-    df = df.withColumn("_inside", _before(by_file, F.col("_t")) % 2 == 1)
-    df = df.withColumns({
-        "odd_quotes": F.sum("_t").over(Window.partitionBy(key)) % 2 == 1,
-        "filled": F.when(F.col("_inside"), F.lit(True)).otherwise(F.trim(F.regexp_replace("code", r"\s", "")) != ""),
-        "indent": F.length(F.regexp_extract("line", r"^[ \t\f]*", 0)),
-    })
-    # From here on `code` is what lies outside triple quotes: cut up to a closing one, whole pairs, and from an opening one.
-    bare = F.when(F.col("_inside"), F.when(F.col("_t") > 0, F.regexp_replace("code", rf"^.*?(?:{_TRIPLE})", "")).otherwise("")).otherwise(F.col("code"))
-    bare = F.regexp_replace(F.regexp_replace(bare, rf"(?:{_TRIPLE}).*?(?:{_TRIPLE})", ""), rf"(?:{_TRIPLE}).*$", "")
-    df = df.withColumn("code", bare)
-    df = df.withColumn("stmt", F.col("filled") & ~F.col("_inside") & ~F.col("code").rlike(r"^\s*[)\]}]"))
-    df = df.withColumn("_deco", F.col("code").rlike(r"^\s*@"))
-
-    top = F.col("stmt") & (F.col("indent") == 0)
-    df = df.withColumn("_after_deco", F.coalesce(_last_before(by_file, F.when(top, F.col("_deco"))), F.lit(False)))
-    df = df.withColumn("unit", _upto(by_file, top & ~F.col("_after_deco")))
-
-    unit = Window.partitionBy(key, "unit")
-    head = top & (F.col("code").rlike(_PY_DEF) | F.col("code").rlike(_PY_CLASS))
-    df = df.withColumn("_head", F.min(F.when(head, F.struct("n", "code"))).over(unit))
-    df = df.withColumns({
-        "unit_kind": F.when(F.col("_head.code").rlike(_PY_CLASS), "class").when(F.col("_head").isNotNull(), "function"),
-        "unit_name": F.regexp_extract("_head.code", r"^(?:async\s+)?(?:def|class)\s+(\w+)", 1),
-        "body_indent": F.min(F.when(F.col("stmt") & (F.col("indent") > 0) & (F.col("n") > F.col("_head.n")), F.col("indent"))).over(unit),
-        "unit_start": F.min(F.when(F.col("filled"), F.col("n"))).over(unit),
-        "unit_end": F.max(F.when(F.col("filled"), F.col("n"))).over(unit),
-    })
-    by_unit = Window.partitionBy(key, "unit").orderBy("n")
-    level = F.col("stmt") & (F.col("unit_kind") == "class") & (F.col("indent") == F.col("body_indent")) & (F.col("n") > F.col("_head.n"))
-    df = df.withColumn("_m_after", F.coalesce(_last_before(by_unit, F.when(level, F.col("_deco"))), F.lit(False)))
-    df = df.withColumn("member", F.coalesce(_upto(by_unit, level & ~F.col("_m_after")), F.lit(0)))
-    member = Window.partitionBy(key, "unit", "member")
-    m_head = F.min(F.when(level & F.col("code").rlike(_PY_DEF), F.struct("n", "code"))).over(member)
-    df = df.withColumn("_mh", m_head).withColumns({
-        "member_name": F.when(F.col("_mh").isNotNull(), F.regexp_extract("_mh.code", _PY_DEF, 1)),
-        "member_start": F.min(F.when(F.col("filled"), F.col("n"))).over(member),
-        "member_end": F.max(F.when(F.col("filled"), F.col("n"))).over(member),
-    })
-    return df.drop("_t", "_deco", "_after_deco", "_head", "_m_after", "_mh")
-
+def _with_lines(files: DataFrame) -> DataFrame:
+    """Files with their lines and, in equal number, these without strings and comments (Python: triple quotes stay)."""
+    text, grammar = F.col("content"), F.col("grammar")
+    ended = lambda line: F.regexp_replace(line, r"[\r\n]+$", "")
+    python = lambda line: F.regexp_replace(ended(line), _PY_NOISE, "$1")
+    split = files.withColumns({"_lines": lines_with_ends(text), "_bare": lines_with_ends(_bare(text, grammar))})
+    braces = F.transform("_lines", lambda line, i: ended(F.coalesce(F.get("_bare", i), line)))
+    return split.withColumn("_code", F.when(grammar == "python", F.transform("_lines", python)).otherwise(braces)).drop("_bare")
 
-def python_blocks(marked: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
-    """Lines of definitions with the block they belong to; uncovered and class-level lines included."""
-    in_unit = F.col("unit_kind").isNotNull() & F.col("n").between(F.col("unit_start"), F.col("unit_end"))
-    in_method = in_unit & F.col("member_name").isNotNull() & F.col("n").between(F.col("member_start"), F.col("member_end"))
-    is_class = F.col("unit_kind") == "class"
-    kind = F.when(in_method, "method").when(in_unit & is_class, "class").when(in_unit, "function").otherwise("module_header")
-    return marked.where(~F.col("odd_quotes")).select(
-        key, *(keep or []), "n", "line", "code", kind.alias("kind"), kind.isin("function", "method").alias("definition"),
-        F.when(in_unit & is_class, F.col("unit_name")).alias("class_name"),
-        F.when(in_method, F.col("member_name")).when(in_unit & ~is_class, F.col("unit_name")).alias("function_name"),
-        F.when(in_unit, F.col("unit")).alias("unit"),
-        F.when(in_method, F.col("member")).alias("member"),
-    )
 
+def python_blocks(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
+    """(key, *keep, n, line, code, kind, class_name, function_name): the lines of Python files with the definition they belong to;
+    uncovered and class-level lines included. `code` is the line without strings and comments."""
+    columns = [key, *(keep or [])]
+    source = _with_lines(files.withColumn("grammar", F.lit("python"))).select(*columns, "grammar", "_lines", "_code")
+    schema = StructType([*[source.schema[c] for c in columns], *StructType.fromDDL("n int, line string, code string, kind string, class_name string, function_name string")])
+    names = schema.names
 
-def brace_blocks(lines: DataFrame, key: str = "fid") -> DataFrame:
-    """As python_blocks, for JavaScript, TypeScript and Go in one pass; each line follows its file's grammar."""
-    is_go = F.col("grammar") == "go"
-    by_file = Window.partitionBy(key).orderBy("n")
-    df = lines.withColumn("code", F.regexp_replace(F.coalesce("bare", "line"), r"[\r\n]+$", ""))
-    delta = F.regexp_count("code", F.lit(r"[{(\[]")) - F.regexp_count("code", F.lit(r"[})\]]"))
-    df = df.withColumn("depth", _before(by_file, delta)).withColumn("after", F.col("depth") + delta)
-    # Brackets that do not pair up were not understood; such a file is cut into windows.
-    df = df.withColumn("_sum", F.sum(delta).over(Window.partitionBy(key))).where(F.col("_sum") == 0)
+    def find(batches):
+        for batch in families(batches):
+            row, n, line, m = marked(batch)
+            good = np.flatnonzero(m.good)
+            taken = [batch.column(c).take(pa.array(row[good])) for c in columns]
+            texts = [line.take(pa.array(good)), m.code.take(pa.array(good)), *(pa.array(x[good].tolist(), pa.string()) for x in (KINDS[m.kind], m.class_name, m.function_name))]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(n[good].astype(np.int32)), *texts], names=names)
 
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for grammar, rules in _BRACE_RULES.items():
-        for rule_kind, pattern, group in reversed(rules):
-            hit = (is_go if grammar == "go" else ~is_go) & F.col("code").rlike(pattern)
-            kind = F.when(hit, rule_kind).otherwise(kind)
-            name = F.when(hit, F.regexp_extract("code", pattern, group)).otherwise(name)
-    opens = (F.col("depth") <= 0) & kind.isNotNull()
-    df = df.withColumns({"_kind": F.when(opens, kind), "_name": F.when(opens, name)})
-    df = df.withColumn("unit", _upto(by_file, F.col("_kind").isNotNull()))
-    by_unit = Window.partitionBy(key, "unit").orderBy("n")
-    unit = Window.partitionBy(key, "unit")
-    df = df.withColumns({
-        "unit_kind": F.first("_kind").over(by_unit), "unit_name": F.first("_name").over(by_unit),
-        "_braces": _upto(by_unit, F.regexp_count("code", F.lit(r"\{"))),
-    })
-    closed = (F.col("after") <= 0) & ((F.col("_braces") > 0) | F.col("code").rlike(r"[;)]\s*$") | F.col("code").rlike(r"^type\s"))
-    df = df.withColumns({
-        "unit_start": F.min("n").over(unit),
-        "unit_end": F.coalesce(F.min(F.when(closed, F.col("n"))).over(unit), F.min("n").over(unit)),
-    })
-    in_unit = F.col("unit_kind").isNotNull() & F.col("n").between(F.col("unit_start"), F.col("unit_end"))
-    is_class = (F.col("unit_kind") == "class") & ~is_go
-    m_opens = in_unit & is_class & (F.col("depth") == 1) & (F.col("n") > F.col("unit_start")) & F.col("code").rlike(_METHOD) & ~F.col("code").rlike(r";\s*$")
-    df = df.withColumn("_m", m_opens).withColumn("member", F.coalesce(_upto(by_unit, F.col("_m")), F.lit(0)))
-    by_member = Window.partitionBy(key, "unit", "member").orderBy("n")
-    member = Window.partitionBy(key, "unit", "member")
-    df = df.withColumn("_mb", _upto(by_member, F.regexp_count("code", F.lit(r"\{"))))
-    df = df.withColumns({
-        "member_name": F.when(F.col("member") > 0, F.regexp_extract(F.first("code").over(by_member), _METHOD, 1)),
-        "member_end": F.min(F.when((F.col("after") <= 1) & (F.col("_mb") > 0), F.col("n"))).over(member),
-    })
-    in_method = in_unit & is_class & F.col("member_name").isNotNull() & (F.col("n") <= F.col("member_end"))
-    kind = F.when(in_method, "method").when(in_unit & (F.col("unit_kind") == "class"), "class").when(in_unit, "function").otherwise("module_header")
-    return df.select(
-        key, "n", "line", "code", kind.alias("kind"), (kind.isin("function", "method") | ((kind == "class") & is_go)).alias("definition"),
-        F.when(in_unit & is_class, F.col("unit_name")).alias("class_name"),
-        F.when(in_method, F.col("member_name")).when(in_unit & (F.col("unit_kind") == "function"), F.col("unit_name")).alias("function_name"),
-        F.when(in_unit, F.col("unit")).alias("unit"),
-        F.when(in_method, F.col("member")).alias("member"),
-    )
+    return source.mapInArrow(find, schema)
 
 
-def _block_chunks(blocks: DataFrame, is_python: bool, key: str, min_chars: int = 1, shorten_above: int | None = None) -> DataFrame:
-    """One row per block: its whole text, lines, signature and docstring.
+def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None = None) -> DataFrame:
+    """Chunks of code files (columns: key, grammar, content): header, definitions, or line windows.
 
-    With `shorten_above`, definitions of more lines are indexed by signature and docstring alone and keep their text in
-    `full_body`.  `large_function` marks them either way.
+    Files of unknown grammar, unreadable files, and files where nothing qualified get windows.  A block has its whole text,
+    lines, signature and docstring.  With `shorten_above`, definitions of more lines are indexed by signature and docstring
+    alone and keep their text in `full_body`.  `large_function` marks them either way.
     """
-    grouped = blocks.groupBy(key, "kind", "unit", "member").agg(
-        F.first("definition").alias("definition"), F.first("class_name").alias("class_name"), F.first("function_name").alias("function_name"),
-        F.min("n").alias("start_line"), F.max("n").alias("end_line"),
-        F.array_sort(F.collect_list(F.struct("n", "line"))).alias("_lines"),
-    )
-    body = F.array_join(F.col("_lines.line"), "")
-    plain = F.transform(F.slice(F.col("_lines.line"), 1, 5), lambda l: F.regexp_replace(l, r"\s+$", ""))
-    if is_python:
-        closing = F.try_element_at(F.filter(F.transform(plain, lambda l, i: F.when(l.endswith(":"), i + 1)), lambda i: i.isNotNull()), F.lit(1))
-        signature = F.array_join(F.slice(plain, 1, F.coalesce(closing, F.lit(5))), "\n")
-        quoted = r"(?s)\A\s*([rRuUbB]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*'))"
-        docstring = F.nullif(F.regexp_extract(F.substr(body, F.length(signature) + 1), quoted, 1), F.lit(""))
-    else:
-        signature, docstring = plain[0], F.lit(None).cast("string")
-    definition = F.col("definition")
-    large = definition & (F.col("end_line") - F.col("start_line") + 1 > K.LARGE_DEFINITION_LINES)
-    shortened = F.lit(False) if shorten_above is None else definition & (F.col("end_line") - F.col("start_line") + 1 > shorten_above)
-    rows = grouped.withColumns({"_body": body, "signature": signature, "_doc": docstring, "large_function": large, "_short": shortened})
-    rows = rows.where(F.length(strip(F.col("_body"))) >= min_chars)
-    short = strip(F.concat_ws("\n", "signature", "_doc"))
+    grammar = F.col("grammar")
+    known = grammar.isin("python", *_BRACE_GRAMMARS)
+    source = _with_lines(files.where(known).select(key, "grammar", "content")).select(key, "grammar", "content", "_lines", "_code")
+    schema = StructType([*[source.schema[c] for c in (key, "grammar", "content")], *StructType.fromDDL(f"_blocks array<struct<{BLOCK}>>")])
+
+    def find(batches):
+        for batch in families(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "grammar", "content")), blocks_of(batch)], [key, "grammar", "content", "_blocks"])
+
+    found = source.mapInArrow(find, schema)
+    # A file without any block is cut into windows in its own row.
+    found = found.withColumn("_blocks", F.filter("_blocks", lambda b: F.exists(b["lines"], lambda line: line.rlike(r"(?U)[^\s]"))))
+    blocks = found.select(key, "grammar", F.explode("_blocks").alias("_b")).select(key, "grammar", "_b.*")
+
+    lines, is_python = F.col("lines"), grammar == "python"
+    body = F.array_join(lines, "")
+    plain = F.transform(F.slice(lines, 1, 5), lambda l: F.regexp_replace(l, r"\s+$", ""))
+    closing = F.try_element_at(F.filter(F.transform(plain, lambda l, i: F.when(l.endswith(":"), i + 1)), lambda i: i.isNotNull()), F.lit(1))
+    signature = F.when(is_python, F.array_join(F.slice(plain, 1, F.coalesce(closing, F.lit(5))), "\n")).otherwise(plain[0])
+    quoted = r"(?s)\A\s*([rRuUbB]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*'))"
+    docstring = F.when(is_python, F.nullif(F.regexp_extract(F.substr("_body", F.length("signature") + 1), quoted, 1), F.lit("")))
+    length = F.col("end_line") - F.col("start_line") + 1
+    shortened = F.lit(False) if shorten_above is None else F.col("definition") & (length > shorten_above)
+    short = strip(F.concat_ws("\n", "signature", docstring))
     has_lines = F.col("kind") != "module_header"
-    return rows.select(
+    rows = blocks.withColumns({"_body": body, "signature": signature, "_short": shortened}).select(
         key,
         F.col("kind").alias("chunk_type"),
         "function_name",
         "class_name",
         F.when(has_lines, F.col("signature")).alias("signature"),
-        F.when(has_lines, F.col("start_line")).cast("int").alias("start_line"),
-        F.when(has_lines, F.col("end_line")).cast("int").alias("end_line"),
+        F.when(has_lines, F.col("start_line")).alias("start_line"),
+        F.when(has_lines, F.col("end_line")).alias("end_line"),
         F.when(F.col("_short"), short).otherwise(strip(F.col("_body"))).alias("text"),
         F.when(F.col("_short"), F.col("_body")).alias("full_body"),
-        "large_function",
+        (F.col("definition") & (length > K.LARGE_DEFINITION_LINES)).alias("large_function"),
         F.lit("block").alias("chunking"),
     )
 
-
-def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None = None) -> DataFrame:
-    """Chunks of code files (columns: key, grammar, content): header, definitions, or line windows.
-
-    Files of unknown grammar, unreadable Python files, and files where nothing qualified get windows.
-    """
-    lines = file_lines(files, key)
-    python = python_blocks(python_lines(lines.where(F.col("grammar") == "python"), key), key)
-    braces = brace_blocks(lines.where(F.col("grammar").isin(_BRACE_GRAMMARS)), key)
-    blocks = _block_chunks(python, True, key, shorten_above=shorten_above).unionByName(_block_chunks(braces, False, key, shorten_above=shorten_above))
-
-    # A file of a known grammar meets its blocks once; one without any is cut into windows in its own row.
     none = F.lit(None).cast("string")
-    fields = ["chunk_type", "function_name", "class_name", "signature", "start_line", "end_line", "text", "full_body", "large_function", "chunking"]
-    window = lambda p: F.struct(
+    window = lambda p: F.struct(
         p["chunk_type"].alias("chunk_type"), none.alias("function_name"), none.alias("class_name"), none.alias("signature"),
         p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["text"].alias("text"),
         none.alias("full_body"), F.lit(False).alias("large_function"),
         F.when(p["chunk_type"] == "function", "generic_window").otherwise("whole").alias("chunking"),
     )
-    windows = lambda text: F.transform(window_parts(text), window)
-    known = F.col("grammar").isin("python", *_BRACE_GRAMMARS)
-    joined = files.where(known).select(key, "content").join(blocks, key, "left")
-    content = F.when(F.col("chunk_type").isNull(), F.col("content"))
-    rows = joined.select(key, content.alias("_text"), F.struct(*fields).alias("_block"))
-    chosen = F.when(F.col("_text").isNull(), F.array("_block")).otherwise(windows(F.col("_text")))
-    cut = rows.select(key, F.explode(chosen).alias("_c"))
-    other = files.where(~F.coalesce(known, F.lit(False))).select(key, F.explode(windows(F.col("content"))).alias("_c"))
-    return cut.unionByName(other).select(key, "_c.*")
+    uncut = found.where(F.size("_blocks") == 0).select(key, "content").unionByName(files.where(~F.coalesce(known, F.lit(False))).select(key, "content"))
+    return rows.unionByName(uncut.select(key, F.explode(F.transform(window_parts(F.col("content")), window)).alias("_c")).select(key, "_c.*"))
 
 
 def uncovered_lines(lines: DataFrame, ranges: DataFrame, key: str = "fid") -> DataFrame:

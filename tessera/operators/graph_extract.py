@@ -62,8 +62,7 @@ def python_edges(files: DataFrame) -> DataFrame:
     not nodes of their own.
     """
     ids = ["file_raw", "branch_raw"]
-    lines = C.file_lines(files.withColumn("grammar", F.lit("python")), keep=ids)
-    rows = C.python_blocks(C.python_lines(lines), keep=ids)
+    rows = C.python_blocks(files, keep=ids)
     code, file_raw = F.col("code"), F.col("file_raw")
     func, cls = (lambda name: raw_id(file_raw, "func", name)), (lambda name: raw_id(file_raw, "class", name))
     no_props = F.create_map().cast("map<string,string>")

@@ -243,3 +243,13 @@ def test_pull_request_dumps(spark, tmp_path):
     prs = git_records.read_pull_requests(spark, str(tmp_path / "prs.json")).orderBy("number").collect()
     assert [(r["number"], r["state"], r["merged_at"]) for r in prs] == [(7, "closed", "2024-01-01"), (8, None, None)] and prs[0]["head"]["ref"] == "x"
     assert git_records.read_pr_files(spark, str(tmp_path / "files.json")).first()["filename"] == "a.py"
+
+
+def test_lines_are_neither_moved_nor_sorted(spark):
+    files = spark.createDataFrame([("a", "python", "def f(x):\n    return x\n"), ("b", "go", "func F() {\n}\n"), ("c", "python", "x = '''\n")], "fid string, grammar string, content string")
+    found = chunk_code.code_chunks(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Sort"))
+    assert sorted((r["fid"], r["chunk_type"], r["function_name"], r["start_line"], r["end_line"]) for r in found.where("chunking = 'block'").collect()) == [
+        ("a", "function", "f", 1, 2), ("b", "function", "F", 1, 2)]
+    assert found.where("fid = 'c'").select("text").first()[0] == "x = '''"
