@@ -204,7 +204,7 @@ def manifest_deps(t: Inputs):
 
 def _python_files(t: Inputs):
     fid = F.col("doc_id").cast("string")
-    return t.v_python.select(fid.alias("fid"), F.lit("python").alias("grammar"), fid.alias("file_raw"), F.lit("r::main").alias("branch_raw"), "content")
+    return t.wide.v_python.select(fid.alias("fid"), F.lit("python").alias("grammar"), fid.alias("file_raw"), F.lit("r::main").alias("branch_raw"), "content")
 
 
 @query("code_chunks", """
@@ -335,7 +335,7 @@ UNION ALL SELECT doc_id, 'go', 'function', NULL, 'F' || doc_id, n + 3, n + 5, 'f
   md5('func F' || doc_id || '(x string) string {{' || chr(10) || '	return x + `\\{{` + "{{"' || chr(10) || '}}') FROM s
 UNION ALL SELECT doc_id, 'go', 'class', NULL, NULL, n + 7, n + 9, 'type T' || doc_id || ' struct {{', md5('type T' || doc_id || ' struct {{' || chr(10) || '	a int' || chr(10) || '}}') FROM s""")
 def brace_chunks(t: Inputs):
-    rows = t.v_brace
+    rows = t.wide.v_brace
     js = rows.select(F.concat("doc_id", F.lit(":js")).alias("fid"), F.lit("javascript").alias("grammar"), F.col("js").alias("content"))
     go = rows.select(F.concat("doc_id", F.lit(":go")).alias("fid"), F.lit("go").alias("grammar"), F.col("go").alias("content"))
     found = chunk_code.code_chunks(js.unionByName(go)).where("chunk_type <> 'module_header' and not (chunk_type = 'class' and class_name is not null)")
