@@ -131,33 +131,34 @@ def explore(nodes: DataFrame, edges: DataFrame, user_id: str, repo: str, branch:
     if branch is not None:
         inside = inside.where(branch_or_main(F.col("branch")) == branch)
     ids = inside.select("id")
-    local = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    chosen = local
     if center:
         shown = F.lower(F.coalesce("name", "path", "id"))
-        chosen = expand(local, inside.where(shown.contains(center.lower())).select("id"), max(1, depth))
+        chosen = expand(edges, inside.where(shown.contains(center.lower())).select("id"), max(1, depth), ids)
+    else:
+        chosen = _between(edges, ids)
     links = chosen if limit is None else chosen.orderBy("src", "rel_type", "dst").limit(limit)
     ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     found = inside.join(ends, "id", "left_semi").withColumn("props", P.visible_properties(F.col("props")))
     return found, links.withColumn("props", P.visible_properties(F.col("props")))
 
 
-def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """The edges within `depth` steps of the nodes in `start` (id), in either direction.
+def expand(edges: DataFrame, start: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
+    """The edges within `depth` steps of the nodes in `start` (id), in either direction; with `within` (id), only edges that
+    have both ends there.
 
-    Each round joins the edges with the newest nodes alone and writes what it finds to the shared folder, so the plan of a
+    Each round joins the edges with the newest nodes alone, tests the ends of what it finds and writes that to the shared
+    folder. So the edges that no round reaches are neither moved nor sorted where the newest nodes are few, the plan of a
     round does not hold those before it, and a lost executor costs no more than its own round.  It ends early where nothing
     new is reached.
     """
     key = ["src", "rel_type", "dst"]
-    if depth == 1:
-        return _touching(edges, start).dropDuplicates(key)
-    edges = written(edges, "local")
     frontier = written(start.distinct(), "frontier")
     seen, rounds = frontier, []
     for step in range(depth):
-        found = written(_touching(edges, frontier).dropDuplicates(key), "links")
+        near = _touching(edges, frontier)
+        found = (near if within is None else _between(near, within)).dropDuplicates(key)
+        if step < depth - 1:
+            found = written(found, "links")
         rounds.append(found)
         if step == depth - 1:
             break
@@ -166,6 +167,8 @@ def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+    if len(rounds) == 1:
+        return rounds[0]
     out = rounds[0]
     for found in rounds[1:]:
         out = out.unionByName(found)
@@ -173,6 +176,12 @@ def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return out.dropDuplicates(key)
 
 
+def _between(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges whose two ends are in `ids`."""
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
+        ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
 def _touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").unionByName(
         edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi"))

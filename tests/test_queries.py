@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 
 import pytest
 from harness import compare, connect
+from pyspark.sql import functions as F
 
 from tessera.catalog import ORACLES, QUERIES
 from tessera.catalog.registry import Inputs
@@ -67,3 +68,19 @@ def test_stream_parts_are_written_by_many_tasks(spark, folder):
     streams._out_of_order(t, streams._jobs(t).repartition(4), "2024-01-16", "parts", run, again=True)
     assert [sorted(s) for s in seen] == [["1"], ["1", "2"], ["1", "2", "3"]]
     assert set(seen[-1].values()) == {4}
+
+
+def test_exploring_moves_no_edges_before_the_centre_is_met(spark, folder):
+    t = Inputs(spark, folder)
+    none = F.create_map().cast("map<string,string>")
+    nodes, edges = t.v_nodes.withColumn("props", none), t.v_edges.withColumn("props", none)
+    _, links = graph_query.explore(nodes, edges, "shared", "org/parts", center="Brand#1")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        links.explain()
+    lines = out.getvalue().split("\n")
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "l_partkey" in line]
+    assert scans
+    for i in scans:  # going up from the scan of line items, the small table of the centre comes before any exchange
+        above = [line for line in reversed(lines[:i]) if "Exchange hashpartitioning" in line or "LeftSemi" in line]
+        assert "BroadcastHashJoin" in above[0] and "LeftSemi" in above[0]
