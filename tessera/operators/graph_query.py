@@ -34,22 +34,26 @@ def call_graph(nodes: DataFrame, edges: DataFrame, names: DataFrame, repo: str |
     """
     functions = _scoped(nodes.where(F.col("label") == "Function"), repo, branch).select("id", "user_id", "name", "repo")
     calls = edges.where(F.col("rel_type") == "CALLS").select("src", "dst")
-    asked = functions.join(names.distinct(), ["user_id", "name"]).select("id", "user_id", "name")
-    other = functions.select(F.col("id").alias("_o"), F.col("user_id").alias("_u"), F.col("name").alias("other_name"),
-                             F.col("repo").alias("other_repo"))
+    known = functions.join(names.select("user_id", "name").distinct().withColumn("asked", F.lit(True)), ["user_id", "name"], "left")
+    end = lambda c: known.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("user_id", "name", "repo", "asked")])
+    # Both ends are looked up once; a call counts for either end that is asked for.
+    ends = calls.join(end("src"), "src").join(end("dst"), "dst").where(F.col("src_user_id") == F.col("dst_user_id"))
 
-    def side(own: str, far: str, direction: str) -> DataFrame:
-        hops = asked.join(calls, F.col("id") == F.col(own)).select("user_id", "name", F.col(far).alias("_far"))
-        found = hops.join(other, (F.col("_far") == F.col("_o")) & (F.col("user_id") == F.col("_u")))
-        rows = found.select("user_id", "name", F.lit(direction).alias("direction"), "other_name", "other_repo", "_o")
-        return first_rows(rows, ["user_id", "name"], [F.col("other_name"), F.col("_o")], limit).drop("_o")
+    def side(own: str, far: str, direction: str) -> Column:
+        place = [] if limit is None else [F.col(far).alias("_o")]
+        return F.when(F.col(f"{own}_asked"), F.struct(
+            F.lit(direction).alias("direction"), F.col(f"{own}_name").alias("name"), F.col(f"{far}_name").alias("other_name"),
+            F.col(f"{far}_repo").alias("other_repo"), *place))
 
-    return side("dst", "src", "caller").unionByName(side("src", "dst", "callee"))
+    both = F.array_compact(F.array(side("dst", "src", "caller"), side("src", "dst", "callee")))
+    rows = ends.select(F.col("src_user_id").alias("user_id"), F.explode(both).alias("_s")).select("user_id", "_s.*")
+    found = first_rows(rows, ["user_id", "name", "direction"], [F.col("other_name"), F.col("_o")], limit)
+    return found.select("user_id", "name", "direction", "other_name", "other_repo")
 
 
 def call_graph_text(name: Column, callers: Column, callees: Column) -> Column:
-    """The readable answer.  `callers`, `callees`: array<struct<other_name, other_repo>>."""
-    line = lambda e: F.concat(F.lit("  - "), e["other_name"], F.lit(" (in "), e["other_repo"], F.lit(")\n"))
+    """The readable answer.  `callers`, `callees`: array<struct<other_name, other_repo, n>>; a line stands `n` times."""
+    line = lambda e: F.repeat(F.concat(F.lit("  - "), e["other_name"], F.lit(" (in "), e["other_repo"], F.lit(")\n")), e["n"].cast("int"))
     block = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, line), "")).otherwise("  nothing known\n")
     empty = (F.size(callers) == 0) & (F.size(callees) == 0)
     text = F.concat(

@@ -139,12 +139,16 @@ def _names(names: DataFrame) -> DataFrame:
 
 
 def call_graph_answers(nodes: DataFrame, edges: DataFrame, names: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
-    """(user_id, name, answer): callers and callees of each named function as readable text."""
-    found = graph_query.call_graph(nodes, edges, names, repo, branch)
-    entry = F.struct("other_name", "other_repo")
+    """(user_id, name, answer): callers and callees of each named function as readable text.
+
+    Equal lines are counted inside tasks before anything moves, so a name with very many calls gathers its different lines alone.
+    """
+    line = ["user_id", "name", "direction", "other_name", "other_repo"]
+    found = graph_query.call_graph(nodes, edges, names, repo, branch).groupBy(*line).agg(F.count("*").alias("n"))
+    entry = F.struct("other_name", "other_repo", "n")
     side = lambda d: F.array_sort(F.collect_list(F.when(F.col("direction") == d, entry)))
     sides = found.groupBy("user_id", "name").agg(side("caller").alias("_in"), side("callee").alias("_out"))
-    none = F.array().cast("array<struct<other_name:string,other_repo:string>>")
+    none = F.array().cast("array<struct<other_name:string,other_repo:string,n:bigint>>")
     rows = _names(names).join(sides, ["user_id", "name"], "left")
     answer = graph_query.call_graph_text(F.col("name"), F.coalesce("_in", none), F.coalesce("_out", none))
     return rows.select("user_id", "name", answer.alias("answer"))

@@ -84,3 +84,21 @@ def test_exploring_moves_no_edges_before_the_centre_is_met(spark, folder):
     for i in scans:  # going up from the scan of line items, the small table of the centre comes before any exchange
         above = [line for line in reversed(lines[:i]) if "Exchange hashpartitioning" in line or "LeftSemi" in line]
         assert "BroadcastHashJoin" in above[0] and "LeftSemi" in above[0]
+
+
+def test_equal_call_lines_are_counted_not_gathered(spark):
+    from tessera.plans.answers import call_graph_answers
+
+    nodes = spark.range(40).select(
+        F.concat(F.lit("f"), "id").alias("id"), F.lit("Function").alias("label"), F.lit("u").alias("user_id"), F.when(F.col("id") != 7, "r").alias("repo"),
+        F.lit(None).cast("string").alias("branch"), F.when(F.col("id") == 0, "hub").when(F.col("id") < 39, "leaf").otherwise("lone").alias("name"))
+    calls = spark.range(1, 39).select(F.concat(F.lit("f"), "id").alias("src"), F.lit("f0").alias("dst"), F.lit("CALLS").alias("rel_type"))
+    answers = call_graph_answers(nodes, calls, nodes.select("user_id", "name"))
+    got = {r["name"]: r["answer"] for r in answers.collect()}
+    assert got["hub"] == "Calls of hub\n\nCalled by:\n" + "  - leaf (in r)\n" * 37 + "\nCalls itself:\n  nothing known\n"
+    assert got["leaf"].endswith("Calls itself:\n" + "  - hub (in r)\n" * 37 + "  - hub (in r)\n")
+    assert got["lone"] == "The graph knows no calls of lone"
+    out = io.StringIO()
+    with redirect_stdout(out):
+        answers.explain("formatted")
+    assert "partial_count(1)" in out.getvalue()
