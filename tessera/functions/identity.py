@@ -37,3 +37,8 @@ def chunk_id(part: Column | None = None) -> Column:
 
 def content_sha(text: Column) -> Column:
     return F.sha1(text.cast("binary"))
+
+
+def text_key() -> Column:
+    """The same for files of equal path and content, whatever their tenant, repository or branch."""
+    return F.concat_ws(":", content_sha(F.col("content")), F.col("path"))

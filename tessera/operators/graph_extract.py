@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera import constants as K
 from tessera.functions import props as P
+from tessera.functions.identity import text_key
 from tessera.functions.tenant import raw_id, scoped_id
 from tessera.operators import chunk_code as C
-from tessera.session import cut_lineage
+from tessera.session import written
 
 # An edge row: ends as (label, raw id), the relation, and properties of the target.
 _EDGE = ["fid", "from_label", "from_raw", "to_label", "to_raw", "rel_type", "props"]
 
+# Stands for `repo::branch` in ids of a text that is not placed yet; no other id begins with it.
+_HERE = "\x01"
 # Import forms of JavaScript and requirement lines.
 JS_IMPORT = r"import\s+(?:.*from\s+)?['\"]([^'\"]+)['\"]"
 JS_REQUIRE = r"require\(['\"]([^'\"]+)['\"]\)"
@@ -161,18 +164,33 @@ def file_graph(files: DataFrame, include_go: bool = False, materialize: bool = T
     """(node rows, edge rows) of parsed files, as ordered contributions to be merged by key.
 
     `files` has the file columns plus language, ingest_run_id and the ids of with_raw_ids.  Extraction
-    is the costly part and feeds both results, so it is written once to the checkpoint folder.
+    is the costly part and feeds both results, so a text that stands at the same path of several branches
+    or tenants is parsed once, and what it says is written once to the checkpoint folder.
     """
     keep = ["user_id", "is_public", "repo", "branch"]
-    meta = files.select("fid", *keep, "file_raw", "branch_raw", "commit_sha", "ingest_run_id", "path", "language", "file_sha")
+    files = files.withColumn("_text", text_key())
+    meta = files.select("_text", *keep, "file_raw", "branch_raw", "commit_sha", "ingest_run_id", "path", "language", "file_sha")
+    # Ids below the branch stand below a mark until they are placed in the branches that hold the text.
+    texts = files.select(F.col("_text").alias("fid"), "path", "language", "content").dropDuplicates(["fid"])
+    texts = texts.withColumn("branch_raw", F.lit(_HERE)).withColumn("file_raw", raw_id(_HERE, F.col("path")))
     edges = (
-        python_edges(files.where(F.col("language") == "python"))
-        .unionByName(js_edges(files.where(F.col("language").isin("javascript", "typescript", "tsx"))))
-        .unionByName(manifest_edges(files, include_go))
+        python_edges(texts.where(F.col("language") == "python"))
+        .unionByName(js_edges(texts.where(F.col("language").isin("javascript", "typescript", "tsx"))))
+        .unionByName(manifest_edges(texts, include_go))
     )
-    found = edges.join(meta.drop("file_raw", "branch_raw", "file_sha"), "fid")
     if materialize:
-        found = cut_lineage(found)
+        edges = written(edges, "extracted")
+    places = meta.drop("file_raw", "file_sha").withColumnRenamed("_text", "fid")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        here = lambda c: F.when(F.col(c).startswith(_HERE), F.concat("branch_raw", F.substr(c, F.lit(len(_HERE) + 1)))).otherwise(F.col(c))
+        return rows.join(places, "fid").withColumns({c: here(c) for c in rows.columns if c in ("from_raw", "to_raw")})
+
+    # What a text says of a node twice, it says once; maps can't be compared, their entries can.
+    origins = placed(edges.select("fid", "from_label", "from_raw").distinct())
+    said = edges.select("fid", "to_label", "to_raw", P.sorted_entries(F.col("props")).alias("_e")).distinct()
+    targets = placed(said).withColumn("props", F.map_from_entries("_e"))
+    found = placed(edges)
     base = dict(repo=F.col("repo"), branch=F.col("branch"), commit_sha=F.col("commit_sha"), ingest_run_id=F.col("ingest_run_id"))
 
     def contribution(rows: DataFrame, label: Column, raw: Column, props: Column, seq: int) -> DataFrame:
@@ -187,16 +205,16 @@ def file_graph(files: DataFrame, include_go: bool = False, materialize: bool = T
     )
     nodes = (
         contribution(meta, F.lit("File"), F.col("file_raw"), P.overlay(of_file, P.string_map(file_sha=F.col("file_sha"))), 1)
-        .unionByName(contribution(found, F.col("from_label"), F.col("from_raw"), origin, 2))
-        .unionByName(contribution(found, F.col("to_label"), F.col("to_raw"), P.overlay(P.string_map(**base), F.col("props")), 3))
+        .unionByName(contribution(origins, F.col("from_label"), F.col("from_raw"), origin, 2))
+        .unionByName(contribution(targets, F.col("to_label"), F.col("to_raw"), P.overlay(P.string_map(**base), F.col("props")), 3))
     )
     # Every file hangs below its branch.
     contains = meta.select(
         F.col("branch_raw").alias("from_raw"), F.col("file_raw").alias("to_raw"), F.lit("CONTAINS").alias("rel_type"),
         F.create_map().cast("map<string,string>").alias("props"), *keep)
-    placed = found.select("from_raw", "to_raw", "rel_type", "props", *keep).unionByName(contains)
+    linked = found.select("from_raw", "to_raw", "rel_type", "props", *keep).unionByName(contains)
     ends = lambda c: scoped_id(F.col(c), F.col("user_id"), F.col("is_public"))
-    edge_rows = placed.select(
+    edge_rows = linked.select(
         ends("from_raw").alias("src"), ends("to_raw").alias("dst"), "rel_type", "user_id", "repo", "branch", "props",
         F.lit(1).cast("long").alias("seq"),
     )

@@ -81,12 +81,15 @@ def merge_properties(rows: DataFrame, key: list[str], fixed: list[str], null_rem
     contributions stays cheap.  With `null_removes` a last null removes the property; otherwise nulls
     never overwrite.  Between rows of equal seq the greater value wins, so arrival order is irrelevant.
     """
-    entries = rows.select(*key, *fixed, "seq", F.explode_outer("props").alias("_k", "_v"))
+    # The fixed columns travel with the first property of a row alone.
+    # Ids begin alike, so sorting looks at a hash of the key before the key.
+    entries = rows.select(F.xxhash64(*key).alias("_h"), *key, "seq", F.struct("seq", *fixed).alias("_all"), F.posexplode_outer("props").alias("_p", "_k", "_v"))
+    entries = entries.withColumn("_f", F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_all"))).drop("_all", "_p")
     if not null_removes:
         entries = entries.withColumn("_k", F.when(F.col("_v").isNotNull(), F.col("_k")))
-    last = entries.groupBy(*key, "_k").agg(F.max(F.struct("seq", "_v")).alias("_l"), F.max(F.struct("seq", *fixed)).alias("_f"))
+    last = entries.groupBy("_h", *key, "_k").agg(F.max(F.struct("seq", "_v")).alias("_l"), F.max("_f").alias("_f"))
     pair = F.when(F.col("_k").isNotNull() & F.col("_l._v").isNotNull(), F.struct(F.col("_k"), F.col("_l._v").alias("_v")))
-    merged = last.groupBy(*key).agg(F.map_from_entries(F.collect_list(pair)).alias("props"), F.max("_f").alias("_f"))
+    merged = last.groupBy("_h", *key).agg(F.map_from_entries(F.collect_list(pair)).alias("props"), F.max("_f").alias("_f"))
     return merged.select(*key, *[F.col(f"_f.{c}").alias(c) for c in fixed], "props")
 
 
@@ -116,16 +119,16 @@ def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = F
 
 def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
 
 
-def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
+def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame | None) -> DataFrame:
     """Edge table after merging: one edge per (source, type, target), properties overlaid, ends checked.
 
-    Edges that nothing comes in for keep their rows.
+    Edges that nothing comes in for keep their rows.  Without `nodes` the ends are known to exist.
     """
     fixed = ["user_id", "repo", "branch"]
     columns = [*EDGE_KEY, *fixed, "props", "seq"]
@@ -133,7 +136,8 @@ def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> D
     hit, rest = _apart(existing, fresh, EDGE_KEY)
     merged = merge_properties(hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh), EDGE_KEY, fixed)
     layout = [*EDGE_KEY, *fixed, "props"]
-    return connected_edges(merged.select(*layout).unionByName(rest.select(*layout)), nodes).select(*layout)
+    both = merged.select(*layout).unionByName(rest.select(*layout))
+    return both if nodes is None else connected_edges(both, nodes).select(*layout)
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera import schemas
 from tessera.functions import identity, redact, routing
 from tessera.functions.config_text import flatten_config
+from tessera.functions.tenant import scoped_id
 from tessera.functions.text import strip_markup
 from tessera.operators import chunk_code, chunk_docs, graph_extract, incremental, maintenance
 from tessera.session import written
@@ -59,7 +61,7 @@ def changed_content(files: DataFrame, changes: DataFrame) -> DataFrame:
     work = changes.where(F.col("status").isin("new", "changed")).select(*incremental.FILE_KEY, "file_sha")
     found = files.drop("file_sha").join(work, incremental.FILE_KEY)
     once = written(prepare_files(found.select("path", "file_sha", "content").dropDuplicates(["path", "file_sha"])), "prepared")
-    places = files.drop("content", "file_sha").join(work, incremental.FILE_KEY)
+    places = written(files.drop("content", "file_sha").join(work, incremental.FILE_KEY), "places")
     return places.join(once, ["path", "file_sha"])
 
 
@@ -69,9 +71,11 @@ def chunk_files(files: DataFrame, run_id: str, run_seq: int, id_mode: str = "par
     `id_mode="reference"` leaves part ordinals out of the identity, so the last part of an oversized
     untitled text replaces the earlier ones; "part" keeps them all.
     """
-    files = graph_extract.with_raw_ids(files)
+    files = files.withColumn("fid", identity.text_key())
     meta = files.select("fid", "user_id", "is_public", "repo", "branch", "commit_sha", "file_sha", F.col("path").alias("file_path"),
                         "language", "source_type", "secrets")
+    # A text that stands at the same path of several branches or tenants is chunked once.
+    files = files.select("fid", "path", "language", "source_type", "content").dropDuplicates(["fid"])
     text, kind, lang = F.col("content"), F.col("source_type"), F.col("language")
     custom = lang.isin(list(_CHUNKERS)) if _CHUNKERS else F.lit(False)
     parts = F.when(kind == "docs", chunk_docs.doc_parts(text)).otherwise(chunk_docs.whole_parts(text))
@@ -107,10 +111,11 @@ def refresh_chunks(existing: DataFrame | None, files: DataFrame, previous: DataF
         return chunk_files(files, run_id, run_seq)
     changes = _differences(files.select(*incremental.FILE_KEY, "file_sha"), previous)
     work = changes.where(F.col("status").isin("new", "changed")).select(*incremental.FILE_KEY)
-    return _with_new_chunks(existing, files.join(work, incremental.FILE_KEY, "left_semi"), changes, run_id, run_seq)
+    return with_new_chunks(existing, files.join(work, incremental.FILE_KEY, "left_semi"), changes, run_id, run_seq)
 
 
-def _with_new_chunks(existing: DataFrame, work: DataFrame, changes: DataFrame, run_id: str, run_seq: int) -> DataFrame:
+def with_new_chunks(existing: DataFrame, work: DataFrame, changes: DataFrame, run_id: str, run_seq: int) -> DataFrame:
+    """Chunk table after a run: chunks of changed and removed files go, those of `work` (prepared) come in."""
     doomed = changes.where(F.col("status").isin("changed", "removed")).select("user_id", "repo", "branch", F.col("path").alias("file_path"))
     kept = existing.join(doomed, ["user_id", "repo", "branch", "file_path"], "left_anti").select(*existing.columns)
     return maintenance.upsert_chunks(kept, chunk_files(work, run_id, run_seq))
@@ -139,11 +144,15 @@ def record_chunks(records: DataFrame, kind: str, run_id: str, run_seq: int) -> D
     return rows.withColumn("chunk_id", identity.chunk_id(part)).select(*schemas.columns_of(schemas.CHUNKS))
 
 
+def _empty(like: DataFrame, ddl: str) -> DataFrame:
+    """No rows, and the optimizer knows it, so nothing is joined with them."""
+    return like.limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)])
+
+
 def merge_file_graph(nodes: DataFrame | None, edges: DataFrame | None, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables after adding the graph of files (with raw ids, language and ingest_run_id)."""
-    spark = files.sparkSession
-    nodes = spark.createDataFrame([], schemas.NODES) if nodes is None else nodes
-    edges = spark.createDataFrame([], schemas.EDGES) if edges is None else edges
+    nodes = _empty(files, schemas.NODES) if nodes is None else nodes
+    edges = _empty(files, schemas.EDGES) if edges is None else edges
     new_nodes, new_edges = graph_extract.file_graph(files)
     branches = files.select("user_id", "is_public", "repo", "branch", "branch_raw", "ingest_run_id").distinct()
     repos = branches.select(
@@ -151,8 +160,10 @@ def merge_file_graph(nodes: DataFrame | None, edges: DataFrame | None, files: Da
         F.map_filter(F.create_map(F.lit("full_name"), F.col("repo"), F.lit("branch"), F.col("branch"), F.lit("ingest_run_id"), F.col("ingest_run_id")),
                      lambda _, v: v.isNotNull()).alias("props"),
         F.lit(1).cast("long").alias("seq"))
-    merged = maintenance.merge_nodes(nodes, new_nodes.unionByName(repos))
-    return merged, maintenance.merge_edges(edges, new_edges, merged)
+    new_nodes = new_nodes.unionByName(repos)
+    # Both ends of a new edge are among the new nodes; those of the edges held may have gone.
+    ids = nodes.select("id").unionByName(new_nodes.select(scoped_id(F.col("raw_id"), F.col("user_id"), F.col("is_public")).alias("id")))
+    return maintenance.merge_nodes(nodes, new_nodes), maintenance.merge_edges(maintenance.connected_edges(edges, ids), new_edges, None)
 
 
 def refresh_graph(nodes: DataFrame, edges: DataFrame, work: DataFrame, changes: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
@@ -163,12 +174,21 @@ def refresh_graph(nodes: DataFrame, edges: DataFrame, work: DataFrame, changes:
     return merge_file_graph(nodes, edges, graph_extract.with_raw_ids(raw))
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """Prepared files as a table: chunks and graph read it by column, so files are redacted and parsed once."""
+    return written(prepare_files(files), "prepared")
+
+
+def first_graph(ready: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a first run over prepared files."""
+    raw = ready.withColumn("content", F.col("raw_content")).withColumn("ingest_run_id", F.lit(run_id))
+    return merge_file_graph(None, None, graph_extract.with_raw_ids(raw))
+
+
 def ingest(files: DataFrame, run_id: str, run_seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, nodes, edges) of a first run over raw `files`."""
-    ready = prepare_files(files)
-    raw = ready.withColumn("content", F.col("raw_content")).withColumn("ingest_run_id", F.lit(run_id))
-    nodes, edges = merge_file_graph(None, None, graph_extract.with_raw_ids(raw))
-    return chunk_files(ready, run_id, run_seq), nodes, edges
+    ready = parse_files(files)
+    return chunk_files(ready, run_id, run_seq), *first_graph(ready, run_id)
 
 
 def refresh(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, previous: DataFrame, run_id: str,
@@ -179,5 +199,4 @@ def refresh(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFr
     """
     changes = file_changes(files, previous)
     work = changed_content(files, changes)
-    new_nodes, new_edges = refresh_graph(nodes, edges, work, changes, run_id)
-    return _with_new_chunks(chunks, work, changes, run_id, run_seq), new_nodes, new_edges
+    return with_new_chunks(chunks, work, changes, run_id, run_seq), *refresh_graph(nodes, edges, work, changes, run_id)

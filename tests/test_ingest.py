@@ -399,3 +399,20 @@ def test_quota_query_reads_late_files_in_several_batches(spark, folder, monkeypa
     assert rows.agg(F.sum("total")).first()[0] == events.count()
     batches = spark.read.parquet(f"{seen[0]}/rows").groupBy("batch").agg(F.min("day").alias("day")).orderBy("batch").collect()
     assert len(batches) > 1 and batches[0]["day"] > batches[-1]["day"]
+
+
+def test_equal_texts_of_branches_are_parsed_once(spark, monkeypatch):
+    from tessera.operators import chunk_code, graph_extract
+
+    main = files(spark, {"a.py": "import os\n\ndef run(x):\n    return go(x)\n"})
+    both = main.unionByName(main.withColumn("branch", F.lit("dev")))
+    seen, parse, chunk = [], graph_extract.python_edges, chunk_code.code_chunks
+    monkeypatch.setattr(graph_extract, "python_edges", lambda rows, *a: seen.append(rows.count()) or parse(rows, *a))
+    monkeypatch.setattr(chunk_code, "code_chunks", lambda rows, *a: seen.append(rows.count()) or chunk(rows, *a))
+    chunks, nodes, edges = ingest.ingest(both, "run1", 1)
+    assert seen == [1, 1]
+    assert {(r["branch"], r["n"]) for r in chunks.groupBy("branch").agg(F.count("*").alias("n")).collect()} == {("main", 2), ("dev", 2)}
+    got = {(r["src"].split("::", 1)[1], r["rel_type"]) for r in edges.where("rel_type in ('CALLS', 'IMPORTS')").collect()}
+    repo = main.first()["repo"]
+    assert got == {(f"{repo}::{b}::a.py{rest}", rel) for b in ("main", "dev") for rest, rel in (("::func::run", "CALLS"), ("", "IMPORTS"))}
+    assert edges.join(nodes.select("id"), edges["dst"] == nodes["id"], "left_anti").isEmpty()
