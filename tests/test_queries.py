@@ -102,3 +102,22 @@ def test_equal_call_lines_are_counted_not_gathered(spark):
     with redirect_stdout(out):
         answers.explain("formatted")
     assert "partial_count(1)" in out.getvalue()
+
+
+def test_relationship_counts_look_nodes_up_without_sorting_edges(spark):
+    from tessera.operators import stats
+
+    rows = [("a", "u1"), ("b", "u1"), ("c", "u2"), ("b", "u2"), (None, "u1"), ("d", None)]
+    nodes = spark.createDataFrame(rows, "id string, user_id string")
+    links = [("a", "b", "X"), ("b", "b", "X"), ("a", "c", "X"), ("c", "b", "Y"), ("a", None, "X"), (None, "a", "X"), ("d", "d", "X"), ("a", "gone", "X")]
+    edges = spark.createDataFrame(links, "src string, dst string, rel_type string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = stats.rel_counts(nodes, edges, ["user_id"])
+        got = {tuple(r) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # b stands twice, once a tenant; equal ids meet as in SQL's joins.
+    assert got == {("u1", "X", 2), ("u2", "X", 1), ("u2", "Y", 1)}
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
