@@ -121,3 +121,22 @@ def test_relationship_counts_look_nodes_up_without_sorting_edges(spark):
     # b stands twice, once a tenant; equal ids meet as in SQL's joins.
     assert got == {("u1", "X", 2), ("u2", "X", 1), ("u2", "Y", 1)}
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ends_of_edges_are_checked_without_sorting_edges(spark):
+    from tessera.operators import maintenance
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    links = [("a", "X", "b", 1, "old"), ("a", "X", "b", 2, "new"), ("b", "X", "b", 1, "self"), ("a", "X", "gone", 1, "v"), ("gone", "X", "a", 1, "v"), (None, "X", "a", 1, "v")]
+    edges = spark.createDataFrame(links, "src string, rel_type string, dst string, seq long, v string").select(
+        "src", F.lit("CALLS").alias("rel_type"), "dst", *[F.lit("u").alias(c) for c in ("user_id", "repo", "branch")], F.create_map(F.lit("v"), "v").alias("props"), "seq")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = maintenance.merge_edges(edges.drop("seq").where("src = 'b'"), edges, nodes)
+        got = sorted((r["src"], r["dst"], r["props"]["v"]) for r in found.collect())
+        checked = maintenance.connected_edges(edges, nodes)
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", "b", "new"), ("b", "b", "self")]
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
