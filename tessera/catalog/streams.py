@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.catalog.registry import Inputs, query
-from tessera.session import checkpoint_root
+from tessera.session import checkpoint_root, written
 from tessera.sources import tables
 from tessera.streaming import progress, quota, webhooks
 
@@ -96,7 +96,7 @@ def record_stream(t: Inputs):
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("delivery_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("issues").alias("event"),
         F.struct(_repo(), F.lit("n").alias("name"), F.struct(F.lit("org").alias("login")).alias("owner")).cast(kind["repository"]).alias("repository"),
         none.cast("string").alias("ref"), none.cast(kind["commits"]).alias("commits"), none.cast(kind["pull_request"]).alias("pull_request"), issue.cast(kind["issue"]).alias("issue"))
-    targets = _targets(t)
+    targets = written(_targets(t), "targets")
 
     def run(stream, folder):
         def apply(batch, batch_id):

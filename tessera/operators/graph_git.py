@@ -45,17 +45,20 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _contributors(rows: DataFrame, person: str) -> tuple[DataFrame, Column]:
+def _contributors(rows: DataFrame, person: str, once: bool = False) -> tuple[DataFrame, Column]:
     login = F.col(f"{person}.login")
     raw = raw_id(_branch(), "contributor", login)
     known = rows.where(login.isNotNull())
+    if once:
+        known = known.select(*_WHERE, F.struct(login.alias("login"), F.col(f"{person}.type").alias("type")).alias(person)).distinct()
     kind = F.coalesce(F.col(f"{person}.type"), F.lit("User"))
     return _node(known, "Contributor", raw, login=login, name=login, type=kind), raw
 
 
-def issue_graph(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+def issue_graph(issues: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """With `once` a person with many records is one row, at the cost of a shuffle of the persons of each task."""
     issue = raw_id(_branch(), "issue", F.col("number").cast("string"))
-    people, person = _contributors(issues, "user")
+    people, person = _contributors(issues, "user", once)
     labelled = issues.select(*_WHERE, "number", F.explode("labels.name").alias("label_name")).where(
         F.coalesce(F.col("label_name"), F.lit("")) != ""
     )
@@ -73,10 +76,10 @@ def issue_graph(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def pr_graph(prs: DataFrame, pr_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`pr_files` carries the same repository columns plus pr_number."""
+def pr_graph(prs: DataFrame, pr_files: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """`pr_files` carries the same repository columns plus pr_number.  `once`: see issue_graph."""
     pr = raw_id(_branch(), "pr", F.col("number").cast("string"))
-    people, person = _contributors(prs, "user")
+    people, person = _contributors(prs, "user", once)
     closing = prs.select(*_WHERE, "number", F.explode(linked_issues(F.col("body"))).alias("issue"))
     touched = pr_files.where(F.coalesce(F.col("filename"), F.lit("")) != "").join(
         prs.select(*_WHERE, F.col("number").alias("pr_number")), [*_WHERE, "pr_number"], "left_semi"

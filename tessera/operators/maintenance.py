@@ -6,6 +6,8 @@ share of the rows is reduced inside each task before anything moves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +75,33 @@ def roll_back_run(rows: DataFrame, user_id: str, repo: str, branch: str, run: st
     return keep_outside(rows, in_scope(user_id, repo, branch) & (F.col("ingest_run_id") == run))
 
 
-def merge_properties(rows: DataFrame, key: list[str], fixed: list[str], null_removes: bool = False) -> DataFrame:
+Store = Callable[[DataFrame, str], DataFrame]  # writes a frame under a name and reads it back
+
+
+def _alike(rows: DataFrame, key: list[str], fixed: list[str], store: Store) -> tuple[DataFrame, DataFrame]:
+    """(*key, *fixed, props) of the keys whose rows agree in all but `seq`, and the other keys.  Nulls say nothing."""
+    filled = P.drop_nulls(F.coalesce("props", F.create_map().cast("map<string,string>")))
+    said = F.struct(*fixed, F.sort_array(F.map_entries(filled)).alias("_e"))
+    ends = rows.select(F.xxhash64(*key).alias("_h"), *key, said.alias("_s")).groupBy("_h", *key).agg(F.min("_s").alias("_s"), F.max("_s").alias("_t"))
+    kept = store(ends.select(*key, "_s", F.col("_s").eqNullSafe(F.col("_t")).alias("_same")), "contributions")
+    alike = kept.where("_same").select(*key, *[F.col(f"_s.{c}").alias(c) for c in fixed], F.map_from_entries("_s._e").alias("props"))
+    return alike, store(kept.where("not _same").select(*key), "differing")
+
+
+def merge_properties(rows: DataFrame, key: list[str], fixed: list[str], null_removes: bool = False, store: Store | None = None) -> DataFrame:
     """(*key, *fixed, props): per key and property the value of the highest `seq`; the fixed columns of the
     latest row.
 
     Values are reduced per (key, property) inside tasks, and again per key, so a key with very many
     contributions stays cheap.  With `null_removes` a last null removes the property; otherwise nulls
     never overwrite.  Between rows of equal seq the greater value wins, so arrival order is irrelevant.
+
+    With `store` keys whose rows all say the same, as where one row comes for a key or rows come again, are told apart first and
+    handed on as they are: only the properties of the others are taken apart.
     """
+    if store is not None:
+        alike, differ = _alike(rows, key, fixed, store)
+        return alike.unionByName(merge_properties(rows.join(differ.hint("merge"), key, "left_semi"), key, fixed, null_removes))
     # The fixed columns travel with the first property of a row alone.
     # Ids begin alike, so sorting looks at a hash of the key before the key.
     entries = rows.select(F.xxhash64(*key).alias("_h"), *key, "seq", F.struct("seq", *fixed).alias("_all"), F.posexplode_outer("props").alias("_p", "_k", "_v"))
@@ -98,11 +119,11 @@ def _checked(column: str, allowed: list[str], what: str) -> Column:
     return F.when(F.col(column).isin(allowed), F.col(column)).otherwise(F.raise_error(message))
 
 
-def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = False) -> DataFrame:
+def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = False, store: Store | None = None) -> DataFrame:
     """Node table after merging.  `incoming`: label, raw_id, user_id, is_public, repo, branch, props, seq.
 
     Standard columns of a key come from its latest contribution; name and path follow the properties.  Nodes that nothing
-    comes in for keep their rows: their properties are not taken apart.
+    comes in for keep their rows: their properties are not taken apart.  `store`: see merge_properties.
     """
     fresh = incoming.withColumn("id", scoped_id(F.col("raw_id"), F.col("user_id"), F.col("is_public"))).withColumn(
         "label", _checked("label", K.NODE_LABELS, "node label")
@@ -111,33 +132,40 @@ def merge_nodes(existing: DataFrame, incoming: DataFrame, null_removes: bool = F
     columns = [*NODE_KEY, *fixed, "props", "seq"]
     hit, rest = _apart(existing, fresh, NODE_KEY)
     rows = hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh.select(*columns))
-    merged = merge_properties(rows, NODE_KEY, fixed, null_removes)
+    merged = merge_properties(rows, NODE_KEY, fixed, null_removes, store)
     value = lambda k: F.try_element_at(F.col("props"), F.lit(k))
     layout = ["id", "label", "raw_id", "user_id", "is_public", "repo", "branch", "name", "path", "props"]
     return merged.withColumns({"name": value("name"), "path": value("path")}).select(*layout).unionByName(rest.select(*layout))
 
 
-def connected_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends exist.  Tasks hash their share of the ids, so edges, which outnumber nodes, are not sorted."""
+def connected_edges(edges: DataFrame, nodes: DataFrame, spill: bool = False) -> DataFrame:
+    """Edges whose two ends exist.  Tasks hash their share of the ids, so edges, which outnumber nodes, are not sorted.  Such a
+    table must fit the task's memory; with `spill` both sides are sorted instead, by a hash of the id before the id."""
+    if spill:
+        ids = nodes.select(F.xxhash64("id").alias("_h"), F.col("id").alias("_id")).hint("merge")
+        for end in ("src", "dst"):
+            edges = edges.join(ids, (F.xxhash64(end) == F.col("_h")) & (F.col(end) == F.col("_id")), "left_semi")
+        return edges
     ids = nodes.select("id").hint("shuffle_hash")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
 
 
-def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame | None) -> DataFrame:
+def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame | None, store: Store | None = None) -> DataFrame:
     """Edge table after merging: one edge per (source, type, target), properties overlaid, ends checked.
 
-    Edges that nothing comes in for keep their rows.  Without `nodes` the ends are known to exist.
+    Edges that nothing comes in for keep their rows.  Without `nodes` the ends are known to exist.  With `store` (see
+    merge_properties) no join holds a table that cannot spill.
     """
     fixed = ["user_id", "repo", "branch"]
     columns = [*EDGE_KEY, *fixed, "props", "seq"]
     fresh = incoming.withColumn("rel_type", _checked("rel_type", K.REL_TYPES, "relationship type")).select(*columns)
     hit, rest = _apart(existing, fresh, EDGE_KEY)
-    merged = merge_properties(hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh), EDGE_KEY, fixed)
+    merged = merge_properties(hit.withColumn("seq", F.lit(0).cast("long")).select(*columns).unionByName(fresh), EDGE_KEY, fixed, store=store)
     layout = [*EDGE_KEY, *fixed, "props"]
     both = merged.select(*layout).unionByName(rest.select(*layout))
-    return both if nodes is None else connected_edges(both, nodes).select(*layout)
+    return both if nodes is None else connected_edges(both, nodes, spill=store is not None).select(*layout)
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -90,6 +90,11 @@ def manifest(spark: SparkSession, path: str, partitions: list[str], version: str
     return spark.createDataFrame([], ddl) if version is None else spark.read.schema(ddl).parquet(f"{path}/_versions/v={version}")
 
 
+def empty(spark: SparkSession, ddl: str) -> DataFrame:
+    """A frame without rows that plans see as such, so joins with it fall away."""
+    return spark.createDataFrame([], ddl).where(F.lit(False))
+
+
 def read_table(spark: SparkSession, path: str, ddl: str, only: DataFrame | None = None, partitions: list[str] | None = None) -> DataFrame:
     """The table as it stands, or an empty frame of the same layout before the first write.
 
@@ -98,7 +103,7 @@ def read_table(spark: SparkSession, path: str, ddl: str, only: DataFrame | None
     """
     path, version = path.rstrip("/"), current_version(spark, path)
     if version is None:
-        return spark.createDataFrame([], ddl)
+        return empty(spark, ddl)
     partitions = partitions or _stored_partitions(spark, path, version)
     wanted = manifest(spark, path, partitions, version)
     if only is not None:
@@ -107,7 +112,7 @@ def read_table(spark: SparkSession, path: str, ddl: str, only: DataFrame | None
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     folders = ["/".join([f"{path}/data/v={r['version']}", *(escape(p, r[p]) for p in partitions)]) for r in wanted.toLocalIterator()]
     if not folders:
-        return spark.createDataFrame([], ddl)
+        return empty(spark, ddl)
     layout = ddl + "".join(f", {p} string" for p in ["v", *partitions])
     return spark.read.schema(layout).option("basePath", f"{path}/data").parquet(*folders).select(*StructType.fromDDL(ddl).fieldNames())
 

@@ -53,10 +53,11 @@ _PLACE = ["user_id", "repo", "branch", "path"]
 
 
 def newer_changes(changes: DataFrame, marks: DataFrame) -> DataFrame:
-    """The changes that no mark, the last word applied to a path so far, is ahead of.  One that was applied comes again."""
-    known = marks.select(*_PLACE, F.struct("ts", "delivery_id").alias("_m"))
+    """The changes that no mark, the last word applied to a path so far, is ahead of.  One that was applied comes again.  Marks
+    are small as files and large in memory, so they are sorted, not sent to every task."""
+    known = marks.select(*_PLACE, F.struct("ts", "delivery_id").alias("_m")).hint("merge")
     rows = changes.join(known, _PLACE, "left")
-    return rows.where(F.col("_m").isNull() | (F.struct("ts", "delivery_id") >= F.col("_m"))).select(*schemas.columns_of(MARKS))
+    return rows.where(F.col("_m").isNull() | (F.struct("ts", "delivery_id") >= F.col("_m"))).select(*changes.columns)
 
 
 def _mark(changes: DataFrame, keys: DataFrame, mark_table: str) -> None:
@@ -96,60 +97,64 @@ def apply_pushes(changes: DataFrame, chunk_table: str, fetch: Callable[[DataFram
 _RECORDS = {"issue": "issue", "pr": "pull_request"}
 
 
-def record_changes(events: DataFrame, targets: DataFrame, branch: str = "main") -> DataFrame:
-    """The last word of a batch on each issue and pull request, per tenant, in the layout of marks; `path` is kind/number."""
-    parts = [events.where(F.col(field).isNotNull()).select(
-        F.col("repository.full_name").alias("repo"), F.concat(F.lit(f"{kind}/"), F.col(f"{field}.number").cast("string")).alias("path"), "ts", "delivery_id")
-        for kind, field in _RECORDS.items()]
-    last = maintenance.latest(parts[0].unionByName(parts[1]), ["repo", "path"], "ts", "delivery_id")
-    return last.join(targets, "repo").withColumns({"branch": F.lit(branch), "action": F.lit("upsert")}).select(*schemas.columns_of(MARKS))
-
-
-def record_rows(events: DataFrame, kind: str, targets: DataFrame, branch: str = "main", changes: DataFrame | None = None) -> DataFrame:
-    """Issue or pull-request records of a batch, redacted, one per tenant; the newest state of each number, and with `changes`
-    only those among them."""
+def record_rows(events: DataFrame, kind: str, targets: DataFrame, branch: str = "main") -> DataFrame:
+    """Issue or pull-request records of a batch, redacted, one per tenant: the newest state of each number. With the columns of
+    a mark; `path` is kind/number."""
     field = _RECORDS[kind]
     rows = events.where(F.col(field).isNotNull()).select(
         F.col("repository.full_name").alias("repo"), "ts", "delivery_id", F.col(f"{field}.*"))
     newest = maintenance.latest(rows, ["repo", "number"], "ts", "delivery_id")
     clean = redact.redact_fields(newest, ["title", "body"]).drop("secrets_redacted")
-    placed = clean.join(targets, "repo").withColumn("branch", F.lit(branch))
-    if changes is not None:
-        key = [*_PLACE, "ts", "delivery_id"]
-        placed = placed.withColumn("path", F.concat(F.lit(f"{kind}/"), F.col("number").cast("string"))).join(changes.select(*key), key, "left_semi").drop("path")
-    return placed.drop("ts", "delivery_id")
+    path = F.concat(F.lit(f"{kind}/"), F.col("number").cast("string"))
+    return clean.join(targets, "repo").withColumns({"branch": F.lit(branch), "path": path, "action": F.lit("upsert")})
+
+
+def _touched(events: DataFrame, targets: DataFrame, branch: str = "main") -> DataFrame:
+    """The (tenant, repository, branch) partitions of a batch's issues and pull requests."""
+    held = F.lit(False)
+    for field in _RECORDS.values():
+        held = held | F.col(field).isNotNull()
+    repos = events.where(held).select(F.col("repository.full_name").alias("repo")).distinct()
+    return tables.with_chunk_partitions(repos.join(targets, "repo").withColumn("branch", F.lit(branch))).select(*tables.CHUNK_PARTITIONS).distinct()
 
 
 def apply_records(events: DataFrame, node_table: str, edge_table: str, targets: DataFrame, mark_table: str | None = None) -> None:
     """Merge the graph of a batch's issues and pull requests into the node and edge tables; only the touched partitions are
-    read and written.  With `mark_table` a record older than the last one applied to its number is left out."""
-    spark, changes = events.sparkSession, None
+    read and written.  With `mark_table` a record older than the last one applied to its number is left out, and one without a
+    number.
+
+    A batch is ranked once for each kind; what is left is written, and all else starts from there, so nothing is cached.  Joins
+    here are such as spill, since a stream's batch may be large and its shuffle partitions few.
+    """
+    spark = events.sparkSession
     if mark_table is not None:
-        found = record_changes(events, targets)
-        keys = tables.with_chunk_partitions(found).select(*tables.CHUNK_PARTITIONS).distinct()
-        changes = written(newer_changes(found, tables.read_table(spark, mark_table, MARKS, keys, tables.CHUNK_PARTITIONS)), "records")
-    issue_nodes, issue_edges = graph_git.issue_graph(record_rows(events, "issue", targets, changes=changes))
-    prs = record_rows(events, "pr", targets, changes=changes)
-    no_files = spark.createDataFrame([], schemas.PR_FILES + ", user_id string, is_public boolean, repo string, branch string")
-    pr_nodes, pr_edges = graph_git.pr_graph(prs, no_files)
-    new_nodes = issue_nodes.unionByName(pr_nodes).persist()
-    new_edges = issue_edges.unionByName(pr_edges).persist()
-    try:
-        node_keys = tables.with_node_partitions(new_nodes).select(*tables.NODE_PARTITIONS).distinct()
-        held = tables.read_table(spark, node_table, schemas.NODES, node_keys, tables.NODE_PARTITIONS)
-        merged = maintenance.merge_nodes(held, new_nodes)
-        tables.replace_partitions(tables.with_node_partitions(merged), node_table, tables.NODE_PARTITIONS, node_keys)
-        edge_keys = tables.with_edge_partitions(new_edges).select(*tables.EDGE_PARTITIONS).distinct()
-        held = tables.read_table(spark, edge_table, schemas.EDGES, edge_keys, tables.EDGE_PARTITIONS)
-        # Both ends of an edge lie in nodes of the tenant; those of other tenants are not opened.
-        nodes = tables.read_table(spark, node_table, schemas.NODES, edge_keys.select("tenant"), tables.NODE_PARTITIONS)
-        linked = maintenance.merge_edges(held, new_edges, nodes)
-        tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS, edge_keys)
-        if changes is not None:
-            _mark(changes, tables.with_chunk_partitions(changes).select(*tables.CHUNK_PARTITIONS).distinct(), mark_table)
-    finally:
-        new_nodes.unpersist()
-        new_edges.unpersist()
+        places = written(_touched(events, targets), "places")
+        marks = tables.read_table(spark, mark_table, MARKS, places, tables.CHUNK_PARTITIONS)
+    records = {}
+    for kind in _RECORDS:
+        rows = record_rows(events, kind, targets)
+        if mark_table is not None:
+            rows = newer_changes(rows.where(F.col("path").isNotNull()), marks)
+        records[kind] = written(rows, kind)
+    issue_nodes, issue_edges = graph_git.issue_graph(records["issue"], once=True)
+    no_files = tables.empty(spark, schemas.PR_FILES + ", user_id string, is_public boolean, repo string, branch string")
+    pr_nodes, pr_edges = graph_git.pr_graph(records["pr"], no_files, once=True)
+    new_nodes, new_edges = issue_nodes.unionByName(pr_nodes), issue_edges.unionByName(pr_edges)
+
+    node_keys = written(tables.with_node_partitions(new_nodes).select(*tables.NODE_PARTITIONS).distinct(), "node_keys")
+    held = tables.read_table(spark, node_table, schemas.NODES, node_keys, tables.NODE_PARTITIONS)
+    merged = maintenance.merge_nodes(held, new_nodes, store=written)
+    tables.replace_partitions(tables.with_node_partitions(merged), node_table, tables.NODE_PARTITIONS, node_keys)
+    edge_keys = written(tables.with_edge_partitions(new_edges).select(*tables.EDGE_PARTITIONS).distinct(), "edge_keys")
+    held = tables.read_table(spark, edge_table, schemas.EDGES, edge_keys, tables.EDGE_PARTITIONS)
+    # Both ends of an edge lie in nodes of the tenant; those of other tenants are not opened.
+    nodes = tables.read_table(spark, node_table, schemas.NODES, edge_keys.select("tenant"), tables.NODE_PARTITIONS)
+    linked = maintenance.merge_edges(held, new_edges, nodes, store=written)
+    tables.replace_partitions(tables.with_edge_partitions(linked), edge_table, tables.EDGE_PARTITIONS, edge_keys)
+    if mark_table is not None:
+        columns = schemas.columns_of(MARKS)
+        changes = records["issue"].select(*columns).unionByName(records["pr"].select(*columns))
+        _mark(changes, tables.with_chunk_partitions(changes).select(*tables.CHUNK_PARTITIONS).distinct(), mark_table)
 
 
 def run_webhooks(events: DataFrame, checkpoint: str, targets: DataFrame, chunk_table: str, node_table: str, edge_table: str,

@@ -336,6 +336,60 @@ def test_webhooks(spark):
     assert rows_of(tables.read_table(spark, f"{root}/chunks", schemas.CHUNKS), *CONTENT) == before
 
 
+def test_merges_that_store_give_what_others_give(spark):
+    from tessera.session import written
+
+    rows = [("Issue", "a", {"x": "1", "n": None}, 1), ("Issue", "b", {"x": "1"}, 1), ("Issue", "b", {"x": "1", "n": None}, 2), ("Issue", "c", {"x": "1", "y": "1"}, 1),
+            ("Issue", "c", {"x": None, "y": "2"}, 2), ("Issue", "d", None, 1), ("Issue", "d", {}, 1), ("Issue", "held", {"z": "9"}, 1), ("Label", "a", {"x": "2"}, 1)]
+    nodes = spark.createDataFrame(rows, "label string, raw_id string, props map<string,string>, seq long").select(
+        "*", F.lit("u").alias("user_id"), F.lit(False).alias("is_public"), F.lit("r").alias("repo"), F.lit("main").alias("branch"))
+    held = spark.createDataFrame([("u::held", "Issue", {"y": "8", "z": "1"}), ("u::left", "Issue", {"x": "3"})], "id string, label string, props map<string,string>").select(
+        "id", "label", F.substring_index("id", "::", -1).alias("raw_id"), F.lit("u").alias("user_id"), F.lit(False).alias("is_public"), F.lit("r").alias("repo"), F.lit("main").alias("branch"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("path"), "props")
+    told = lambda frame, *columns: sorted((*(r[c] for c in columns), sorted(r["props"].items())) for r in frame.collect())
+    for removes in (False, True):
+        plain = told(maintenance.merge_nodes(held, nodes, removes), "label", "id", "repo")
+        assert told(maintenance.merge_nodes(held, nodes, removes, store=written), "label", "id", "repo") == plain
+        assert ("Issue", "u::held", "r", [("y", "8"), ("z", "9")]) in plain and len(plain) == 7
+    links = [("u::a", "u::b", {"k": "1"}, 1), ("u::a", "u::b", {"k": "2"}, 2), ("u::a", "u::c", None, 1), ("u::a", "u::gone", {}, 1), ("u::gone", "u::a", {}, 1), (None, "u::a", {}, 1)]
+    edges = spark.createDataFrame(links, "src string, dst string, props map<string,string>, seq long").select(
+        "*", F.lit("CALLS").alias("rel_type"), *[F.lit("u").alias(c) for c in ("user_id", "repo", "branch")])
+    ids = maintenance.merge_nodes(held, nodes)
+    plain = told(maintenance.merge_edges(edges.drop("seq").where("dst = 'u::c'"), edges, ids), "src", "dst")
+    assert told(maintenance.merge_edges(edges.drop("seq").where("dst = 'u::c'"), edges, ids, store=written), "src", "dst") == plain
+    assert plain == [("u::a", "u::b", [("k", "2")]), ("u::a", "u::c", [])]
+    plan = maintenance.connected_edges(edges, ids, spill=True)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
+def test_records_are_merged_without_caching_a_batch(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    targets = spark.createDataFrame([("org/app", "u1", False)], "repo string, user_id string, is_public boolean")
+    person = {"login": "ann", "type": "User"}
+    issue = lambda n, title: {"number": n, "title": title, "state": "open", "user": person, "labels": []}
+    batches = [
+        [delivery(5, "issues", issue=issue(7, "new")), delivery(4, "issues", issue=issue(7, "old")), delivery(6, "pull_request", pull_request={"number": 8, "title": "Fix", "body": "fixes #7", "user": person})],
+        [delivery(1, "issues", issue=issue(7, "older")), delivery(2, "issues", issue=issue(9, "other")), delivery(3, "issues", issue=issue(None, "no number"))],
+    ]
+
+    def refuse(*_, **__):
+        raise AssertionError("cached")
+
+    monkeypatch.setattr(type(targets), "persist", refuse)
+    monkeypatch.setattr(type(targets), "cache", refuse)
+    for lines in batches:
+        events = spark.read.schema(schemas.WEBHOOKS).json(spark.sparkContext.parallelize(lines, 1))
+        webhooks.apply_records(events, f"{root}/nodes", f"{root}/edges", targets, f"{root}/marks")
+    nodes = tables.read_table(spark, f"{root}/nodes", schemas.NODES).collect()
+    assert sorted((n["label"], n["props"].get("number"), n["props"].get("title")) for n in nodes if n["label"] != "Contributor") == [
+        ("Issue", "7", "new"), ("Issue", "9", "other"), ("PullRequest", "8", "Fix")]
+    assert [n["name"] for n in nodes if n["label"] == "Contributor"] == ["ann"]
+    edges = tables.read_table(spark, f"{root}/edges", schemas.EDGES).collect()
+    assert sorted((e["rel_type"], e["dst"].rpartition("::")[2]) for e in edges) == [("CLOSES", "7"), ("OPENED", "7"), ("OPENED", "8"), ("OPENED", "9")]
+    marks = tables.read_table(spark, f"{root}/marks", webhooks.MARKS).collect()
+    assert sorted((m["path"], m["delivery_id"]) for m in marks) == [("issue/7", "d5"), ("issue/9", "d2"), ("pr/8", "d6")]
+
+
 def test_issue_chunks_are_redacted(spark):
     rows = spark.createDataFrame([("u1", False, "org/app", "main", 7, "open", ["bug"], 'Issue #7: something is wrong\npassword = "hunter22"')],
                                  "user_id string, is_public boolean, repo string, branch string, number int, state string, labels array<string>, text string")
