@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every terminator a text line may end with; "\r\n" counts once.
-_LINE_END = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+# A line with its terminator, or a last one without; "\r\n" counts once.  Possessive runs, so each character is looked at once.
+_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_LINE = rf"[^{_ENDS}]*+(?:\r\n|[{_ENDS}])|[^{_ENDS}]++"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,7 +28,7 @@ def has_min_chars(text: Column, minimum: int) -> Column:
 
 def lines_with_ends(text: Column) -> Column:
     """Lines with their terminators; no empty last element for a trailing terminator."""
-    return F.filter(F.split(text, _LINE_END), lambda piece: piece != "")
+    return F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
 
 
 def line_count(text: Column) -> Column:

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera import constants as K
-from tessera.functions.script_noise import without_script_noise
+from tessera.functions.script_noise import without_brace_noise
 from tessera.functions.text import lines_with_ends, strip
 from tessera.operators.code_blocks import BLOCK, KINDS, blocks_of, families, marked
 from tessera.operators.chunk_docs import window_parts
@@ -28,20 +29,12 @@ _BRACE_GRAMMARS = ["javascript", "typescript", "tsx", "go"]
 _PY_NOISE = (
     r"(\"\"\"|''')|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|#(?!.*(?:\"\"\"|''')).*"
 )
-# Comments and strings.  Loops run over single characters, so long ones need no stack; raw strings know no escapes.
-_GO_NOISE = r"/\*(?s:.*?)\*/|//[^\r\n]*+|\"[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+\"|'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'|`[^`]*+`"
-
-
-def without_noise(content: Column, noise: str) -> Column:
-    """The text with comments, strings and regular expressions cut out; their line ends stay, so lines keep their numbers."""
-    gaps = F.transform(F.regexp_extract_all(content, F.lit(noise), F.lit(0)), lambda x: F.regexp_replace(x, r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", ""))
-    return F.array_join(F.zip_with(F.split(content, noise, -1), gaps, lambda text, gap: F.concat(text, F.coalesce(gap, F.lit("")))), "")
 
 
 def _bare(text: Column, grammar: Column) -> Column:
     """The text without strings and comments in languages with braces, else null."""
-    script = grammar.isin([g for g in _BRACE_GRAMMARS if g != "go"])
-    return F.when(grammar == "go", without_noise(text, _GO_NOISE)).when(script, without_script_noise(F.when(script, text), grammar != "typescript"))
+    braces = grammar.isin(_BRACE_GRAMMARS)
+    return F.when(braces, without_brace_noise(F.when(braces, text), grammar))
 
 
 def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
@@ -56,20 +49,19 @@ def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None
 
 
 def _with_lines(files: DataFrame) -> DataFrame:
-    """Files with their lines and, in equal number, these without strings and comments (Python: triple quotes stay)."""
-    text, grammar = F.col("content"), F.col("grammar")
-    ended = lambda line: F.regexp_replace(line, r"[\r\n]+$", "")
-    python = lambda line: F.regexp_replace(ended(line), _PY_NOISE, "$1")
-    split = files.withColumns({"_lines": lines_with_ends(text), "_bare": lines_with_ends(_bare(text, grammar))})
-    braces = F.transform("_lines", lambda line, i: ended(F.coalesce(F.get("_bare", i), line)))
-    return split.withColumn("_code", F.when(grammar == "python", F.transform("_lines", python)).otherwise(braces)).drop("_bare")
+    """Files with what tasks split up: `_lines` and `_code` of Python files, lines and these without strings and comments (triple
+    quotes stay); of files with braces `_text` and `_bare`, all of it with and without them."""
+    text, python = F.col("content"), F.col("grammar") == "python"
+    code = lambda line: F.regexp_replace(F.regexp_replace(line, r"[\r\n]+$", ""), _PY_NOISE, "$1")
+    split = files.withColumn("_lines", F.when(python, lines_with_ends(text)))
+    return split.withColumns({"_code": F.transform("_lines", code), "_text": F.when(~python, text), "_bare": _bare(text, F.col("grammar"))})
 
 
 def python_blocks(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, n, line, code, kind, class_name, function_name): the lines of Python files with the definition they belong to;
     uncovered and class-level lines included. `code` is the line without strings and comments."""
     columns = [key, *(keep or [])]
-    source = _with_lines(files.withColumn("grammar", F.lit("python"))).select(*columns, "grammar", "_lines", "_code")
+    source = _with_lines(files.withColumn("grammar", F.lit("python"))).select(*columns, "grammar", "_lines", "_code", "_text", "_bare")
     schema = StructType([*[source.schema[c] for c in columns], *StructType.fromDDL("n int, line string, code string, kind string, class_name string, function_name string")])
     names = schema.names
 
@@ -93,17 +85,29 @@ def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None =
     """
     grammar = F.col("grammar")
     known = grammar.isin("python", *_BRACE_GRAMMARS)
-    source = _with_lines(files.where(known).select(key, "grammar", "content")).select(key, "grammar", "content", "_lines", "_code")
-    schema = StructType([*[source.schema[c] for c in (key, "grammar", "content")], *StructType.fromDDL(f"_blocks array<struct<{BLOCK}>>")])
+    source = _with_lines(files.where(known).select(key, "grammar", "content")).select(key, "grammar", "_lines", "_code", "_text", "_bare")
+    schema = StructType([*[source.schema[c] for c in (key, "grammar")], *StructType.fromDDL(f"content string, _blocks array<struct<{BLOCK}>>")])
 
     def find(batches):
         for batch in families(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "grammar", "content")), blocks_of(batch)], [key, "grammar", "content", "_blocks"])
+            blocks, defined = blocks_of(batch)
+            # A definition has text, so its file is not cut into windows and need not come back whole.
+            texts = pc.binary_join(batch.column("_lines").filter(pa.array(~defined)), "")
+            content = pc.replace_with_mask(pa.nulls(batch.num_rows, pa.string()), pa.array(~defined), texts.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "grammar")), content, blocks], [key, "grammar", "content", "_blocks"])
 
     found = source.mapInArrow(find, schema)
-    # A file without any block is cut into windows in its own row.
     found = found.withColumn("_blocks", F.filter("_blocks", lambda b: F.exists(b["lines"], lambda line: line.rlike(r"(?U)[^\s]"))))
-    blocks = found.select(key, "grammar", F.explode("_blocks").alias("_b")).select(key, "grammar", "_b.*")
+    # A file without any block is cut into windows in its own row, so that a file is worked on once for both.
+    none = F.lit(None).cast("string")
+    window = lambda p: F.struct(
+        p["chunk_type"].alias("kind"), F.lit(False).alias("definition"), none.alias("class_name"), none.alias("function_name"),
+        p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), F.array(p["text"]).alias("lines"))
+    windows = F.transform(window_parts(F.col("content")), window).cast(found.schema["_blocks"].dataType)
+    has_block = F.size("_blocks") > 0
+    other = files.where(~F.coalesce(known, F.lit(False))).select(key, "grammar", F.lit(True).alias("_cut"), F.explode(windows).alias("_b"))
+    pieces = found.select(key, "grammar", (~has_block).alias("_cut"), F.explode(F.when(has_block, F.col("_blocks")).otherwise(windows)).alias("_b"))
+    blocks = pieces.unionByName(other).select(key, "grammar", "_cut", "_b.*")
 
     lines, is_python = F.col("lines"), grammar == "python"
     body = F.array_join(lines, "")
@@ -116,29 +120,20 @@ def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None =
     shortened = F.lit(False) if shorten_above is None else F.col("definition") & (length > shorten_above)
     short = strip(F.concat_ws("\n", "signature", docstring))
     has_lines = F.col("kind") != "module_header"
-    rows = blocks.withColumns({"_body": body, "signature": signature, "_short": shortened}).select(
+    cut = F.col("_cut")
+    return blocks.withColumns({"_body": body, "signature": signature, "_short": shortened}).select(
         key,
         F.col("kind").alias("chunk_type"),
         "function_name",
         "class_name",
-        F.when(has_lines, F.col("signature")).alias("signature"),
+        F.when(has_lines & ~cut, F.col("signature")).alias("signature"),
         F.when(has_lines, F.col("start_line")).alias("start_line"),
         F.when(has_lines, F.col("end_line")).alias("end_line"),
         F.when(F.col("_short"), short).otherwise(strip(F.col("_body"))).alias("text"),
         F.when(F.col("_short"), F.col("_body")).alias("full_body"),
         (F.col("definition") & (length > K.LARGE_DEFINITION_LINES)).alias("large_function"),
-        F.lit("block").alias("chunking"),
-    )
-
-    none = F.lit(None).cast("string")
-    window = lambda p: F.struct(
-        p["chunk_type"].alias("chunk_type"), none.alias("function_name"), none.alias("class_name"), none.alias("signature"),
-        p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["text"].alias("text"),
-        none.alias("full_body"), F.lit(False).alias("large_function"),
-        F.when(p["chunk_type"] == "function", "generic_window").otherwise("whole").alias("chunking"),
+        F.when(~cut, "block").when(F.col("kind") == "function", "generic_window").otherwise("whole").alias("chunking"),
     )
-    uncut = found.where(F.size("_blocks") == 0).select(key, "content").unionByName(files.where(~F.coalesce(known, F.lit(False))).select(key, "content"))
-    return rows.unionByName(uncut.select(key, F.explode(F.transform(window_parts(F.col("content")), window)).alias("_c")).select(key, "_c.*"))
 
 
 def uncovered_lines(lines: DataFrame, ranges: DataFrame, key: str = "fid") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_LINES = 500_000  # lines worked on at a time, about
+BATCH_BYTES = 16_000_000  # bytes of files with braces, likewise
 KINDS = np.array(["module_header", "class", "function", "method"])
 HEADER, CLASS, FUNCTION, METHOD = range(4)
 _TRIPLE = "\"\"\"|'''"
@@ -196,16 +197,34 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
 
+def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of files with braces with their lines: `_lines` from `_text`, `_code` from `_bare`, without the ends of lines.
+    Python ends lines where Spark's expression does."""
+    lines, code = [], []
+    for text, bare in zip(batch.column("_text").to_pylist(), batch.column("_bare").to_pylist()):
+        own = [] if text is None else text.splitlines(True)
+        left = [] if bare is None else bare.splitlines(True)[: len(own)]
+        lines.append(own)
+        code.append([line.rstrip("\r\n") for line in left + own[len(left):]])
+    kind = pa.list_(pa.string())
+    for name, values in (("_lines", lines), ("_code", code)):
+        batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, kind))
+    return batch
+
+
 def families(batches):
-    """Python files and files of languages with braces apart, a bounded number of lines at a time."""
+    """Python files and files of languages with braces apart, a bounded number of lines at a time, with their lines."""
     for batch in batches:
         python = batch.column("grammar").to_numpy(zero_copy_only=False) == "python"
         for own in (python, ~python):
             part = batch.filter(pa.array(own))
-            at = np.cumsum(part.column("_lines").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) // BATCH_LINES
+            # Of files with braces the bytes are known, not yet the lines.
+            size = pc.binary_length(part.column("_text")).fill_null(0) if own is not python else part.column("_lines").value_lengths().fill_null(0)
+            at = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // (BATCH_LINES if own is python else BATCH_BYTES)
             for cut in np.split(np.arange(part.num_rows), np.flatnonzero(np.diff(at)) + 1):
                 if len(cut):
-                    yield part.slice(cut[0], len(cut))
+                    piece = part.slice(cut[0], len(cut))
+                    yield piece if own is python else _split(piece)
 
 
 def marked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, Marks]:
@@ -223,13 +242,13 @@ def marked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, Mar
 BLOCK = "kind string, definition boolean, class_name string, function_name string, start_line int, end_line int, lines array<string>"
 
 
-def blocks_of(batch: pa.RecordBatch) -> pa.ListArray:
-    """The blocks of each file as one list of structs (see BLOCK), in no fixed order."""
+def blocks_of(batch: pa.RecordBatch) -> tuple[pa.ListArray, np.ndarray]:
+    """The blocks of each file as one list of structs (see BLOCK), in no fixed order, and whether one is a definition."""
     row, line = flat(batch, "_lines")
     if not len(row):
         empty = pa.array([], pa.struct([("kind", pa.string()), ("definition", pa.bool_()), ("class_name", pa.string()), ("function_name", pa.string()),
                                         ("start_line", pa.int32()), ("end_line", pa.int32()), ("lines", pa.list_(pa.string()))]))
-        return pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1, dtype=np.int32)), empty)
+        return pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1, dtype=np.int32)), empty), np.zeros(batch.num_rows, dtype=bool)
     row, n, line, m = marked(batch)
     keep = np.flatnonzero(m.good)
     keep = keep[np.lexsort((n[keep], m.member[keep], m.unit[keep], m.kind[keep], row[keep]))]
@@ -243,4 +262,5 @@ def blocks_of(batch: pa.RecordBatch) -> pa.ListArray:
          pa.array(m.function_name[head].tolist(), pa.string()), pa.array(n[head].astype(np.int32)), pa.array(n[last].astype(np.int32)), lists],
         ["kind", "definition", "class_name", "function_name", "start_line", "end_line", "lines"])
     starts = np.searchsorted(row[head], np.arange(batch.num_rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(starts), rows)
+    defined = np.bincount(row[head][m.definition[head]], minlength=batch.num_rows) > 0
+    return pa.ListArray.from_arrays(pa.array(starts), rows), defined

@@ -253,3 +253,24 @@ def test_lines_are_neither_moved_nor_sorted(spark):
     assert sorted((r["fid"], r["chunk_type"], r["function_name"], r["start_line"], r["end_line"]) for r in found.where("chunking = 'block'").collect()) == [
         ("a", "function", "f", 1, 2), ("b", "function", "F", 1, 2)]
     assert found.where("fid = 'c'").select("text").first()[0] == "x = '''"
+
+
+def test_a_file_is_worked_on_once_for_blocks_and_windows(spark):
+    js = "function f(a) {\n  return `{${a}`; // }\n}\n"
+    rows = [("js", "javascript", js), ("go", "go", "func F() {\n\tx := `{\\`\r\n}\n"), ("plain", "javascript", "x = 1;\n" * 101), ("open", "go", "func F() {\n"), ("blank", "tsx", " \n"),
+            ("other", "rust", "fn f() {}\n"), ("none", None, "text"), ("null", "go", None), ("py", "python", "def f():\n    return 1\n"), ("ends", "javascript", "a\x0bb\u2028" + js)]
+    found = chunk_code.code_chunks(spark.createDataFrame(rows, "fid string, grammar string, content string"))
+    got = sorted((r["fid"], r["chunk_type"], r["start_line"] or 0, r["end_line"] or 0, r["chunking"]) for r in found.collect())
+    assert got == [("ends", "function", 3, 5, "block"), ("ends", "module_header", 0, 0, "block"), ("go", "function", 1, 3, "block"), ("js", "function", 1, 3, "block"),
+                   ("none", "whole_doc", 1, 1, "whole"), ("open", "whole_doc", 1, 1, "whole"), ("other", "whole_doc", 1, 1, "whole"), ("plain", "module_header", 0, 0, "block"), ("py", "function", 1, 2, "block")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a := `{\\` + \"}\\\"{\" // {\nb", "a :=  +  \nb"),
+    ("/* { * \r\n **/ x '\\'' y", "\r\n x  y"),
+    ("`{\n\u2028` /* open {", "\n\u2028 /* open {"),
+])
+def test_go_without_noise(text, want):
+    assert script_noise.bare_go(text) == want
