@@ -50,18 +50,18 @@ def file_lines(files: DataFrame, key: str = "fid", keep: list[str] | None = None
 
 def _with_lines(files: DataFrame) -> DataFrame:
     """Files with what tasks split up: `_lines` and `_code` of Python files, lines and these without strings and comments (triple
-    quotes stay); of files with braces `_text` and `_bare`, all of it with and without them."""
+    quotes stay); of files with braces `_text`, all of it."""
     text, python = F.col("content"), F.col("grammar") == "python"
     code = lambda line: F.regexp_replace(F.regexp_replace(line, r"[\r\n]+$", ""), _PY_NOISE, "$1")
     split = files.withColumn("_lines", F.when(python, lines_with_ends(text)))
-    return split.withColumns({"_code": F.transform("_lines", code), "_text": F.when(~python, text), "_bare": _bare(text, F.col("grammar"))})
+    return split.withColumns({"_code": F.transform("_lines", code), "_text": F.when(~python, text)})
 
 
 def python_blocks(files: DataFrame, key: str = "fid", keep: list[str] | None = None) -> DataFrame:
     """(key, *keep, n, line, code, kind, class_name, function_name): the lines of Python files with the definition they belong to;
     uncovered and class-level lines included. `code` is the line without strings and comments."""
     columns = [key, *(keep or [])]
-    source = _with_lines(files.withColumn("grammar", F.lit("python"))).select(*columns, "grammar", "_lines", "_code", "_text", "_bare")
+    source = _with_lines(files.withColumn("grammar", F.lit("python"))).select(*columns, "grammar", "_lines", "_code", "_text")
     schema = StructType([*[source.schema[c] for c in columns], *StructType.fromDDL("n int, line string, code string, kind string, class_name string, function_name string")])
     names = schema.names
 
@@ -85,7 +85,7 @@ def code_chunks(files: DataFrame, key: str = "fid", shorten_above: int | None =
     """
     grammar = F.col("grammar")
     known = grammar.isin("python", *_BRACE_GRAMMARS)
-    source = _with_lines(files.where(known).select(key, "grammar", "content")).select(key, "grammar", "_lines", "_code", "_text", "_bare")
+    source = _with_lines(files.where(known).select(key, "grammar", "content")).select(key, "grammar", "_lines", "_code", "_text")
     schema = StructType([*[source.schema[c] for c in (key, "grammar")], *StructType.fromDDL(f"content string, _blocks array<struct<{BLOCK}>>")])
 
     def find(batches):

@@ -13,11 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+from tessera.functions.script_noise import bare_text
+
 # Tasks receive these helpers with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_LINES = 500_000  # lines worked on at a time, about
-BATCH_BYTES = 16_000_000  # bytes of files with braces, likewise
+BATCH_BYTES = 4_000_000  # bytes of files with braces, likewise
 KINDS = np.array(["module_header", "class", "function", "method"])
 HEADER, CLASS, FUNCTION, METHOD = range(4)
 _TRIPLE = "\"\"\"|'''"
@@ -198,12 +200,12 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
 
 
 def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch of files with braces with their lines: `_lines` from `_text`, `_code` from `_bare`, without the ends of lines.
+    """A batch of files with braces with their lines in `_lines` and, without strings, comments and the ends of lines, in `_code`.
     Python ends lines where Spark's expression does."""
     lines, code = [], []
-    for text, bare in zip(batch.column("_text").to_pylist(), batch.column("_bare").to_pylist()):
+    for text, grammar in zip(batch.column("_text").to_pylist(), batch.column("grammar").to_pylist()):
         own = [] if text is None else text.splitlines(True)
-        left = [] if bare is None else bare.splitlines(True)[: len(own)]
+        left = [] if text is None else bare_text(text, grammar).splitlines(True)[: len(own)]
         lines.append(own)
         code.append([line.rstrip("\r\n") for line in left + own[len(left):]])
     kind = pa.list_(pa.string())
@@ -213,18 +215,19 @@ def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def families(batches):
-    """Python files and files of languages with braces apart, a bounded number of lines at a time, with their lines."""
+    """Python files and files of languages with braces apart, with their lines, a bounded number of lines or bytes at a time."""
     for batch in batches:
         python = batch.column("grammar").to_numpy(zero_copy_only=False) == "python"
-        for own in (python, ~python):
-            part = batch.filter(pa.array(own))
+        for own, is_python in ((python, True), (~python, False)):
+            if not own.any():
+                continue
+            part = batch if own.all() else batch.filter(pa.array(own))
             # Of files with braces the bytes are known, not yet the lines.
-            size = pc.binary_length(part.column("_text")).fill_null(0) if own is not python else part.column("_lines").value_lengths().fill_null(0)
-            at = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // (BATCH_LINES if own is python else BATCH_BYTES)
+            size = part.column("_lines").value_lengths() if is_python else pc.binary_length(part.column("_text"))
+            at = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // (BATCH_LINES if is_python else BATCH_BYTES)
             for cut in np.split(np.arange(part.num_rows), np.flatnonzero(np.diff(at)) + 1):
-                if len(cut):
-                    piece = part.slice(cut[0], len(cut))
-                    yield piece if own is python else _split(piece)
+                piece = part.slice(cut[0], len(cut))
+                yield piece if is_python else _split(piece)
 
 
 def marked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, Marks]:
